@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, content_sort, mixing, near_dup, quality
+from factloom.llm import byte_bpe, content_sort, language, licences, mixing, near_dup, quality, secrets, toxicity, transport_stream
 from factloom.llm.common import fold, table
 
 
@@ -16,6 +16,20 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in documents, false positives marked; the secrets themselves only as digests."""
+    model = secrets.fit_secrets(secrets.labelled_findings(spark))
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "start", "end", F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "score", "is_secret")
+
+
+def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    tagged = toxicity.tag_toxicity(docs, model)
+    return tagged.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; fitted on labels whose crc32(doc_id) mod 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -42,10 +56,24 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op9_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_languages(docs.where(fold("doc_id", 4) != 2))
+    return language.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "spans")
+
+
 #: Target weights of the mixing query and the pipeline: one domain twice as much as the others, English half as
 #: much again as other languages; sources of a language alike.
 MIX_WEIGHTS = {("d0",): 2.0, **{(d, "en"): 1.5 for d in ("d0", "d1", "d2", "d3")}}
@@ -58,7 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_cotraining, op4_content_sort_dedup, op5_minhash_near_dup, op8_byte_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_forest, op2_toxicity_crf, op3_quality_cotraining, op4_content_sort_dedup, op5_minhash_near_dup, op6_transport_streams, op7_licence_sentences, op8_byte_bpe, op9_language_viterbi, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

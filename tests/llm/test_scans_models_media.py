@@ -1,0 +1,218 @@
+"""Secret scan, toxicity, media, licences and language: brute force, round trips, held-out accuracy, edge cases."""
+
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from factloom.llm import language, licences, secrets, toxicity, transport_stream
+from factloom.llm.common import fold, table
+from factloom.llm.queries import op2_toxicity_crf, op6_transport_streams, op9_language_viterbi
+
+SF = "/root/testdata/sf0.01"
+ODD = [None, "", " ", "!!", "a", "w " * 30000, "x1" * 40000, "\U0001f600 ́", "Released under the MIT License.", "Released under the MIT License."]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i if i != 4 else None, t, "q", 1, 2.0, []) for i, t in enumerate(ODD)], "doc_id long, text string, spans string, start int, score double, candidate array<string>")
+
+
+# secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.fit_secrets(secrets.labelled_findings(spark))
+
+
+def test_candidates_match_brute_force(spark):
+    pattern = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-.]*[0-9])[A-Za-z0-9+/_=\-.]{16,}")
+    docs = table(spark, SF, "documents")
+    want = sorted((r.doc_id, m.start(), m.end(), m[0]) for r in docs.collect() for m in pattern.finditer(r.text or ""))
+    got = sorted((r.doc_id, r.start, r.end, r.candidate) for r in secrets.with_candidates(docs).collect())
+    assert got == want and len(want) > 5
+
+
+def test_forest_on_held_out_findings(spark, forest):
+    labelled = secrets.labelled_findings(spark, 4000)
+    model = secrets.fit_secrets(labelled.where("crc32(cast(candidate as binary)) % 2 = 0"))
+    scored = secrets.with_features(labelled.where("crc32(cast(candidate as binary)) % 2 = 1"), model["bigrams"]).select("label", secrets.forest_score(model["trees"]).alias("s")).collect()
+    assert np.mean([(r.s >= 0.5) == (r.label == 1) for r in scored]) > 0.95
+
+
+def test_secrets_of_documents_are_found(spark, forest):
+    docs = table(spark, SF, "documents")
+    found = {(r.doc_id, r.candidate.lower()) for r in secrets.scan_secrets(docs, forest).where("is_secret").collect()}
+    planted = {(r.doc_id, m[1].lower()) for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    assert planted and planted <= found
+
+
+def test_secrets_odd_input(spark, odd, forest):
+    got = secrets.scan_secrets(odd, forest).collect()
+    assert [(r.doc_id, r.start, r.end) for r in got] == [(6, 0, 80000)]
+    assert secrets.scan_secrets(odd.limit(0), forest).collect() == []
+
+
+# toxicity
+
+
+def test_chain_equals_enumeration():
+    rng = np.random.default_rng(0)
+    lengths = np.array([3, 1, 5, 4])
+    score, trans = rng.normal(size=lengths.sum()), np.exp(rng.normal(size=(2, 2)))
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    odds, pairs = toxicity.chain_odds(score, starts, lengths, trans), toxicity._pair_counts(score, starts, lengths, trans)
+    want_pairs = np.zeros((2, 2))
+    for s, n in zip(starts, lengths, strict=True):
+        p, total, own = np.zeros(n), 0.0, np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=int(n)):
+            w = np.exp(sum(score[s + i] * y[i] for i in range(n))) * np.prod([trans[a, b] for a, b in zip(y, y[1:], strict=False)])
+            total += w
+            p += w * np.array(y)
+            for a, b in zip(y, y[1:], strict=False):
+                own[a, b] += w
+        want_pairs += own / total
+        assert np.allclose(odds[s : s + n] / (1 + odds[s : s + n]), p / total)
+    assert np.allclose(pairs, want_pairs)
+
+
+def test_sequences_are_cut_alike():
+    model = {"index": {}, "w": np.zeros(0), "trans": np.ones((2, 2))}
+    tokens = toxicity.Tokens(model)
+    odds, sizes = toxicity.document_marginals(["a b. c " + "d " * 200, "", "e!"], tokens, np.ones((2, 2)))
+    assert sizes.tolist() == [203, 0, 1] and np.allclose(odds, 1)
+
+
+def test_toxicity_held_out(spark):
+    got = {r.doc_id: r for r in op2_toxicity_crf(spark, "/root/testdata/sf0.1").collect()}
+    docs = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").collect()}
+    held = [(got[r.doc_id], r.toxic) for r in table(spark, "/root/testdata/sf0.1", "labels").where(fold("doc_id", 3) == 1).collect()]
+    assert all(g.held_out for g, _ in held)
+    flagged, toxic = [y for g, y in held if g.predicted], [g.predicted for g, y in held if y == 1]
+    print("precision", np.mean(flagged), "recall", np.mean(toxic), len(toxic))
+    clean = [g.predicted for g, y in held if y == 0]
+    assert np.mean(flagged) > 0.95 and np.mean(toxic) > 0.85 and np.mean(clean) < 0.01
+    words = Counter(w for g in got.values() if g.predicted for s in g.spans for w in re.findall(r"[a-z]+", docs[g.doc_id][s.start : s.end].lower()))
+    assert {"idiot", "moron", "scum"} <= {w for w, _ in words.most_common(40)}
+
+
+def test_toxicity_odd_input(spark, odd):
+    docs = table(spark, SF, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, SF, "labels"))
+    got = {r.doc_id: r for r in toxicity.tag_toxicity(odd, model).collect()}
+    assert len(got) == len(ODD) and got[0].score == got[1].score < 0.3 and got[0].spans == []
+    assert toxicity.tag_toxicity(odd.limit(0), model).collect() == []
+    none = toxicity.fit_toxicity(docs.limit(0), table(spark, SF, "labels").limit(0))
+    assert max(r.score for r in toxicity.tag_toxicity(odd, none).collect()) < 0.01
+
+
+# media
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.binary(max_size=2000), st.integers(0, 70000).map(lambda n: bytes(range(256)) * (n // 256) + b"G" * (n % 256))))
+def test_streams_round_trip(payload):
+    stream = transport_stream.multiplex(payload)
+    found = transport_stream.demultiplex(stream)
+    assert found["payload"] == payload and found["cc_errors"] == 0 and len(stream) % 188 == 0
+    units = -(-len(payload) // transport_stream.UNIT)
+    assert found["pts"] == [k * 3600 for k in range(units)] and found["random_access"] == list(range(units))
+    assert [transport_stream.read_timestamp(transport_stream.timestamp_bytes(p)) for p in (0, 1, (1 << 33) - 1)] == [0, 1, (1 << 33) - 1]
+
+
+def test_lost_and_repeated_packets():
+    payload = bytes(range(256)) * 300
+    stream = transport_stream.multiplex(payload)
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    again = transport_stream.demultiplex(b"".join(packets[:10] + [packets[9]] + packets[10:]))
+    assert again["payload"] == payload and again["cc_errors"] == 0
+    lost = transport_stream.demultiplex(b"".join(packets[:50] + packets[51:]))
+    assert lost["cc_errors"] == 1 and lost["payload"] == payload[transport_stream.UNIT :]
+    assert transport_stream.demultiplex(b"junk" * 100)["payload"] == b""
+    assert transport_stream.demultiplex(stream[188:])["program"] is None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.data())
+def test_damaged_streams_never_fail(data):
+    stream = bytearray(transport_stream.multiplex(b"abc" * 500))
+    for _ in range(5):
+        stream[data.draw(st.integers(0, len(stream) - 1))] = data.draw(st.integers(0, 255))
+    transport_stream.demultiplex(bytes(stream[: data.draw(st.integers(0, len(stream)))]))
+
+
+def test_media_digests(spark, odd):
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    for r in op6_transport_streams(spark, SF).collect():
+        raw = texts[r.doc_id].encode()
+        p = raw + bytes(-len(raw) % 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    got = {r.doc_id: r for r in transport_stream.media_digests(odd).collect()}
+    assert got[0].payload_bytes == 64 and got[0].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest() == got[1].payload_sha256
+    assert got[8].media_sha256 == got[9].media_sha256
+    back = {r.doc_id: r for r in transport_stream.read_media(transport_stream.store_media(odd)).collect()}
+    assert back[6].payload == b"x1" * 40000 and back[6].units == 5
+    assert transport_stream.media_digests(odd.limit(0)).collect() == []
+
+
+# licences
+
+
+def test_licences_of_documents(spark, odd):
+    forms = {f: k for k, fs in licences.SENTENCES.items() for f in fs}
+    for r, d in zip(licences.scan_licences(table(spark, SF, "documents")).orderBy("doc_id").collect(), table(spark, SF, "documents").orderBy("doc_id").collect(), strict=True):
+        want = {lic for lic, _, ids in licences.RULES if len(ids) == 1 for f, k in forms.items() if k == ids[0] and re.search(r"(^|[.!?;:]\s+|\n\n)" + re.escape(f), d.text)}
+        assert want <= set(r.licenses)
+        assert all(licences.normalise(d.text[m.start : m.end]) in licences.KNOWN for m in r.matches)
+    got = {r.doc_id: r.licenses for r in licences.scan_licences(odd).collect()}
+    assert got[8] == ["MIT"] and got[0] == got[5] == []
+    assert licences.scan_licences(odd.limit(0)).collect() == []
+
+
+def test_ordered_rules():
+    s = licences.SENTENCES
+    bsd3 = "\n".join(f"  * {s[k][0]}" for k in ("bsd-permission", "bsd-source", "bsd-binary", "bsd-endorse"))
+    assert [m["license"] for m in licences.recognise("Some text.\n\n" + bsd3 + " More.")] == ["BSD-3-Clause"]
+    bsd2 = " ".join(s[k][0] for k in ("bsd-permission", "bsd-source", "bsd-binary"))
+    assert [m["license"] for m in licences.recognise(bsd2 + " Words. " + s["released-mit"][0])] == ["BSD-2-Clause", "MIT"]
+    assert licences.recognise(" ".join(s[k][0] for k in ("bsd-source", "bsd-permission"))) == []
+    assert licences.recognise(s["mit-permission"][0] + " A. B. C. D. E. " + s["mit-notice"][0]) == []
+
+
+# language
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.floats(-5, 0), min_size=3, max_size=3), min_size=1, max_size=7), st.sampled_from([0.5, 3.0, 8.0]))
+def test_viterbi_equals_enumeration(rows, switch):
+    s = np.array(rows)
+    value = lambda path: sum(s[i, p] for i, p in enumerate(path)) - switch * sum(a != b for a, b in zip(path, path[1:], strict=False))
+    best = max(value(p) for p in itertools.product(range(3), repeat=len(s)))
+    assert np.isclose(value(language.viterbi(s, switch).tolist()), best)
+    assert np.isclose(value(language.label_words(s, switch).tolist()), best)
+
+
+def test_language_held_out(spark, odd):
+    got = {r.doc_id: r for r in op9_language_viterbi(spark, SF).collect()}
+    docs = table(spark, SF, "documents").where("lang IS NOT NULL").collect()
+    right = [got[r.doc_id].lang_pred == r.lang for r in docs if got[r.doc_id].held_out]
+    print("language accuracy", np.mean(right), len(right))
+    assert np.mean(right) > 0.95
+    model = language.fit_languages(table(spark, SF, "documents"))
+    texts = {r.lang: r.text for r in docs if r.n_chars > 900}
+    mixed = texts["en"][:400] + " " + texts["de"][:400]
+    df = spark.createDataFrame([(1, mixed), (2, "λόγος"), (3, "123 !")], "doc_id long, text string")
+    found = {r.doc_id: r for r in language.identify(df, model).collect()}
+    assert [s.lang for s in found[1].spans] == ["en", "de"] and abs(found[1].spans[1].start - 401) < 40
+    assert found[3].lang_pred == "und" and found[2].lang_pred != "und"
+    got = {r.doc_id: r for r in language.identify(odd, model).collect()}
+    assert got[0].lang_pred == got[3].lang_pred == "und" and got[0].spans == [] and got[5].spans[0].end == 60000
+    assert language.identify(odd.limit(0), model).collect() == []
+    assert {r.lang_pred for r in language.identify(odd, language.fit_languages(table(spark, SF, "documents").limit(0))).collect()} == {"und"}
