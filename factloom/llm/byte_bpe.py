@@ -19,12 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.common import text_slices, texts_of
+from factloom.llm.common import MAX_REMEMBERED, in_small_batches, text_slices, texts_of
 
 #: Ranks files up to this size are broadcast; a vocabulary is a fixed parameter and does not grow with the data.
 MAX_RANKS_BYTES = 64 << 20
-#: Distinct space-delimited pieces remembered by one Python worker before its memory is emptied.
-MAX_REMEMBERED = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -228,6 +226,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def _encoder(spark: SparkSession, ranks_path: str, pattern: str, digests: bool):
+    in_small_batches(spark)
     with open(ranks_path, "rb") as f:
         data = f.read(MAX_RANKS_BYTES + 1)
     if len(data) > MAX_RANKS_BYTES:

@@ -15,6 +15,10 @@ DEFAULT_SHARED_DIR = "/tmp/factloom-shared"
 #: Sides up to this many rows of two or three numbers may be broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of an Arrow batch, and entries that one Python worker remembers of words before it starts afresh.
+ARROW_BYTES = 4 << 20
+MAX_REMEMBERED = 150_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, else a default for local runs."""
@@ -29,6 +33,11 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at a few megabytes instead of ten thousand rows: a worker holds one at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -52,7 +61,7 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of about max_bytes, one row at least, so that what a task holds as Python
     objects is bounded however long the texts are."""
     for batch in batches:

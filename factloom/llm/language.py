@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_sample, text_slices, texts_of
+from factloom.llm.common import MAX_REMEMBERED, bounded_sample, in_small_batches, text_slices, texts_of
 
 #: Documents that are learned from, at most about so many; n-grams kept of them.
 MAX_DOCUMENTS = 20_000
@@ -73,6 +73,7 @@ def _rows(found: Counter) -> pa.RecordBatch:
 def fit_languages(docs: DataFrame) -> dict:
     """Learn n-gram and script counts from a bounded sample of documents with a language; only the counts of
     MAX_GRAMS n-grams reach the driver.  Rows with a null language or text teach nothing."""
+    in_small_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     known = bounded_sample(known, "doc_id", MAX_DOCUMENTS, seed=5)
     counts = known.mapInArrow(_count, "lang string, gram string, is_script boolean, n long").groupBy("is_script", "gram", "lang").agg(F.sum("n").alias("n"))
@@ -167,6 +168,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     Empty tables give empty results; repeated rows are labelled each; other columns are not read; ties go to the
     language that sorts first.
     """
+    in_small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         words = Words(shared.value)
         for b in text_slices(batches):
             pred, score, spans = [], [], []
-            if len(words) > 500_000:
+            if len(words) > MAX_REMEMBERED:
                 words.reset()
             for text in texts_of(b):
                 found = text.split()

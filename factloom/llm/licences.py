@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import text_slices, texts_of
+from factloom.llm.common import in_small_batches, text_slices, texts_of
 
 # Known licence sentences, as public licence texts have them, under the identifiers that rules name.
 SENTENCES = {
@@ -118,6 +118,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     scanned each; other columns are not read; long texts are scanned whole.
     """
 
+    in_small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             found = [recognise(t) for t in texts_of(b)]

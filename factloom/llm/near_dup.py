@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BROADCAST_ROWS, materialise, text_slices, texts_of
+from factloom.llm.common import BROADCAST_ROWS, MAX_REMEMBERED, in_small_batches, materialise, text_slices, texts_of
 
 WORDS = 5
 #: 25 bands of 5 minima: a pair of similarity 0.85 shares no band with probability 4e-7.
@@ -37,7 +37,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > MAX_REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -187,6 +187,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nothing, have component_id null and are kept; an empty table gives an empty result.  Columns of docs other
     than doc_id and text are not read.
     """
+    in_small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(docs.mapInArrow(_sign, _SIGNATURES), "signatures")
     sig = ["s0", "s1", "s2", "s3"]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_sample, text_slices, texts_of
+from factloom.llm.common import bounded_sample, in_small_batches, text_slices, texts_of
 
 #: Labelled and unlabelled rows used for fitting, at most about so many; every other row is only scored.
 MAX_LABELLED = 20_000
@@ -134,6 +134,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rounds: int = 4) -> dict:
 
     Rows without a label 0 or 1 are no labels; of repeated labels of a document the larger counts.
     """
+    in_small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
     known = bounded_sample(known, "doc_id", MAX_LABELLED, seed=11)
     cols = ["doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")]
@@ -153,6 +154,7 @@ def score_quality(docs: DataFrame, model: dict, name: str = "quality_score") ->
     A null text counts as empty, null metadata as values of their own; an empty table gives an empty result;
     repeated rows are scored each; a column of docs that is called like the score is replaced.
     """
+    in_small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

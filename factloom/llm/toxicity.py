@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_sample, materialise, text_slices, texts_of
+from factloom.llm.common import MAX_REMEMBERED, bounded_sample, in_small_batches, materialise, text_slices, texts_of
 from factloom.llm.quality import logistic
 
 #: Documents that are learned from, at most about so many of either class, and sentences used for fitting.
@@ -237,7 +237,7 @@ def _features_of(shared):
         for b in text_slices(batches):
             odds, sizes = document_marginals(texts_of(b), tokens, shared.value["trans"])
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")).cast(pa.int32()), pa.array(list(document_features(odds, sizes)), pa.list_(pa.float64()))], names=["y", "x"])
-            if len(tokens) > 500_000:
+            if len(tokens) > MAX_REMEMBERED:
                 tokens.reset()
 
     return run
@@ -252,6 +252,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> dict:
     label 0 or 1 are no labels; of repeated labels of a document the larger counts.
     """
     spark = docs.sparkSession
+    in_small_batches(spark)
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     size = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = bounded_sample(known.where("y = 1"), "doc_id", MAX_TOXIC, size.get(1, 0), 3).unionByName(bounded_sample(known.where("y = 0"), "doc_id", MAX_CLEAN, size.get(0, 0), 3))
@@ -287,6 +288,7 @@ def tag_toxicity(docs: DataFrame, model: dict) -> DataFrame:
     score of a text without any toxic token; empty tables give empty results; repeated rows are scored each;
     other columns are not read; long texts are cut into sentences and scored whole.
     """
+    in_small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +310,7 @@ def tag_toxicity(docs: DataFrame, model: dict) -> DataFrame:
                     else:
                         spans[doc].append({"start": places[i][0], "end": places[i][1], "p": p})
                     last = i
-            if len(tokens) > 500_000:
+            if len(tokens) > MAX_REMEMBERED:
                 tokens.reset()
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], names=["doc_id", "score", "spans"])
 

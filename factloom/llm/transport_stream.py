@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import text_slices, texts_of
+from factloom.llm.common import in_small_batches, text_slices, texts_of
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID = 188, 0x47, 0
@@ -220,6 +220,8 @@ def media_digests(docs: DataFrame) -> DataFrame:
     empty; equal texts have equal values; repeated rows are handled each; an empty table gives an empty result.
     """
 
+    in_small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             out = []
