@@ -25,6 +25,8 @@ MINIMA, BITS = 128, 2
 MARGIN = 0.17
 #: Parts over which the members that are compared with one document are dealt.
 PARTS = 16
+#: Members of a band that are compared with each other in one task.
+BLOCK = 256
 
 _RNG = np.random.default_rng(20240607)
 _MUL = (_RNG.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -174,13 +176,103 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def links_across(docs: DataFrame, classes: DataFrame, banded: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components in bands that hold several.
+
+    Each such band is dealt into blocks of about BLOCK members, and each pair of blocks is compared in a task of
+    its own that holds those two blocks only.  A pair of documents counts in the first band that it shares; of
+    the links found only those that join two components are returned.
+    """
+    placed = materialise(banded.select("band", "at", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("x <> y").select("band", "blocks")
+    members = materialise(placed.join(mixed, "band"), "mixed")
+    if members.isEmpty():
+        return labels.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    ids = materialise(members.select("rep").distinct(), "mixed-ids")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    if ids.count() <= BROADCAST_ROWS:
+        texts, classes = texts.join(F.broadcast(ids), "rep", "left_semi"), classes.join(F.broadcast(ids), "rep", "left_semi")
+    texts = texts.join(classes.select("rep", "bands"), "rep")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = members.select("band", "at", "rep", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", "at", "rep", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows = dealt.join(texts, "rep").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep")
+    return materialise(rows.mapInArrow(_compare_blocks(percent), "a long, b long").distinct(), "near-links")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of left with all of right, by products of membership matrices over
+    the values that both sides have."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(x, y)
+    rows = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (left, right)]
+    at = [np.searchsorted(common, v) for v in (x, y)]
+    found = [np.flatnonzero(common[np.minimum(p, len(common) - 1)] == v) if len(common) else np.zeros(0, int) for p, v in zip(at, (x, y), strict=True)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(common), 8192):
+        m = []
+        for k, s in enumerate((left, right)):
+            keep = found[k][(at[k][found[k]] >= start) & (at[k][found[k]] < start + 8192)]
+            one = np.zeros((len(s), min(8192, len(common) - start)), np.float32)
+            one[rows[k][keep], at[k][keep] - start] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _compare_blocks(percent: int):
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        at, lo, hi = group[0][1], group[0][5], group[0][6]
+        left, right = [g for g in group if g[4] == lo], [g for g in group if g[4] == hi]
+        if not left or not right:
+            return []
+        sets = [[shingles(g[7] or "") for g in side] for side in (left, right)]
+        both = _shared(*sets)
+        size = [np.array([len(s) for s in side]) for side in sets]
+        linked = 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
+        linked &= np.array([g[3] for g in left])[:, None] != np.array([g[3] for g in right])[None, :]
+        bands = [np.array([g[8] for g in side]) for side in (left, right)]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            if left[i][2] == right[j][2] or np.argmax(bands[0][i] == bands[1][j]) != at:
+                continue
+            x, y = find(left[i][3]), find(right[j][3])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((left[i][2], right[j][2]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for b in text_slices(batches):
+            found: list[tuple[int, int]] = []
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("band", "at", "rep", "component", "block", "lo", "hi", "text", "bands")), strict=True):
+                if group and (row[0], row[5], row[6]) != (group[0][0], group[0][5], group[0][6]):
+                    found += compare(group)
+                    group = []
+                group.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        if group and (found := compare(group)):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= percent * union, and find what they reach.
 
     Documents of equal sets are one class with the smallest doc_id as its representative.  Representatives that
     share a band are compared with the band's smallest member first; bands whose members are not all in one
-    component after that are gone through again, comparing only members of different components.  So every
-    candidate pair is compared or known to be connected already, and a group of n copies costs about n pairs.
+    component after that are gone through again block by block.  So every candidate pair is compared or known to
+    be connected already, and a group of n copies leads to about n rows.
 
     Returns for every row: doc_id, n_shingles, component_id, kept.  A null text counts as empty; empty texts are
     linked with nothing; rows that share a doc_id count as one document; rows with a null doc_id are linked with
@@ -195,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = usable.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in (*sig, "bands")])
     # documents that share a doc_id but not a set are linked without a comparison
     same = usable.groupBy("set_hi", "set_lo", "doc_id").agg(F.lit(1).alias("one")).join(usable.groupBy("doc_id").agg(F.count_distinct("set_hi", "set_lo").alias("n")).where("n > 1"), "doc_id", "left_semi")
-    banded = classes.select("rep", *sig, F.explode("bands").alias("band"))
+    banded = classes.select("rep", *sig, F.posexplode("bands").alias("at", "band"))
     banded = materialise(banded, "bands")
     leads = banded.groupBy("band").agg(F.min(F.struct("rep", *sig)).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     least = percent / 100 - MARGIN
@@ -205,16 +297,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     twins = materialise(same.join(classes.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "twins")
     links = links.unionByName(twins)
     labels = components(links)
-    # bands that still hold several components
-    placed = banded.join(leads.select("band"), "band", "left_semi").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    placed = placed.join(mixed, "band", "left_semi")
-    other = placed.select(F.col("band").alias("band_2"), F.col("rep").alias("rep_2"), F.col("component").alias("component_2"), *[F.col(c).alias(f"{c}_2") for c in sig])
-    more = placed.join(other, (F.col("band") == F.col("band_2")) & (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & (estimate(own, [F.col(f"{c}_2") for c in sig]) >= least))
-    more = more.select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
-    tried = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
-    extra = confirmed_links(docs, more.join(tried, ["a", "b"], "left_anti"), percent)
+    extra = links_across(docs, classes, banded.join(leads.select("band"), "band", "left_semi"), labels, percent)
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
     reached = classes.select("set_hi", "set_lo", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("_component"))
