@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import MAX_REMEMBERED, bounded_sample, in_small_batches, text_slices, texts_of
+from factloom.llm.common import MAX_REMEMBERED, in_small_batches, text_slices, texts_of
 
-#: Documents that are learned from, at most about so many; n-grams kept of them.
-MAX_DOCUMENTS = 20_000
+#: Documents of each language that are learned from, at most about so many; languages and n-grams kept of them.
+MAX_DOCUMENTS = 3_000
+MAX_LANGUAGES = 200
 MAX_GRAMS = 100_000
 #: What a switch of language costs, and the most that one word can count for or against a language.
 SWITCH, WORD_CAP = 8.0, 5.0
@@ -36,47 +37,67 @@ SCRIPTS = [
     (0xFB50, "Arabic"), (0xFE00, "other"), (0xFF21, "Latin"), (0xFF66, "Kana"), (0xFFA0, "other"), (0x20000, "Han"),
 ]
 _STARTS = [s for s, _ in SCRIPTS]
-_LETTERS = re.compile(r"[^\W\d_]+")
+_SCRIPT_ROWS = {name: k for k, (_, name) in reversed(list(enumerate(SCRIPTS)))}
 
 
-def script(letter: str) -> str:
-    return SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]
+def script(letter: str) -> int:
+    """The row of SCRIPTS whose script a letter is of: the first row with that script's name."""
+    return _SCRIPT_ROWS[SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]]
 
 
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+class Runs:
+    """Runs of letters in lower case of many tokens at once, and the n-grams of one to three characters of each run
+    with a space on either side.
 
+    keys, run_of: a number for every n-gram and the run that it stands in; token_of, script_of: of every run the
+    token and script; letters: of every token.
+    """
 
-def _letters(text: str) -> list[str]:
-    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha()]
+    def __init__(self, tokens: list[str]):
+        codes = np.frombuffer(("\n" + "\n".join(tokens) + "\n").lower().encode("utf-32-le"), np.uint32).astype(np.int64)
+        known, place = np.unique(codes, return_inverse=True)
+        chars = [chr(c) for c in known.tolist()]
+        letter = np.array([c.isalpha() for c in chars])[place]
+        token = np.cumsum(codes == 10) - 1
+        codes = np.where(letter, codes, 32)
+        begins = letter.copy()
+        begins[1:] &= ~letter[:-1]
+        run = np.cumsum(begins) - 1
+        self.token_of = token[begins]
+        self.script_of = np.array([script(c) if c.isalpha() else -1 for c in chars])[place[begins]]
+        self.letters = np.bincount(token[letter], minlength=len(tokens))[: len(tokens)]
+        one = np.flatnonzero(letter)
+        two = np.flatnonzero(letter[:-1] | letter[1:])
+        self.keys = np.concatenate([codes[one], codes[two] | codes[two + 1] << 21, codes[one - 1] | codes[one] << 21 | codes[one + 1] << 42])
+        self.run_of = np.concatenate([run[one], run[np.where(letter[two], two, two + 1)], run[one]])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
+    """For each language the n-grams and scripts of its words, with their numbers."""
     for b in text_slices(batches):
+        found: dict[str, Counter] = {}
         for lang, text in zip(b.column(b.schema.get_field_index("lang")).to_pylist(), texts_of(b), strict=True):
-            for word, n in Counter(_letters(text)).items():
-                for g in grams(word):
-                    found[lang, g, False] += n
-                found[lang, script(word[0]), True] += n * len(word)
-        if len(found) > 500_000:
-            yield _rows(found)
-            found.clear()
-    yield _rows(found)
-
-
-def _rows(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array([k[2] for k in found], pa.bool_()), pa.array(list(found.values()), pa.int64())], names=["lang", "gram", "is_script", "n"])
+            found.setdefault(lang, Counter()).update(text.split())
+        for lang, words in found.items():
+            if not words:
+                continue
+            runs, times = Runs(list(words)), np.array(list(words.values()))
+            keys, at = np.unique(runs.keys, return_inverse=True)
+            n = np.bincount(at, weights=times[runs.token_of[runs.run_of]], minlength=len(keys))
+            own = np.bincount(runs.script_of, weights=(runs.letters * times)[runs.token_of], minlength=len(SCRIPTS)) if len(runs.script_of) else np.zeros(len(SCRIPTS))
+            scripts = np.flatnonzero(own)
+            size = len(keys) + len(scripts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.concatenate([keys, scripts]), pa.int64()), pa.array(np.arange(size) >= len(keys)), pa.array(np.concatenate([n, own[scripts]]).astype(np.int64))], names=["lang", "gram", "is_script", "n"])
 
 
 def fit_languages(docs: DataFrame) -> dict:
-    """Learn n-gram and script counts from a bounded sample of documents with a language; only the counts of
+    """Learn n-gram and script counts from a bounded sample of each language's documents; only the counts of
     MAX_GRAMS n-grams reach the driver.  Rows with a null language or text teach nothing."""
     in_small_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    known = bounded_sample(known, "doc_id", MAX_DOCUMENTS, seed=5)
-    counts = known.mapInArrow(_count, "lang string, gram string, is_script boolean, n long").groupBy("is_script", "gram", "lang").agg(F.sum("n").alias("n"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(MAX_LANGUAGES)
+    known = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) * F.col("_n") < F.lit(1_000_000 * MAX_DOCUMENTS)).select("text", "lang")
+    counts = known.mapInArrow(_count, "lang string, gram long, is_script boolean, n long").groupBy("is_script", "gram", "lang").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("is_script", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     scripts = counts.where("is_script").collect()
     rows = counts.where("NOT is_script AND all >= 3").orderBy(F.col("all").desc(), "gram").limit(MAX_GRAMS).collect()
@@ -86,13 +107,13 @@ def fit_languages(docs: DataFrame) -> dict:
     letters = Counter()
     for r in scripts:
         letters.update(r["by"])
-    uses = {r["gram"]: [r["by"].get(x, 0) >= SCRIPT_SHARE * letters[x] for x in langs] for r in scripts}
+    uses = np.zeros((len(SCRIPTS), len(langs)), bool)
+    for r in scripts:
+        uses[r["gram"]] = [r["by"].get(x, 0) >= SCRIPT_SHARE * letters[x] for x in langs]
+    rows.sort(key=lambda r: r["gram"])
     n = np.array([[r["by"].get(x, 0) for x in langs] for r in rows], float).reshape(len(rows), len(langs))
-    total = n.sum(axis=0)
-    logs = np.log((n + 0.5) / (total + 0.5 * (len(rows) + 1)))
-    unseen = np.log(0.5 / (total + 0.5 * (len(rows) + 1)))
-    table = np.vstack([logs, unseen]) if len(rows) else unseen[None]
-    return {"langs": langs, "grams": {r["gram"]: i for i, r in enumerate(rows)}, "table": table.astype(np.float32), "uses": uses, "common": int(np.argmax([letters[x] for x in langs]))}
+    table = np.log((np.vstack([n, np.zeros(len(langs))]) + 0.5) / (n.sum(axis=0) + 0.5 * (len(rows) + 1)))
+    return {"langs": langs, "grams": np.array([r["gram"] for r in rows], np.int64), "table": table, "uses": uses}
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
@@ -117,14 +138,18 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 
 
 def label_words(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Viterbi labels.  Where no run of words favours any language over the best one by more than half of the
-    penalty, no path with a switch can win, and the best language is the answer at once."""
+    """Viterbi labels, by a shortcut where it is certain.
+
+    Measured against the language of the highest total: if no run of words gains more than the penalty in any
+    other language, and the best beginning and the best end together don't either, every path with switches
+    loses at least what it gains, and that language is the answer at once.
+    """
     total = scores.sum(axis=0)
     best = int(np.argmax(total))
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    low = np.vstack([np.zeros((1, scores.shape[1]), scores.dtype), low[:-1]])
-    if (gain - low).max() <= switch / 2:
+    low = np.vstack([np.zeros((1, scores.shape[1])), low[:-1]])
+    if (gain - low).max() <= switch and max(0.0, gain.max()) + max(0.0, (gain[-1] - np.minimum(gain.min(axis=0), 0)).max()) <= switch:
         return np.full(len(scores), best)
     return viterbi(scores, switch)
 
@@ -138,25 +163,27 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.scores = np.zeros((1024, len(self.model["langs"])), np.float32)
-        self.letters = np.zeros(1024, np.int32)
-
-    def __missing__(self, word: str) -> int:
+        self.scores, self.letters = np.zeros((0, len(self.model["langs"]))), np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Score words that are not known yet, all of them at once."""
+        words = [w for w in dict.fromkeys(words) if w not in self]
+        if not words:
+            return
+        runs, grams, table = Runs(words), self.model["grams"], self.model["table"]
+        n, langs = len(runs.token_of), range(len(self.model["langs"]))
+        row = np.minimum(np.searchsorted(grams, runs.keys), max(0, len(grams) - 1))
+        row = np.where(grams[row] == runs.keys, row, len(grams)) if len(grams) else np.zeros(len(runs.keys), np.int64)
+        s = np.stack([np.bincount(runs.run_of, weights=table[row, k], minlength=n) for k in langs], axis=1)
+        allowed = self.model["uses"][runs.script_of]
+        told = allowed.any(axis=1)  # a script that no known language uses tells nothing
+        s = np.where(allowed, s, -np.inf)
+        s[~told] = 0
+        s = np.maximum(s - s.max(axis=1, keepdims=True), -WORD_CAP)
+        scores = np.stack([np.bincount(runs.token_of, weights=s[:, k], minlength=len(words)) for k in langs], axis=1)
         at = len(self)
-        if at == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        for part in _letters(word):
-            self.letters[at] += len(part)
-            allowed = self.model["uses"].get(script(part[0]))
-            if allowed is None or not any(allowed):
-                continue  # a script that no known language uses tells nothing
-            known, unseen = self.model["grams"], len(self.model["table"]) - 1
-            s = self.model["table"][[known.get(g, unseen) for g in grams(part)]].sum(axis=0)
-            s = np.where(allowed, s, -np.inf)
-            self.scores[at] += np.maximum(s - s.max(), -WORD_CAP)
-        self[word] = at
-        return at
+        self.update(zip(words, range(at, at + len(words)), strict=True))
+        self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, runs.letters])
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -178,8 +205,11 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             pred, score, spans = [], [], []
             if len(words) > MAX_REMEMBERED:
                 words.reset()
-            for text in texts_of(b):
-                found = text.split()
+            texts = texts_of(b)
+            split = [t.split() for t in texts]
+            if langs:
+                words.learn([w for found in split for w in found])
+            for text, found in zip(texts, split, strict=True):
                 ids = np.fromiter(map(words.__getitem__, found), np.int64, len(found)) if langs else np.zeros(0, np.int64)
                 used = np.flatnonzero(words.letters[ids] > 0) if len(ids) else ids
                 if not len(used):
@@ -187,7 +217,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                     score.append(0.0)
                     spans.append([])
                     continue
-                s = words.scores[ids[used]].astype(float)
+                s = words.scores[ids[used]]
                 path = label_words(s)
                 share = np.bincount(path, weights=words.letters[ids[used]], minlength=len(langs))
                 top = int(np.argmax(share))
