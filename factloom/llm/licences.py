@@ -77,16 +77,41 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def known_sentences(text: str) -> list[tuple[int, str, int, int]]:
+    """Number, identifier and offsets of the known sentences of a text.
+
+    A sentence may also begin or end with a line: where a whole one is unknown, its runs of whole lines are tried,
+    each as long as a known sentence can be.
+    """
+    out = []
+    for k, (x, y) in enumerate(sentences(text)):
+        low = text[x:y].lower()
+        if not any(a in low for a in ANCHORS):
+            continue
+        if not (name := KNOWN.get(normalise(low))):
+            edges = [x, *(x + m.end() for m in re.finditer("\n", text[x:y])), y]
+            for i, start in enumerate(edges[:-1]):
+                for end in edges[i + 1 :]:
+                    words = normalise(text[start:end])
+                    if name := KNOWN.get(words):
+                        x, y = start, end
+                        break
+                    if words.count(" ") >= _LONGEST:
+                        break
+                if name:
+                    break
+        if name:
+            found = text[x:y]
+            out.append((k, name, x + len(found) - len(found.lstrip()), x + len(found.rstrip())))
+    return out
+
+
 def recognise(text: str) -> list[dict]:
     """Licences in a text: sentences to identifiers, then identifiers to rules."""
     low = text.lower()
     if not any(a in low for a in ANCHORS):
         return []
-    ids: list[tuple[int, str, int, int]] = []
-    for k, (x, y) in enumerate(sentences(text)):
-        s = text[x:y]
-        if len(s) < 20_000 and (name := KNOWN.get(normalise(s))):
-            ids.append((k, name, x + len(s) - len(s.lstrip()), y))
+    ids = known_sentences(text)
     out, at = [], 0
     while at < len(ids):
         for licence, rule, order in RULES:
