@@ -160,17 +160,19 @@ def history_search(spark, sf_dir):
 
 
 def idempotent_append(spark, sf_dir):
-    """Newest first and at most 500 entries, after adding those whose id is new."""
+    """Newest first and at most 500 entries, after adding those orders whose id the finished ones lack."""
     o = table(spark, sf_dir, "orders")
-    have, add = o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 2 = 0")
+    have, add = o.where("o_orderstatus = 'F'"), o
     both = have.unionByName(add.join(have.select("o_orderkey"), "o_orderkey", "left_anti"))
     return both.orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(500).select("o_orderkey", "o_custkey")
 
 
 def upsert_templates(spark, sf_dir):
-    """Full outer merge on the key; a new row's value wins where it has one."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("k"))
-    old, new = o.where("o_custkey % 3 <> 0").withColumnRenamed("k", "old_k"), o.where("o_custkey % 2 = 0").select("o_custkey", F.when(F.col("k") % 5 != 0, F.col("k")).alias("new_k"))
+    """Full outer merge of finished and other orders on the customer; a new row's value wins where it has one:
+    the last order of a price of 100000 or more."""
+    o = table(spark, sf_dir, "orders")
+    old = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max("o_orderkey").alias("old_k"))
+    new = o.where("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.max(F.when(F.col("o_totalprice") >= 100000, F.col("o_orderkey"))).alias("new_k"))
     return old.join(new, "o_custkey", "full").select("o_custkey", F.coalesce("new_k", "old_k").alias("k"), F.col("old_k").isNull().alias("is_new"))
 
 
@@ -215,7 +217,7 @@ def matched_signatures(spark, sf_dir):
 
 def per_source_full_outer(spark, sf_dir):
     f = facts(spark, sf_dir)
-    a, b = (f.where(F.col("doc_id") % 3 == k).groupBy("source", "lang").agg(F.count(F.lit(1)).alias(c)) for k, c in ((0, "before"), (1, "after")))
+    a, b = (f.where(F.col("doc_id") % 2 == k).groupBy("source", "lang").agg(F.count(F.lit(1)).alias(c)) for k, c in ((0, "before"), (1, "after")))
     return a.join(b, ["source", "lang"], "full").select("source", "lang", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
 
 
@@ -308,15 +310,15 @@ SQL = {
     "score_facts_topk": f"WITH {_FACTS}, q AS (SELECT item_id, unnest(list_distinct({_TOK.format('text', 5)})) AS t FROM benchmark), f AS (SELECT doc_id, pos, unnest(list_distinct({_TOK.format('fact', 5)})) AS t FROM facts), s AS (SELECT item_id, doc_id, pos, 2 * count(*) AS score FROM q JOIN f USING (t) GROUP BY 1, 2, 3) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, pos) AS rn FROM s) WHERE rn <= 3",
     "prompt_trim": f"WITH c AS (SELECT conv_id, CAST(CASE role WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS BIGINT) AS trim_order, sum(length(text)) AS n FROM conversations GROUP BY 1, 2), d AS (SELECT conv_id, trim_order, CAST(least(n, CASE trim_order WHEN 1 THEN 600 WHEN 2 THEN 800 ELSE 400 END) AS BIGINT) AS chars FROM c) SELECT conv_id, trim_order, chars, CAST(least(chars, greatest(0, greatest(sum(chars) OVER (PARTITION BY conv_id) - {PROMPT_CHARS}, 0) - coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY trim_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS trimmed FROM d",
     "history_search": "SELECT conv_id, count_if(contains(lower(text), 'ing')) AS visible, count(*) AS total FROM conversations GROUP BY 1",
-    "idempotent_append": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 500",
-    "upsert_templates": "WITH o AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY 1), x AS (SELECT o_custkey, k AS old_k FROM o WHERE o_custkey % 3 <> 0), y AS (SELECT o_custkey, CASE WHEN k % 5 <> 0 THEN k END AS new_k FROM o WHERE o_custkey % 2 = 0) SELECT o_custkey, coalesce(new_k, old_k) AS k, old_k IS NULL AS is_new FROM x FULL JOIN y USING (o_custkey)",
+    "idempotent_append": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500",
+    "upsert_templates": "WITH x AS (SELECT o_custkey, max(o_orderkey) AS old_k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), y AS (SELECT o_custkey, max(CASE WHEN o_totalprice >= 100000 THEN o_orderkey END) AS new_k FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) SELECT o_custkey, coalesce(new_k, old_k) AS k, old_k IS NULL AS is_new FROM x FULL JOIN y USING (o_custkey)",
     "split_rates": "SELECT lang, count(*) AS n, count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic, count_if(quality = 1 AND toxic = 0) AS kept, count_if(n_chars >= 2000) AS long FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "bucket_rates": "SELECT CASE WHEN n_chars < 500 THEN 'low' WHEN n_chars < 2000 THEN 'mid' ELSE 'high' END AS bucket, count(*) AS n, count_if(quality = 0) AS dropped FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "survival_matrix": "SELECT lang, count_if(quality = 0) AS dropped, count_if(quality = 1) AS kept FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "chunk_cohesion": f"WITH {_FACTS}, t AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct({_TOK.format('fact', 4)})) AS t FROM facts) GROUP BY 1, 2) SELECT doc_id, count(*) AS n_tokens, arg_min(t, (-n, t)) AS top, max(n) AS top_n FROM t GROUP BY 1",
     "missing_added": f"WITH {_RUNS} SELECT key, 'missing' AS side FROM a ANTI JOIN b USING (key) UNION ALL SELECT key, 'added' FROM b ANTI JOIN a USING (key)",
     "matched_signatures": f"WITH {_RUNS} SELECT key, a.doc_id, b.doc_id AS doc_b, a.n, b.n AS n_b FROM a JOIN b USING (key)",
-    "per_source_full_outer": f"WITH {_FACTS} SELECT source, lang, count_if(doc_id % 3 = 0) AS before, count_if(doc_id % 3 = 1) AS after FROM facts WHERE doc_id % 3 < 2 GROUP BY 1, 2",
+    "per_source_full_outer": f"WITH {_FACTS} SELECT source, lang, count_if(doc_id % 2 = 0) AS before, count_if(doc_id % 2 = 1) AS after FROM facts GROUP BY 1, 2",
     "snapshot_diff": "WITH m AS (SELECT doc_id % 2 AS run, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY 1, 2), u AS (SELECT run, 'metrics.' || lang || '.' || metric AS metric, v FROM m UNPIVOT (v FOR metric IN (docs, chars, longest))), j AS (SELECT a.metric, a.v AS before, b.v AS after, b.v - a.v AS delta FROM u a JOIN u b ON a.metric = b.metric AND a.run = 0 AND b.run = 1) SELECT *, CASE WHEN abs(delta) >= 1000 THEN 'break' WHEN abs(delta) >= 100 THEN 'regression' WHEN abs(delta) >= 10 THEN 'notable' WHEN abs(delta) >= 1 THEN 'minor' ELSE 'stable' END AS level FROM j",
     "cosine_to_first": "WITH f AS (SELECT label, min(vec_id) AS lead_id, arg_min(embedding, vec_id) AS lead FROM embeddings GROUP BY 1) SELECT vec_id, lead_id, list_cosine_similarity(embedding::DOUBLE[], lead::DOUBLE[]) >= 0.5 AS alike FROM embeddings JOIN f USING (label) WHERE vec_id <> lead_id",
     "page_links": """WITH p AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>[^<]*</a>', 1) AS u, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>([^<]*)</a>', 1) AS t FROM pages), l AS (SELECT page_id, unnest(u) AS url, unnest(t) AS text, unnest(range(len(u))) AS pos FROM p) SELECT page_id, url, arg_min(text, pos) AS text, count(*) AS n FROM l WHERE NOT regexp_matches(url, '^(#|javascript:|mailto:)') GROUP BY 1, 2""",
