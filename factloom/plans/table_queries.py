@@ -276,11 +276,16 @@ def page_sections(spark, sf_dir):
     return s.select("page_id", F.col("section").cast("bigint").alias("section"), "depth", "heading", F.array_join(path, " > ").alias("section_path"), X.estimate_tokens("text").alias("token_estimate"))
 
 
-def document_chunks(spark, sf_dir):
-    """Sentences packed greedily into chunks of at most 500 tokens."""
+def packed_documents(spark, sf_dir):
+    """doc_id and token counts of chunks: sentences packed greedily up to 500 tokens."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "(?<=[.!?])\\s+").alias("s"))
     acc = F.aggregate(F.transform("s", lambda x: X.estimate_tokens(x)), F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("open")), lambda a, n: F.when((a["open"] > 0) & (a["open"] + n > 500), F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), n.alias("open"))).otherwise(F.struct(a["done"].alias("done"), (a["open"] + n).alias("open"))))
-    return d.select("doc_id", acc.alias("a")).select("doc_id", F.posexplode(F.concat("a.done", F.array("a.open"))).alias("chunk", "tokens")).select("doc_id", (F.col("chunk") + 1).cast("bigint").alias("chunk_id"), "tokens")
+    return d.select("doc_id", acc.alias("a")).select("doc_id", F.concat("a.done", F.array("a.open")).alias("chunks"))
+
+
+def document_chunks(spark, sf_dir):
+    """Sentences packed greedily into chunks of at most 500 tokens."""
+    return packed_documents(spark, sf_dir).select("doc_id", F.posexplode("chunks").alias("chunk", "tokens")).select("doc_id", (F.col("chunk") + 1).cast("bigint").alias("chunk_id"), "tokens")
 
 
 QUERIES = {f.__name__: f for f in (throttle_gaps, usage_counters, stream_usage, hot_score, ring_last_n, frame_windows, latency_p95_split, intent_breakdown, budget_summary, context_state, positional_pairs, freshest_before, tier_lookup, alias_lookup, prefix_map, registry_match, classify_intent, score_facts_topk, prompt_trim, history_search, idempotent_append, upsert_templates, split_rates, bucket_rates, survival_matrix, chunk_cohesion, missing_added, matched_signatures, per_source_full_outer, snapshot_diff, equivalence_best_match, leader_clusters, cosine_to_first, page_links, page_sections, document_chunks)}
