@@ -57,6 +57,7 @@ class ByteBPE:
         self.fits.clear()  # answers given while the table was growing may lack later merges
         self.packed = {rank: rank.to_bytes(4, "little") for rank in self.token_bytes}
         self.remembered: dict[str, bytes] = {}  # parts, as they stand after a space
+        self.older: dict[str, bytes] = {}  # parts, as they stand after a space
         self.remembered_pieces: dict[str, bytes] = {}
 
     def _longest_proper_prefix(self, token: bytes) -> int | None:
@@ -145,24 +146,39 @@ class ByteBPE:
             at = end
             _, token = next(longest_matches(text[at : at + reach]))
 
+    def _packed(self, piece: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.encode_piece(piece.encode("utf-8"))))
+
     def _piece(self, piece: str) -> bytes:
         """Packed ids of one match of the pattern, remembered."""
         out = self.remembered_pieces.get(piece)
         if out is None:
-            out = b"".join(map(self.packed.__getitem__, self.encode_piece(piece.encode("utf-8"))))
+            out = self._packed(piece)
             if len(piece) <= 64:
                 self.remembered_pieces[piece] = out
         return out
 
+    def _word(self, word: str) -> bytes:
+        """Packed ids of letters after a space, remembered as the part that they are alone."""
+        out = self.remembered.get(word)
+        if out is None:
+            out = self.older.get(word)
+            if out is None:
+                out = self._packed(" " + word)
+            if len(word) <= 64:
+                self.remembered[word] = out
+        return out
+
     def _part(self, part: str) -> bytes:
         """Packed ids of a part of a text."""
-        word = part[1:] if part[:1] == " " else part
+        spaced = part[:1] == " "
+        word = part[1:] if spaced else part
         if word.isalpha():
-            return self._piece(part)
+            return self._word(word) if spaced else self._piece(part)
         stem = word.rstrip(_MARKS)
         if stem.isalpha():  # letters and then marks: two matches
             cut = len(part) - len(word) + len(stem)
-            return self._piece(part[:cut]) + self._piece(part[cut:])
+            return (self._word(stem) if spaced else self._piece(stem)) + self._piece(part[cut:])
         return b"".join(map(self._piece, self.pieces.findall(part)))
 
     def encode(self, text: str) -> bytes:
@@ -173,19 +189,21 @@ class ByteBPE:
         """
         if not text:
             return b""
-        known, out = self.remembered, []
+        known, older, out = self.remembered, self.older, []
         for part in text.split(" "):
             ids = known.get(part)
             if ids is None:
                 if not part or part[0].isspace() or part[-1].isspace():
                     out = [self._part(x if k == 0 else " " + x) for k, x in enumerate(_LONE_SPACE.split(text))]
                     break
-                ids = self._part(" " + part)
+                ids = older.get(part)
+                if ids is None:
+                    ids = self._part(" " + part)
                 if len(part) <= 64:
                     known[part] = ids
             out.append(ids if out else self._part(part))
-        if len(known) + len(self.remembered_pieces) > MAX_REMEMBERED:
-            known.clear()
+        if len(known) + len(self.remembered_pieces) > MAX_REMEMBERED // 2:
+            self.older, self.remembered = known, {}  # what is still in use comes back from the older half
             self.remembered_pieces.clear()
         if len(self.fits) > MAX_REMEMBERED:
             self.fits.clear()
