@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; of rows that share a doc_id all stay
     or none.  Edge cases are those of near_duplicates."""
-    dropped = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
     dropped = materialise(dropped, "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
