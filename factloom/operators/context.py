@@ -30,17 +30,26 @@ def step(state: tuple, name: str | None, at: float) -> tuple:
 
 
 def context_states(events: DataFrame) -> DataFrame:
-    """user_id, event_id, context after each event; events of a user are folded in order of (ts, event_id)."""
+    """user_id, event_id, context after each event; events of a user are folded in order of (ts, event_id).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        state, out = START, []
-        for name, at in zip(pdf["name"], pdf["ts"].astype("int64") / 1e9, strict=True):
-            state = step(state, None if pd.isna(name) else name, at)
-            out.append(state[0])
-        return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "context": pd.Series(out, index=pdf.index, dtype="object")})
+    Sorted rows stream through the fold with one state at hand, so a task's memory does not grow with a user's
+    events.  A null user is a user; an event without a time comes first.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = START, START  # no user is called START
+        for pdf in batches:
+            out = []
+            for who, name, at in zip(pdf["user_id"], pdf["name"], pdf["at"], strict=True):
+                who = None if pd.isna(who) else who
+                if who != user:
+                    user, state = who, START
+                state = step(state, None if pd.isna(name) else name, 0.0 if pd.isna(at) else at)
+                out.append(state[0])
+            yield pd.DataFrame({"user_id": pdf["user_id"].astype("Int64"), "event_id": pdf["event_id"], "context": pd.Series(out, index=pdf.index, dtype="object")})
 
-    return events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "name").groupBy("user_id").applyInPandas(run, "user_id long, event_id long, context string")
+    rows = events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "name")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, "user_id long, event_id long, context string")
 
 
 def context_stream(events: DataFrame) -> DataFrame:

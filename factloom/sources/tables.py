@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder that spark.checkpoint.dir names (a default in tests), read back:
+    a round of an iteration then depends on that table and on nothing before it."""
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/factloom-shared"
+    path = f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate facts: the sentences of documents in their order.  It stands for extraction by a remote model."""
     docs = table(spark, sf_dir, "documents")
