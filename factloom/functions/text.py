@@ -45,8 +45,8 @@ def token_set(x: STR, least: int = 3) -> Column:
 
 
 def estimate_tokens(x: STR) -> Column:
-    """A fourth of the code points, rounded up; nothing for an empty text."""
-    n = F.length(_c(x))
+    """A fourth of the code points, rounded up; nothing for an empty or null text."""
+    n = F.coalesce(F.length(_c(x)), F.lit(0))
     return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(n / 4))).cast("bigint")
 
 

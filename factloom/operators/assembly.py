@@ -29,6 +29,16 @@ def merge_cheapest(sizes: Column, most: int = 10, cap: int = 1500) -> Column:
     return F.when(sizes.isNotNull(), F.aggregate(rounds, sizes, step))
 
 
+def merge_tiny(sizes: Column, least: int = 120) -> Column:
+    """A chunk of fewer than `least` tokens goes to the one before, where that is as small.  Null stays null."""
+    def step(a: Column, n: Column) -> Column:
+        last = F.get(a, F.size(a) - 1)
+        joined = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(last + n))
+        return F.when(F.size(a) == 0, F.array(n)).when((n < least) & (last < least), joined).otherwise(F.concat(a, F.array(n)))
+
+    return F.when(sizes.isNotNull(), F.aggregate(sizes, F.array().cast("array<bigint>"), step))
+
+
 def link_score(text: Column, signals: dict[str, Column]) -> Column:
     """Hundredths, 100 at most: shared signal sets, long texts, several tokens, and the share of tokens in any set."""
     t = X.token_set(text)

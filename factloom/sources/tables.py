@@ -46,7 +46,7 @@ def markup_text(html: str | Column) -> Column:
     out = F.regexp_replace(out, "(?is)<(script|style)[^>]*>.*?</\\1>", "")
     out = F.regexp_replace(out, "(?i)<(br|/?p|/?li|/?div|/?tr|/?ul|/?ol)[^>]*>", "\n")
     out = X.decode_entities(F.regexp_replace(out, "<[^>]+>", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "(?i)\\[(edit|hide|show)\\]", ""), "\n\\s*\n+", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "(?i)\\[(edit|hide|show)\\]", ""), "\n\\s*\n+", "\n\n"), "^\\s+|\\s+$", "")
 
 
 def within_size(pages: DataFrame, cap: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
