@@ -51,6 +51,16 @@ def _step_sql() -> str:
     return f"WITH {_FACTS}, kept AS (SELECT * FROM facts WHERE {_REASON} IS NULL) " + " UNION ALL ".join(parts)
 
 
+def _priority_sql() -> str:
+    """The steps one inside the other: each adds what applies and is clamped."""
+    flags = {c: _word(c) for c in rules.LEXICON} | {"specific": f"len(list_distinct({_TOK.format('fact', 5)})) >= 2"}
+    n, o = "CAST(0.5 AS DOUBLE)", "CAST(0.4 AS DOUBLE)"
+    for k, (_, _, dn, do) in enumerate(rules.STEPS):
+        n, o = (f"least(1, greatest(0, {v} + CASE WHEN s{k} THEN CAST({d} AS DOUBLE) ELSE 0 END))" for v, d in ((n, dn), (o, do)))
+    on = ", ".join("(" + " AND ".join(f"NOT {flags[c[1:]]}" if c[0] == "!" else flags[c] for c in cats) + f") AS s{k}" for k, (_, cats, _, _) in enumerate(rules.STEPS))
+    return f"WITH {_FACTS}, st AS (SELECT lang, {on} FROM facts WHERE {_REASON} IS NULL), sc AS (SELECT lang, {n} AS n, {o} AS o FROM st) SELECT lang, CAST(CASE WHEN o > CAST(0.75 AS DOUBLE) THEN 1 WHEN n >= CAST(0.75 AS DOUBLE) AND o < CAST(0.4 AS DOUBLE) THEN 3 ELSE 2 END AS INT) AS priority, count(*) AS n FROM sc GROUP BY 1, 2"
+
+
 def fact_priorities(spark, sf_dir):
     """Facts by language and final priority."""
     f = rules.with_scores(facts(spark, sf_dir).where(rules.drop_reason().isNull()))
@@ -147,6 +157,7 @@ SQL = {
     "fact_drop_histogram": f"WITH {_FACTS} SELECT lang, coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM facts GROUP BY 1, 2",
     "kept_fact_flagship": f"WITH {_FACTS} SELECT * FROM (SELECT source, doc_id, pos, fact, n_tokens, row_number() OVER (PARTITION BY source ORDER BY n_tokens DESC, doc_id, pos) AS rn FROM (SELECT *, len(list_distinct({_TOK.format('fact', 3)})) AS n_tokens FROM facts WHERE {_REASON} IS NULL)) WHERE rn <= 3",
     "score_steps": _step_sql(),
+    "fact_priorities": _priority_sql(),
     "text_keys": rf"WITH {_FACTS} SELECT doc_id, pos, lower(fact) AS text_key, regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS word_key, CAST(CASE WHEN length(fact) = 0 THEN 0 ELSE greatest(1, ceil(length(fact) / 4.0)) END AS BIGINT) AS token_estimate, substr(sha1(fact), 1, 12) AS sha1_id FROM facts",
     "djb2_ids": r"SELECT doc_id, lower(to_hex(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(regexp_replace(text, '[^\x20-\x7e]', '', 'g'), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296))) AS djb2_id FROM documents",
     "token_sets": f"WITH {_FACTS} SELECT doc_id, pos, array_to_string(list_sort(list_distinct({_TOK.format('fact', 3)})), ' ') AS tokens, len(list_distinct({_TOK.format('fact', 3)})) AS n FROM facts",

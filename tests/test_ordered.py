@@ -1,11 +1,15 @@
 """Operators whose result depends on an order, against plain loops."""
 
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import context, dedupe
-from factloom.sources.tables import table
+from factloom.plans import fact_queries, table_queries
+from factloom.sources.tables import facts, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +46,49 @@ def test_context_states(spark):
         want[r.event_id] = states[r.user_id][0]
     assert {r.event_id: r.context for r in context.context_states(events).collect()} == want
     assert context.context_states(events.limit(0)).collect() == []
+
+
+def words_of(text, least):
+    return {w for w in re.sub("[^a-z0-9]+", " ", text.lower()).split() if len(w) >= least}
+
+
+def test_near_duplicate_marks(spark):
+    want, kept = {}, defaultdict(list)
+    for r in sorted(facts(spark, SF).where("fact <> ''").select("doc_id", "pos", "fact").collect(), key=lambda r: (r.doc_id, r.pos)):
+        own = words_of(r.fact, 3)
+        like = next((p for p, t in kept[r.doc_id] if own and t and len(own & t) >= .6 * len(own | t)), None)
+        want[r.doc_id, r.pos] = like
+        if like is None:
+            kept[r.doc_id].append((r.pos, own))
+    got = {(r.doc_id, r.pos): r.like_pos for r in fact_queries.near_duplicate_marks(spark, SF).collect()}
+    assert got == want
+
+
+def test_document_chunks(spark):
+    want = []
+    for r in table(spark, SF, "documents").select("doc_id", "text").collect():
+        sizes = [0]
+        for s in re.split(r"(?<=[.!?])\s+", r.text, flags=re.ASCII):
+            n = -(-len(s) // 4)
+            if sizes[-1] and sizes[-1] + n > 500:
+                sizes.append(0)
+            sizes[-1] += n
+        want += [(r.doc_id, k + 1, n) for k, n in enumerate(sizes)]
+    assert sorted((r.doc_id, r.chunk_id, r.tokens) for r in table_queries.document_chunks(spark, SF).collect()) == sorted(want)
+
+
+def test_equivalence_best_match(spark):
+    runs = [{r.key for r in d.select("key").collect()} for d in table_queries._runs(spark, SF)]
+    left, right = ({k: t for k in one - two if len(t := words_of(k, 4)) >= 2} for one, two in (runs, runs[::-1]))
+    having = defaultdict(list)
+    for k, t in right.items():
+        for w in t:
+            having[w].append(k)
+    want = {}
+    for k, t in left.items():
+        shared = Counter(o for w in t for o in having[w])
+        best = min(((-n / (u := len(t) + len(right[o]) - n), o, n, u) for o, n in shared.items() if n >= .5 * (len(t) + len(right[o]) - n)), default=None)
+        if best:
+            want[k] = best[1:]
+    got = {r.left_id: (r.right_id, r.shared, r.union_size) for r in table_queries.equivalence_best_match(spark, SF).collect()}
+    assert want and got == want
