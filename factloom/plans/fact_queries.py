@@ -39,7 +39,8 @@ def kept_fact_flagship(spark, sf_dir):
 def score_steps(spark, sf_dir):
     """How often each score step applied to kept facts, by language."""
     f = rules.with_scores(facts(spark, sf_dir).where(rules.drop_reason().isNull()))
-    return f.select("lang", F.explode("score_steps.step").alias("step")).groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
+    # an outer explode, as a plain one makes Spark infer a filter that evaluates all patterns a second time
+    return f.select("lang", F.explode_outer("score_steps.step").alias("step")).where("step IS NOT NULL").groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _step_sql() -> str:
@@ -112,7 +113,8 @@ def near_duplicate_marks(spark, sf_dir):
 def pair_cooccurrence(spark, sf_dir):
     """Lexicon categories of a fact and how often two stand in one."""
     f = facts(spark, sf_dir).select("doc_id", "pos", F.array_compact(F.array(*[F.when(rules.matches(c), c) for c in sorted(rules.LEXICON)])).alias("tags"))
-    a = f.select("tags", F.explode("tags").alias("a")).select("a", F.explode("tags").alias("b")).where("a < b")
+    # an outer explode, as a plain one makes Spark infer a filter that evaluates all patterns a second time
+    a = f.select("tags", F.explode_outer("tags").alias("a")).select("a", F.explode_outer("tags").alias("b")).where("a < b")
     return a.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
