@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A run of 16 or more characters of keys and tokens, with a digit in it.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-.]*+[0-9])[A-Za-z0-9+/_=\-.]{16,}+"
 BEFORE, AFTER = 48, 24
+#: Pieces of text and finds that hold the BEFORE and AFTER characters around a find in any case.
+PIECES = 13
 MAX_FINDINGS = 20_000
 TREES, DEPTH, SEED = 15, 5, 42
 
@@ -21,18 +23,37 @@ SECRET_WORDS = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_k
 OTHER_WORDS = ["sha", "commit", "checksum", "md5", "digest", "hash", "uuid", "guid", "example", "sample", "test", "dummy", "version", "build", "file", "path", "image", "page", "href", "src", "id"]
 # Words that are found in names and paths.
 DICTIONARY = ["about", "account", "admin", "application", "article", "assets", "back", "blog", "build", "category", "client", "common", "config", "content", "data", "default", "document", "download", "email", "error", "example", "feature", "file", "first", "form", "function", "group", "home", "image", "index", "info", "item", "learning", "library", "list", "local", "machine", "mail", "main", "message", "method", "model", "module", "name", "network", "number", "object", "order", "package", "page", "path", "photo", "post", "product", "profile", "project", "public", "query", "release", "report", "request", "resource", "response", "result", "search", "section", "server", "service", "session", "setting", "source", "static", "status", "string", "style", "system", "table", "template", "test", "text", "theme", "title", "type", "update", "upload", "user", "value", "version", "video", "view", "world"]
+# What stands in the place of a secret without being one.
+PLACEHOLDERS = ["required", "optional", "string", "null", "none", "true", "false", "undefined", "changeme", "yourtoken", "your-password", "<your-key>", "${PASSWORD}", "$TOKEN", "********", "xxxxxxxx", "invalid", "expired", "missing", "hidden", "enabled", "encrypted"]
 FEATURES = ["f_length", "f_digits", "f_upper", "f_symbols", "f_entropy", "f_classes", "f_changes", "f_bigrams", "f_words", "f_path", "f_extension", "f_secret_word", "f_other_word", "f_assigned", "f_quoted"]
 
-
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, candidate, before, after of every candidate; offsets in code points."""
+# A secret word, alone or as the first part of a key name, and what may stand between it and its value.
+_NAMED = "(?i:" + "|".join(map(re.escape, SECRET_WORDS)) + r")(?:[_\-][A-Za-z0-9]{1,12})?(?:[_\-][A-Za-z0-9]{1,12})?"
+_QUOTED = _NAMED + r"[\"'\])]?\s{0,4}(?:[=:]{1,2}>?|[,\s])\s{0,4}"
+_ASSIGNED = _NAMED + r"[\"'\])]?\s{0,4}[=:]{1,2}>?\s{0,4}[\"']?"
+_VALUE = r"[^\s\"'`&;,<>(){}\[\]=]"
+#: What scan_secrets looks at: after a secret word, whole quoted values (with blanks, if short and without a long run)
+#: and assigned ones of any length; elsewhere every run of 16 or more characters of keys and tokens, '=' only as
+#: padding at its end, so that the name in name=value is not part of the value.
+SCANNED = "|".join([
+    *(rf"(?<={q})(?<={_QUOTED}{q})(?:[^\s{q}]++|(?![^{q}\r\n]{{0,80}}[A-Za-z0-9+/_\-.]{{16}})[^{q}\r\n]{{1,80}}+)(?={q})" for q in "\"'"),
+    rf"(?<=[=:>\"'\s])(?={_VALUE})(?<=[=:>]\s{{0,4}}[\"']?)(?<={_ASSIGNED}){_VALUE}++(?:={{1,2}}(?!=|{_VALUE}))?",
+    r"(?<![A-Za-z0-9+/_\-])(?=[+/_\-.]*+[A-Za-z0-9])[A-Za-z0-9+/_\-.]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=\-.]))?",
+])
+
+
+def with_candidates(docs: DataFrame, pattern: str = CANDIDATE) -> DataFrame:
+    """doc_id, start, end, candidate, before, after of every match of the pattern; offsets in code points."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select("doc_id", text.alias("_text")).where(F.col("_text").rlike(CANDIDATE))
-    cut = cut.select("doc_id", F.split("_text", CANDIDATE).alias("_gaps"), F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)).alias("_found"))
+    cut = docs.select("doc_id", text.alias("_text")).where(F.col("_text").rlike(pattern))
+    cut = cut.select("doc_id", F.split("_text", pattern).alias("_gaps"), F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)).alias("_found"))
     rows = cut.select("doc_id", "_gaps", "_found", F.posexplode("_found").alias("_i", "candidate"))
     # where the pattern cuts a text, its pieces and finds alternate: lengths of what stands before give the place
     at = F.expr("aggregate(slice(_gaps, 1, _i + 1), 0, (n, x) -> n + char_length(x)) + aggregate(slice(_found, 1, _i), 0, (n, x) -> n + char_length(x))")
-    rows = rows.select("doc_id", at.alias("start"), "candidate", F.lower(F.right(F.col("_gaps")[F.col("_i")], F.lit(BEFORE))).alias("before"), F.lower(F.left(F.col("_gaps")[F.col("_i") + 1], F.lit(AFTER))).alias("after"))
+    # other finds may stand in what is before and after, such as the name of a key
+    before = F.expr(f"array_join(transform(sequence(greatest(0, _i - {PIECES}), _i), k -> concat(if(k > 0, right(_found[greatest(k - 1, 0)], {BEFORE}), ''), right(_gaps[k], {BEFORE}))), '')")
+    after = F.expr(f"array_join(transform(sequence(_i + 1, least(size(_found), _i + {PIECES})), k -> concat(left(_gaps[k], {AFTER}), if(k < size(_found), left(_found[least(k, size(_found) - 1)], {AFTER}), ''))), '')")
+    rows = rows.select("doc_id", at.alias("start"), "candidate", F.lower(F.right(before, F.lit(BEFORE))).alias("before"), F.lower(F.left(after, F.lit(AFTER))).alias("after"))
     return rows.withColumn("end", F.col("start") + F.char_length("candidate"))
 
 
@@ -59,7 +80,7 @@ def with_features(found: DataFrame, bigrams: dict[str, float]) -> DataFrame:
         "f_words": F.least(sum((F.when(F.contains(low, F.lit(w)), F.lit(float(len(w)))).otherwise(0.0) for w in DICTIONARY), F.lit(0.0)) / n, F.lit(1.0)),
         "f_path": (F.contains(c, F.lit("/")) | F.col("before").rlike(r"[/\\]$")).cast("double"),
         "f_extension": low.rlike(r"\.[a-z]{2,4}[0-9]?$").cast("double"),
-        "f_secret_word": F.col("before").rlike("(" + "|".join(map(re.escape, SECRET_WORDS)) + ")[^a-z]{0,8}$").cast("double"),
+        "f_secret_word": F.col("before").rlike("(" + "|".join(map(re.escape, SECRET_WORDS)) + r")(?:[_\-][a-z0-9]{1,12}){0,2}[^a-z]{0,8}$").cast("double"),
         "f_other_word": F.col("before").rlike(any_of(OTHER_WORDS) + "[^a-z]{0,8}$").cast("double"),
         "f_assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"), "f_quoted": (F.col("before").rlike(r"[\"']$") & F.col("after").rlike(r"^[\"']")).cast("double"),
     })
@@ -68,24 +89,34 @@ def with_features(found: DataFrame, bigrams: dict[str, float]) -> DataFrame:
 def labelled_findings(spark: SparkSession, n: int = 1600) -> DataFrame:
     """Findings with labels, made by rule, for use where none are at hand: candidate, before, after, label.
 
-    Secrets are random hex, base-64 or mixed strings in places where secrets stand; the others are checksums and
-    identifiers in places of their own, names, paths, versions, dates and repeated marks.
+    Secrets are random hex, base-64, mixed or letter strings and short passwords in places where secrets stand; the
+    others are checksums and identifiers in places of their own, names, paths, versions, dates, repeated marks and
+    long words, and words and placeholders where secrets stand.
     """
     i = F.col("id")
     hexes, other = F.sha1(i.cast("string").cast("binary")), F.md5(F.concat(F.lit("m"), i.cast("string")).cast("binary"))
     b64 = F.translate(F.substring(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i.cast("string")).cast("binary"), 256))), 1, 40), "+/=", "A_9")
     pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
     word = lambda salt: pick(DICTIONARY, salt)
-    secret = F.element_at(F.array(hexes, F.upper(hexes), b64, F.concat(F.lit("k1_"), b64), other, F.concat(F.substring(b64, 1, 12), F.substring(hexes, 1, 12))), (F.pmod(F.xxhash64(i, F.lit(1)), F.lit(6)) + 1).cast("int"))
+    letters = F.translate(b64, "0123456789_", "qxzjkvwyhgf")
+    secrets = [
+        hexes, F.upper(hexes), b64, F.concat(F.lit("k1_"), b64), other, F.concat(F.substring(b64, 1, 12), F.substring(hexes, 1, 12)), letters, F.upper(F.substring(letters, 1, 24)), F.substring(b64, 1, 10), F.substring(letters, 3, 9),
+        F.concat(word(11), F.pmod(i, F.lit(97)).cast("string"), pick(["!", "#", "?", "$", "", "@"], 12)), F.concat(F.lower(F.substring(letters, 1, 6)), F.pmod(i, F.lit(10)).cast("string"), pick(["!", "#", "?", "$"], 12)),
+    ]
+    secret = F.element_at(F.array(*secrets), (F.pmod(F.xxhash64(i, F.lit(1)), F.lit(len(secrets))) + 1).cast("int"))
     place = F.concat(F.lit("some text "), pick(SECRET_WORDS, 2), pick([' = "', ": ", "=", " = '", " "], 3))
-    harmless = F.element_at(F.array(
+    others = [
         F.concat_ws("/", word(4), word(5), i.cast("string"), word(6)), F.concat_ws("-", word(4), word(5), word(6), F.pmod(i, F.lit(100)).cast("string")), F.concat(word(4), F.lit("_"), word(5), i.cast("string"), F.lit(".png")),
         F.concat(F.lit("2024-01-"), F.lpad((F.pmod(i, F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("T00.00.00")), F.concat(F.lit("1.2."), i.cast("string"), F.lit(".20240101-beta")), F.repeat(F.pmod(i, F.lit(10)).cast("string"), 24),
         hexes, other, F.concat(F.lit("www."), word(4), word(5), F.pmod(i, F.lit(10)).cast("string"), F.lit(".example.com")), F.concat(F.repeat(F.lit("x"), 20), F.lit("1")),
-    ), (F.pmod(F.xxhash64(i, F.lit(7)), F.lit(10)) + 1).cast("int"))
+        F.concat(word(4), word(5), word(6)), F.upper(F.concat_ws("_", word(4), word(5), word(6))), F.concat_ws("/", word(4), word(5), word(6)), F.concat(F.repeat(F.lit("-"), 20), word(4)),
+        word(4), pick(PLACEHOLDERS, 5),  # these two where secrets stand
+    ]
+    kind = (F.pmod(F.xxhash64(i, F.lit(7)), F.lit(len(others))) + 1).cast("int")
+    harmless = F.element_at(F.array(*others), kind)
     elsewhere = F.concat(F.lit("some text "), pick([*OTHER_WORDS, "see", "of", "the", "und", "le"], 8), pick([" ", ": ", "=", ' "'], 9))
     yes = F.pmod(i, F.lit(2)) == 0
-    return spark.range(n).select(F.when(yes, secret).otherwise(harmless).alias("candidate"), F.when(yes, place).otherwise(elsewhere).alias("before"), F.when(yes, F.lit('" and')).otherwise(F.lit(" and")).alias("after"), yes.cast("int").alias("label"))
+    return spark.range(n).select(F.when(yes, secret).otherwise(harmless).alias("candidate"), F.when(yes | (kind > len(others) - 2), place).otherwise(elsewhere).alias("before"), F.when(yes, F.lit('" and')).otherwise(F.lit(" and")).alias("after"), yes.cast("int").alias("label"))
 
 
 def fit_bigrams(found: DataFrame) -> dict[str, float]:
@@ -153,5 +184,5 @@ def scan_secrets(docs: DataFrame, model: dict) -> DataFrame:
     have no candidates; repeated rows give repeated findings; an empty table gives an empty result; other
     columns are not read; long texts are searched whole.
     """
-    found = with_features(with_candidates(docs), model["bigrams"])
+    found = with_features(with_candidates(docs, SCANNED), model["bigrams"])
     return found.select("doc_id", "start", "end", "candidate", "before", "after", forest_score(model["trees"]).alias("score")).withColumn("is_secret", F.col("score") >= 0.5)

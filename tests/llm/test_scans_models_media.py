@@ -60,6 +60,24 @@ def test_secrets_odd_input(spark, odd, forest):
     assert secrets.scan_secrets(odd.limit(0), forest).collect() == []
 
 
+def test_assigned_short_and_digit_free_secrets(spark, forest):
+    sha, key = "24be6443f0c1d2e3a4b5968778695a4b3c2d1e0f", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    want = {
+        f"API_KEY={sha}\nnext": sha, f"https://a.io/x?user=1&token={sha}&page=2": sha, f"export AWS_SECRET_ACCESS_KEY={key}": key, f"auth = {sha}==": sha + "==",
+        'password = "hunter2!"': "hunter2!", "pwd: hunter2!": "hunter2!", "{'db_password': 'z9#kQ'}": "z9#kQ", 'token = "QWERTYUIOPASDFGHJKLZXCVB"': "QWERTYUIOPASDFGHJKLZXCVB", f"\u00e9\U0001f600 SECRET_KEY={sha}": sha,
+        'secret: "see the four blank words"': "see the four blank words", f'secret: "see also API_KEY={sha}"': sha,
+    }
+    plain = ["The token was lost and the password is not needed.", "a 'secret' of \"life\"", "-" * 40 + " =================", 'password = ""']
+    docs = spark.createDataFrame(list(enumerate([*want, *plain])), "doc_id long, text string")
+    rows = secrets.scan_secrets(docs, forest).collect()
+    found = {i: {r.candidate: r for r in rows if r.doc_id == i} for i in range(len(want) + len(plain))}
+    for i, (text, value) in enumerate(want.items()):
+        r = found[i][value]
+        assert text[r.start : r.end] == value and r.before == text[max(0, r.start - 48) : r.start].lower() and r.after == text[r.end : r.end + 24].lower()
+    assert not any(found[i] for i in range(len(want), len(found)))
+    assert all(found[i][v].is_secret for i, v in enumerate(want.values()) if " " not in v and v != key), {v: found[i][v].score for i, v in enumerate(want.values())}
+
+
 # toxicity
 
 
