@@ -28,7 +28,26 @@ SENTENCES = {
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "apache2-comply": ["you may not use this file except in compliance with the License."],
     "apache2-copy": ["You may obtain a copy of the License at"],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    # sentences as the marks of sentences() cut them: GNU notices end one at ':' and ';'
+    "gpl2-free": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."],
+    "lgpl21-free": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3-free": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3-free": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl2-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2."],
+    "gpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;"],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;"],
+    "agpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation;"],
+    "later-2": ["either version 2 of the License, or (at your option) any later version."],
+    "later-21": ["either version 2.1 of the License, or (at your option) any later version."],
+    "later-3": ["either version 3 of the License, or (at your option) any later version."],
+    "mpl2-terms": ["This Source Code Form is subject to the terms of the Mozilla Public License, v."],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "apache2-title": ["Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
 }
 #: Licences by the ordered sentence identifiers that tell them; the first rule that fits at a place wins, so
@@ -39,6 +58,24 @@ RULES = [
     ("BSD-2-Clause", "bsd2-text", ["bsd-permission", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", "apache2-header", ["released-apache2", "apache2-comply", "apache2-copy"]),
     ("GPL-3.0-or-later", "gpl3-header", ["gpl-free", "gpl-warranty"]),
+    ("GPL-3.0-or-later", "gpl3-terms", ["gpl-terms", "later-3"]),
+    ("GPL-2.0-or-later", "gpl2-terms-later", ["gpl-terms", "later-2"]),
+    ("LGPL-2.1-or-later", "lgpl21-terms", ["lgpl-terms", "later-21"]),
+    ("LGPL-3.0-or-later", "lgpl3-terms", ["lgpl-terms", "later-3"]),
+    ("AGPL-3.0-or-later", "agpl3-terms", ["agpl-terms", "later-3"]),
+    ("GPL-3.0-or-later", "gpl3-sentence", ["gpl-free"]),
+    ("GPL-2.0-or-later", "gpl2-sentence", ["gpl2-free"]),
+    ("LGPL-2.1-or-later", "lgpl21-sentence", ["lgpl21-free"]),
+    ("LGPL-3.0-or-later", "lgpl3-sentence", ["lgpl3-free"]),
+    ("AGPL-3.0-or-later", "agpl3-sentence", ["agpl3-free"]),
+    ("GPL-2.0-only", "gpl2-only-sentence", ["gpl2-terms"]),
+    ("MPL-2.0", "mpl2-sentence", ["mpl2-terms"]),
+    ("GPL-3.0", "gpl3-title", ["gpl3-title"]),
+    ("GPL-2.0", "gpl2-title", ["gpl2-title"]),
+    ("LGPL-3.0", "lgpl3-title", ["lgpl3-title"]),
+    ("LGPL-2.1", "lgpl21-title", ["lgpl21-title"]),
+    ("AGPL-3.0", "agpl3-title", ["agpl3-title"]),
+    ("Apache-2.0", "apache2-title", ["apache2-title"]),
     ("ISC", "isc-text", ["isc-permission"]),
     ("MIT", "mit-notice-line", ["released-mit"]),
     ("Apache-2.0", "apache2-notice-line", ["released-apache2"]),
@@ -81,28 +118,33 @@ def known_sentences(text: str) -> list[tuple[int, str, int, int]]:
     """Number, identifier and offsets of the known sentences of a text.
 
     A sentence may also begin or end with a line: where a whole one is unknown, its runs of whole lines are tried,
-    each as long as a known sentence can be.
+    each as long as a known sentence can be, and after a known one those that follow it.
     """
     out = []
     for k, (x, y) in enumerate(sentences(text)):
         low = text[x:y].lower()
         if not any(a in low for a in ANCHORS):
             continue
-        if not (name := KNOWN.get(normalise(low))):
+        found = []
+        if name := KNOWN.get(normalise(low)):
+            found.append((name, x, y))
+        else:
             edges = [x, *(x + m.end() for m in re.finditer("\n", text[x:y])), y]
-            for i, start in enumerate(edges[:-1]):
-                for end in edges[i + 1 :]:
-                    words = normalise(text[start:end])
+            i = 0
+            while i < len(edges) - 1:
+                start, step = edges[i], i + 1
+                for j in range(i + 1, len(edges)):
+                    words = normalise(text[start : edges[j]])
                     if name := KNOWN.get(words):
-                        x, y = start, end
+                        found.append((name, start, edges[j]))
+                        step = j
                         break
                     if words.count(" ") >= _LONGEST:
                         break
-                if name:
-                    break
-        if name:
-            found = text[x:y]
-            out.append((k, name, x + len(found) - len(found.lstrip()), x + len(found.rstrip())))
+                i = step
+        for name, x, y in found:
+            whole = text[x:y]
+            out.append((k, name, x + len(whole) - len(whole.lstrip()), x + len(whole.rstrip())))
     return out
 
 
@@ -111,20 +153,27 @@ def recognise(text: str) -> list[dict]:
     low = text.lower()
     if not any(a in low for a in ANCHORS):
         return []
-    ids = known_sentences(text)
+    out = _apply(known_sentences(text))
+    return sorted(out, key=lambda m: (m["start"], m["end"]))
+
+
+def _apply(ids: list[tuple[int, str, int, int]]) -> list[dict]:
+    """Rules over known sentences; those that stood in the gaps of a rule are looked at by themselves."""
     out, at = [], 0
     while at < len(ids):
         for licence, rule, order in RULES:
             took, j = [], at
             for want in order:
-                while j < len(ids) and ids[j][1] != want and (not took or ids[j][0] - took[-1][0] <= MAX_GAP + 1):
+                while j < len(ids) and ids[j][1] != want and (not took or ids[j][0] - ids[took[-1]][0] <= MAX_GAP + 1):
                     j += 1 if took else len(ids)
-                if j >= len(ids) or ids[j][1] != want or (took and ids[j][0] - took[-1][0] > MAX_GAP + 1):
+                if j >= len(ids) or ids[j][1] != want or (took and ids[j][0] - ids[took[-1]][0] > MAX_GAP + 1):
                     break
-                took.append(ids[j])
+                took.append(j)
                 j += 1
             if len(took) == len(order):
-                out.append({"license": licence, "rule": rule, "start": took[0][2], "end": took[-1][3]})
+                out.append({"license": licence, "rule": rule, "start": ids[took[0]][2], "end": ids[took[-1]][3]})
+                if j - at > len(took):
+                    out += _apply([x for i, x in enumerate(ids[at:j], at) if i not in took])
                 at = j
                 break
         else:
