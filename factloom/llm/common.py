@@ -3,34 +3,80 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-DEFAULT_SHARED_DIR = "/tmp/factloom-shared"
-
 #: Sides up to this many rows of two or three numbers may be broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 500_000
 
+#: A key with at least this share of a side's rows is hot: its rows are dealt over so many tasks that each gets about
+#: this share.  There can be at most 1 / HOT_SHARE hot keys, so a list of them may be broadcast.
+HOT_SHARE = 1 / 1000
+#: No key of fewer rows is treated as hot.
+LEAST_HOT = 200
+
 #: Bytes of an Arrow batch, and entries that one Python worker remembers of words before it starts afresh.
 ARROW_BYTES = 4 << 20
 MAX_REMEMBERED = 150_000
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, else a default for local runs."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
+    """A folder of this application in the one that the cluster names in spark.checkpoint.dir, or where that is unset
+    in the warehouse, which executors and driver share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{base.rstrip('/')}/factloom-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back, so that a lost executor
     costs no recomputation of what stands before."""
-    path = f"{shared_dir(df.sparkSession)}/factloom-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise wrote for these; nothing that is still to be computed may depend on them."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that materialise wrote in this application, once its results are stored elsewhere."""
+    _delete(spark, shared_dir(spark))
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame | None:
+    """The keys of `counts` whose n is at least HOT_SHARE of total, with _parts to deal them over; None if none is."""
+    least = max(LEAST_HOT, total * HOT_SHARE)
+    hot = counts.where(F.col(n) >= least).select(*keys, F.ceil(F.col(n) / least).cast("int").alias("_parts"))
+    rows = hot.collect()  # at most 1 / HOT_SHARE rows
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, spread: str, how: str = "inner") -> DataFrame:
+    """big joined with small (one row a key) on keys; rows of a hot key are dealt over its _parts by a hash of the
+    column `spread`, and its row of small is repeated for each of them, so no task gets all rows of one key."""
+    if hot is None:
+        return big.join(small, keys, how)
+    hot = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
+    left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def in_small_batches(spark: SparkSession) -> None:
