@@ -24,6 +24,22 @@ from factloom.llm.common import MAX_REMEMBERED, in_small_batches, text_slices, t
 #: Ranks files up to this size are broadcast; a vocabulary is a fixed parameter and does not grow with the data.
 MAX_RANKS_BYTES = 64 << 20
 
+# Fixed value: the pattern for which texts are cut at single spaces and words remembered apart.
+SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Letters and numbers that came after version 16 of Unicode, whose tables decide what \p{L} and \p{N} are.
+NEWER_LETTERS = r"\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C\uAB6D" + r"""
+\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3
+\U00016FF2\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168
+\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4\U0001E6E5\U0001E6E7-\U0001E6ED
+\U0001E6F0-\U0001E6F4\U0001E6FE\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F""".replace("\n", "")
+NEWER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
+
+
+def compile_pattern(pattern: str) -> regex.Pattern:
+    """The pattern with \\p{L} and \\p{N} as of version 16 of Unicode, whatever tables the regex module has."""
+    dated = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NEWER_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{NEWER_NUMBERS}]]")
+    return regex.compile(dated, regex.VERSION1)
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -35,11 +51,16 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class ByteBPE:
-    """Encoder and decoder for one table of ranks and one pattern of pieces."""
+    """Encoder and decoder for one table of ranks and one pattern of pieces.
+
+    Any pattern is applied match by match; texts are cut at single spaces first only under SPACED_PATTERN, of which
+    this is known to change nothing.  Groups of the pattern must not capture.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.pieces = regex.compile(pattern)
+        self.pieces = compile_pattern(pattern)
+        self.spaced = pattern == SPACED_PATTERN
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         words = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -184,13 +205,15 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers.
 
-        A text is cut before every single space that stands between two characters that are no white space: the
-        pattern always starts a new piece there, so the parts can be encoded, and remembered, apart.
+        Under SPACED_PATTERN a text is cut before every single space that stands between two characters that are no
+        white space: a new piece always starts there, so the parts can be encoded, and remembered, apart.
         """
         if not text:
             return b""
         known, older, out = self.remembered, self.older, []
-        for part in text.split(" "):
+        if not self.spaced:
+            out = [self._piece(m.group()) for m in self.pieces.finditer(text)]
+        for part in text.split(" ") if self.spaced else ():
             ids = known.get(part)
             if ids is None:
                 if not part or part[0].isspace() or part[-1].isspace():
