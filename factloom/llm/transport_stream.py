@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from factloom.llm.common import in_small_batches, text_slices, texts_of
+from factloom.llm.common import in_small_batches, materialise, text_slices, texts_of
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID = 188, 0x47, 0
@@ -99,57 +99,94 @@ def multiplex(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _section(packets: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> bytes | None:
-    """The first whole table section that starts in one of the rows, if its checksum is right."""
+def _sections(packets: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> list[bytes]:
+    """The whole table sections that start in the rows' packets, in order, if their checksums are right.
+
+    A section may go on over as many packets as it needs; a packet with a new one first ends the one before, as its
+    pointer says.  A jump of the counter discards the section under way.
+    """
+    out, open_, last = [], b"", None
     for i in rows:
-        body = packets[i, offsets[i] :].tobytes()
+        body, counter = packets[i, offsets[i] :].tobytes(), int(packets[i, 3]) & 15
+        if counter == last:
+            continue
+        if last is not None and counter != (last + 1) % 16:
+            open_ = b""
+        last = counter
         if packets[i, 1] & 0x40 and body:
-            body = body[1 + body[0] :]
-            size = 3 + ((body[1] & 0x0F) << 8 | body[2]) if len(body) >= 3 else 0
-            if 12 <= size <= len(body) and section_crc(body[: size - 4]) == int.from_bytes(body[size - 4 : size], "big"):
-                return body[:size]
-    return None
+            rest, body = body[1 : 1 + body[0]], body[1 + body[0] :]
+            if open_:
+                out.append(open_ + rest)
+            open_ = b""
+        elif not open_:
+            continue
+        open_ += body
+        while len(open_) >= 3 and open_[0] != 0xFF:
+            size = 3 + ((open_[1] & 0x0F) << 8 | open_[2])
+            if len(open_) < size:
+                break
+            out.append(open_[:size])
+            open_ = open_[size:]
+        if open_[:1] == b"\xff":
+            open_ = b""
+    whole = []
+    for x in out:
+        size = 3 + ((x[1] & 0x0F) << 8 | x[2]) if len(x) >= 3 else 0
+        if 12 <= size <= len(x) and section_crc(x[: size - 4]) == int.from_bytes(x[size - 4 : size], "big"):
+            whole.append(x[:size])
+    return whole
+
+
+def _elementary_streams(packets: np.ndarray, offsets: np.ndarray, pids: np.ndarray) -> list[tuple[int, int, int]]:
+    """Program, packet id and type of every elementary stream that the association and map tables name."""
+    found: dict[tuple[int, int], int] = {}
+    for pat in (x for x in _sections(packets, offsets, np.flatnonzero(pids == PAT_PID)) if x[0] == 0):
+        for i in range(8, len(pat) - 7, 4):
+            program, pid = int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF
+            for pmt in (x for x in _sections(packets, offsets, np.flatnonzero(pids == pid)) if program and x[0] == 2 and int.from_bytes(x[3:5], "big") == program):
+                at = 12 + (int.from_bytes(pmt[10:12], "big") & 0x0FFF)
+                while at + 5 <= len(pmt) - 4:
+                    found.setdefault((program, int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF), pmt[at])
+                    at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0x0FFF)
+    return [(program, pid, kind) for (program, pid), kind in found.items()]
 
 
 def demultiplex(stream: bytes) -> dict:
-    """Read a stream back: payload, timestamps, random-access units, packet and error counts.
+    """Read a stream back: packets, and streams with the payload, timestamps, random-access units and error counts of
+    every elementary stream of every program, in the order of the tables.
 
-    The association table names the map table of the first program, that one the stream's packets.  A jump of
-    the continuity counter, or the transport error flag, counts as an error and discards the unit it falls in;
-    a packet repeated once is legal and skipped.  Damaged or foreign bytes give an empty result, never an error.
+    A jump of the continuity counter that no discontinuity flag announces, or the transport error flag, counts as an
+    error and discards the unit it falls in; a packet repeated once is legal and skipped.  Damaged or foreign bytes
+    give no streams, never an error.
     """
-    found = {"program": None, "pid": None, "packets": 0, "units": 0, "cc_errors": 0, "pts": [], "random_access": [], "payload": b""}
     n = len(stream) // PACKET
     packets = np.frombuffer(stream, np.uint8, n * PACKET).reshape(n, PACKET)
     packets = packets[packets[:, 0] == SYNC] if n else packets
-    found["packets"] = len(packets)
+    found = {"packets": len(packets), "streams": []}
     if not len(packets):
         return found
     pids = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
     adapted = packets[:, 3] & 0x20 > 0
     offsets = np.where(adapted, np.minimum(5 + packets[:, 4].astype(np.int64), PACKET), 4)
-    pat = _section(packets, offsets, np.flatnonzero(pids == PAT_PID))
-    if pat is None:
-        return found
-    programs = [(int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF) for i in range(8, len(pat) - 7, 4)]
-    programs = [p for p in programs if p[0]]
-    pmt = _section(packets, offsets, np.flatnonzero(pids == programs[0][1])) if programs else None
-    if pmt is None:
-        return found
-    at = 12 + (int.from_bytes(pmt[10:12], "big") & 0x0FFF)
-    if at + 5 > len(pmt) - 4:
-        return found
-    found["program"], found["pid"] = programs[0][0], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-    rows = np.flatnonzero((pids == found["pid"]) & (packets[:, 3] & 0x10 > 0))
+    flags = np.where(adapted & (packets[:, 4] > 0), packets[:, 5], 0)
+    for program, pid, kind in _elementary_streams(packets, offsets, pids):
+        rows = np.flatnonzero((pids == pid) & (packets[:, 3] & 0x10 > 0))
+        found["streams"].append({"program": program, "pid": pid, "stream_type": kind} | _units(packets, offsets, flags, rows))
+    return found
+
+
+def _units(packets: np.ndarray, offsets: np.ndarray, flags: np.ndarray, rows: np.ndarray) -> dict:
+    """Access units of one elementary stream, put together from the packets of the rows."""
+    out = {"units": 0, "cc_errors": 0, "pts": [], "random_access": [], "payload": b""}
     if not len(rows):
-        return found
+        return out
     counters = packets[rows, 3].astype(np.int64) & 15
     again = np.zeros(len(rows), bool)
     again[1:] = (np.diff(counters) == 0) & (packets[rows[1:]] == packets[rows[:-1]]).all(axis=1)
     rows, counters = rows[~again], counters[~again]
     wrong = packets[rows, 1] & 0x80 > 0
-    wrong[1:] |= (np.diff(counters) - 1) % 16 > 0
-    found["cc_errors"] = int(wrong.sum())
+    wrong[1:] |= ((np.diff(counters) - 1) % 16 > 0) & (flags[rows[1:]] & 0x80 == 0)
+    out["cc_errors"] = int(wrong.sum())
     begins = packets[rows, 1] & 0x40 > 0
     unit_of = np.cumsum(begins) - 1
     spoilt = set(unit_of[wrong & ~begins].tolist()) | set((unit_of[wrong & begins] - 1).tolist())
@@ -162,17 +199,16 @@ def demultiplex(stream: bytes) -> dict:
         plain = packets[own[1:-1], 4:].tobytes() if len(own) > 2 and (off[1:-1] == 4).all() else b"".join(packets[i, o:].tobytes() for i, o in zip(own[1:-1], off[1:-1], strict=True))
         pes = packets[own[0], off[0] :].tobytes() + plain + (packets[own[-1], off[-1] :].tobytes() if len(own) > 1 else b"")
         if pes[:3] != PES_PREFIX or len(pes) < 9 or k in spoilt:
-            found["cc_errors"] += k not in spoilt
+            out["cc_errors"] += k not in spoilt
             continue
         size = int.from_bytes(pes[4:6], "big")
-        if pes[7] & 0x80:
-            found["pts"].append(read_timestamp(pes[9:14]))
-        if adapted[own[0]] and packets[own[0], 4] and packets[own[0], 5] & 0x40:
-            found["random_access"].append(found["units"])
-        found["units"] += 1
+        out["pts"].append(read_timestamp(pes[9:14]) if pes[7] & 0x80 and len(pes) >= 14 else None)
+        if flags[own[0]] & 0x40:
+            out["random_access"].append(out["units"])
+        out["units"] += 1
         parts.append(pes[9 + pes[8] : 6 + size] if size else pes[9 + pes[8] :])
-    found["payload"] = b"".join(parts)
-    return found
+    out["payload"] = b"".join(parts)
+    return out
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -181,16 +217,9 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % 64 if raw else 64)
 
 
-def feature_of(m: dict) -> str:
-    pts = m["pts"]
-    return f"program={m['program']};pid={m['pid']};packets={m['packets']};units={m['units']};errors={m['cc_errors']};random_access={len(m['random_access'])};seconds={(pts[-1] - pts[0]) / CLOCK if pts else 0:.3f}"
-
-
-_FEATURES = "program int, pid int, packets int, units int, cc_errors int, pts array<long>, random_access array<int>"
-
-
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media, a transport stream of the text's padded bytes; a null text counts as empty."""
+    in_small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
@@ -200,39 +229,39 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+_STREAM = {"program": pa.int32(), "pid": pa.int32(), "stream_type": pa.int32(), "units": pa.int32(), "cc_errors": pa.int32(), "pts": pa.list_(pa.int64()), "random_access": pa.list_(pa.int32()), "payload": pa.binary()}
+_STREAM_DDL = "program int, pid int, stream_type int, units int, cc_errors int, pts array<long>, random_access array<int>, payload binary"
+
+
 def read_media(media: DataFrame) -> DataFrame:
-    """All that a media column of transport streams holds: doc_id, payload, program, pid, packets, units,
-    cc_errors, timestamps and the numbers of random-access units.  A null stream counts as empty."""
+    """What a media column of transport streams holds: a row for every row of media with its other columns, packets,
+    and streams, an array of the elementary streams with payload, timestamps (90,000 a second; null where a unit has
+    none) and the numbers of random-access units.  A null stream counts as empty; a column of media that is called
+    packets or streams is replaced."""
+    in_small_batches(media.sparkSession)
+    kept = [f for f in media.schema.fields if f.name.lower() not in ("media", "packets", "streams")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"program": pa.int32(), "pid": pa.int32(), "packets": pa.int32(), "units": pa.int32(), "cc_errors": pa.int32(), "pts": pa.list_(pa.int64()), "random_access": pa.list_(pa.int32())}
         for b in text_slices(batches):
-            found = [demultiplex(x or b"") for x in b.column(b.schema.get_field_index("media")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([f["payload"] for f in found], pa.binary()), *[pa.array([f[k] for f in found], t) for k, t in kinds.items()]], names=["doc_id", "payload", *kinds])
+            found = [demultiplex(x or b"") for x in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept))], pa.array([f["packets"] for f in found], pa.int64()), pa.array([f["streams"] for f in found], pa.list_(pa.struct(list(_STREAM.items()))))], names=[*[f.name for f in kept], "packets", "streams"])
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id long, payload binary, {_FEATURES}")
+    schema = StructType([*kept, *StructType.fromDDL(f"packets long, streams array<struct<{_STREAM_DDL}>>").fields])
+    return media.select(*[f.name for f in kept], "media").mapInArrow(run, schema)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store every text as a stream, read the stored bytes back, and return digests of both.
+    """Store every text as a stream in a table, read the stored bytes back, and return digests of both.
 
-    Streams go from writer to reader within a task, one at a time, and are not shuffled.  A null text counts as
-    empty; equal texts have equal values; repeated rows are handled each; an empty table gives an empty result.
+    Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pts and
+    random_access.  A null text counts as empty; equal texts have equal values; repeated rows are handled each; an
+    empty table gives an empty result; other columns of docs are not read.
     """
-
-    in_small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
-            out = []
-            for text in texts_of(b):
-                n, payload = payload_of(text)
-                media = multiplex(payload)
-                back = demultiplex(media)
-                p = back["payload"]
-                out.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(back)))
-            cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    media = materialise(store_media(docs), "media")
+    media = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    s = F.col("streams")[0]
+    back = read_media(media).withColumn("payload", F.coalesce(s["payload"], F.lit(b"")))
+    pts = s["pts"]
+    seconds = F.format_string("%.3f", F.coalesce((F.element_at(pts, -1) - pts[0]) / CLOCK, F.lit(0.0)))
+    feature = F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in ("program=", s["program"].cast("string"), ";pid=", s["pid"].cast("string"), ";packets=", F.col("packets").cast("string"), ";units=", s["units"].cast("string"), ";errors=", s["cc_errors"].cast("string"), ";random_access=", F.size(s["random_access"]).cast("string"), ";seconds=", seconds)])
+    return back.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"), pts.alias("pts"), s["random_access"].alias("random_access"))
