@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -15,7 +16,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-.]*+[0-9])[A-Za-z0-9+/_=\-.]
 BEFORE, AFTER = 48, 24
 #: Pieces of text and finds that hold the BEFORE and AFTER characters around a find in any case.
 PIECES = 13
-MAX_FINDINGS = 20_000
+#: Labelled findings that a forest is fitted on, and pairs of characters of which it knows how common they are, at most.
+MAX_FINDINGS, MAX_BIGRAMS = 20_000, 2_000
 TREES, DEPTH, SEED = 15, 5, 42
 
 # Words that stand next to secrets, and next to what only looks like one.
@@ -28,30 +30,44 @@ PLACEHOLDERS = ["required", "optional", "string", "null", "none", "true", "false
 FEATURES = ["f_length", "f_digits", "f_upper", "f_symbols", "f_entropy", "f_classes", "f_changes", "f_bigrams", "f_words", "f_path", "f_extension", "f_secret_word", "f_other_word", "f_assigned", "f_quoted"]
 
 # A secret word, alone or as the first part of a key name, and what may stand between it and its value.
-_NAMED = "(?i:" + "|".join(map(re.escape, SECRET_WORDS)) + r")(?:[_\-][A-Za-z0-9]{1,12})?(?:[_\-][A-Za-z0-9]{1,12})?"
+_WORD = "(?=[A-Ca-cPpSsTt])(?i:" + "|".join(map(re.escape, SECRET_WORDS)) + ")"
+_NAMED = _WORD + r"(?:[_\-][A-Za-z0-9]{1,12})?(?:[_\-][A-Za-z0-9]{1,12})?"
+_ASSIGNED = _NAMED + r"[\"'\])]?\s{0,4}[=:]{1,2}>?\s{0,4}"
 _QUOTED = _NAMED + r"[\"'\])]?\s{0,4}(?:[=:]{1,2}>?|[,\s])\s{0,4}"
-_ASSIGNED = _NAMED + r"[\"'\])]?\s{0,4}[=:]{1,2}>?\s{0,4}[\"']?"
 _VALUE = r"[^\s\"'`&;,<>(){}\[\]=]"
+#: The name and the marks before a value, as SCANNED takes them along.
+PREFIX = rf"^(?:{_ASSIGNED}[\"']?|{_QUOTED}[\"'])"
 #: What scan_secrets looks at: after a secret word, whole quoted values (with blanks, if short and without a long run)
 #: and assigned ones of any length; elsewhere every run of 16 or more characters of keys and tokens, '=' only as
-#: padding at its end, so that the name in name=value is not part of the value.
+#: padding at its end, so that the name in name=value is not part of the value.  A run that is such a name itself is
+#: left to the alternatives before.
 SCANNED = "|".join([
-    *(rf"(?<={q})(?<={_QUOTED}{q})(?:[^\s{q}]++|(?![^{q}\r\n]{{0,80}}[A-Za-z0-9+/_\-.]{{16}})[^{q}\r\n]{{1,80}}+)(?={q})" for q in "\"'"),
-    rf"(?<=[=:>\"'\s])(?={_VALUE})(?<=[=:>]\s{{0,4}}[\"']?)(?<={_ASSIGNED}){_VALUE}++(?:={{1,2}}(?!=|{_VALUE}))?",
-    r"(?<![A-Za-z0-9+/_\-])(?=[+/_\-.]*+[A-Za-z0-9])[A-Za-z0-9+/_\-.]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=\-.]))?",
+    *(rf"{_QUOTED}{q}(?:[^\s{q}]++|(?![^{q}\r\n]{{0,80}}[A-Za-z0-9+/_\-.]{{16}})[^{q}\r\n]{{1,80}}+)(?={q})" for q in "\"'"),
+    rf"{_ASSIGNED}[\"']?{_VALUE}++(?:={{1,2}}(?!=|{_VALUE}))?",
+    rf"(?<![A-Za-z0-9+/_\-])(?=[+/_\-.]*+[A-Za-z0-9])[A-Za-z0-9+/_\-.]{{16,}}+(?![\"'\])]?\s{{0,4}}[=:](?<={_NAMED}[\"'\])]?\s{{0,4}}[=:]){_VALUE}?)(?:={{1,2}}(?![A-Za-z0-9+/_=\-.]))?",
 ])
+#: Finds over whose lengths one step of a running sum goes; it keeps the work for n finds of a text near n.
+_STEP = 256
 
 
-def with_candidates(docs: DataFrame, pattern: str = CANDIDATE) -> DataFrame:
-    """doc_id, start, end, candidate, before, after of every match of the pattern; offsets in code points."""
+def with_candidates(docs: DataFrame, pattern: str = CANDIDATE, prefix: str | None = None) -> DataFrame:
+    """doc_id, start, end, candidate, before, after of every match of the pattern; offsets in code points.
+
+    Where a match begins with the prefix, the candidate is what follows it.  A null text has no match.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = docs.select("doc_id", text.alias("_text")).where(F.col("_text").rlike(pattern))
     cut = cut.select("doc_id", F.split("_text", pattern).alias("_gaps"), F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)).alias("_found"))
-    rows = cut.select("doc_id", "_gaps", "_found", F.posexplode("_found").alias("_i", "candidate"))
     # where the pattern cuts a text, its pieces and finds alternate: lengths of what stands before give the place
-    at = F.expr("aggregate(slice(_gaps, 1, _i + 1), 0, (n, x) -> n + char_length(x)) + aggregate(slice(_found, 1, _i), 0, (n, x) -> n + char_length(x))")
-    # other finds may stand in what is before and after, such as the name of a key
-    before = F.expr(f"array_join(transform(sequence(greatest(0, _i - {PIECES}), _i), k -> concat(if(k > 0, right(_found[greatest(k - 1, 0)], {BEFORE}), ''), right(_gaps[k], {BEFORE}))), '')")
+    cut = cut.withColumn("_sizes", F.expr("zip_with(slice(_gaps, 1, size(_found)), _found, (g, f) -> char_length(g) + char_length(f))"))
+    cut = cut.withColumn("_sums", F.expr(f"transform(sequence(0, (size(_sizes) - 1) div {_STEP}), b -> aggregate(slice(_sizes, b * {_STEP} + 1, {_STEP}), 0, (n, x) -> n + x))"))
+    cut = cut.withColumn("_sums", F.expr("transform(sequence(0, size(_sums) - 1), b -> aggregate(slice(_sums, 1, b), 0, (n, x) -> n + x))"))
+    rows = cut.select("*", F.posexplode("_found").alias("_i", "_match"))
+    value = F.regexp_replace("_match", prefix, "") if prefix else F.col("_match")
+    rows = rows.withColumn("candidate", F.when(value == "", F.col("_match")).otherwise(value)).withColumn("_name", F.expr("left(_match, char_length(_match) - char_length(candidate))"))
+    at = F.expr(f"_sums[_i div {_STEP}] + aggregate(slice(_sizes, _i div {_STEP} * {_STEP} + 1, _i % {_STEP}), 0, (n, x) -> n + x) + char_length(_gaps[_i]) + char_length(_name)")
+    # other finds may stand in what is before and after
+    before = F.expr(f"concat(array_join(transform(sequence(greatest(0, _i - {PIECES}), _i), k -> concat(if(k > 0, right(_found[greatest(k - 1, 0)], {BEFORE}), ''), right(_gaps[k], {BEFORE}))), ''), _name)")
     after = F.expr(f"array_join(transform(sequence(_i + 1, least(size(_found), _i + {PIECES})), k -> concat(left(_gaps[k], {AFTER}), if(k < size(_found), left(_found[least(k, size(_found) - 1)], {AFTER}), ''))), '')")
     rows = rows.select("doc_id", at.alias("start"), "candidate", F.lower(F.right(before, F.lit(BEFORE))).alias("before"), F.lower(F.left(after, F.lit(AFTER))).alias("after"))
     return rows.withColumn("end", F.col("start") + F.char_length("candidate"))
@@ -64,6 +80,7 @@ def _share(pattern: str) -> Column:
 def with_features(found: DataFrame, bigrams: dict[str, float]) -> DataFrame:
     """Columns of FEATURES from candidate, before and after; nulls count as empty."""
     found = found.withColumns({c: F.coalesce(c, F.lit("")) for c in ("candidate", "before", "after")})
+    bigrams = bigrams or {"": -6.0}  # a map of no entries cannot be parsed back from JSON as one
     c, n = F.col("candidate"), F.greatest(F.char_length("candidate"), F.lit(1))
     low = F.lower(c)
     table = F.from_json(F.lit(json.dumps(bigrams)), "map<string,double>")
@@ -123,18 +140,22 @@ def fit_bigrams(found: DataFrame) -> dict[str, float]:
     """Log-probabilities of the second character after the first in lower case, from harmless findings."""
     low = F.lower(F.col("candidate"))
     pairs = found.where("label = 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, 2))).alias("p"))
-    rows = pairs.where(F.char_length("p") == 2).groupBy("p").count().orderBy(F.col("count").desc(), "p").limit(2000).collect()
+    rows = pairs.where(F.char_length("p") == 2).groupBy("p").count().orderBy(F.col("count").desc(), "p").limit(MAX_BIGRAMS).collect()
     first: dict[str, int] = {}
     for r in rows:
         first[r.p[0]] = first.get(r.p[0], 0) + r["count"]
-    import math
-
     return {r.p: round(math.log(r["count"] / (first[r.p[0]] + 20)), 6) for r in rows}
 
 
 def fit_secrets(findings: DataFrame) -> dict:
-    """A random forest on at most MAX_FINDINGS labelled findings, as nested conditions."""
-    findings = findings.where("label IN (0, 1) AND candidate IS NOT NULL").orderBy(F.xxhash64("candidate", "before")).limit(MAX_FINDINGS)
+    """A random forest on at most MAX_FINDINGS labelled findings (candidate, before, after, label), as nested conditions.
+
+    Findings with a null candidate or another label than 0 or 1 are no labels; null places count as empty; without
+    any finding there are no trees, and every candidate scores 0; with one label alone all score that.
+    """
+    findings = findings.where("label IN (0, 1) AND candidate IS NOT NULL").select("candidate", "before", "after", "label").orderBy(F.xxhash64("candidate", "before"), "candidate", "before", "after", "label").limit(MAX_FINDINGS)
+    if findings.isEmpty():
+        return {"bigrams": {}, "trees": []}
     bigrams = fit_bigrams(findings)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(with_features(findings, bigrams)).select("x", F.col("label").cast("double").alias("label"))
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
@@ -184,5 +205,5 @@ def scan_secrets(docs: DataFrame, model: dict) -> DataFrame:
     have no candidates; repeated rows give repeated findings; an empty table gives an empty result; other
     columns are not read; long texts are searched whole.
     """
-    found = with_features(with_candidates(docs, SCANNED), model["bigrams"])
+    found = with_features(with_candidates(docs, SCANNED, PREFIX), model["bigrams"])
     return found.select("doc_id", "start", "end", "candidate", "before", "after", forest_score(model["trees"]).alias("score")).withColumn("is_secret", F.col("score") >= 0.5)
