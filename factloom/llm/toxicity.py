@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import MAX_REMEMBERED, bounded_sample, in_small_batches, materialise, text_slices, texts_of
 from factloom.llm.quality import logistic
 
-#: Documents that are learned from, at most about so many of either class, and sentences used for fitting.
-MAX_TOXIC, MAX_CLEAN, MAX_SENTENCES = 3_000, 6_000, 4_000
+#: Documents that are learned from, at most about so many of either class; sentences used for fitting, and words and
+#: stems of the lexicon that labels their tokens, at most.
+MAX_TOXIC, MAX_CLEAN, MAX_SENTENCES, MAX_LEXICON = 3_000, 6_000, 4_000, 5_000
 #: A word marks tokens of toxic documents as toxic if it is so many times more frequent there ...
 ODDS = 20.0
 #: ... and stands in this share of them at least, and in so many documents.
@@ -23,11 +24,12 @@ SHARE, LEAST = 0.004, 4
 #: Tokens of a sequence: a sentence, or a part of one that is longer.
 SEQUENCE = 64
 SPAN_AT = 0.5
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def word_of(token: str) -> str:
-    return "".join(_LETTERS.findall(token.lower()))
+    """Letters and digits of a token in lower case, so a word with digits for letters stays a word of its own."""
+    return "".join(_WORD.findall(token.lower()))
 
 
 STEMS = range(4, 9)
@@ -249,7 +251,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> dict:
     Token labels come from the document labels: a token of a toxic document is toxic if its word is ODDS times
     more frequent in toxic than in clean documents; every other token is not.  The chain is fitted on sentences,
     then a logistic regression turns a document's marginals into the probability of its label.  Rows without a
-    label 0 or 1 are no labels; of repeated labels of a document the larger counts.
+    label 0 or 1 are no labels; of differing labels of a document, or of equal texts, the larger counts.
     """
     spark = docs.sparkSession
     in_small_batches(spark)
@@ -257,12 +259,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> dict:
     size = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = bounded_sample(known.where("y = 1"), "doc_id", MAX_TOXIC, size.get(1, 0), 3).unionByName(bounded_sample(known.where("y = 0"), "doc_id", MAX_CLEAN, size.get(0, 0), 3))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about MAX_TOXIC + MAX_CLEAN rows
-    sample = materialise(sample.select("y", "text", F.xxhash64("text").alias("h")).dropDuplicates(["h"]), "toxic-sample")
+    sample = materialise(sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("y").alias("y"), F.min("text").alias("text")), "toxic-sample")
     total = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     counts = sample.mapInArrow(_document_words, "word string, y int, n long").groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     counts = counts.where((F.col("a") >= max(LEAST, SHARE * bad)) & ((F.col("a") + 0.5) / (bad + 1) >= ODDS * (F.col("b") + 0.5) / (good + 1)))
-    lexicon = {r.word for r in counts.orderBy(F.col("a").desc(), "word").limit(5000).collect()}
+    lexicon = {r.word for r in counts.orderBy(F.col("a").desc(), "word").limit(MAX_LEXICON).collect()}
     drawn = sample.mapInArrow(_sequences(lexicon), "words array<string>, marks array<int>, hit int")
     rows = [r for hit in (1, 0) for r in drawn.where(F.col("hit") == hit).orderBy(F.xxhash64("words"), "words").limit(MAX_SENTENCES // 2).collect()]
     model = fit_chain([r.words for r in rows], [r.marks for r in rows])
