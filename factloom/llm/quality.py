@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -9,20 +10,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from factloom.llm.common import bounded_sample, in_small_batches, text_slices, texts_of
+from factloom.llm.common import MAX_REMEMBERED, bounded_sample, in_small_batches, text_slices, texts_of
 
 #: Labelled and unlabelled rows used for fitting, at most about so many; every other row is only scored.
 MAX_LABELLED = 20_000
 MAX_UNLABELLED = 20_000
-SOURCE_SLOTS, LANG_SLOTS = 64, 16
+SOURCE_SLOTS, LANG_SLOTS, WORD_SLOTS = 64, 16, 128
 BYTE_CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "!?", "#$%&*@^~+=", "|<>{}[]\\_", ".,;:'\"()-", " \t", "\n\r")
-N_TEXT = 2 * (len(BYTE_CLASSES) + 8) + 1
+N_TEXT = 2 * (len(BYTE_CLASSES) + 8) + WORD_SLOTS + 1
 N_META = SOURCE_SLOTS + LANG_SLOTS + 24
 
 
+class WordSlots(dict):
+    """The slot of a word in lower case, by a hash of it, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MAX_REMEMBERED:
+            self.clear()
+        k = self[word] = zlib.crc32(word.lower().encode()) % WORD_SLOTS
+        return k
+
+
+_SLOTS = WordSlots()
+
+
 def text_features(text: str) -> np.ndarray:
-    """Shares of character classes and of repetition in a whole text, each also as its square root."""
+    """Shares of character classes and of repetition in a whole text, each also as its square root, and the square
+    roots of the shares of its words by slot."""
     raw = text.encode("utf-8")
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256, np.int64)
     size = max(1, len(raw))
@@ -36,13 +52,12 @@ def text_features(text: str) -> np.ndarray:
     letters = max(1, counts[65:91].sum() + counts[97:123].sum())
     shares += [counts[128:].sum() / size, counts[65:91].sum() / letters, len(seen) / n, most / n, again / n, len(set(lines)) / len(lines), min(1.0, len(words) / size * 4), min(1.0, np.log1p(len(raw)) / 15)]
     x = np.array(shares)
-    return np.concatenate([x, np.sqrt(x), [1.0]])
+    slots = np.bincount(np.fromiter(map(_SLOTS.__getitem__, seen), np.int64, len(seen)), weights=np.fromiter(seen.values(), float, len(seen)), minlength=WORD_SLOTS)
+    return np.concatenate([x, np.sqrt(x), np.sqrt(slots / n), [1.0]])
 
 
 def meta_slots(source, lang, n_chars) -> tuple[int, int, int]:
     """Positions that are 1 in the metadata view: source, language and size class."""
-    import zlib
-
     return (
         zlib.crc32(str(source).encode()) % SOURCE_SLOTS,
         SOURCE_SLOTS + zlib.crc32(str(lang).encode()) % LANG_SLOTS,
@@ -120,19 +135,21 @@ def predict(model: dict, text_x: np.ndarray, meta_x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-_VIEW = "y int, t array<double>, source string, lang string, n_chars long"
+_VIEW = "y int, t binary, source string, lang string, n_chars long"
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in text_slices(batches):
-        x = [text_features(t) for t in texts_of(b)]
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")).cast(pa.int32()), pa.array(x, pa.list_(pa.float64())), *[b.column(b.schema.get_field_index(c)).cast(t) for c, t in (("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.int64()))]], names=["y", "t", "source", "lang", "n_chars"])
+        x = [text_features(t).astype(np.float32).tobytes() for t in texts_of(b)]
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")).cast(pa.int32()), pa.array(x, pa.binary()), *[b.column(b.schema.get_field_index(c)).cast(t) for c, t in (("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.int64()))]], names=["y", "t", "source", "lang", "n_chars"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rounds: int = 4) -> dict:
     """Fit on bounded samples of labelled and unlabelled documents; only their features reach the driver.
 
-    Rows without a label 0 or 1 are no labels; of repeated labels of a document the larger counts.
+    Rows without a label 0 or 1 are no labels; of repeated labels of a document the larger counts; where all labels
+    are alike every document scores that, and 0.5 where there is none.  Rows that are equal in all features may stand
+    in any order, so the fit does not depend on how rows were dealt over tasks.
     """
     in_small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
@@ -141,9 +158,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rounds: int = 4) -> dict:
     labelled = docs.select(*cols).join(F.broadcast(known), "doc_id").drop("doc_id")  # about MAX_LABELLED rows at most
     pool = bounded_sample(docs.select(*cols), "doc_id", MAX_UNLABELLED, docs.count(), seed=13).join(F.broadcast(known), "doc_id", "left_anti").select("text", "source", "lang", "n_chars", F.lit(-1).alias("y"))
     rows = labelled.unionByName(pool).mapInArrow(_views, _VIEW).toPandas()
-    rows["_k"] = [hash(tuple(t)) for t in rows["t"]]
-    rows = rows.sort_values(["_k", "y"], kind="stable")  # the same order whichever task came first
-    text, meta = np.array(rows["t"].tolist()).reshape(len(rows), N_TEXT), meta_features(list(zip(rows["source"], rows["lang"], rows["n_chars"].fillna(0), strict=True)))
+    rows["n_chars"] = rows["n_chars"].fillna(-1)
+    rows = rows.sort_values(["t", "y", "source", "lang", "n_chars"], kind="stable")  # the same order whichever task came first
+    text, meta = np.frombuffer(b"".join(rows["t"]), np.float32).reshape(len(rows), N_TEXT).astype(float), meta_features(list(zip(rows["source"], rows["lang"], rows["n_chars"], strict=True)))
     is_pool = (rows["y"] < 0).to_numpy()
     return co_train(text[~is_pool], meta[~is_pool], rows["y"].to_numpy()[~is_pool].astype(float), text[is_pool], meta[is_pool], rounds)
 
@@ -165,6 +182,4 @@ def score_quality(docs: DataFrame, model: dict, name: str = "quality_score") ->
             meta = meta_features(list(zip(*[at[c].to_pylist() for c in ("source", "lang", "n_chars")], strict=True)))
             yield pa.RecordBatch.from_arrays([*[at[f.name] for f in kept], pa.array(predict(shared.value, x, meta), pa.float64())], names=[*[f.name for f in kept], name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.select(*[f.name for f in kept]).mapInArrow(score, StructType([*kept, StructField(name, DoubleType())]))
