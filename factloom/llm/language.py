@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import MAX_REMEMBERED, in_small_batches, text_slices, texts_of
+from factloom.llm.common import MAX_REMEMBERED, broadcast_if_small, in_small_batches, text_slices, texts_of
 
-#: Documents of each language that are learned from, at most about so many; languages and n-grams kept of them.
+#: Documents of each language that are learned from, at most about so many; the most frequent n-grams kept of them,
+#: and numbers in the table of all languages by n-gram, which bounds the n-grams where there are many languages.
 MAX_DOCUMENTS = 3_000
-MAX_LANGUAGES = 200
-MAX_GRAMS = 100_000
+MAX_GRAMS, MAX_CELLS = 100_000, 12_000_000
 #: What a switch of language costs, and the most that one word can count for or against a language.
 SWITCH, WORD_CAP = 8.0, 5.0
 #: A language is held to use a script if this share of its letters is in it.
@@ -91,19 +91,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_languages(docs: DataFrame) -> dict:
-    """Learn n-gram and script counts from a bounded sample of each language's documents; only the counts of
-    MAX_GRAMS n-grams reach the driver.  Rows with a null language or text teach nothing."""
+    """Learn n-gram and script counts of every language from a bounded sample of its documents; only the counts of
+    MAX_GRAMS n-grams, or fewer under MAX_CELLS, reach the driver.  Rows with a null language or text, and languages
+    without any letter, teach nothing."""
     in_small_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(MAX_LANGUAGES)
-    known = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) * F.col("_n") < F.lit(1_000_000 * MAX_DOCUMENTS)).select("text", "lang")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    known = known.join(broadcast_if_small(sizes, sizes.count()), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) * F.col("_n") < F.lit(1_000_000 * MAX_DOCUMENTS)).select("text", "lang")
     counts = known.mapInArrow(_count, "lang string, gram long, is_script boolean, n long").groupBy("is_script", "gram", "lang").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("is_script", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     scripts = counts.where("is_script").collect()
-    rows = counts.where("NOT is_script AND all >= 3").orderBy(F.col("all").desc(), "gram").limit(MAX_GRAMS).collect()
     langs = sorted({k for r in scripts for k in r["by"]})
     if not langs:
         return {"langs": []}
+    rows = counts.where("NOT is_script AND all >= 3").orderBy(F.col("all").desc(), "gram").limit(min(MAX_GRAMS, max(1, MAX_CELLS // len(langs)))).collect()
     letters = Counter()
     for r in scripts:
         letters.update(r["by"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe, content_sort, language, licences, mixing, near_dup, quality, secrets, toxicity, transport_stream
@@ -16,6 +16,11 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """Whether labels of a row are kept from the fit; no row without a doc_id is."""
+    return F.coalesce(fold("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings in documents, false positives marked; the secrets themselves only as digests."""
     model = secrets.fit_secrets(secrets.labelled_findings(spark))
@@ -27,14 +32,14 @@ def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
     tagged = toxicity.tag_toxicity(docs, model)
-    return tagged.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+    return tagged.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; fitted on labels whose crc32(doc_id) mod 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
-    return quality.score_quality(docs, model, "score").select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return quality.score_quality(docs, model, "score").select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +76,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit_languages(docs.where(fold("doc_id", 4) != 2))
-    return language.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "spans")
+    return language.identify(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score", "spans")
 
 
 #: Target weights of the mixing query and the pipeline: one domain twice as much as the others, English half as
