@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,6 +60,13 @@ def brute_copies(docs):
     return {n: (sorted(g, key=lambda x: (x[0], x[1], x[2] or 0))[0][2], len(g)) for n, g in groups.items()}
 
 
+def test_hot_text_without_ids(spark):
+    docs = spark.createDataFrame([(None if k % 5 else k, "same " * (1 + k % 2), "z") for k in range(3000)], "doc_id long, text string, kept string")
+    got = content_sort.content_sort_dedup(docs).groupBy("keep_id", "group_size").agg({"*": "count"}).collect()
+    assert [tuple(r) for r in got] == [(0, 1500, 1500), (5, 1500, 1500)] or sorted(map(tuple, got)) == [(0, 1500, 1500), (5, 1500, 1500)]
+    assert content_sort.content_sort_dedup(docs).where("kept").count() == 2
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_content_sort_matches_brute_force(spark, hot):
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
@@ -93,6 +101,24 @@ def test_near_duplicates_match_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_large_bands_of_several_components(spark, monkeypatch):
+    """A hot set, a hub with many links and bands of many members and outsiders, in blocks of a few members."""
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "SIGNATURE_BLOCK", 11)
+    monkeypatch.setattr(near_dup, "MEMBERS", 20)
+    rng = np.random.default_rng(5)
+    docs = [(k, "one two three four five six seven") for k in range(400)]
+    base = [f"w{k}" for k in range(60)]
+    for k in range(260):  # near copies of one text, and texts that are less and less like it
+        w = list(base)
+        for j in rng.choice(60, int(rng.integers(0, 3)) if k % 3 else int(rng.integers(2, 5)), replace=False):
+            w[j] = f"o{k}" if k % 2 else f"o{j}"
+        docs.append((1000 + k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 80).collect()}
+    assert got == brute_components(docs, 80)
+
+
 def test_near_duplicates_odd_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "x y"), (2, "x y"), (3, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect())
@@ -141,20 +167,97 @@ def test_bpe_over_documents(spark, bpe):
     assert byte_bpe.encode_documents(df.limit(0), *tokenizer()).collect() == []
 
 
-def test_budgets():
-    # b cannot take its half: the sibling a takes it before x does
-    cap = {("n", "a"): 100, ("n", "b"): 10, ("x", "c"): 100}
-    assert mixing.plan_budgets(cap, {}, 120) == {("n", "a"): 50, ("n", "b"): 10, ("x", "c"): 60}
-    assert mixing.plan_budgets(cap, {}, 500) == cap
-    assert mixing.plan_budgets({}, {}, 5) == {}
-    assert sum(mixing.plan_budgets(cap, {("n",): 3.0}, 7).values()) == 7
+def test_bpe_over_all_letters(bpe):
+    """Letters and numbers of any version of Unicode, and every seventh other code point, in two surroundings."""
+    own, other = bpe
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = [c for k, c in enumerate(points) if k % 7 == 0 or not 0x3400 < ord(c) < 0xD7A4 and regex.match(r"[\p{L}\p{N}\s]", c)]
+    for at in range(0, len(points), 5000):
+        text = "\n".join(f"a{c}1 {c}{c} 1{c} X{c}'s" for c in points[at : at + 5000])
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("pattern", [r"\S+(?: \S+)?|\s+", r"\p{N}{1,3}|[^\r\n\p{L}\p{N}]?\p{L}+|\s+|.", r"(?i:'s|'t)|\w+|\W"])
+def test_bpe_with_other_patterns(bpe, pattern):
+    ranks = bpe[0].ranks
+    own, other = byte_bpe.ByteBPE(ranks, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in ("of the in a", "it's  a Test 12345 \u7ae5 x", "a\n b", "1\ua7ce2 X's"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+
+
+def plain_budgets(capacity, weights, total):
+    """Hierarchical budgets by filling siblings round by round, apart from the operator's own way."""
+    below, holds, budget = {}, {}, {}
+    for leaf, tokens in capacity.items():
+        if any(weights.get(leaf[:d], 1.0) <= 0 for d in range(1, len(leaf) + 1)):
+            tokens = 0
+        for depth in range(len(leaf), -1, -1):
+            holds[leaf[:depth]] = holds.get(leaf[:depth], 0) + tokens
+            if depth:
+                below.setdefault(leaf[: depth - 1], {})[leaf[:depth]] = None
+
+    def settle(node, amount):
+        if node not in below:
+            budget[node] = amount
+            return
+        share, left, open_ = dict.fromkeys(below[node], 0), amount, sorted(below[node])
+        while left > 0 and open_:
+            own = {c: max(0.0, weights.get(c, 1.0)) for c in open_}
+            if sum(own.values()) <= 0:
+                break
+            asked = {c: left * own[c] / sum(own.values()) for c in open_}
+            full = [c for c in open_ if asked[c] >= holds[c]]
+            if not full:
+                whole = {c: int(asked[c]) for c in open_}
+                for c in sorted(open_, key=lambda c: (-(asked[c] - whole[c]), c))[: left - sum(whole.values())]:
+                    whole[c] += 1
+                for c in open_:
+                    share[c] = min(whole[c], holds[c])
+                break
+            for c in full:
+                left -= holds[c]
+                share[c] = holds[c]
+            open_ = [c for c in open_ if c not in full]
+        for c in below[node]:
+            settle(c, share[c])
+
+    if capacity:
+        settle((), min(total, holds[()]))
+    return budget
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.tuples(st.sampled_from("ab"), st.sampled_from("cd"), st.sampled_from("efg")), st.integers(0, 50), max_size=10), st.integers(0, 400))
-def test_budgets_are_whole(cap, total):
-    got = mixing.plan_budgets(cap, {("a",): 3.0, ("a", "c"): 0.5}, total)
-    assert sum(got.values()) == min(total, sum(cap.values())) and all(0 <= got[k] <= cap[k] for k in cap)
+def budgets(spark, cap, weights, total):
+    df = spark.createDataFrame([(*k, v) for k, v in cap.items()], "a string, b string, c string, holds long")
+    return {tuple(r[:3]): r._budget for r in mixing.plan_budgets(df, ["a", "b", "c"], "holds", weights, total).collect()}
+
+
+def test_budgets(spark):
+    # b cannot take its half: the sibling a takes it before x does
+    cap = {("r", "n", "a"): 100, ("r", "n", "b"): 10, ("r", "x", "c"): 100}
+    assert budgets(spark, cap, {}, 120) == {("r", "n", "a"): 50, ("r", "n", "b"): 10, ("r", "x", "c"): 60}
+    assert budgets(spark, cap, {}, 500) == cap
+    assert budgets(spark, {}, {}, 5) == {}
+    assert budgets(spark, cap, {("r", "n"): 0.0}, 90) == {("r", "n", "a"): 0, ("r", "n", "b"): 0, ("r", "x", "c"): 90}
+    rng = np.random.default_rng(9)
+    for k in range(12):
+        cap = {(str(a), str(b), str(c)): int(rng.integers(0, 60)) for a, b, c in rng.integers(0, 6, (60, 3))}
+        weights = {("1",): 3.0, ("1", "2"): 0.5, ("3",): 0.0, ("2", "2", "1"): -1.0} if k % 2 else {}
+        total = int(rng.integers(0, 2 * sum(cap.values())))
+        got = budgets(spark, cap, weights, total)
+        assert got == plain_budgets(cap, weights, total)
+        dead = sum(v for x, v in cap.items() if any(weights.get(x[:d], 1) <= 0 for d in (1, 2, 3)))
+        assert sum(got.values()) == min(total, sum(cap.values()) - dead)
+
+
+def test_many_leaves_and_weight_zero(spark, monkeypatch):
+    """More leaves than may be broadcast, one of them with most documents, and a source of weight 0 with empty texts."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 10)
+    docs = [(k, "x" * (k % 9), "en", f"src{k % 50 if k % 3 else 0}") for k in range(1500)]
+    docs += [(5000 + k, "" if k < 180 else "word", "en", "bad4") for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    weights = {("d0", "en", "bad4"): 0.0}
+    got = sorted((r.doc_id, r.mix_epoch, r.mix_tokens) for r in mixing.mix(df, weights, fraction=0.7).collect())
+    assert got == brute_mix(docs, weights, 0.7, 1, mixing.DEFAULT_SEED) and max(d for d, _, _ in got) < 5000
 
 
 def brute_mix(docs, weights, fraction, epochs, seed):
@@ -166,9 +269,11 @@ def brute_mix(docs, weights, fraction, epochs, seed):
     for d, text, lang, source in docs:
         leaves.setdefault((domain(source), lang or "", source or ""), []).append((d, -(-len(text or "") // 4)))
     once = {k: sum(t for _, t in v) for k, v in leaves.items()}
-    budget = mixing.plan_budgets({k: v * epochs for k, v in once.items()}, weights, int(sum(once.values()) * fraction))
+    budget = plain_budgets({k: v * epochs for k, v in once.items()}, weights, int(sum(once.values()) * fraction))
     out = []
     for k, v in leaves.items():
+        if any(weights.get(k[:d], 1) <= 0 for d in (1, 2, 3)) or (once[k] and not budget[k]):
+            continue
         used = 0
         order = [(e, hashlib.md5(f"{seed}:{e}:{d}".encode()).hexdigest(), d, t) for e in range(epochs) for d, t in v]
         for e, _, d, t in sorted(order):

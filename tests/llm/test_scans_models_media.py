@@ -60,6 +60,33 @@ def test_secrets_odd_input(spark, odd, forest):
     assert secrets.scan_secrets(odd.limit(0), forest).collect() == []
 
 
+def test_no_findings_and_one_label(spark):
+    none = secrets.fit_secrets(secrets.labelled_findings(spark).limit(0))
+    docs = spark.createDataFrame([(1, 'token = "24be6443f0c1d2e3a4b5968778695a4b3c2d1e0f"')], "doc_id long, text string")
+    assert [(r.score, r.is_secret) for r in secrets.scan_secrets(docs, none).collect()] == [(0.0, False)]
+    one = secrets.fit_secrets(spark.createDataFrame([("a1b2c3", None, "", 1), ("zz", "token=", None, 1), (None, "", "", 0), ("q", "", "", None)], "candidate string, before string, after string, label int"))
+    assert [r.score for r in secrets.scan_secrets(docs, one).collect()] == [1.0]
+
+
+def plain_finds(text):
+    """What the scan looks at, by Python's own expressions: the same rules, matched from left to right."""
+    found = []
+    for m in re.compile(secrets.SCANNED.replace("(?<=" + secrets._NAMED, "(?:(?!)" + secrets._NAMED)).finditer(text):
+        value = re.sub(secrets.PREFIX, "", m[0]) or m[0]
+        found.append((m.end() - len(value), m.end(), value))
+    return found
+
+
+def test_scan_matches_brute_force(spark, forest):
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    extra = ["k=1 " * 700 + "token=abc ", "api_key: 'a b' token,'x' auth->yes secret=> z", "a" * 15 + "=b", "my_own_service_api_tokens_are 12", "\U0001f600 pwd=\U0001f600\U0001f600 x"]
+    docs = docs.union(spark.createDataFrame([(90_000 + k, t) for k, t in enumerate(extra)], docs.schema))
+    got = sorted((r.doc_id, r.start, r.end, r.candidate) for r in secrets.scan_secrets(docs, forest).collect())
+    assert got == sorted((r.doc_id, *f) for r in docs.collect() for f in plain_finds(r.text or ""))
+    name = "my_service_wide_api_token=" + "Zq7" * 5
+    assert [r.candidate for r in secrets.scan_secrets(spark.createDataFrame([(1, name)], "doc_id long, text string"), forest).collect()] == ["Zq7" * 5]
+
+
 def test_assigned_short_and_digit_free_secrets(spark, forest):
     sha, key = "24be6443f0c1d2e3a4b5968778695a4b3c2d1e0f", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
     want = {
@@ -121,6 +148,15 @@ def test_toxicity_held_out(spark):
     assert {"idiot", "moron", "scum"} <= {w for w, _ in words.most_common(40)}
 
 
+def test_labels_of_equal_texts(spark):
+    docs = spark.createDataFrame([(k, "vile zzqx word here." if k % 2 else f"good day number {k}.") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 if k % 4 == 1 else 0) for k in range(60)], "doc_id long, toxic int")  # half of the equal texts
+    model = toxicity.fit_toxicity(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.tag_toxicity(docs, model).collect()}
+    assert min(s for k, s in got.items() if k % 2) > 0.7 > 0.3 > max(s for k, s in got.items() if k % 2 == 0)
+    assert toxicity.word_of("1d1ot!") == "1d1ot" and toxicity.word_of("(Word)") == "word"
+
+
 def test_toxicity_odd_input(spark, odd):
     docs = table(spark, SF, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, SF, "labels"))
@@ -138,7 +174,7 @@ def test_toxicity_odd_input(spark, odd):
 @given(st.one_of(st.binary(max_size=2000), st.integers(0, 70000).map(lambda n: bytes(range(256)) * (n // 256) + b"G" * (n % 256))))
 def test_streams_round_trip(payload):
     stream = transport_stream.multiplex(payload)
-    found = transport_stream.demultiplex(stream)
+    (found,) = transport_stream.demultiplex(stream)["streams"]
     assert found["payload"] == payload and found["cc_errors"] == 0 and len(stream) % 188 == 0
     units = -(-len(payload) // transport_stream.UNIT)
     assert found["pts"] == [k * 3600 for k in range(units)] and found["random_access"] == list(range(units))
@@ -149,12 +185,45 @@ def test_lost_and_repeated_packets():
     payload = bytes(range(256)) * 300
     stream = transport_stream.multiplex(payload)
     packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
-    again = transport_stream.demultiplex(b"".join(packets[:10] + [packets[9]] + packets[10:]))
+    (again,) = transport_stream.demultiplex(b"".join(packets[:10] + [packets[9]] + packets[10:]))["streams"]
     assert again["payload"] == payload and again["cc_errors"] == 0
-    lost = transport_stream.demultiplex(b"".join(packets[:50] + packets[51:]))
+    (lost,) = transport_stream.demultiplex(b"".join(packets[:50] + packets[51:]))["streams"]
     assert lost["cc_errors"] == 1 and lost["payload"] == payload[transport_stream.UNIT :]
-    assert transport_stream.demultiplex(b"junk" * 100)["payload"] == b""
-    assert transport_stream.demultiplex(stream[188:])["program"] is None
+    assert transport_stream.demultiplex(b"junk" * 100)["streams"] == []
+    assert transport_stream.demultiplex(stream[188:])["streams"] == []
+    starts = [k for k, p in enumerate(packets) if p[1] & 0x40][3:]  # after the two tables and the first unit
+    for flag, errors in ((0x80, 0), (0, 1)):  # a jump of the counter between units, announced or not
+        moved = [bytearray(p) for p in packets]
+        for p in moved[starts[0] :]:
+            p[3] = p[3] & 0xF0 | (p[3] + 5) & 15
+        moved[starts[0]][5] |= flag
+        (found,) = transport_stream.demultiplex(b"".join(map(bytes, moved)))["streams"]
+        assert (found["cc_errors"], found["payload"] == payload) == (errors, not errors)
+
+
+def test_long_tables_and_several_programs():
+    """Map tables of two programs over several packets each, streams between one another."""
+    t = transport_stream
+    a, b = b"first" * 5000, b"second" * 3000
+    own = {0x101: (1, a), 0x201: (2, b)}
+
+    def section(table, ident, body, pid):
+        head = bytes([table, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 0xFF, ident >> 8, ident & 0xFF, 0xC1, 0, 0])
+        whole = b"\0" + head + body + t.section_crc(head + body).to_bytes(4, "big")
+        parts = [whole[i : i + 184] for i in range(0, len(whole), 184)]
+        return [bytes([0x47, (0x40 if k == 0 else 0) | pid >> 8, pid & 0xFF, 0x10 | k % 16]) + p + b"\xff" * (184 - len(p)) for k, p in enumerate(parts)]
+
+    packets = section(0, 1, b"".join(p.to_bytes(2, "big") + (0xE000 | pid).to_bytes(2, "big") for p, pid in ((1, 0x100), (2, 0x200))), 0)
+    for pid, (program, _) in own.items():
+        notes = b"\x0a\x04eng\0" * 60  # descriptors that make the table long
+        packets += section(2, program, (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(notes)).to_bytes(2, "big") + notes + b"\x06" + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\0", pid - 1)
+    bodies = []
+    for pid, (_, payload) in own.items():
+        whole = t.multiplex(payload)[376:]
+        bodies.append([bytes([x[0], x[1] & 0xE0 | pid >> 8, pid & 0xFF]) + x[3:] for x in (whole[i : i + 188] for i in range(0, len(whole), 188))])
+    mixed = [p for pair in itertools.zip_longest(*bodies) for p in pair if p]
+    found = t.demultiplex(b"".join(packets + mixed))["streams"]
+    assert [(f["program"], f["pid"], f["payload"], f["cc_errors"]) for f in found] == [(1, 0x101, a, 0), (2, 0x201, b, 0)]
 
 
 @settings(max_examples=100, deadline=None)
@@ -176,7 +245,9 @@ def test_media_digests(spark, odd):
     assert got[0].payload_bytes == 64 and got[0].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest() == got[1].payload_sha256
     assert got[8].media_sha256 == got[9].media_sha256
     back = {r.doc_id: r for r in transport_stream.read_media(transport_stream.store_media(odd)).collect()}
-    assert back[6].payload == b"x1" * 40000 and back[6].units == 5
+    assert back[6].streams[0].payload == b"x1" * 40000 and back[6].streams[0].units == 5 and back[6].n_bytes == 80000
+    assert got[6].pts == [k * 3600 for k in range(5)] and got[6].random_access == list(range(5)) and got[6].feature == "program=1;pid=257;packets=441;units=5;errors=0;random_access=5;seconds=0.160"
+    assert transport_stream.read_media(spark.createDataFrame([(1, None, "x")], "doc_id long, media binary, packets string")).first().asDict() == {"doc_id": 1, "packets": 0, "streams": []}
     assert transport_stream.media_digests(odd.limit(0)).collect() == []
 
 
@@ -217,6 +288,14 @@ def test_viterbi_equals_enumeration(rows, switch):
     assert np.isclose(value(language.label_words(s, switch).tolist()), best)
 
 
+def test_many_languages(spark):
+    """Three hundred languages of one word each: all are learned."""
+    word = lambda k: "".join(chr(97 + (k // 26**i) % 26) for i in range(3)) * 2
+    docs = spark.createDataFrame([(k * 3 + j, f"{word(k)} {word(k)}", f"l{k:03}") for k in range(300) for j in range(3)], "doc_id long, text string, lang string")
+    got = language.identify(docs, language.fit_languages(docs)).join(docs, "doc_id").collect()
+    assert len(got) == 900 and np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
 def test_language_held_out(spark, odd):
     got = {r.doc_id: r for r in op9_language_viterbi(spark, SF).collect()}
     docs = table(spark, SF, "documents").where("lang IS NOT NULL").collect()
