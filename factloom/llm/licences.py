@@ -41,13 +41,24 @@ SENTENCES = {
     "later-2": ["either version 2 of the License, or (at your option) any later version."],
     "later-21": ["either version 2.1 of the License, or (at your option) any later version."],
     "later-3": ["either version 3 of the License, or (at your option) any later version."],
-    "mpl2-terms": ["This Source Code Form is subject to the terms of the Mozilla Public License, v."],
+    "mpl2-terms": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
     "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
     "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
     "apache2-title": ["Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "mit0-permission": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."],
+    "0bsd-permission": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "zlib-permission": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain."],
+    "boost-permission": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "wtfpl-permission": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."],
+    "postgres-permission": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."],
+    "ofl-notice": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "epl2-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "mpl2-title": ["Mozilla Public License Version 2.0"],
+    "gfdl13-title": ["GNU Free Documentation License Version 1.3, 3 November 2008"],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
 }
 #: Licences by the ordered sentence identifiers that tell them; the first rule that fits at a place wins, so
@@ -77,6 +88,17 @@ RULES = [
     ("AGPL-3.0", "agpl3-title", ["agpl3-title"]),
     ("Apache-2.0", "apache2-title", ["apache2-title"]),
     ("ISC", "isc-text", ["isc-permission"]),
+    ("MIT-0", "mit0-text", ["mit0-permission"]),
+    ("0BSD", "0bsd-text", ["0bsd-permission"]),
+    ("Zlib", "zlib-text", ["zlib-permission"]),
+    ("Unlicense", "unlicense-text", ["unlicense-free"]),
+    ("BSL-1.0", "boost-text", ["boost-permission"]),
+    ("WTFPL", "wtfpl-text", ["wtfpl-permission"]),
+    ("PostgreSQL", "postgres-text", ["postgres-permission"]),
+    ("OFL-1.1", "ofl-notice", ["ofl-notice"]),
+    ("EPL-2.0", "epl2-notice", ["epl2-notice"]),
+    ("MPL-2.0", "mpl2-title", ["mpl2-title"]),
+    ("GFDL-1.3", "gfdl13-title", ["gfdl13-title"]),
     ("MIT", "mit-notice-line", ["released-mit"]),
     ("Apache-2.0", "apache2-notice-line", ["released-apache2"]),
     ("GPL-3.0-only", "gpl3-notice-line", ["released-gpl3"]),
@@ -84,10 +106,88 @@ RULES = [
     ("CC-BY-NC-4.0", "ccbync4-notice-line", ["released-ccbync4"]),
     ("CC-BY-4.0", "ccby4-notice-line", ["released-ccby4"]),
 ]
+# SPDX identifiers of licences, and the names that notices call them by.
+NAMES = {
+    "MIT": ["MIT License", "MIT licence", "MIT", "MIT/Expat License", "Expat License"],
+    "MIT-0": ["MIT No Attribution License", "MIT-0 License"],
+    "0BSD": ["BSD Zero Clause License", "0BSD License", "Zero-Clause BSD License"],
+    "BSD-1-Clause": ["BSD 1-Clause License", "BSD-1-Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD-2-Clause License", "Simplified BSD License", "FreeBSD License", "BSD 2-Clause \"Simplified\" License", "2-clause BSD license"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause License", "New BSD License", "Modified BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "3-clause BSD license"],
+    "BSD-4-Clause": ["BSD 4-Clause License", "Original BSD License"],
+    "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0", "Boost Software License"],
+    "ISC": ["ISC License"],
+    "X11": ["X11 License"],
+    "Zlib": ["zlib License", "zlib/libpng License"],
+    "NCSA": ["University of Illinois/NCSA Open Source License", "NCSA Open Source License"],
+    "PostgreSQL": ["PostgreSQL License"],
+    "Python-2.0": ["Python License 2.0", "Python Software Foundation License", "PSF License"],
+    "PHP-3.01": ["PHP License v3.01", "PHP License, version 3.01"],
+    "Ruby": ["Ruby License"],
+    "Vim": ["Vim License"],
+    "curl": ["curl License"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+    "WTFPL": ["Do What The F*ck You Want To Public License", "WTFPL", "WTFPL License"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "CC0 1.0 Universal Public Domain Dedication", "Creative Commons Zero v1.0 Universal License"],
+    "Apache-1.1": ["Apache Software License 1.1", "Apache Software License, Version 1.1"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache-2.0 License", "Apache Software License 2.0"],
+    "Artistic-1.0": ["Artistic License 1.0"],
+    "Artistic-2.0": ["Artistic License 2.0", "Artistic License, Version 2.0"],
+    "AFL-3.0": ["Academic Free License 3.0", "Academic Free License v. 3.0", "Academic Free License version 3.0"],
+    "OSL-3.0": ["Open Software License 3.0", "Open Software License v. 3.0", "Open Software License version 3.0"],
+    "ECL-2.0": ["Educational Community License, Version 2.0", "Educational Community License 2.0"],
+    "MS-PL": ["Microsoft Public License", "Microsoft Public License (Ms-PL)"],
+    "MS-RL": ["Microsoft Reciprocal License", "Microsoft Reciprocal License (Ms-RL)"],
+    "MulanPSL-2.0": ["Mulan PSL v2", "Mulan Permissive Software License, Version 2"],
+    "OFL-1.1": ["SIL Open Font License, Version 1.1", "SIL Open Font License 1.1", "OFL-1.1 License"],
+    "LPPL-1.3c": ["LaTeX Project Public License 1.3c", "LaTeX Project Public License, version 1.3c"],
+    "GPL-1.0-only": ["GNU General Public License, version 1", "GNU General Public License v1.0"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2", "GPLv2 License", "GPL-2.0 License"],
+    "GPL-2.0-or-later": ["GNU General Public License, version 2 or later", "GNU General Public License v2.0 or later", "GPLv2+"],
+    "GPL-3.0-only": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3", "GPLv3 License", "GPL-3.0 License"],
+    "GPL-3.0-or-later": ["GNU General Public License, version 3 or later", "GNU General Public License v3.0 or later", "GPLv3 or later"],
+    "LGPL-2.0-only": ["GNU Library General Public License, version 2", "GNU Library General Public License v2"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL-2.1 License"],
+    "LGPL-2.1-or-later": ["GNU Lesser General Public License, version 2.1 or later", "GNU Lesser General Public License v2.1 or later"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3", "LGPL-3.0 License"],
+    "LGPL-3.0-or-later": ["GNU Lesser General Public License, version 3 or later", "GNU Lesser General Public License v3.0 or later"],
+    "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3", "AGPL-3.0 License"],
+    "AGPL-3.0-or-later": ["GNU Affero General Public License, version 3 or later", "GNU Affero General Public License v3.0 or later"],
+    "GFDL-1.3-only": ["GNU Free Documentation License, version 1.3", "GNU Free Documentation License v1.3"],
+    "MPL-1.1": ["Mozilla Public License 1.1", "Mozilla Public License, Version 1.1"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0 License"],
+    "EPL-1.0": ["Eclipse Public License 1.0", "Eclipse Public License v1.0", "Eclipse Public License, Version 1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, Version 2.0"],
+    "EUPL-1.2": ["European Union Public Licence 1.2", "European Union Public License 1.2", "EUPL, Version 1.2", "EUPL v1.2"],
+    "CDDL-1.0": ["Common Development and Distribution License 1.0", "Common Development and Distribution License, Version 1.0", "CDDL 1.0 License"],
+    "CPL-1.0": ["Common Public License 1.0", "Common Public License, Version 1.0"],
+    "QPL-1.0": ["Q Public License 1.0", "Q Public License version 1.0"],
+    "BUSL-1.1": ["Business Source License 1.1", "Business Source License, Version 1.1"],
+    "ODbL-1.0": ["Open Database License 1.0", "Open Data Commons Open Database License v1.0"],
+    "ODC-By-1.0": ["Open Data Commons Attribution License 1.0", "Open Data Commons Attribution License v1.0"],
+    "PDDL-1.0": ["Open Data Commons Public Domain Dedication and License 1.0", "ODC Public Domain Dedication and License 1.0"],
+}
+# Conditions of Creative Commons licences and their long names; each of them in several versions.
+CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _k, _long in CREATIVE.items():
+    for _v, _kind in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        NAMES[f"CC-{_k}-{_v}"] = [f"CC {_k} {_v}", f"CC-{_k}-{_v}", f"CC {_k} {_v} License", f"Creative Commons {_long} {_v} {_kind} License", f"Creative Commons {_long} {_v} License"]
+# What notices say before the name of a licence, and after it.
+SAYING = ["licensed under", "released under", "distributed under", "made available under", "available under", "provided under"]
+SUBJECTS = ["", "this project is", "this software is", "this work is", "this program is", "this package is", "this library is", "this file is", "this code is", "it is", "the code is", "the project is"]
+ENDINGS = ["", "see LICENSE", "see the LICENSE file", "see LICENSE for details", "see the LICENSE file for details", "see LICENSE.md for details", "see the LICENSE.md file for details", "see the file LICENSE for details"]
+for _id, _names in NAMES.items():
+    SENTENCES[f"named-{_id}"] = [*_names, f"SPDX-License-Identifier: {_id}", f"License: {_id}", f"License: {_names[0]}"]
+    RULES.append((_id, f"{_id}-named", [f"named-{_id}"]))
+#: Identifiers that only a notice or a tag names: what a bare name stands for has to be said before it.
+_TAGGED = re.compile(r"^(?:spdx-license-identifier|license) ")
+_NOTICE = re.compile(rf"^(?:(?:{'|'.join(x for x in SUBJECTS if x)}) )?(?:{'|'.join(SAYING)}) (?:(?:the|a|an) )?(?:terms of (?:the )?)?")
+
 #: Other sentences that may stand between two of a rule.
 MAX_GAP = 3
 
-_END = re.compile(r"[.!?;:](?=\s|[!?]|$)|\n\s*\n|\r\n\s*\r\n")
+# neither the colon of a tag nor the dot of "v." ends a sentence
+_END = re.compile(r"(?<!\s[Vv])[.!?;](?=\s|[!?]|$)|(?<![Ii]dentifier)(?<![Ll]icense)(?<![Ll][Ii][Cc]ENSE):(?=\s|$)|\n\s*\n|\r\n\s*\r\n")
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*")
 
 
@@ -96,13 +196,32 @@ def normalise(sentence: str) -> str:
     return " ".join(_WORD.findall(sentence.lower()))
 
 
-KNOWN = {normalise(s): k for k, forms in SENTENCES.items() for s in forms}
+KNOWN = {normalise(s): k for k, forms in SENTENCES.items() if not k.startswith("named-") for s in forms}
+#: Names and tags of licences; a name counts only in a notice.
+NAMED = {normalise(s): k for k, forms in SENTENCES.items() if k.startswith("named-") for s in forms}
+_ENDINGS = sorted({" " + normalise(e) for e in ENDINGS if e}, key=len, reverse=True)
 #: Every known sentence holds one of these, so a text without any holds no known sentence.
-ANCHORS = ("licens", "permission", "permitted", "redistribution", "warranty", "copyright")
+ANCHORS = ("licens", "permission", "permitted", "redistribution", "warranty", "copyright", *(f"{x.split()[-2]} under" for x in SAYING), "public domain")
 assert all(any(a in s for a in ANCHORS) for s in KNOWN)
 _LONGEST = max(len(s.split()) for s in KNOWN)
 
 
+def identify_sentence(words: str) -> str | None:
+    """The identifier of a normalised sentence: known as it stands, or a notice or tag that names a licence."""
+    if (name := KNOWN.get(words)) is not None:
+        return name
+    if _TAGGED.match(words):
+        return NAMED.get(words)
+    if m := _NOTICE.match(words):
+        rest = words[m.end() :]
+        if rest in NAMED:
+            return NAMED[rest]
+        for e in _ENDINGS:
+            if rest.endswith(e):
+                return NAMED.get(rest[: -len(e)])
+    return None
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Offsets of sentences, each with the mark that ends it."""
     out, start = [], 0
@@ -126,7 +245,7 @@ def known_sentences(text: str) -> list[tuple[int, str, int, int]]:
         if not any(a in low for a in ANCHORS):
             continue
         found = []
-        if name := KNOWN.get(normalise(low)):
+        if name := identify_sentence(normalise(low)):
             found.append((name, x, y))
         else:
             edges = [x, *(x + m.end() for m in re.finditer("\n", text[x:y])), y]
@@ -135,7 +254,7 @@ def known_sentences(text: str) -> list[tuple[int, str, int, int]]:
                 start, step = edges[i], i + 1
                 for j in range(i + 1, len(edges)):
                     words = normalise(text[start : edges[j]])
-                    if name := KNOWN.get(words):
+                    if name := identify_sentence(words):
                         found.append((name, start, edges[j]))
                         step = j
                         break

@@ -31,3 +31,49 @@ def test_notices_and_titles():
     assert names("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy") == ["MPL-2.0"]
     assert names("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007") == ["GPL-3.0"]
     assert names("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS") == ["Apache-2.0"]
+
+
+def test_every_rule_fires():
+    for licence, rule, order in licences.RULES:
+        first = [licences.SENTENCES[k][0] for k in order]
+        if rule.endswith("-named"):
+            first = [f"It is made available under the terms of the {first[0]}."]
+        found = licences.recognise("Words before.\n" + "\n".join(first) + "\nWords after.")
+        assert (licence, rule) in {(m["license"], m["rule"]) for m in found}, rule
+    assert len({licence for licence, _, _ in licences.RULES}) > 80
+
+
+def test_notices_by_hand():
+    cases = {
+        "Licensed under the MIT License, see LICENSE": "MIT", "SPDX-License-Identifier: MIT": "MIT", "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;": "GPL-2.0-or-later",
+        "# This file is distributed under the terms of the Mozilla Public License, v. 2.0": "MPL-2.0", "This library is licensed under the GNU Lesser General Public License v3.0.": "LGPL-3.0-only",
+        "Released under CC0 1.0 Universal": "CC0-1.0", "This is free and unencumbered software released into the public domain.": "Unlicense", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+        "License: Apache-2.0": "Apache-2.0", "It is made available under the Boost Software License, Version 1.0.": "BSL-1.0", "Distributed under the AGPLv3\n": "AGPL-3.0-only",
+        "This project is licensed under the BSD 3-Clause License - see the LICENSE.md file for details": "BSD-3-Clause",
+    }
+    for text, want in cases.items():
+        assert names(text) == [want], text
+    for text in ("The MIT License is short.", "MIT", "He released under the table a dog.", "Licensed under water.", "License: see below", "It was made available under the bridge."):
+        assert names(text) == [], text
+
+
+def brute(text: str) -> set[str]:
+    """Licences whose single-sentence notices stand in a text, word by word, by a search over all phrases."""
+    import itertools
+    import re
+
+    words = " " + " ".join(re.findall(r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*", text.lower())) + " "
+    return {k for k, forms in licences.NAMES.items() for f, s, a in itertools.product(forms, licences.SAYING, ("", "the ", "a ")) if f" {s} {a}{licences.normalise(f)} " in words}
+
+
+def test_documents_hold_no_other_notice(spark):
+    """Every notice that a plain search finds in the documents is recognised, and nothing is recognised without words of its licence."""
+    from factloom.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    got = {r.doc_id: set(r.licenses) for r in licences.scan_licences(docs).collect()}
+    plain = {r.doc_id: brute(r.text) for r in docs.collect() if " under " in r.text}
+    longer = {"CC-BY-4.0": {"CC-BY-NC-4.0"}}
+    missed = {(d, k) for d, want in plain.items() for k in want - got[d] if not longer.get(k, set()) & want}
+    assert sum(map(bool, plain.values())) > 5 and not missed, sorted(missed)[:5]
+    assert all(not found or brute(r.text) or "licen" in r.text.lower() for r in docs.collect() for found in [got[r.doc_id]])
