@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import fact_queries, knowledge_queries, record_queries, table_queries
+from factloom.plans import fact_queries, knowledge_queries, mechanic_queries, record_queries, table_queries
 
-_MODULES = (fact_queries, table_queries, knowledge_queries, record_queries)
+_MODULES = (fact_queries, table_queries, knowledge_queries, record_queries, mechanic_queries)
 
 
 def queries() -> dict:

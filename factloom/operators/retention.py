@@ -12,11 +12,6 @@ DEEP = [("emergent", ["emergent"], 15), ("tradeoff", ["tradeoff"], 12), ("failur
 SUPPORT = [("advice", ["advice"], 10), ("workflow", ["workflow"], 12), ("effect", ["effect"], 6), ("tutorial", ["tutorial"], 5), ("generic", ["generic"], -10), ("lore", ["lore"], -20)]
 
 
-def with_flags(facts: DataFrame) -> DataFrame:
-    """One boolean column m_<category> for each lexicon category."""
-    return facts.withColumns({f"m_{c}": rules.matches(c) for c in rules.LEXICON})
-
-
 def holds(names: list[str]) -> Column:
     out = F.lit(True)
     for n in names:
@@ -39,7 +34,7 @@ def with_retention(facts: DataFrame) -> DataFrame:
     Layer A holds what is emergent or a tradeoff with an effect, and all that scores no less as deep than as
     supporting knowledge; the rest is layer B.  A null text has no flags, hence no terms, and is in layer A.
     """
-    flagged = with_flags(facts.withColumn("fact", F.coalesce("fact", F.lit(""))))
+    flagged = rules.with_flags(facts.withColumn("fact", F.coalesce("fact", F.lit(""))))
     scored = flagged.withColumns({"terms_a": terms(DEEP), "terms_b": terms(SUPPORT)}).withColumns({"score_a": score(F.col("terms_a")), "score_b": score(F.col("terms_b"))})
     anchored = (F.col("m_emergent") | F.col("m_tradeoff")) & F.col("m_effect")
     return scored.withColumn("layer", F.when(anchored | (F.col("score_a") >= F.col("score_b")), "A").otherwise("B"))

@@ -20,17 +20,44 @@ def matches(category: str, fact: str = "fact", lexicon: dict | None = None) -> C
     return F.lower(F.col(fact)).rlike(X.words_pattern((lexicon or LEXICON)[category]))
 
 
+def with_flags(facts: DataFrame, fact: str = "fact", lexicon: dict | None = None) -> DataFrame:
+    """One boolean column m_<category> for each lexicon category; all are null where the fact is.
+
+    The fact is split into words once and each word looked up once; entries of several words are looked for only
+    where they stand in the text.  Columns of these names are replaced.
+    """
+    lexicon = lexicon or LEXICON
+    masks: dict[str, int] = {}
+    for k, words in enumerate(lexicon.values()):
+        for w in words:
+            if " " not in w:
+                masks[w] = masks.get(w, 0) | 1 << k
+    table = F.create_map(*[F.lit(x) for w, m in masks.items() for x in (w, m)])
+    hits = F.filter(F.split(F.lower(F.col(fact)), "[^a-z0-9_]+"), lambda w: w.isin(list(masks)))
+    facts = facts.withColumn("_bits", F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(table[w].cast("bigint"))))
+    out = {}
+    for k, (c, words) in enumerate(lexicon.items()):
+        out[f"m_{c}"] = F.col("_bits").bitwiseAND(F.lit(1 << k)) != 0
+        if several := [w for w in words if " " in w]:
+            there = F.lit(False)
+            for w in several:
+                there = there | F.contains(F.lower(F.col(fact)), F.lit(w))
+            out[f"m_{c}"] = out[f"m_{c}"] | (there & F.lower(F.col(fact)).rlike(X.words_pattern(several)))
+    return facts.withColumns(out).drop("_bits")
+
+
 def drop_reason(fact: str = "fact", blocked: list[str] | None = None) -> Column:
-    """The first rule that a fact fails, or null: missing, too long, blocked words, tutorial, generic, lore."""
+    """The first rule that a fact fails, or null: missing, too long, blocked words, tutorial, generic, time-bound
+    without emergent or tradeoff words, low signal without them.  Reads the columns of with_flags."""
     f, low = F.col(fact), F.lower(F.col(fact))
-    guard = matches("emergent", fact) | matches("tradeoff", fact)
+    guard = F.col("m_emergent") | F.col("m_tradeoff")
     blocked_any = F.lit(False)
     for w in blocked if blocked is not None else ["lore", "story"]:
         blocked_any = blocked_any | F.contains(low, F.lit(w))
     return (
         F.when(f.isNull() | (f == ""), "missing-text").when(F.length(f) > MAX_CHARS, "text-too-long").when(blocked_any, "lore-pattern")
-        .when(matches("tutorial", fact), "tutorial-pattern").when(matches("generic", fact), "generic-pattern")
-        .when(matches("time_bound", fact) & ~guard, "time-bound-metadata").when((F.size(X.token_set(fact, 4)) < 2) & ~guard, "low-signal")
+        .when(F.col("m_tutorial"), "tutorial-pattern").when(F.col("m_generic"), "generic-pattern")
+        .when(F.col("m_time_bound") & ~guard, "time-bound-metadata").when((F.size(X.token_set(fact, 4)) < 2) & ~guard, "low-signal")
     )
 
 
@@ -53,10 +80,10 @@ def with_scores(facts: DataFrame, steps: list = STEPS, novelty: str | None = Non
     """novelty and obviousness after all steps, each clamped to 0..1 after every step, and the steps that applied.
 
     The steps are folded over an array, so the expression stays as long as the list of steps.  Null starts count
-    as 0.5 and 0.4.
+    as 0.5 and 0.4.  Reads the columns of with_flags, and makes them where they are not there.
     """
-    flags = {c: matches(c) for c in LEXICON} | {"specific": F.size(X.token_set("fact", 5)) >= 2}
-    facts = facts.withColumns({f"m_{k}": v for k, v in flags.items()})
+    facts = facts if f"m_{next(iter(LEXICON))}" in facts.columns else with_flags(facts)
+    facts = facts.withColumn("m_specific", F.size(X.token_set("fact", 5)) >= 2)
 
     def applies(names: list[str]) -> Column:
         out = F.lit(True)

@@ -10,7 +10,7 @@ from factloom.operators import dedupe, rules
 from factloom.sources.tables import facts, table
 
 _FACTS = r"""facts AS (SELECT doc_id, lang, source, pos, raw, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS fact FROM (
-  SELECT doc_id, lang, source, unnest(p) AS raw, unnest(range(len(p))) AS pos FROM (SELECT *, string_split_regex(text, '[.!?]+\s+') AS p FROM documents)))"""
+  SELECT doc_id, lang, source, unnest(p) AS raw, unnest(range(len(p))) AS pos FROM (SELECT *, coalesce(string_split_regex(text, '[.!?]+\s+'), [NULL]::VARCHAR[]) AS p FROM documents)))"""
 _TOK = r"list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= {1})"
 
 
@@ -24,23 +24,28 @@ _REASON = f"""CASE WHEN fact IS NULL OR fact = '' THEN 'missing-text' WHEN lengt
  WHEN {_word('time_bound')} AND NOT {_GUARD} THEN 'time-bound-metadata' WHEN len(list_distinct({_TOK.format('fact', 4)})) < 2 AND NOT {_GUARD} THEN 'low-signal' END"""
 
 
+def flagged(spark, sf_dir):
+    return rules.with_flags(facts(spark, sf_dir))
+
+
 def fact_drop_histogram(spark, sf_dir):
-    f = facts(spark, sf_dir).withColumn("reason", F.coalesce(rules.drop_reason(), F.lit("kept")))
+    f = flagged(spark, sf_dir).withColumn("reason", F.coalesce(rules.drop_reason(), F.lit("kept")))
     return f.groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def kept_fact_flagship(spark, sf_dir):
     """Kept facts of each source, the three longest with their counts of hits."""
-    f = facts(spark, sf_dir).where(rules.drop_reason().isNull()).withColumn("n_tokens", F.size(X.token_set("fact")).cast("bigint"))
+    f = flagged(spark, sf_dir).where(rules.drop_reason().isNull()).withColumn("n_tokens", F.size(X.token_set("fact")).cast("bigint"))
     w = Window.partitionBy("source").orderBy(F.col("n_tokens").desc(), "doc_id", "pos")
     return f.select("source", "doc_id", F.col("pos").cast("bigint").alias("pos"), "fact", "n_tokens", F.row_number().over(w).cast("bigint").alias("rn")).where("rn <= 3")
 
 
 def score_steps(spark, sf_dir):
     """How often each score step applied to kept facts, by language."""
-    f = rules.with_scores(facts(spark, sf_dir).where(rules.drop_reason().isNull()))
-    # an outer explode, as a plain one makes Spark infer a filter that evaluates all patterns a second time
-    return f.select("lang", F.explode_outer("score_steps.step").alias("step")).where("step IS NOT NULL").groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
+    f = rules.with_scores(flagged(spark, sf_dir).where(rules.drop_reason().isNull()))
+    # the few distinct lists of steps are counted before they are spread
+    g = f.select("lang", F.col("score_steps.step").alias("steps")).groupBy("lang", "steps").agg(F.count(F.lit(1)).alias("k"))
+    return g.select("lang", "k", F.explode("steps").alias("step")).groupBy("lang", "step").agg(F.sum("k").alias("n"))
 
 
 def _step_sql() -> str:
@@ -64,7 +69,7 @@ def _priority_sql() -> str:
 
 def fact_priorities(spark, sf_dir):
     """Facts by language and final priority."""
-    f = rules.with_scores(facts(spark, sf_dir).where(rules.drop_reason().isNull()))
+    f = rules.with_scores(flagged(spark, sf_dir).where(rules.drop_reason().isNull()))
     p = rules.final_priority(F.lit(2), F.col("novelty"), F.col("obviousness"))
     return f.groupBy("lang", p.cast("int").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -112,15 +117,16 @@ def near_duplicate_marks(spark, sf_dir):
 
 def pair_cooccurrence(spark, sf_dir):
     """Lexicon categories of a fact and how often two stand in one."""
-    f = facts(spark, sf_dir).select("doc_id", "pos", F.array_compact(F.array(*[F.when(rules.matches(c), c) for c in sorted(rules.LEXICON)])).alias("tags"))
-    # an outer explode, as a plain one makes Spark infer a filter that evaluates all patterns a second time
-    a = f.select("tags", F.explode_outer("tags").alias("a")).select("a", F.explode_outer("tags").alias("b")).where("a < b")
-    return a.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    f = flagged(spark, sf_dir).select(F.array_compact(F.array(*[F.when(F.col(f"m_{c}"), c) for c in sorted(rules.LEXICON)])).alias("tags"))
+    # the few distinct lists of categories are counted before they are spread
+    g = f.groupBy("tags").agg(F.count(F.lit(1)).alias("k"))
+    a = g.select("k", "tags", F.explode("tags").alias("a")).select("k", "a", F.explode("tags").alias("b")).where("a < b")
+    return a.groupBy("a", "b").agg(F.sum("k").alias("n"))
 
 
 def bundle_stats(spark, sf_dir):
     """Categories by facts and by documents."""
-    f = facts(spark, sf_dir).select("doc_id", F.explode(F.array_compact(F.array(*[F.when(rules.matches(c), c) for c in sorted(rules.LEXICON)]))).alias("tag"))
+    f = flagged(spark, sf_dir).select("doc_id", F.explode(F.array_compact(F.array(*[F.when(F.col(f"m_{c}"), c) for c in sorted(rules.LEXICON)]))).alias("tag"))
     return f.groupBy("tag").agg(F.count(F.lit(1)).alias("n_facts"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -130,12 +136,18 @@ def top_tokens(spark, sf_dir):
 
 
 def p1_cap(spark, sf_dir):
-    """Of a source's long facts, taken as top priority, only 15 % stay so where they are over 20 %."""
-    f = facts(spark, sf_dir).where("fact <> ''").select("source", "doc_id", "pos", F.length("fact").alias("chars"))
+    """Of a source's long facts, taken as top priority, only 15 % stay so where they are over 20 %.
+
+    Facts of one length are alike here, so counts by source and length tell where the cut falls; a source's facts are
+    never brought together.
+    """
+    by = facts(spark, sf_dir).where("fact <> ''").groupBy("source", F.length("fact").alias("chars")).agg(F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy("source")
-    ranked = f.withColumns({"n": F.count(F.lit(1)).over(w), "top": F.count_if(F.col("chars") >= 60).over(w), "rn": F.row_number().over(w.orderBy(F.col("chars").desc(), "doc_id", "pos"))})
+    ranked = by.withColumns({"n": F.sum("k").over(w), "top": F.sum(F.when(F.col("chars") >= 60, F.col("k")).otherwise(0)).over(w), "through": F.sum("k").over(w.orderBy(F.col("chars").desc()))})
     keep = F.when(F.col("top") > F.ceil(F.col("n") * .2), F.ceil(F.col("n") * .15)).otherwise(F.col("top"))
-    return ranked.withColumn("priority", F.when((F.col("chars") >= 60) & (F.col("rn") <= keep), 3).otherwise(2)).groupBy("source", "priority").agg(F.count(F.lit(1)).alias("n_facts"), F.sum("chars").alias("chars"))
+    high = F.when(F.col("chars") >= 60, F.greatest(F.lit(0), F.least(F.col("k"), keep - F.col("through") + F.col("k")))).otherwise(0)
+    rows = ranked.select("source", "chars", F.explode(F.array(F.struct(F.lit(3).alias("priority"), high.alias("k")), F.struct(F.lit(2).alias("priority"), (F.col("k") - high).alias("k")))).alias("r")).where("r.k > 0")
+    return rows.groupBy("source", F.col("r.priority").alias("priority")).agg(F.sum("r.k").alias("n_facts"), F.sum(F.col("r.k") * F.col("chars")).alias("chars"))
 
 
 def template_repetition(spark, sf_dir):

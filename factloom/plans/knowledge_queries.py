@@ -37,20 +37,20 @@ def layer_diagnostics(spark, sf_dir):
 
 def section_density(spark, sf_dir):
     """Kept facts for each thousand estimated tokens, by source."""
-    f = facts(spark, sf_dir).groupBy("source").agg(F.count_if(rules.drop_reason().isNull()).alias("kept"), F.sum(X.estimate_tokens("fact")).alias("tokens"))
+    f = rules.with_flags(facts(spark, sf_dir)).groupBy("source").agg(F.count_if(rules.drop_reason().isNull()).alias("kept"), F.sum(X.estimate_tokens("fact")).alias("tokens"))
     return f.where("tokens > 0").select("source", "kept", "tokens", (F.col("kept") * 1000 / F.col("tokens")).alias("density"))
 
 
 def dropped_by_tag(spark, sf_dir):
     """Facts with and without each category, and how many of either were dropped; categories overlap."""
-    f = retention.with_flags(facts(spark, sf_dir)).select(rules.drop_reason().isNotNull().alias("gone"), F.explode(F.array(*[F.struct(F.lit(c).alias("tag"), F.col(f"m_{c}").alias("on")) for c in sorted(rules.LEXICON)])).alias("t"))
+    f = rules.with_flags(facts(spark, sf_dir)).select(rules.drop_reason().isNotNull().alias("gone"), F.explode(F.array(*[F.struct(F.lit(c).alias("tag"), F.col(f"m_{c}").alias("on")) for c in sorted(rules.LEXICON)])).alias("t"))
     on, gone = F.col("t.on"), F.col("gone")
     return f.groupBy(F.col("t.tag").alias("tag")).agg(F.count_if(on).alias("with_tag"), F.count_if(on & gone).alias("with_dropped"), F.count_if(~on).alias("without_tag"), F.count_if(~on & gone).alias("without_dropped"))
 
 
 def counterfactual_drops(spark, sf_dir):
     """Facts dropped by any compared rule, and how many would be if one of the rules were off."""
-    f = retention.with_flags(facts(spark, sf_dir)).select(retention.failed_rules(COMPARED).alias("failed"))
+    f = rules.with_flags(facts(spark, sf_dir)).select(retention.failed_rules(COMPARED).alias("failed"))
     one = F.explode(F.array(*[F.lit(n) for n, _ in COMPARED]))
     # the few distinct combinations are counted first, so the rules are spread over these and not over all facts
     g = f.groupBy("failed").agg(F.count(F.lit(1)).alias("k")).select("failed", "k", one.alias("rule"))
@@ -60,7 +60,7 @@ def counterfactual_drops(spark, sf_dir):
 def loss_taxonomy(spark, sf_dir):
     """Texts that only the first of two runs has, by the first category of theirs."""
     a, b = T._runs(spark, sf_dir)
-    lost = retention.with_flags(a.join(b, "key", "left_anti").withColumnRenamed("key", "fact"))
+    lost = rules.with_flags(a.join(b, "key", "left_anti").withColumnRenamed("key", "fact"))
     kind = F.coalesce(*[F.when(F.col(f"m_{c}"), c) for c in ("emergent", "failure", "tradeoff", "condition", "effect")], F.lit("other"))
     return lost.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("facts"))
 

@@ -90,19 +90,19 @@ def linked_texts(spark, sf_dir):
 
 def drop_reason_totals(spark, sf_dir):
     """Reasons in all, from partial counts by source."""
-    part = facts(spark, sf_dir).groupBy("source", F.coalesce(rules.drop_reason(), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("k"))
+    part = rules.with_flags(facts(spark, sf_dir)).groupBy("source", F.coalesce(rules.drop_reason(), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("k"))
     return part.rollup("reason").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_sources")).select(F.coalesce("reason", F.lit("all")).alias("reason"), "n", "n_sources")
 
 
 def tag_matrix(spark, sf_dir):
     """Share of facts with each category, by language."""
-    f = retention.with_flags(facts(spark, sf_dir))
+    f = rules.with_flags(facts(spark, sf_dir))
     return f.groupBy("lang").agg(*[(F.count_if(F.col(f"m_{c}")) / F.count(F.lit(1))).alias(c) for c in FAMILIES])
 
 
 def dominant_roles(spark, sf_dir):
     """The category that most facts of a source with any have, and whether 40 % of these have it."""
-    f = retention.with_flags(facts(spark, sf_dir)).select("source", F.array_compact(F.array(*[F.when(F.col(f"m_{c}"), c) for c in FAMILIES])).alias("tags")).where("size(tags) > 0")
+    f = rules.with_flags(facts(spark, sf_dir)).select("source", F.array_compact(F.array(*[F.when(F.col(f"m_{c}"), c) for c in FAMILIES])).alias("tags")).where("size(tags) > 0")
     # the few distinct lists of categories are counted before they are spread
     g = f.groupBy("source", "tags").agg(F.count(F.lit(1)).alias("k"))
     total = g.groupBy("source").agg(F.sum("k").alias("bearing"))
@@ -121,7 +121,7 @@ def representatives(spark, sf_dir):
 
 def systemic_depth(spark, sf_dir):
     """Facts by depth in tenths (four for chains, four for emergent ones, two for three categories or more) and role."""
-    f = retention.with_flags(facts(spark, sf_dir))
+    f = rules.with_flags(facts(spark, sf_dir))
     on = lambda c: F.col(f"m_{c}").cast("int")
     spread = sum((on(c) for c in FAMILIES[1:]), on(FAMILIES[0]))
     depth = 4 * on("multi_step") + 4 * on("emergent") + F.when(spread >= 3, 2).otherwise(0)
@@ -138,7 +138,7 @@ def utility_signals(spark, sf_dir):
 
 def signature_index(spark, sf_dir):
     """Facts by their signature, the sorted categories that they have, with the languages it stands in."""
-    f = retention.with_flags(facts(spark, sf_dir))
+    f = rules.with_flags(facts(spark, sf_dir))
     sig = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"m_{c}"), c) for c in sorted(FAMILIES)])), "+")
     return f.groupBy(sig.alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 

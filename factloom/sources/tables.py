@@ -14,19 +14,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application that executors and driver share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder that spark.checkpoint.dir names (a default in tests), read back:
-    a round of an iteration then depends on that table and on nothing before it."""
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/factloom-shared"
-    path = f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder that spark.checkpoint.dir names, or where that is unset in the
+    warehouse, read back: a round of an iteration then depends on that table and on nothing before it."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate facts: the sentences of documents in their order.  It stands for extraction by a remote model."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "[.!?]+\\s+")).alias("pos", "raw")).withColumn("fact", X.collapse("raw"))
+#: Tables of fewer files than cores and of less than this for each core are dealt over all cores when read: such a file
+#: has few row groups, and a row group is read by one task.
+SMALL_BYTES = 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores where it is small and in few files; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_BYTES * cores and len(df.inputFiles()) < cores else df
+
+
+def facts(spark: SparkSession, sf_dir: str, context: bool = False) -> DataFrame:
+    """Candidate facts: the sentences of documents in their order; of a null text one null fact.  It stands for
+    extraction by a remote model.  context adds what stands within 140 characters around a fact."""
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    parts = docs.select("doc_id", "lang", "source", F.split("text", "[.!?]+\\s+").alias("p"))
+    if not context:
+        rows = parts.select("doc_id", "lang", "source", F.posexplode_outer("p").alias("pos", "raw"))
+        return rows.withColumn("pos", F.coalesce("pos", F.lit(0))).withColumn("fact", X.collapse("raw"))
+    around = F.transform("p", lambda x, i: F.struct(x.alias("raw"), F.concat_ws(" ", F.right(F.get("p", i - 1), F.lit(140)), x, F.left(F.get("p", i + 1), F.lit(140))).alias("context")))
+    rows = parts.select("doc_id", "lang", "source", F.posexplode_outer(around).alias("pos", "x"))
+    return rows.select("doc_id", "lang", "source", F.coalesce("pos", F.lit(0)).alias("pos"), F.col("x.raw").alias("raw"), F.col("x.context").alias("context")).withColumn("fact", X.collapse("raw"))
 
 
 def article_body(html: str | Column) -> Column:
