@@ -114,6 +114,11 @@ def words_pattern(words: list[str]) -> str:
     return "(?<![A-Za-z0-9_])(?:" + "|".join(words) + ")(?![A-Za-z0-9_])"
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with \\b as a bound of ASCII words, whatever letters stand next to them."""
+    return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def context_window(text: STR, fact: STR, around: int = 140, stop: list[str] | None = None) -> Column:
     """Text around the first token of the fact, of four letters or more and no stop word, that the text holds."""
     low = F.lower(_c(text))
@@ -133,11 +138,3 @@ def heading_confidence(line: STR) -> Column:
     parts = [(s.rlike("^#{1,6}\\s+"), .6), (s.rlike("^\\d+(\\.\\d+)*[.)]?\\s+\\S"), .35), (s.rlike(":$"), .25), ((n > 0) & (n <= 10) & (titled / F.greatest(n, F.lit(1)) >= .6), .2), ((F.length(letters) >= 6) & (F.length(caps) / F.greatest(F.length(letters), F.lit(1)) >= .7), .2),
              (n <= 2, -.15), ((n <= 4) & (F.length(s) <= 20), -.1), (F.regexp_count(s, F.lit("/")) >= 2, -.2), (F.regexp_count(s, F.lit("[,;:.!?]")) >= 4, -.15), (F.lower(s).rlike("^(home|menu|search|login|share|contact|navigation)$"), -.25), (s.rlike("^[-*•]\\s"), -.2), (s.rlike("[.!?]$"), -.2)]
     return F.when(s == "", 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum((F.when(c, v).otherwise(0.0) for c, v in parts), F.lit(0.0)))))
-
-
-def tidy_title(x: STR) -> Column:
-    """A window title without marks, bracketed notes, versions and the launcher's name at its end."""
-    out = F.regexp_replace(_c(x), "[™®©]", "")
-    out = F.regexp_replace(out, "(?i)[\\[(][^\\])]*(beta|alpha|demo|dx1[12]|vulkan|64|fps|early access)[^\\])]*[\\])]", "")
-    out = F.regexp_replace(out, "(?i)\\bv?\\d+(\\.\\d+){1,3}\\b", "")
-    return collapse(F.regexp_replace(out, "(?i)\\s+[-|—]\\s+(steam|epic games|launcher|gog)\\s*$", ""))

@@ -248,14 +248,14 @@ def reframed(text: str | Column) -> Column:
     """A piece of advice as the mechanic that it states: what asks for attention at its start goes, and its full stop."""
     out = F.col(text) if isinstance(text, str) else text
     for pattern in (r"(?i)^\s*(you\s+)?(should|shouldn'?t|ensure|make sure|remember)\b\s*", r"(?i)^\s*(to\s+avoid|to\s+prevent)\b\s*", r"(?i)^\s*(carefully|strategically)\b\s*", r"\s*\.\s*$"):
-        out = F.regexp_replace(out, pattern, "")
+        out = F.regexp_replace(out, X.ascii_bounds(pattern), "")
     return F.trim(out)
 
 
 def template_shape(low: Column) -> Column:
     out = F.lit("")
     for name, pattern in reversed(SHAPES):
-        out = F.when(low.rlike(pattern), name).otherwise(out)
+        out = F.when(low.rlike(X.ascii_bounds(pattern)), name).otherwise(out)
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.operators import assembly, rules
+from factloom.operators import detection as D
 from factloom.sources import tables as S
 
 
@@ -23,7 +24,12 @@ CASES = {
     "clamp": (X.clamp, ["0.5", "-1", "7", "NaN", None], [.5, 0.0, 1.0, None, None]),
     "bucketize": (X.bucketize, ["0.0", "0.2", "0.99", "1", None], ["0.0-0.2", "0.2-0.4", "0.8-1.0", "0.8-1.0", "unknown"]),
     "normalize_priority": (X.normalize_priority, ["P1", "p3", " P2 ", "9", "0", "x", None], [3, 1, 2, 3, 1, 2, 2]),
-    "tidy_title": (X.tidy_title, ["Ring™ (beta 2) v1.2.3 - Steam", "Plain", None], ["Ring", "Plain", None]),
+    "tidy_title": (D.tidy_title, ["Ring™ (open beta) v1.2.3 - Steam", "Plain", "Ring (beta 2)", "Ring [GOG Launcher] - Part II", "A - b - Epic Games", "Ring version 2", None], ["Ring", "Plain", "Ring (beta 2)", "Ring - Part II", "A - b", "Ring", None]),
+    "match_key": (D.match_key, ["Élan-Vital: II!", "", None], ["élan vital ii", "", None]),
+    "process_name": (lambda c: D.process_name(F.lit("x.exe"), c), ["C:\\Games\\my_game-x64.exe", "/usr/bin/tool", "", None], ["my game x64", "tool", "x.exe", "x.exe"]),
+    "ignored": (lambda c: D.ignored(c, [" studio ", ""], ["^own"]), ["Visual Studio Code", "Own app", "Ring", "", None], [True, True, False, True, True]),
+    "browser_class": (D.is_browser_class, ["Chrome_WidgetWin_1", "UnityWndClass", None], [True, False, False]),
+    "sanitize": (X.sanitize, ["a\u2028b\u200bc\x07d", "", None], ["a\nbcd", "", None]),
     "heading_confidence": (lambda c: F.round(X.heading_confidence(c), 2), ["# Great Walls", "", "menu", "this is a sentence that ends with a stop.", "1. First Steps Of All:"], [.7, 0.0, 0.0, 0.0, .8]),
     "article_body": (S.article_body, ["<body><nav>n</nav><article>a</article></body>", "<main>m</main>", "plain"], ["a", "m", "plain"]),
     "markup_text": (S.markup_text, ["<h2>T</h2><p>a &lt; b</p><script>x</script>[edit]"], ["## T\n\na < b"]),
