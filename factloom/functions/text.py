@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,13 +131,90 @@ def context_window(text: STR, fact: STR, around: int = 140, stop: list[str] | No
     return F.when(F.size(hits) > 0, F.substring(_c(text), start, at - start + around))
 
 
-def heading_confidence(line: STR) -> Column:
-    """Additive evidence that a line is a heading, from 0 to 1."""
+# What speaks for a heading and what against it, in hundredths.
+HEADING = {"hash": 60, "numbered": 35, "colon": 25, "title_case": 20, "capitals": 20, "two_words": -15, "short": -10, "slashes": -20, "marks": -15, "navigation": -25, "bullet": -20, "sentence_end": -20}
+# Words of navigation.
+NAVIGATION = ["home", "search", "navigation", "edit", "view", "history", "help", "portal", "category", "namespace", "page"]
+
+
+def heading_signs(line: STR) -> dict[str, Column]:
+    """What a line shows, by the names of HEADING."""
     s = F.trim(_c(line))
     words = F.filter(F.split(s, "\\s+"), lambda w: w != "")
-    n, letters = F.size(words), F.regexp_replace(s, "[^A-Za-z]", "")
-    caps = F.regexp_replace(letters, "[^A-Z]", "")
-    titled = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
-    parts = [(s.rlike("^#{1,6}\\s+"), .6), (s.rlike("^\\d+(\\.\\d+)*[.)]?\\s+\\S"), .35), (s.rlike(":$"), .25), ((n > 0) & (n <= 10) & (titled / F.greatest(n, F.lit(1)) >= .6), .2), ((F.length(letters) >= 6) & (F.length(caps) / F.greatest(F.length(letters), F.lit(1)) >= .7), .2),
-             (n <= 2, -.15), ((n <= 4) & (F.length(s) <= 20), -.1), (F.regexp_count(s, F.lit("/")) >= 2, -.2), (F.regexp_count(s, F.lit("[,;:.!?]")) >= 4, -.15), (F.lower(s).rlike("^(home|menu|search|login|share|contact|navigation)$"), -.25), (s.rlike("^[-*•]\\s"), -.2), (s.rlike("[.!?]$"), -.2)]
-    return F.when(s == "", 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum((F.when(c, v).otherwise(0.0) for c, v in parts), F.lit(0.0)))))
+    n, letters = F.size(words), F.regexp_count(s, F.lit("[A-Za-z]"))
+    return {
+        "hash": s.rlike("^#{1,6}\\s+\\S"), "numbered": s.rlike("^\\d+(?:\\.\\d+)*[.)]?\\s+\\S"), "colon": s.rlike(":$"), "title_case": (n > 0) & (n <= 10) & (F.size(F.filter(words, lambda w: w.rlike("^[A-Z][a-z]+$"))) >= F.ceil(n * 0.6)),
+        "capitals": (letters >= 6) & (F.regexp_count(s, F.lit("[A-Z]")) * 10 >= letters * 7), "two_words": n <= 2, "short": (n <= 4) & (F.length(s) <= 20), "slashes": F.regexp_count(s, F.lit("[|/\\\\]")) >= 2,
+        "marks": F.regexp_count(s, F.lit("[:;.,\\-]")) >= 4, "navigation": s.rlike("(?i)" + words_pattern(NAVIGATION)), "bullet": s.rlike("^[-*\u2022]+\\s+"), "sentence_end": s.rlike("[.!?]$"),
+    }
+
+
+def heading_confidence(line: STR) -> Column:
+    """Evidence that a line is a heading, from 0 to 1; 0 for an empty or null line."""
+    total = sum((F.when(sign, HEADING[name]).otherwise(0) for name, sign in heading_signs(line).items()), F.lit(0))
+    return F.when(F.coalesce(F.trim(_c(line)), F.lit("")) == "", 0.0).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), total)) / 100)
+
+
+# Letters with marks and what they are without; ligatures and other forms of compatibility.
+PLAIN_LETTERS = {"ß": "ß", "æ": "æ", "ﬁ": "fi", "ﬂ": "fl", "①": "1", "²": "2", "³": "3", "½": "1\u20442", "…": "...", "™": "tm", "ª": "a", "º": "o"}
+
+
+def fold_letters(x: STR) -> Column:
+    """Lower case without marks on letters, and forms of compatibility as plain ones: NFKD without marks.
+
+    There is no such expression built in, so distinct batches of texts pass through Arrow to the standard library.
+    """
+
+    @F.pandas_udf("string")
+    def fold(v: pd.Series) -> pd.Series:
+        return v.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower(), na_action="ignore")
+
+    return fold(_c(x))
+
+
+def unicode_key(x: STR, join: str = " ") -> Column:
+    """Folded letters and digits of any script, what stands between as `join`."""
+    return F.trim(F.regexp_replace(fold_letters(x), "[^\\p{L}\\p{N}]+", join))
+
+
+def search_key(x: STR) -> Column:
+    """Folded text with single spaces, marks kept, as a search compares it."""
+    return collapse(fold_letters(x))
+
+
+def request_key(x: STR) -> Column:
+    """Letters and digits of any script in lower case, words by single spaces; letters keep their marks."""
+    return F.trim(F.regexp_replace(F.lower(_c(x)), "[^\\p{L}\\p{N}]+", " "))
+
+
+def name_key(x: STR) -> Column:
+    """Lower case with runs of white space, no-break spaces too, as one space."""
+    return F.trim(F.regexp_replace(F.lower(_c(x)), "[\\s\u00a0]+", " "))
+
+
+def truncate(x: STR, most: int = 400) -> Column:
+    """At most so many characters, and three dots where some are cut."""
+    return F.when(F.length(_c(x)) > most, F.concat(F.substring(_c(x), 1, most), F.lit("..."))).otherwise(_c(x))
+
+
+def path_key(x: STR) -> Column:
+    """A path in lower case without backslashes at its end."""
+    return F.regexp_replace(F.lower(_c(x)), "\\\\+$", "")
+
+
+def percent(x: STR) -> Column:
+    """A share as a percentage with one digit."""
+    return F.when(_c(x).isNotNull(), F.concat(F.format_string("%.1f", _c(x) * 100), F.lit("%")))
+
+
+def fact_id(given: STR, text: STR, source: STR, index: STR) -> Column:
+    """The id that is given, else one made of text, source and index."""
+    made = F.concat(F.lit("fact-"), djb2(F.concat_ws("::", F.coalesce(_c(text), F.lit("")), F.coalesce(_c(source), F.lit("")), _c(index).cast("string"))))
+    return F.coalesce(F.nullif(F.trim(_c(given)), F.lit("")), made)
+
+
+def around(text: STR, what: STR, most: int = 40) -> Column:
+    """The text from `most` characters before the first place of what to as many after it; null where it has none."""
+    at = F.instr(F.lower(_c(text)), F.lower(_c(what)))
+    start = F.greatest(F.lit(1), at - most)
+    return F.when(at > 0, F.substring(_c(text), start, at - start + F.length(_c(what)) + most))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 
-#: Signal sets of a page and what a link text earns for sharing a token with each, in hundredths.
+# What a token of a link earns for each set of a page's signals that it is in, in hundredths, so that
+# sums compare exactly.
 SIGNALS = [("title", 30), ("heading", 25), ("subheading", 20), ("path", 15), ("lexicon", 12)]
 LEAST_SCORE, FALLBACK_SCORE, FALLBACK_LINKS, MOST_LINKS = 12, 5, 3, 10
 
@@ -39,24 +40,31 @@ def merge_tiny(sizes: Column, least: int = 120) -> Column:
     return F.when(sizes.isNotNull(), F.aggregate(sizes, F.array().cast("array<bigint>"), step))
 
 
-def link_score(text: Column, signals: dict[str, Column]) -> Column:
-    """Hundredths, 100 at most: shared signal sets, long texts, several tokens, and the share of tokens in any set."""
-    t = X.token_set(text)
-    shared = F.size(F.array_intersect(t, F.flatten(F.array(*signals.values()))))
-    points = sum((F.when(F.arrays_overlap(t, signals[name]), w).otherwise(0) for name, w in SIGNALS), F.lit(0))
-    points = points + F.when(F.length(text) >= 8, 5).otherwise(0) + F.when(F.size(t) >= 2, 5).otherwise(0)
-    density = F.when(F.size(t) > 0, F.floor(shared * 20 / F.size(t))).otherwise(0)
-    return F.least(F.lit(100), points + density).cast("bigint")
+def link_score(text: Column, url: Column, signals: dict[str, Column], density: Column | None = None) -> Column:
+    """Hundredths, 100 at most: every token of text or address that is in a set counts for it, then long texts, texts
+    of several tokens, and up to 20 for the density of the page's facts.  0 where there is no token."""
+    own = X.tokens(text)
+    t = F.array_distinct(F.concat(own, X.tokens(url)))
+    points = sum((F.size(F.array_intersect(t, signals[name])) * w for name, w in SIGNALS), F.lit(0))
+    points = points + F.when(F.length(text) >= 8, 5).otherwise(0) + F.when(F.size(own) >= 2, 5).otherwise(0)
+    if density is not None:
+        points = points + F.least(F.lit(20), F.floor(density * 100 / 80))
+    return F.when(F.size(t) == 0, 0).otherwise(F.least(F.lit(100), points)).cast("bigint")
+
+
+# Fixed value: what may be a name: words that begin with a capital letter, of three characters or more, and rows of them.
+NAME = r"(?:^|[^\p{L}])(\p{Lu}[\p{L}\p{N}'-]{2,}(?:\s+\p{Lu}[\p{L}\p{N}'-]{2,})*)"
 
 
 def names(text: str | Column) -> Column:
-    """Capitalised ASCII words of five letters or more, in order, repeated ones too."""
+    """What may be names, in order, repeated ones too; of any script with capital letters."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.regexp_extract_all(c, F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: w.rlike("^[A-Z][a-z]{4,}$"))
+    return F.regexp_extract_all(c, F.lit(NAME), F.lit(1))
 
 
 def redact(text: Column, offenders: Column, mark: str = "[name]") -> Column:
-    """Every whole word that is an offender becomes the mark; runs of blanks close up."""
-    word = F.regexp_extract_all(text, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
-    out = F.array_join(F.transform(word, lambda w: F.when(F.array_contains(offenders, w), F.lit(mark)).otherwise(w)), "")
+    """Every whole name that is an offender becomes the mark, longer ones first; runs of blanks close up."""
+    longest = F.array_sort(F.array_distinct(offenders), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    whole = lambda o: F.concat(F.lit("(?<![\\p{L}\\p{N}])\\Q"), o, F.lit("\\E(?![\\p{L}\\p{N}])"))
+    out = F.aggregate(longest, text, lambda t, o: F.regexp_replace(t, whole(o), F.lit(mark.replace("$", ""))))
     return F.when(F.size(offenders) > 0, F.regexp_replace(out, " {2,}", " ")).otherwise(text)

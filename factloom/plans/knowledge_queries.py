@@ -66,11 +66,14 @@ def loss_taxonomy(spark, sf_dir):
 
 
 def replacement_candidates(spark, sf_dir):
-    """All pairs of a text that only the first run has and one that only the second has, of similarity 0.5 or more."""
+    """For each text that only the first run has, the most alike of those that only the second has, if half or more
+    is shared; the first by key on equal shares."""
     a, b = T._runs(spark, sf_dir)
     def side(x, y):
         return x.join(y, "key", "left_anti").select(F.col("key").alias("id"), X.token_set("key").alias("tokens")).where("size(tokens) > 0")
-    return dedupe.rare_token_pairs(side(a, b), side(b, a), .5)
+    p = dedupe.rare_token_pairs(side(a, b), side(b, a), .5)
+    best = F.min(F.struct((-F.col("shared") / F.col("union_size")).alias("s"), "right_id", "shared", "union_size")).alias("b")
+    return p.groupBy("left_id").agg(best).select("left_id", "b.right_id", "b.shared", "b.union_size")
 
 
 def notable_deltas(spark, sf_dir):
@@ -93,8 +96,8 @@ def _links(spark, sf_dir):
     first = lambda p: X.token_set(F.regexp_extract("html", p, 1))
     lexicon = F.array(*[F.lit(w) for c in ("emergent", "tradeoff", "condition") for w in rules.LEXICON[c] if len(w) >= 3])
     signals = p.select("page_id", first("<title>([^<]*)</title>").alias("title"), first("<h1>([^<]*)</h1>").alias("heading"), X.token_set(F.array_join(F.regexp_extract_all("html", F.lit("<h2>([^<]*)</h2>"), F.lit(1)), " ")).alias("subheading"), X.token_set(F.regexp_extract("url", "^https?://[^/]*/([^?#]*)", 1)).alias("path"))
-    found = T.page_links(spark, sf_dir).join(signals, "page_id")
-    return found.select("page_id", "url", assembly.link_score(F.col("text"), {n: F.col(n) for n in ("title", "heading", "subheading", "path")} | {"lexicon": lexicon}).alias("score"))
+    found = T.site_links(spark, sf_dir).join(signals, "page_id")
+    return found.select("page_id", "url", assembly.link_score(F.col("text"), F.col("url"), {n: F.col(n) for n in ("title", "heading", "subheading", "path")} | {"lexicon": lexicon}).alias("score"))
 
 
 def link_scores(spark, sf_dir):
@@ -184,14 +187,12 @@ _GONE = f"(({_REASON}) IS NOT NULL)"
 
 _FLAGS = ", ".join(f"{_word(c)} AS m_{c}" for c in rules.LEXICON)
 _LAYERS = f"{_FACTS}, sc AS (SELECT doc_id, pos, lang, fact, {_FLAGS}, CAST({_sum(retention.DEEP)} AS BIGINT) AS score_a, CAST({_sum(retention.SUPPORT)} AS BIGINT) AS score_b FROM facts), la AS (SELECT *, CASE WHEN ((m_emergent OR m_tradeoff) AND m_effect) OR score_a >= score_b THEN 'A' ELSE 'B' END AS layer FROM sc)"
-_NAMES = "list_filter(regexp_extract_all({0}, '[A-Za-z]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{4,}}$'))"
-_SHARED = "list_has_any(t, {0})"
+_NAMES = "regexp_extract_all({0}, '" + assembly.NAME.replace("'", "''").replace("{", "{{").replace("}", "}}") + "', 1)"
 _SETS = {"title": "title", "heading": "heading", "subheading": "subheading", "path": "path", "lexicon": str([w for c in ("emergent", "tradeoff", "condition") for w in rules.LEXICON[c] if len(w) >= 3])}
 _LINKS = (
     "WITH s AS (SELECT page_id, " + ", ".join(f"list_distinct({_TOK.format(x, 3)}) AS {n}" for n, x in (("title", "regexp_extract(html, '<title>([^<]*)</title>', 1)"), ("heading", "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"), ("subheading", "array_to_string(regexp_extract_all(html, '<h2>([^<]*)</h2>', 1), ' ')"), ("path", "regexp_extract(url, '^https?://[^/]*/([^?#]*)', 1)")))
-    + f" FROM pages), l AS (SELECT page_id, url, text, list_distinct({_TOK.format('text', 3)}) AS t FROM (" + T.SQL["page_links"] + ")), j AS (SELECT l.*, s.* EXCLUDE (page_id) FROM l JOIN s USING (page_id)), sc AS (SELECT page_id, url, CAST(least(100, "
-    + " + ".join(f"CASE WHEN {_SHARED.format(_SETS[n])} THEN {w} ELSE 0 END" for n, w in assembly.SIGNALS)
-    + " + CASE WHEN length(text) >= 8 THEN 5 ELSE 0 END + CASE WHEN len(t) >= 2 THEN 5 ELSE 0 END + CASE WHEN len(t) > 0 THEN len(list_intersect(t, list_concat(" + ", ".join(_SETS.values()) + "))) * 20 // len(t) ELSE 0 END) AS BIGINT) AS score FROM j)"
+    + f" FROM pages), l AS (SELECT page_id, url, text, {_TOK.format('text', 3)} AS o, list_distinct(list_concat({_TOK.format('text', 3)}, {_TOK.format('url', 3)})) AS t FROM (" + T.SQL["site_links"] + ")), j AS (SELECT l.*, s.* EXCLUDE (page_id) FROM l JOIN s USING (page_id)), sc AS (SELECT page_id, url, CAST(CASE WHEN len(t) = 0 THEN 0 ELSE least(100, "
+    + " + ".join(f"len(list_intersect(t, {_SETS[n]})) * {w}" for n, w in assembly.SIGNALS) + " + CASE WHEN length(text) >= 8 THEN 5 ELSE 0 END + CASE WHEN len(o) >= 2 THEN 5 ELSE 0 END) END AS BIGINT) AS score FROM j)"
 )
 _HITS = [rf"regexp_matches(lower(text), '\b({'|'.join(w)})\b')" for _, _, w in T.INTENTS]
 _KINDS = ("emergent", "failure", "tradeoff", "condition", "effect")

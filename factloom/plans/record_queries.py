@@ -78,7 +78,7 @@ def candidate_counts(spark, sf_dir):
     """Names by how often they stand anywhere and how often at the start of a sentence; one that never stands
     elsewhere is no sure name."""
     c = table(spark, sf_dir, "conversations")
-    starts = F.filter(F.regexp_extract_all("text", F.lit("(?:^|[.!?]\\s+)([A-Za-z]+)"), F.lit(1)), lambda w: w.rlike("^[A-Z][a-z]{4,}$"))
+    starts = F.regexp_extract_all("text", F.lit("(?:^|[.!?]\\s+)(\\p{Lu}[\\p{L}\\p{N}'-]{2,}(?:\\s+\\p{Lu}[\\p{L}\\p{N}'-]{2,})*)"), F.lit(1))
     both = c.select(F.explode(assembly.names("text")).alias("name"), F.lit(0).alias("s")).unionByName(c.select(F.explode(starts).alias("name"), F.lit(1).alias("s")))
     g = both.groupBy("name").agg(F.count_if(F.col("s") == 0).alias("hits"), F.count_if(F.col("s") == 1).alias("starts"))
     return g.select("name", "hits", "starts", (F.col("hits") > F.col("starts")).alias("sure"))
@@ -101,14 +101,14 @@ def tag_matrix(spark, sf_dir):
 
 
 def dominant_roles(spark, sf_dir):
-    """The category that most facts of a source with any have, and whether 40 % of these have it."""
+    """The category that most facts of a source with any have, and whether 70 % of these have it."""
     f = rules.with_flags(facts(spark, sf_dir)).select("source", F.array_compact(F.array(*[F.when(F.col(f"m_{c}"), c) for c in FAMILIES])).alias("tags")).where("size(tags) > 0")
     # the few distinct lists of categories are counted before they are spread
     g = f.groupBy("source", "tags").agg(F.count(F.lit(1)).alias("k"))
     total = g.groupBy("source").agg(F.sum("k").alias("bearing"))
     role = g.select("source", "k", F.explode("tags").alias("role")).groupBy("source", "role").agg(F.sum("k").alias("n"))
     best = role.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("m"), "role")).alias("b"))
-    return best.join(total, "source").select("source", F.col("b.role").alias("role"), (-F.col("b.m")).alias("n"), "bearing", (-F.col("b.m") * 10 >= F.col("bearing") * 4).alias("dominant"))
+    return best.join(total, "source").select("source", F.col("b.role").alias("role"), (-F.col("b.m")).alias("n"), "bearing", (-F.col("b.m") * 10 >= F.col("bearing") * 7).alias("dominant"))
 
 
 def representatives(spark, sf_dir):
@@ -196,10 +196,18 @@ def routing_validation(spark, sf_dir):
 
 
 def trim_previews(spark, sf_dir):
-    """The text of each segment of a prompt after its cap and its share of the trimming."""
+    """The text of each segment of a prompt after its cap and its share of the trimming.
+
+    Of the turns of a segment only those that begin within its cap are brought together, so what is gathered is
+    bounded however long a conversation is.
+    """
     seg = F.create_map(*[F.lit(x) for r, s in (("system", T.SEGMENTS[0]), ("assistant", T.SEGMENTS[1]), ("user", T.SEGMENTS[2])) for x in (r, s[1])])
+    cap = F.create_map(*[F.lit(x) for s in T.SEGMENTS for x in (s[1], s[2])])
     c = table(spark, sf_dir, "conversations").select("conv_id", seg[F.col("role")].cast("bigint").alias("trim_order"), "turn", "text")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "")
+    w = Window.partitionBy("conv_id", "trim_order").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, -1)
+    most = cap[F.col("trim_order").cast("int")]
+    c = c.withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).where(F.col("before") < most).withColumn("text", F.substr("text", F.lit(1), (most - F.col("before")).cast("int")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "before", "text"))), lambda t: t["text"]), "")
     whole = c.groupBy("conv_id", "trim_order").agg(text.alias("text"))
     return whole.join(T.prompt_trim(spark, sf_dir), ["conv_id", "trim_order"]).select("conv_id", "trim_order", F.substr("text", F.lit(1), (F.col("chars") - F.col("trimmed")).cast("int")).alias("text"))
 
@@ -260,11 +268,11 @@ SQL = {
     "title_contexts": f"WITH p AS (SELECT page_id, html, list_filter({_TOK.format(_TITLE, 4)}, lambda t: contains(lower(html), t) AND NOT list_contains({_STOP}, t)) AS h FROM pages), q AS (SELECT *, instr(lower(html), h[1]) AS hit FROM p) SELECT page_id, CASE WHEN len(h) > 0 THEN substr(html, greatest(1, hit - 140), hit - greatest(1, hit - 140) + 140) END AS around FROM q",
     "final_sentences": "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN '' WHEN regexp_extract(trim(text), '(?s)^(.*[.!?])', 1) = '' THEN trim(text) || '.' ELSE regexp_extract(trim(text), '(?s)^(.*[.!?])', 1) END AS text FROM conversations",
     "stem_counts": f"WITH w AS (SELECT unnest({_TOK.format('text', 1)}) AS w FROM conversations) SELECT CASE " + " ".join(f"WHEN suffix(w, '{s}') AND length(w) >= {len(s) + 2} THEN left(w, length(w) - {len(s)})" for s in SUFFIXES) + " ELSE w END AS stem, count(*) AS n, count(DISTINCT w) AS n_forms FROM w GROUP BY 1",
-    "candidate_counts": f"WITH b AS (SELECT unnest({_NAMES.format('text')}) AS name, 0 AS s FROM conversations UNION ALL SELECT unnest(list_filter(regexp_extract_all(text, '(?:^|[.!?]\\s+)([A-Za-z]+)', 1), lambda w: regexp_matches(w, '^[A-Z][a-z]{{4,}}$'))), 1 FROM conversations) SELECT name, count_if(s = 0) AS hits, count_if(s = 1) AS starts, count_if(s = 0) > count_if(s = 1) AS sure FROM b GROUP BY 1",
+    "candidate_counts": f"WITH b AS (SELECT unnest({_NAMES.format('text')}) AS name, 0 AS s FROM conversations UNION ALL SELECT unnest(regexp_extract_all(text, '(?:^|[.!?]\\s+)(\\p{{Lu}}[\\p{{L}}\\p{{N}}''-]{{2,}}(?:\\s+\\p{{Lu}}[\\p{{L}}\\p{{N}}''-]{{2,}})*)', 1)), 1 FROM conversations) SELECT name, count_if(s = 0) AS hits, count_if(s = 1) AS starts, count_if(s = 0) > count_if(s = 1) AS sure FROM b GROUP BY 1",
     "linked_texts": r"SELECT lang, count(*) AS n, count_if(regexp_matches(lower(text), '(https?://|www\.)[a-z0-9]')) AS linked FROM documents GROUP BY 1",
     "drop_reason_totals": f"WITH {_FACTS}, p AS (SELECT source, coalesce({_REASON}, 'kept') AS reason, count(*) AS k FROM facts GROUP BY 1, 2) SELECT coalesce(reason, 'all') AS reason, CAST(sum(k) AS BIGINT) AS n, count(*) AS n_sources FROM p GROUP BY ROLLUP (reason)",
     "tag_matrix": f"WITH {_FLAGGED} SELECT lang, " + ", ".join(f"count_if(m_{c}) / count(*) AS {c}" for c in FAMILIES) + " FROM fl GROUP BY 1",
-    "dominant_roles": f"WITH {_FLAGGED}, r AS (SELECT source, doc_id, pos, {_TAGS.format(', '.join(f'''CASE WHEN m_{c} THEN '{c}' END''' for c in FAMILIES))} AS tags FROM fl), t AS (SELECT source, count(*) AS bearing FROM r WHERE len(tags) > 0 GROUP BY 1), n AS (SELECT source, role, count(*) AS n FROM (SELECT source, unnest(tags) AS role FROM r) GROUP BY 1, 2), b AS (SELECT source, arg_min(role, (-n, role)) AS role, max(n) AS n FROM n GROUP BY 1) SELECT source, role, n, bearing, n * 10 >= bearing * 4 AS dominant FROM b JOIN t USING (source)",
+    "dominant_roles": f"WITH {_FLAGGED}, r AS (SELECT source, doc_id, pos, {_TAGS.format(', '.join(f'''CASE WHEN m_{c} THEN '{c}' END''' for c in FAMILIES))} AS tags FROM fl), t AS (SELECT source, count(*) AS bearing FROM r WHERE len(tags) > 0 GROUP BY 1), n AS (SELECT source, role, count(*) AS n FROM (SELECT source, unnest(tags) AS role FROM r) GROUP BY 1, 2), b AS (SELECT source, arg_min(role, (-n, role)) AS role, max(n) AS n FROM n GROUP BY 1) SELECT source, role, n, bearing, n * 10 >= bearing * 7 AS dominant FROM b JOIN t USING (source)",
     "representatives": f"WITH {_LAYERS} SELECT lang, layer, arg_min(doc_id, (-score_a, doc_id, pos)) AS deep_doc, arg_min(pos, (-score_a, doc_id, pos)) AS deep_pos, arg_min(doc_id, (-score_b, doc_id, pos)) AS support_doc, arg_min(pos, (-score_b, doc_id, pos)) AS support_pos FROM la GROUP BY 1, 2",
     "systemic_depth": f"WITH {_FLAGGED} SELECT CAST(4 * CAST(m_multi_step AS INT) + 4 * CAST(m_emergent AS INT) + CASE WHEN {_SPREAD} >= 3 THEN 2 ELSE 0 END AS BIGINT) AS depth, concat_ws(',', CASE WHEN m_workflow THEN 'workflow' END, CASE WHEN m_effect AND m_condition THEN 'implication' END, CASE WHEN m_advice THEN 'operational' END) AS roles, count(*) AS n FROM fl GROUP BY 1, 2",
     "utility_signals": f"WITH {_FACTS}, h AS (" + " UNION ALL ".join(rf"SELECT '{c}' AS family, len(regexp_extract_all(lower(fact), '\b({'|'.join(rules.LEXICON[c])})\b')) AS hits FROM facts" for c in FAMILIES) + ") SELECT family, CAST(least(95, 50 + 10 * hits) AS BIGINT) AS confidence, count(*) AS n FROM h WHERE hits > 0 GROUP BY 1, 2",

@@ -14,8 +14,8 @@ from factloom.streaming import usage as U
 
 # Intents by priority and the words that tell them.
 INTENTS = [("greeting", 1, ["hello", "thanks"]), ("howto", 2, ["how", "explain", "write"]), ("fact", 3, ["what", "which", "who"]), ("prose", 4, ["the", "and"])]
-SEGMENTS = [("history", 1, 600), ("facts", 2, 800), ("question", 3, 400)]  # trim order and cap
-PROMPT_CHARS = 900
+SEGMENTS = [("history", 1, 6000), ("facts", 2, 8000), ("question", 3, 4000)]  # trim order and cap; the last is required
+PROMPT_CHARS = 12000
 
 
 def _events(spark, sf_dir):
@@ -49,7 +49,7 @@ def hot_score(spark, sf_dir):
 
 def ring_last_n(spark, sf_dir):
     w = Window.partitionBy("event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return _events(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 100").select("event_type", "event_id", F.col("rn").cast("bigint").alias("rn"))
+    return _events(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 1000").select("event_type", "event_id", F.col("rn").cast("bigint").alias("rn"))
 
 
 def frame_windows(spark, sf_dir):
@@ -58,10 +58,23 @@ def frame_windows(spark, sf_dir):
 
 
 def latency_p95_split(spark, sf_dir):
-    """Nearest-rank 95th percentile, by type and parity of the property."""
+    """Nearest-rank 95th percentile, by type and parity of the property.
+
+    Counts over whole numbers tell between which two the percentile lies; only values between these are ordered.
+    """
     k = F.get_json_object("props", "$.k").cast("bigint")
-    e = _events(spark, sf_dir).select("event_type", (k % 2 == 0).alias("even"), "value")
-    return e.groupBy("event_type", "even").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("worst"))
+    e = _events(spark, sf_dir).select("event_type", (k % 2 == 0).alias("even"), "value", F.floor("value").alias("bin"))
+    by = ["event_type", "even"]
+    bins = e.where("value IS NOT NULL").groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("k"), F.max("value").alias("most"))
+    w = Window.partitionBy(*by)
+    bins = bins.withColumns({"through": F.sum("k").over(w.orderBy("bin")), "rank": F.ceil(F.sum("k").over(w) * 0.95)})
+    cut = bins.where((F.col("through") >= F.col("rank")) & (F.col("through") - F.col("k") < F.col("rank"))).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bin").alias("_bin"), (F.col("rank") - F.col("through") + F.col("k")).alias("left"))
+    same = F.col("event_type").eqNullSafe(F.col("_event_type")) & F.col("even").eqNullSafe(F.col("_even"))
+    inside = e.join(F.broadcast(cut), same & (F.col("bin") == F.col("_bin"))).groupBy(*by, "left", "value").agg(F.count(F.lit(1)).alias("k"))  # a row for each pair of type and parity
+    p95 = inside.withColumn("through", F.sum("k").over(w.orderBy("value"))).where("through >= left").groupBy(*by).agg(F.min("value").alias("p95"))
+    all_ = e.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("worst"))
+    p95 = p95.select(*[F.col(c).alias(f"_{c}") for c in by], "p95")
+    return all_.join(p95, same, "left").select(*by, "n", "p95", "worst")
 
 
 def intent_breakdown(spark, sf_dir):
@@ -202,7 +215,8 @@ def chunk_cohesion(spark, sf_dir):
 
 def _runs(spark, sf_dir):
     f = facts(spark, sf_dir).where("fact <> ''").withColumn("key", X.text_key("fact"))
-    return (f.where(F.col("doc_id") % 2 == k).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")) for k in (0, 1))
+    # each run is used several times: its texts are split and counted once
+    return (S.written(f.where(F.col("doc_id") % 2 == k).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "run") for k in (0, 1))
 
 
 def missing_added(spark, sf_dir):
@@ -253,11 +267,40 @@ def cosine_to_first(spark, sf_dir):
     return e.join(first, "label").where("vec_id <> lead_id").select("vec_id", "lead_id", (X.cosine("embedding", "lead") >= .5).alias("alike"))
 
 
+def links_of(spark, sf_dir, html):
+    """Links in html as whole addresses on the page's own host: the first of each, with its text without tags, and
+    how many there are."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), html.alias("body"))
+    found = F.regexp_extract_all("body", F.lit('(?is)(<a [^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
+    links = p.select("page_id", "page", F.posexplode(found).alias("pos", "a")).select("page_id", "page", "pos", F.trim(F.regexp_extract("a", '(?is)href="([^"]*)"', 1)).alias("href"), X.collapse(F.regexp_replace("a", "<[^>]*>", " ")).alias("text"))
+    links = links.where("href <> '' AND href NOT RLIKE '(?i)^(#|javascript:|mailto:)'").withColumn("url", F.regexp_replace(S.absolute_url("href", "page"), "#.*$", ""))
+    host = lambda c: F.lower(F.regexp_extract(c, "^[A-Za-z]+://([^/?#:]+)", 1))
+    return links.where(host("url") == host("page")).groupBy("page_id", "url").agg(F.min_by("text", "pos").alias("text"), F.count(F.lit(1)).alias("n"))
+
+
 def page_links(spark, sf_dir):
-    """Links of article bodies: the first of each target, with the marks of their text."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"[^>]*>[^<]*</a>'), F.lit(1)).alias("u"), F.regexp_extract_all("html", F.lit('<a [^>]*href="[^"]*"[^>]*>([^<]*)</a>'), F.lit(1)).alias("t"))
-    links = p.select("page_id", F.posexplode(F.arrays_zip("u", "t")).alias("pos", "l")).select("page_id", "pos", F.col("l.u").alias("url"), F.col("l.t").alias("text")).where("url NOT RLIKE '^(#|javascript:|mailto:)'")
-    return links.groupBy("page_id", "url").agg(F.min_by("text", "pos").alias("text"), F.count(F.lit(1)).alias("n"))
+    """Links of article bodies."""
+    return links_of(spark, sf_dir, S.article_body("html"))
+
+
+def site_links(spark, sf_dir):
+    """Links of whole pages, navigation too."""
+    return links_of(spark, sf_dir, F.col("html"))
+
+
+def page_text(spark, sf_dir):
+    """Article bodies as text: characters, lines and headings of each page."""
+    t = table(spark, sf_dir, "pages").select("page_id", S.markup_text(S.article_body("html")).alias("text"))
+    return t.select("page_id", F.length("text").cast("bigint").alias("chars"), F.size(F.split("text", "\n")).cast("bigint").alias("lines"), "text")
+
+
+def heading_levels(spark, sf_dir):
+    """Lines of page texts that are headings, with their confidence and level: hashes by their number, numbered ones 2."""
+    lines = page_text(spark, sf_dir).select("page_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    strong = F.col("line").rlike("^\\s*(#{1,6}\\s+\\S|\\d+(?:\\.\\d+)*[.)]?\\s+\\S)")
+    level = F.when(F.length(F.regexp_extract("line", "^(#{1,6})\\s", 1)) > 0, F.length(F.regexp_extract("line", "^(#{1,6})\\s", 1))).when(F.col("line").rlike("^\\s*\\d+(?:\\.\\d+)*[.)]?\\s+\\S"), 2)
+    h = lines.withColumn("confidence", X.heading_confidence("line")).where(strong | (F.col("confidence") >= .55))
+    return h.select("page_id", F.col("pos").cast("bigint").alias("pos"), level.cast("bigint").alias("level"), (F.col("confidence") * 100).cast("bigint").alias("confidence"), F.regexp_replace("line", "^(#+|\\s*\\d+(?:\\.\\d+)*[.)]?)\\s*", "").alias("title"))
 
 
 def page_sections(spark, sf_dir):
@@ -288,7 +331,7 @@ def document_chunks(spark, sf_dir):
     return packed_documents(spark, sf_dir).select("doc_id", F.posexplode("chunks").alias("chunk", "tokens")).select("doc_id", (F.col("chunk") + 1).cast("bigint").alias("chunk_id"), "tokens")
 
 
-QUERIES = {f.__name__: f for f in (throttle_gaps, usage_counters, stream_usage, hot_score, ring_last_n, frame_windows, latency_p95_split, intent_breakdown, budget_summary, context_state, positional_pairs, freshest_before, tier_lookup, alias_lookup, prefix_map, registry_match, classify_intent, score_facts_topk, prompt_trim, history_search, idempotent_append, upsert_templates, split_rates, bucket_rates, survival_matrix, chunk_cohesion, missing_added, matched_signatures, per_source_full_outer, snapshot_diff, equivalence_best_match, leader_clusters, cosine_to_first, page_links, page_sections, document_chunks)}
+QUERIES = {f.__name__: f for f in (throttle_gaps, usage_counters, stream_usage, hot_score, ring_last_n, frame_windows, latency_p95_split, intent_breakdown, budget_summary, context_state, positional_pairs, freshest_before, tier_lookup, alias_lookup, prefix_map, registry_match, classify_intent, score_facts_topk, prompt_trim, history_search, idempotent_append, upsert_templates, split_rates, bucket_rates, survival_matrix, chunk_cohesion, missing_added, matched_signatures, per_source_full_outer, snapshot_diff, equivalence_best_match, leader_clusters, cosine_to_first, page_links, site_links, page_text, heading_levels, page_sections, document_chunks)}
 
 _US = "epoch_us(ts)"
 _USAGE = "SELECT user_id, count(*) AS total, count_if(event_type = 'purchase') AS purchases, count_if(event_type = 'error') AS errors, arg_max(event_id, (ts, event_id)) AS last_event_id, arg_max(event_type, (ts, event_id)) AS last_event_type FROM events GROUP BY 1"
@@ -300,7 +343,7 @@ SQL = {
     "throttle_gaps": f"SELECT user_id, count(*) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR epoch_us(ts) - epoch_us(b) >= 7200000000 GROUP BY 1",
     "usage_counters": _USAGE, "stream_usage": _USAGE,
     "hot_score": "SELECT user_id, total, days, CAST((total + 2 * high) * greatest(7, 14 - days) AS BIGINT) AS score14 FROM (SELECT user_id, count(*) AS total, count_if(event_type = 'purchase') AS high, CAST(floor(((SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts))) / 86400000000) AS BIGINT) AS days FROM events GROUP BY 1) ORDER BY score14 DESC, user_id LIMIT 10",
-    "ring_last_n": "SELECT event_type, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 100",
+    "ring_last_n": "SELECT event_type, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 1000",
     "frame_windows": f"SELECT CAST(floor({_US} / 3600000000) AS BIGINT) AS hour, count(*) AS n, max(value) AS worst, count_if(value >= 34) AS janky FROM events GROUP BY 1",
     "latency_p95_split": "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 AS even, count(*) AS n, quantile_disc(value, 0.95) AS p95, max(value) AS worst FROM events GROUP BY 1, 2",
     "intent_breakdown": "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, max(turn) AS last_turn FROM conversations GROUP BY 1",
@@ -313,7 +356,7 @@ SQL = {
     "registry_match": f"SELECT conv_id, turn, {_REGISTRY} AS name FROM conversations WHERE {_REGISTRY} IS NOT NULL",
     "classify_intent": f"SELECT role, {_INTENT} AS intent, count(*) AS n FROM conversations GROUP BY 1, 2",
     "score_facts_topk": f"WITH {_FACTS}, q AS (SELECT item_id, unnest(list_distinct({_TOK.format('text', 5)})) AS t FROM benchmark), f AS (SELECT doc_id, pos, unnest(list_distinct({_TOK.format('fact', 5)})) AS t FROM facts), s AS (SELECT item_id, doc_id, pos, 2 * count(*) AS score FROM q JOIN f USING (t) GROUP BY 1, 2, 3) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, pos) AS rn FROM s) WHERE rn <= 3",
-    "prompt_trim": f"WITH c AS (SELECT conv_id, CAST(CASE role WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS BIGINT) AS trim_order, sum(length(text)) AS n FROM conversations GROUP BY 1, 2), d AS (SELECT conv_id, trim_order, CAST(least(n, CASE trim_order WHEN 1 THEN 600 WHEN 2 THEN 800 ELSE 400 END) AS BIGINT) AS chars FROM c) SELECT conv_id, trim_order, chars, CAST(least(chars, greatest(0, greatest(sum(chars) OVER (PARTITION BY conv_id) - {PROMPT_CHARS}, 0) - coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY trim_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS trimmed FROM d",
+    "prompt_trim": f"WITH c AS (SELECT conv_id, CAST(CASE role WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS BIGINT) AS trim_order, sum(length(text)) AS n FROM conversations GROUP BY 1, 2), d AS (SELECT conv_id, trim_order, CAST(least(n, CASE trim_order WHEN 1 THEN 6000 WHEN 2 THEN 8000 ELSE 4000 END) AS BIGINT) AS chars FROM c) SELECT conv_id, trim_order, chars, CAST(least(chars, greatest(0, greatest(sum(chars) OVER (PARTITION BY conv_id) - {PROMPT_CHARS}, 0) - coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY trim_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS trimmed FROM d",
     "history_search": "SELECT conv_id, count_if(contains(lower(text), 'ing')) AS visible, count(*) AS total FROM conversations GROUP BY 1",
     "idempotent_append": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500",
     "upsert_templates": "WITH x AS (SELECT o_custkey, max(o_orderkey) AS old_k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), y AS (SELECT o_custkey, max(CASE WHEN o_totalprice >= 100000 THEN o_orderkey END) AS new_k FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) SELECT o_custkey, coalesce(new_k, old_k) AS k, old_k IS NULL AS is_new FROM x FULL JOIN y USING (o_custkey)",
@@ -325,6 +368,9 @@ SQL = {
     "matched_signatures": f"WITH {_RUNS} SELECT key, a.doc_id, b.doc_id AS doc_b, a.n, b.n AS n_b FROM a JOIN b USING (key)",
     "per_source_full_outer": f"WITH {_FACTS} SELECT source, lang, count_if(doc_id % 2 = 0) AS before, count_if(doc_id % 2 = 1) AS after FROM facts GROUP BY 1, 2",
     "snapshot_diff": "WITH m AS (SELECT doc_id % 2 AS run, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY 1, 2), u AS (SELECT run, 'metrics.' || lang || '.' || metric AS metric, v FROM m UNPIVOT (v FOR metric IN (docs, chars, longest))), j AS (SELECT a.metric, a.v AS before, b.v AS after, b.v - a.v AS delta FROM u a JOIN u b ON a.metric = b.metric AND a.run = 0 AND b.run = 1) SELECT *, CASE WHEN abs(delta) >= 1000 THEN 'break' WHEN abs(delta) >= 100 THEN 'regression' WHEN abs(delta) >= 10 THEN 'notable' WHEN abs(delta) >= 1 THEN 'minor' ELSE 'stable' END AS level FROM j",
+    "site_links": r"""WITH p AS (SELECT page_id, url AS page, regexp_extract_all(html, '(?is)(<a [^>]*href="[^"]*"[^>]*>.*?</a>)', 1) AS a FROM pages), l AS (SELECT page_id, page, unnest(a) AS a, unnest(range(len(a))) AS pos FROM p),
+      h AS (SELECT page_id, page, pos, trim(regexp_extract(a, '(?is)href="([^"]*)"', 1)) AS href, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM l),
+      u AS (SELECT *, regexp_replace(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(page, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE regexp_replace(regexp_replace(page, '[?#].*$', ''), '[^/]*$', '') || href END, '#.*$', '') AS url FROM h WHERE href <> '' AND NOT regexp_matches(href, '(?i)^(#|javascript:|mailto:)'))
+      SELECT page_id, url, arg_min(text, pos) AS text, count(*) AS n FROM u WHERE lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) = lower(regexp_extract(page, '^[A-Za-z]+://([^/?#:]+)', 1)) GROUP BY 1, 2""",
     "cosine_to_first": "WITH f AS (SELECT label, min(vec_id) AS lead_id, arg_min(embedding, vec_id) AS lead FROM embeddings GROUP BY 1) SELECT vec_id, lead_id, list_cosine_similarity(embedding::DOUBLE[], lead::DOUBLE[]) >= 0.5 AS alike FROM embeddings JOIN f USING (label) WHERE vec_id <> lead_id",
-    "page_links": """WITH p AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>[^<]*</a>', 1) AS u, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>([^<]*)</a>', 1) AS t FROM pages), l AS (SELECT page_id, unnest(u) AS url, unnest(t) AS text, unnest(range(len(u))) AS pos FROM p) SELECT page_id, url, arg_min(text, pos) AS text, count(*) AS n FROM l WHERE NOT regexp_matches(url, '^(#|javascript:|mailto:)') GROUP BY 1, 2""",
 }

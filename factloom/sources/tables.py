@@ -62,6 +62,20 @@ def article_body(html: str | Column) -> Column:
     return F.regexp_replace(F.when(inner == "", h).otherwise(inner), "(?is)<(nav|header|footer|aside|script|style)[^>]*>.*?</\\1>", "")
 
 
+def absolute_url(link: str | Column, base: str | Column) -> Column:
+    """A link as seen from the address of its page: whole ones as they are, those from the host or scheme on, those
+    beside the page, and ../ steps up from it."""
+    u, b = (F.col(x) if isinstance(x, str) else x for x in (link, base))
+    scheme, host = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_replace(F.regexp_replace(b, "[?#].*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), "[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    path = F.regexp_replace(F.concat(folder, u), "/\\./", "/")
+    for _ in range(4):
+        path = F.regexp_replace(path, "/[^/]+/\\.\\./", "/")
+    path = F.regexp_replace(path, "^(/\\.\\.)+/", "/")
+    return F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), u).when(u.startswith("//"), F.concat(scheme, u)).when(u.startswith("/"), F.concat(host, u)).when(u.startswith("?"), F.concat(F.regexp_replace(b, "[?#].*$", ""), u)).otherwise(F.concat(host, path))
+
+
 def markup_text(html: str | Column) -> Column:
     """Headings as marks, blocks as lines, tags gone, entities decoded."""
     out = F.col(html) if isinstance(html, str) else html

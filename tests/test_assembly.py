@@ -27,14 +27,25 @@ def test_merge_cheapest(spark):
 
 
 def test_redact(spark):
-    rows = [("Hello Maria, and Peter.", ["Maria"]), ("Maria Mariana", ["Maria", "Absent"]), ("", ["Maria"]), (None, ["Maria"]), ("a  Peter", [])]
+    rows = [("Hello Maria, and Peter.", ["Maria"]), ("Maria Mariana", ["Maria", "Absent"]), ("", ["Maria"]), (None, ["Maria"]), ("a  Peter", []), ("Ana Élise and Élise", ["Élise", "Ana Élise"]), ("a (b. c", ["(b."])]
     got = [r.t for r in spark.createDataFrame(rows, "t string, o array<string>").select(assembly.redact(F.col("t"), F.col("o")).alias("t")).collect()]
-    assert got == ["Hello [name], and Peter.", "[name] Mariana", "", None, "a  Peter"]
+    assert got == ["Hello [name], and Peter.", "[name] Mariana", "", None, "a  Peter", "[name] and [name]", "a [name] c"]
 
 
 def test_names(spark):
-    got = spark.createDataFrame([("Anna met Peter and PETER, Peterson2 Ulrich",)], "t string").select(assembly.names("t").alias("n")).first().n
-    assert got == [w for w in re.findall("[A-Za-z]+", "Anna met Peter and PETER, Peterson2 Ulrich") if re.fullmatch("[A-Z][a-z]{4,}", w)]
+    text = "Anna met Peter Müller and O'Brien; Élise saw R2-D2 XY, PETER \u0130pek"
+    got = spark.createDataFrame([(text,)], "t string").select(assembly.names("t").alias("n")).first().n
+    assert got == ["Anna", "Peter Müller", "O'Brien", "Élise", "R2-D2", "PETER \u0130pek"]
+
+
+def test_link_score(spark):
+    sets = {"title": ["iron", "wall"], "heading": ["iron"], "subheading": [], "path": ["guide"], "lexicon": []}
+    rows = [("iron wall guide", "/x/iron", 5), ("go", "#", 0), (None, None, None)]
+    df = spark.createDataFrame(rows, "t string, u string, d int")
+    lists = {n: F.array(*map(F.lit, v)) if v else F.array().cast("array<string>") for n, v in sets.items()}
+    got = [r.s for r in df.select(assembly.link_score(F.coalesce("t", F.lit("")), F.coalesce("u", F.lit("")), lists, F.coalesce("d", F.lit(0))).alias("s")).collect()]
+    # each of two title tokens, one heading and one path token; a long text of several tokens; a density of 5 / 80
+    assert got == [min(100, 2 * 30 + 25 + 15 + 5 + 5 + 6), 0, 0]
 
 
 def test_rare_token_pairs(spark):

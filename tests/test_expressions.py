@@ -30,7 +30,17 @@ CASES = {
     "ignored": (lambda c: D.ignored(c, [" studio ", ""], ["^own"]), ["Visual Studio Code", "Own app", "Ring", "", None], [True, True, False, True, True]),
     "browser_class": (D.is_browser_class, ["Chrome_WidgetWin_1", "UnityWndClass", None], [True, False, False]),
     "sanitize": (X.sanitize, ["a\u2028b\u200bc\x07d", "", None], ["a\nbcd", "", None]),
-    "heading_confidence": (lambda c: F.round(X.heading_confidence(c), 2), ["# Great Walls", "", "menu", "this is a sentence that ends with a stop.", "1. First Steps Of All:"], [.7, 0.0, 0.0, 0.0, .8]),
+    "heading_confidence": (X.heading_confidence, ["# Great Walls", "", None, "menu", "this is a sentence that ends with a stop.", "1. First Steps Of All:", "THE IRON AGES", "Iron Walls", "- one two three", "View of the page here", "a/b/c x y z w"], [.7, 0.0, 0.0, 0.0, 0.0, .8, .1, 0.0, 0.0, 0.0, 0.0]),
+    "unicode_key": (X.unicode_key, ["Élan ﬁne-II", "", None], ["elan fine ii", "", None]),
+    "search_key": (X.search_key, ["  Crème  Brûlée! ", None], ["creme brulee!", None]),
+    "request_key": (X.request_key, ["Où est—ça?", None], ["où est ça", None]),
+    "name_key": (X.name_key, ["A\u00a0 B", None], ["a b", None]),
+    "truncate": (lambda c: X.truncate(c, 3), ["abcd", "abc", None], ["abc...", "abc", None]),
+    "path_key": (X.path_key, ["C:\\Games\\\\", None], ["c:\\games", None]),
+    "percent": (lambda c: X.percent(c.cast("double")), ["0.1234", "1", None], ["12.3%", "100.0%", None]),
+    "fact_id": (lambda c: X.fact_id(c, F.lit("a"), F.lit(None).cast("string"), F.lit(3)), ["x", " ", None], ["x", "fact-ee5dc361", "fact-ee5dc361"]),
+    "around": (lambda c: X.around(c, F.lit("Key"), 2), ["abc key def", "none", None], ["c key d", None, None]),
+    "absolute_url": (lambda c: S.absolute_url(c, F.lit("https://a.org/x/y/z.html?q=1")), ["/m", "n", "../n", "../../../n", "//b.org/k", "http://c.org/", "?p=2", "./n"], ["https://a.org/m", "https://a.org/x/y/n", "https://a.org/x/n", "https://a.org/n", "https://b.org/k", "http://c.org/", "https://a.org/x/y/z.html?p=2", "https://a.org/x/y/n"]),
     "article_body": (S.article_body, ["<body><nav>n</nav><article>a</article></body>", "<main>m</main>", "plain"], ["a", "m", "plain"]),
     "markup_text": (S.markup_text, ["<h2>T</h2><p>a &lt; b</p><script>x</script>[edit]"], ["## T\n\na < b"]),
     "source_reason": (lambda c: rules.source_reason("v", ["wiki", "blog9"], ["spam"], ["9"]), ["wiki", "SPAM ", "blog9", "other", "", None], [None, "source-type-blocked", "source-type-pattern", "source-type-not-allowed", "source-type-missing", "source-type-missing"]),
@@ -72,3 +82,45 @@ def test_files(spark, tmp_path):
     assert [r.html for r in ok.collect()] == ["ab"] and [(r.html, r.error) for r in large.collect()] == [("éé", "source-too-large")]
     df = spark.createDataFrame([({"b": 1, "a": 2},)], "m map<string,int>")
     assert df.select(S.stable_json("m").alias("o")).first().o == '{"a":2,"b":1}'
+
+
+def test_page_links_match_a_plain_reading(spark, tmp_path):
+    import html.parser
+    from urllib.parse import urldefrag, urljoin, urlsplit
+
+    class Links(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.found, self.inside = [], None
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a" and dict(attrs).get("href"):
+                self.inside = [dict(attrs)["href"].strip(), ""]
+
+        def handle_data(self, data):
+            if self.inside:
+                self.inside[1] += data
+
+        def handle_endtag(self, tag):
+            if tag == "a" and self.inside:
+                self.found.append((self.inside[0], " ".join(self.inside[1].split())))
+                self.inside = None
+
+    from factloom.plans import table_queries
+
+    sf = "/root/testdata/sf0.01"
+    pages = S.table(spark, sf, "pages")
+    extra = '<body><nav><a href="/nav">n</a></nav><article><p><a href="/a"><b>In</b> tags</a> <a href="/a">again</a> <a href="https://other.org/x">far</a> <a href="#top">t</a> <a href="../up">up</a></p></article></body>'
+    more = spark.createDataFrame([(99_999, "https://a.org/x/y/z", extra)], pages.schema)
+    pages.unionByName(more).write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.url): (r.text, r.n) for r in table_queries.page_links(spark, str(tmp_path)).collect()}
+    want = {}
+    for r in pages.unionByName(more).select("page_id", "url", S.article_body("html").alias("body")).collect():
+        reader = Links()
+        reader.feed(r.body)
+        for href, text in reader.found:
+            url = urldefrag(urljoin(r.url, href)).url
+            if not href.lower().startswith(("#", "javascript:", "mailto:")) and urlsplit(url).hostname == urlsplit(r.url).hostname:
+                first, n = want.get((r.page_id, url), (text, 0))
+                want[r.page_id, url] = (first, n + 1)
+    assert got == want and got[99_999, "https://a.org/a"] == ("In tags", 2) and (99_999, "https://a.org/x/up") in got

@@ -56,12 +56,15 @@ def test_near_duplicate_marks(spark):
     want, kept = {}, defaultdict(list)
     for r in sorted(facts(spark, SF).where("fact <> ''").select("doc_id", "pos", "fact").collect(), key=lambda r: (r.doc_id, r.pos)):
         own = words_of(r.fact, 3)
-        like = next((p for p, t in kept[r.doc_id] if own and t and len(own & t) >= .6 * len(own | t)), None)
+        like = next((p for p, t in kept[r.doc_id] if min(len(own), len(t)) >= 8 and len(own & t) >= max(6, .93 * len(own | t))), None)
         want[r.doc_id, r.pos] = like
         if like is None:
             kept[r.doc_id].append((r.pos, own))
     got = {(r.doc_id, r.pos): r.like_pos for r in fact_queries.near_duplicate_marks(spark, SF).collect()}
     assert got == want
+    rows = [(1, k, t) for k, t in enumerate(["one two three four", "one two three four", "aa1 bb1 cc1 dd1 ee1 ff1 gg1 hh1 ii1", "aa1 bb1 cc1 dd1 ee1 ff1 gg1 hh1 ii1"])]
+    marked = dedupe.mark_near_duplicates(spark.createDataFrame(rows, "doc_id long, pos int, fact string")).orderBy("pos").collect()
+    assert [r.like_pos for r in marked] == [None, None, None, 2] and [r.kept for r in marked] == [True, True, True, False]
 
 
 def test_document_chunks(spark):
