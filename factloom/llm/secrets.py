@@ -41,9 +41,10 @@ PREFIX = rf"^(?:{_ASSIGNED}[\"']?|{_QUOTED}[\"'])"
 #: and assigned ones of any length; elsewhere every run of 16 or more characters of keys and tokens, '=' only as
 #: padding at its end, so that the name in name=value is not part of the value.  A run that is such a name itself is
 #: left to the alternatives before.
+_BETWEEN = r"[\"'\])]?\s{0,4}(?:[=:]{1,2}>?|[,\s])\s{0,4}"
+_WITHIN = "|".join(rf"{q}(?:[^\s{q}]++|(?![^{q}\r\n]{{0,80}}[A-Za-z0-9+/_\-.]{{16}})[^{q}\r\n]{{1,80}}+)(?={q})" for q in "\"'")
 SCANNED = "|".join([
-    *(rf"{_QUOTED}{q}(?:[^\s{q}]++|(?![^{q}\r\n]{{0,80}}[A-Za-z0-9+/_\-.]{{16}})[^{q}\r\n]{{1,80}}+)(?={q})" for q in "\"'"),
-    rf"{_ASSIGNED}[\"']?{_VALUE}++(?:={{1,2}}(?!=|{_VALUE}))?",
+    rf"{_NAMED}(?:{_BETWEEN}(?:{_WITHIN})|[\"'\])]?\s{{0,4}}[=:]{{1,2}}>?\s{{0,4}}[\"']?{_VALUE}++(?:={{1,2}}(?!=|{_VALUE}))?)",
     rf"(?<![A-Za-z0-9+/_\-])(?=[+/_\-.]*+[A-Za-z0-9])[A-Za-z0-9+/_\-.]{{16,}}+(?![\"'\])]?\s{{0,4}}[=:](?<={_NAMED}[\"'\])]?\s{{0,4}}[=:]){_VALUE}?)(?:={{1,2}}(?![A-Za-z0-9+/_=\-.]))?",
 ])
 #: Finds over whose lengths one step of a running sum goes; it keeps the work for n finds of a text near n.
@@ -154,8 +155,9 @@ def fit_secrets(findings: DataFrame) -> dict:
     any finding there are no trees, and every candidate scores 0; with one label alone all score that.
     """
     findings = findings.where("label IN (0, 1) AND candidate IS NOT NULL").select("candidate", "before", "after", "label").orderBy(F.xxhash64("candidate", "before"), "candidate", "before", "after", "label").limit(MAX_FINDINGS)
-    if findings.isEmpty():
-        return {"bigrams": {}, "trees": []}
+    labels = [r.label for r in findings.select("label").distinct().collect()]
+    if len(labels) < 2:
+        return {"bigrams": {}, "trees": [("leaf", float(x)) for x in labels]}
     bigrams = fit_bigrams(findings)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(with_features(findings, bigrams)).select("x", F.col("label").cast("double").alias("label"))
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
