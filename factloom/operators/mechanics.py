@@ -215,7 +215,8 @@ LEVELS: list[dict[str, str]] = [
         "bounded_confidence": "least(1000, (boundedness * 6 + 5) // 10 + 200 + CASE WHEN burden < 600 THEN 200 ELSE 0 END)", "safe": "graph_risk < 600 AND boundedness >= 600",
         "true_operational": "strength >= 600 AND importance >= 500 AND operational_value >= 500 AND transition_critical", "noisy_operational": "strength >= 400 AND unit_bias >= 600 AND importance < 400 AND operational_value < 400",
         "fragile": "burden >= 600 AND drop_reason IS NOT NULL", "preservable": "transition_critical AND closed AND burden < 600 AND sensitivity < 600", "noisy_preservation": "local_dominant AND NOT transition_critical AND fragment_weight < 500",
-        "shallow_identity": "n_runtime = 0 AND n_identity <= 1",
+        "shallow_identity": "n_runtime = 0 AND n_identity <= 1", "reasoning_risk": "CASE WHEN burden >= 600 THEN 400 ELSE 0 END + CASE WHEN sensitivity >= 600 THEN 300 ELSE 0 END + CASE WHEN propagation_depth >= 3 THEN 300 ELSE 0 END",
+        "category": _case([("safe-local-preservation", "transition_critical AND closed AND sensitivity < 600 AND burden < 600 AND graph_risk < 600"), ("bounded-transition-preservation", "transition_critical AND closed"), ("operational-fragment-safe", "fragment AND sensitivity < 600 AND graph_risk < 600"), ("propagation-risk", "sensitivity >= 600"), ("graph-risk", "graph_risk >= 600")], "'recursive-risk'"),
     },
     {
         "eligible_interpretation": "safe AND transition_critical AND potential >= 600 AND fragment_weight >= 600", "eligible_selectivity": "safe AND transition_critical AND strength >= 600 AND importance >= 500 AND operational_value >= 500 AND noise_risk < 500",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import mechanics as M
@@ -112,7 +112,95 @@ def failed_rules(spark, sf_dir):
     return g.groupBy("reason").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("m") == 1, F.col("k")).otherwise(0)).alias("alone"))
 
 
-QUERIES = {f.__name__: f for f in (mechanic_drops, fact_grounding, fact_scores, fact_utility, fact_preservation, preservation_labels, step_effects, retention_attribution, quality_diagnostics, failed_rules)}
+#: What a fact may consist of, and the runtime classes that make its operational value.
+COMPONENTS = {"condition": "has_condition", "effect": "has_effect", "transition": "g_transition", "constraint": "core_constraint", "downstream": "g_downstream", "entities": "n_entities > 0"}
+CLASSES = ["routing-critical", "recovery-significant", "interruption-sensitive", "dependency-resolution", "state-transition", "downstream-impact"]
+
+
+def preservation_taxonomy(spark, sf_dir):
+    """Facts by category of preservation and mode, with those kept and the sum of their risks."""
+    r = records(spark, sf_dir)
+    return r.groupBy("category", "mode").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("drop_reason").isNull()).alias("kept"), F.sum("graph_risk").cast("bigint").alias("graph_risk"), F.sum("reasoning_risk").cast("bigint").alias("reasoning_risk"))
+
+
+def continuation_burden(spark, sf_dir):
+    """Facts that go on, by type of continuation and fifth of the burden."""
+    r = records(spark, sf_dir).where("continuation_types <> ''").groupBy("continuation_types", F.least(F.lit(4), F.floor(F.col("burden") / 200)).cast("bigint").alias("fifth"))
+    g = r.agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("drop_reason").isNull()).alias("kept"))
+    # the few distinct lists of types are counted before they are spread
+    return g.select("fifth", "k", "kept", F.explode(F.split("continuation_types", "[+]")).alias("type")).groupBy("type", "fifth").agg(F.sum("k").alias("n"), F.sum("kept").alias("kept"))
+
+
+def component_persistence(spark, sf_dir):
+    """For each component the facts with it, those kept, and those kept that score as deep knowledge."""
+    r = records(spark, sf_dir).groupBy(*[F.expr(c).alias(f"c{k}") for k, c in enumerate(COMPONENTS.values())], F.col("drop_reason").isNull().alias("kept"), "layer").agg(F.count(F.lit(1)).alias("k"))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("component"), F.col(f"c{k}").alias("on")) for k, n in enumerate(COMPONENTS)]))
+    g = r.select("kept", "layer", "k", rows.alias("r")).where("r.on")
+    return g.groupBy(F.col("r.component").alias("component")).agg(F.sum("k").alias("n"), F.sum(F.when(F.col("kept"), F.col("k")).otherwise(0)).alias("kept"), F.sum(F.when(F.col("kept") & (F.col("layer") == "A"), F.col("k")).otherwise(0)).alias("deep"))
+
+
+def operational_values(spark, sf_dir):
+    """Shares of facts with each runtime class, by whether they were kept."""
+    r = records(spark, sf_dir).withColumn("kept", F.col("drop_reason").isNull())
+    has = lambda c: F.count_if(F.array_contains(F.split("runtime_classes", "[+]"), c))
+    return r.groupBy("kept").agg(F.count(F.lit(1)).alias("n"), *[(has(c) / F.count(F.lit(1))).alias(c.replace("-", "_")) for c in CLASSES])
+
+
+def interaction_modes(spark, sf_dir):
+    """Facts that lose one thing and another at once: pairs of labels by mode."""
+    labels = ["fragile", "noisy_operational", "noisy_preservation", "shallow_identity", "local_dominant"]
+    r = records(spark, sf_dir).select("mode", F.array_compact(F.array(*[F.when(F.col(c), c) for c in labels])).alias("l")).groupBy("mode", "l").agg(F.count(F.lit(1)).alias("k"))
+    # outer explodes, as plain ones make Spark infer filters that spell out all levels of the record once more
+    p = r.select("mode", "k", "l", F.explode_outer("l").alias("a")).select("mode", "k", "a", F.explode_outer("l").alias("b")).where("a < b")
+    return p.groupBy("mode", "a", "b").agg(F.sum("k").alias("n"))
+
+
+def chunk_facts(spark, sf_dir):
+    """Documents with their facts, those kept and the kept ones of the deep layer; the twenty with most kept first."""
+    d = facts(spark, sf_dir).select("doc_id").distinct()
+    k = records(spark, sf_dir).where("drop_reason IS NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("layer") == "A").alias("deep"))
+    out = d.join(k, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("deep", F.lit(0)).alias("deep"))
+    return out.orderBy(F.col("kept").desc(), "doc_id").limit(20)
+
+
+def trace_entries(spark, sf_dir):
+    """Each fact with what became of it: dropped and why, merged into the first of its text, or final with its layer."""
+    r = records(spark, sf_dir).select("doc_id", "pos", F.lower("fact").alias("key"), "drop_reason", "layer", "final_priority", "steps")
+    first = r.where("drop_reason IS NULL").groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    j = r.join(first, (r["key"] == first["key"]) & r["drop_reason"].isNull(), "left")
+    status = F.when(F.col("drop_reason").isNotNull(), "dropped").when((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") == F.col("pos")), "final").otherwise("merged")
+    return j.select("doc_id", F.col("pos").cast("bigint").alias("pos"), status.alias("status"), "drop_reason", F.when(status == "final", F.col("layer")).alias("layer"), F.when(status == "final", F.col("final_priority")).cast("bigint").alias("priority"), F.when(status == "merged", F.col("first.doc_id")).alias("into"))
+
+
+def shaped_facts(spark, sf_dir):
+    """Kept facts of a source after shaping, by priority: repeated sentence shapes cost novelty and priority, then of
+    more than 20 % top priorities only 15 % stay.
+
+    Facts that are alike in all that decides are counted together, so a source's facts are never brought to one task.
+    """
+    keys = ["source", "score_a", "obviousness", "novelty", "inter", "shape", "n_systems", "final_priority", "t_resource", "guard"]
+    r = records(spark, sf_dir).where("drop_reason IS NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("source")
+    r = r.withColumn("extra", F.when(F.col("shape") != "", F.greatest(F.lit(0), F.sum("k").over(Window.partitionBy("source", "shape")) - 3)).otherwise(0))
+    for n, e in SHAPING.items():
+        r = r.withColumn(n, F.expr(e))
+    r = r.withColumns({"n": F.sum("k").over(w), "top": F.sum(F.when(F.col("priority") == 3, F.col("k")).otherwise(0)).over(w)})
+    order = [F.col("priority") != 3, F.col("score_a").desc(), F.col("o").asc(), F.col("v").desc(), F.col("inter").desc(), "shape", "final_priority", "t_resource", "guard", "n_systems", F.col("obviousness").asc_nulls_first(), F.col("novelty").asc_nulls_first()]
+    r = r.withColumn("through", F.sum("k").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stay = F.when(F.col("top") > F.ceil(F.col("n") * 0.2), F.ceil(F.col("n") * 0.15)).otherwise(F.col("top"))
+    high = F.when(F.col("priority") == 3, F.greatest(F.lit(0), F.least(F.col("k"), stay - F.col("through") + F.col("k")))).otherwise(0)
+    rows = F.array(F.struct(F.lit(3).alias("p"), high.alias("k")), F.struct(F.when(F.col("priority") == 3, 2).otherwise(F.col("priority")).cast("int").alias("p"), (F.col("k") - high).alias("k")))
+    return r.select("source", F.explode(rows).alias("x")).where("x.k > 0").groupBy("source", F.col("x.p").cast("bigint").alias("priority")).agg(F.sum("x.k").alias("n"))
+
+
+_PRIORITY = "greatest(1, least(3, CASE WHEN inter >= 2 AND o <= 50 AND v >= 55 THEN 3 WHEN v >= 75 AND (inter >= 2 OR o <= 35) THEN 3 WHEN (inter >= 2 OR n_systems >= 2) AND o <= 50 THEN greatest(2, final_priority) WHEN o >= 75 THEN 1 WHEN o >= 60 THEN least(2, final_priority) ELSE final_priority END))"
+#: Novelty and obviousness after the penalty of two hundredths a repetition too many, and the priority anew where there is one.
+SHAPING = {
+    "v": "greatest(0, coalesce(novelty, 50) - 2 * extra)", "o": "least(100, coalesce(obviousness, 50) + 2 * extra)",
+    "priority": f"CASE WHEN extra = 0 THEN final_priority WHEN t_resource AND NOT guard AND inter < 2 AND n_systems < 2 THEN least(2, {_PRIORITY}) ELSE {_PRIORITY} END",
+}
+
+QUERIES = {f.__name__: f for f in (preservation_taxonomy, continuation_burden, component_persistence, operational_values, interaction_modes, chunk_facts, trace_entries, shaped_facts, mechanic_drops, fact_grounding, fact_scores, fact_utility, fact_preservation, preservation_labels, step_effects, retention_attribution, quality_diagnostics, failed_rules)}
 
 _SOURCE = r"""facts AS (SELECT doc_id, lang, source, pos, raw, concat_ws(' ', right(p[pos], 140), raw, left(p[pos + 2], 140)) AS context, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS fact FROM (
   SELECT doc_id, lang, source, p, unnest(p) AS raw, unnest(range(len(p))) AS pos FROM (SELECT *, coalesce(string_split_regex(text, '[.!?]+\s+'), [NULL]::VARCHAR[]) AS p FROM documents)))"""
@@ -125,7 +213,17 @@ def _row_sql(names: list[str]) -> str:
 
 _TERMS = " UNION ALL ".join(f"SELECT layer, '{side}' AS side, '{n}' AS term, CASE WHEN {c} THEN {p} ELSE 0 END AS points FROM kept" for side, parts in (("a", M.RETENTION_A), ("b", M.RETENTION_B)) for n, c, p in parts)
 
+_LOSSES = ["fragile", "noisy_operational", "noisy_preservation", "shallow_identity", "local_dominant"]
+
 SQL = {
+    "preservation_taxonomy": _RECORD + "SELECT category, mode, count(*) AS n, count_if(drop_reason IS NULL) AS kept, CAST(sum(graph_risk) AS BIGINT) AS graph_risk, CAST(sum(reasoning_risk) AS BIGINT) AS reasoning_risk FROM record GROUP BY 1, 2",
+    "continuation_burden": _RECORD + "SELECT type, fifth, count(*) AS n, count_if(kept) AS kept FROM (SELECT unnest(string_split(continuation_types, '+')) AS type, CAST(least(4, burden // 200) AS BIGINT) AS fifth, drop_reason IS NULL AS kept FROM record WHERE continuation_types <> '') GROUP BY 1, 2",
+    "component_persistence": _RECORD + " UNION ALL ".join(f"SELECT '{n}' AS component, count(*) AS n, count_if(drop_reason IS NULL) AS kept, count_if(drop_reason IS NULL AND layer = 'A') AS deep FROM record WHERE {c}" for n, c in COMPONENTS.items()),
+    "operational_values": _RECORD + "SELECT drop_reason IS NULL AS kept, count(*) AS n, " + ", ".join(f"count_if(list_contains(string_split(runtime_classes, '+'), '{c}')) / count(*) AS {c.replace('-', '_')}" for c in CLASSES) + " FROM record GROUP BY 1",
+    "interaction_modes": _RECORD + " UNION ALL ".join(f"SELECT mode, '{min(a, b)}' AS a, '{max(a, b)}' AS b, count(*) AS n FROM record WHERE {a} AND {b} GROUP BY 1" for i, a in enumerate(_LOSSES) for b in _LOSSES[i + 1 :]),
+    "chunk_facts": _RECORD + "SELECT doc_id, count_if(drop_reason IS NULL) AS kept, count_if(drop_reason IS NULL AND layer = 'A') AS deep FROM record GROUP BY 1 ORDER BY kept DESC, doc_id LIMIT 20",
+    "trace_entries": _RECORD + ", t AS (SELECT *, lower(fact) AS key FROM record), k AS (SELECT key, min((doc_id, pos)) AS f FROM t WHERE drop_reason IS NULL GROUP BY 1), j AS (SELECT t.*, f, CASE WHEN drop_reason IS NOT NULL THEN 'dropped' WHEN f = (doc_id, pos) THEN 'final' ELSE 'merged' END AS status FROM t LEFT JOIN k ON t.key = k.key AND drop_reason IS NULL) SELECT doc_id, pos, status, drop_reason, CASE WHEN status = 'final' THEN layer END AS layer, CAST(CASE WHEN status = 'final' THEN final_priority END AS BIGINT) AS priority, CASE WHEN status = 'merged' THEN f[1] END AS \"into\" FROM j",
+    "shaped_facts": _RECORD + ", a AS (SELECT *, CASE WHEN shape <> '' THEN greatest(0, count(*) OVER (PARTITION BY source, shape) - 3) ELSE 0 END AS extra FROM record WHERE drop_reason IS NULL), b AS (SELECT * EXCLUDE (priority), " + ", ".join(f"{e} AS {n}" for n, e in list(SHAPING.items())[:2]) + " FROM a), c AS (SELECT *, " + SHAPING["priority"] + " AS priority FROM b), d AS (SELECT *, count(*) OVER w AS n, count_if(priority = 3) OVER w AS top, row_number() OVER (PARTITION BY source ORDER BY priority <> 3, score_a DESC, o, v DESC, inter DESC) AS rn FROM c WINDOW w AS (PARTITION BY source)) SELECT source, CAST(CASE WHEN priority = 3 AND rn > CASE WHEN top > ceil(n * 0.2) THEN ceil(n * 0.15) ELSE top END THEN 2 ELSE priority END AS BIGINT) AS priority, count(*) AS n FROM d GROUP BY 1, 2",
     "mechanic_drops": _RECORD + "SELECT lang, coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM record GROUP BY 1, 2",
     "fact_grounding": _row_sql(GROUNDING), "fact_scores": _row_sql(SCORES), "fact_utility": _row_sql(UTILITY), "fact_preservation": _row_sql(PRESERVATION),
     "preservation_labels": _RECORD + "SELECT mode, count(*) AS n, " + ", ".join(f"count_if({c}) AS {c}" for c in LABELS) + " FROM record GROUP BY 1",
