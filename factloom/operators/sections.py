@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
@@ -36,19 +36,24 @@ def _section(heading: Column, body: Column) -> Column:
     return F.struct(heading.alias("heading"), text.alias("text"), X.estimate_tokens(text).alias("tokens"))
 
 
-def split_sections(text: Column) -> Column:
-    """Array of (heading, text, tokens): a new section at each strong heading and at each line that is one by its
-    signs (0.55 or more) beside a blank line; without any, paragraphs.  Null and empty texts have none."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
-    n = F.size(lines)
-    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.trim(F.get(lines, i)) != "") & (is_strong_heading(F.get(lines, i)) | ((X.heading_confidence(F.get(lines, i)) >= 0.55) & (_blank(lines, i - 1, n) | _blank(lines, i + 1, n)))))
+def with_sections(df: DataFrame, text: str, name: str = "sections") -> DataFrame:
+    """df with an array of (heading, text, tokens): a new section at each strong heading and at each line that is one
+    by its signs (0.55 or more) beside a blank line; without any, paragraphs.  Null and empty texts have none.
+
+    Lines and places of headings are columns of their own for the time, so that they are made once for each text.
+    """
+    df = df.withColumn("_lines", F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n"))
+    df = df.withColumn("_signs", F.transform("_lines", lambda x: F.when(F.trim(x) == "", 0).when(is_strong_heading(x), 2).when(X.heading_confidence(x) >= 0.55, 1).otherwise(0)))
+    lines, signs, n = F.col("_lines"), F.col("_signs"), F.size("_lines")
+    df = df.withColumn("_heads", F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(signs, i) == 2) | ((F.get(signs, i) == 1) & (_blank(lines, i - 1, n) | _blank(lines, i + 1, n)))))
+    heads = F.col("_heads")
     until = lambda k: F.coalesce(F.get(heads, k), n)
     clean = lambda x: F.regexp_replace(F.regexp_replace(x, "^\\s+", ""), "\\s+$", "")
     first = F.array(_section(F.lit(""), clean(F.array_join(F.slice(lines, F.lit(1), until(F.lit(0))), "\n"))))
     rest = F.transform(heads, lambda at, k: _section(F.trim(F.get(lines, at)), clean(F.array_join(F.slice(lines, at + 2, until(k + 1) - at - 1), "\n"))))
     paragraphs = F.transform(F.split(F.array_join(lines, "\n"), "\n[ \t]*(?:\n[ \t]*)+"), lambda p: _section(F.lit(""), clean(p)))
     out = F.when(F.size(heads) > 0, F.concat(first, rest)).otherwise(paragraphs)
-    return F.filter(out, lambda s: s["text"] != "")
+    return df.withColumn(name, F.filter(out, lambda s: s["text"] != "")).drop("_lines", "_signs", "_heads")
 
 
 def merge_tiny_sections(sections: Column) -> Column:
@@ -129,13 +134,13 @@ def split_large(text: Column, most: int = MOST_CHUNK) -> Column:
     return pack(small, most)
 
 
-def chunk_texts(text: Column, chunks: int | None = None, least: int = LEAST_CHUNK, most: int = MOST_CHUNK) -> Column:
-    """Chunks of a text, in order: sections packed until a chunk has its target of tokens, larger ones split.
+def chunk_texts(text: Column, sections: Column, chunks: int | None = None, least: int = LEAST_CHUNK, most: int = MOST_CHUNK) -> Column:
+    """Chunks of a text and its sections (with_sections), in order: sections packed until a chunk has its target of tokens, larger ones split.
 
     The target is between least and most; with a wished number of chunks it is the text's share of that.  Null and
     empty texts have no chunk; every chunk but an unsplittable word has at most `most` tokens.
     """
-    sections = F.transform(merge_tiny_sections(split_sections(text)), lambda s: s["text"])
+    sections = F.transform(merge_tiny_sections(sections), lambda s: s["text"])
     target = F.lit(most) if chunks is None else F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(X.estimate_tokens(text) / chunks)))
     small = F.flatten(F.transform(sections, lambda s: F.when(X.estimate_tokens(s) > most, split_large(s, most)).otherwise(F.array(s))))
     return pack(small, target, "\n\n")

@@ -11,7 +11,7 @@ from factloom.sources.tables import table
 
 
 def values(spark, texts, column):
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    df = Z.with_sections(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "s")
     return [r.o for r in df.select("i", column.alias("o")).orderBy("i").collect()]
 
 
@@ -19,17 +19,17 @@ TEXT = "before\n\n# Walls\nstone\n## Gates\niron\nmore iron\n1. First Steps\nwoo
 
 
 def test_sections_by_hand(spark):
-    got = values(spark, [TEXT, "one\n\ntwo\nlines\n \n\nthree", "", None, "a\n\nTHE IRON AGES OF STONE:\nbody", "no heading: here\nbody"], Z.split_sections(F.col("t")))
+    got = values(spark, [TEXT, "one\n\ntwo\nlines\n \n\nthree", "", None, "a\n\nTHE IRON AGES OF STONE:\nbody", "no heading: here\nbody"], F.col("s"))
     assert [(s.heading, s.text) for s in got[0]] == [("", "before"), ("# Walls", "# Walls\nstone"), ("## Gates", "## Gates\niron\nmore iron"), ("1. First Steps", "1. First Steps\nwood"), ("# Roofs", "# Roofs\ntile")]
     assert [s.text for s in got[1]] == ["one", "two\nlines", "three"] and got[2] == got[3] == []
     assert [s.heading for s in got[4]] == ["", ""]  # capitals and a colon: 45 of the 55 hundredths that it takes
     assert [s.text for s in got[5]] == ["no heading: here\nbody"]
-    merged = values(spark, ["one\n\ntwo", "x" * 600 + "\n\nshort\n\n" + "y" * 600], Z.merge_tiny_sections(Z.split_sections(F.col("t"))))
+    merged = values(spark, ["one\n\ntwo", "x" * 600 + "\n\nshort\n\n" + "y" * 600], Z.merge_tiny_sections(F.col("s")))
     assert [[s.text for s in m] for m in merged] == [["one\n\ntwo"], ["x" * 600 + "\n\nshort", "y" * 600]]
 
 
 def test_paths_and_budget(spark):
-    paths = Z.with_paths(Z.split_sections(F.col("t")))
+    paths = Z.with_paths(F.col("s"))
     got = values(spark, [TEXT], paths)[0]
     assert [(s.path, s.parent, s.depth) for s in got] == [("", "", 0), ("Walls", "", 1), ("Walls > Gates", "Walls", 2), ("Walls > First Steps", "Walls", 2), ("Roofs", "", 1)]
     budget = values(spark, [TEXT], Z.merge_to_budget(paths, 4))[0]
@@ -74,7 +74,7 @@ def test_chunks_of_documents(spark):
         assert r.tokens <= Z.MOST_CHUNK and r.tokens == max(1, -(-len(r.text) // 4))
     squeeze = lambda x: re.sub(r"\s+", "", x, flags=re.ASCII)
     assert {d: squeeze("".join(c)) for d, c in chunks.items()} == {d: squeeze(t) for d, t in text.items() if squeeze(t)}
-    wished = values(spark, ["word. " * 4000, "", None], Z.chunk_texts(F.col("t"), 10))
+    wished = values(spark, ["word. " * 4000, "", None], Z.chunk_texts(F.col("t"), F.col("s"), 10))
     assert [len(w) for w in wished] == [4, 0, 0]  # a section larger than 1500 tokens is split by that, whatever is wished
-    wished = values(spark, ["\n\n".join(["word " * 400] * 20)], Z.chunk_texts(F.col("t"), 5))
+    wished = values(spark, ["\n\n".join(["word " * 400] * 20)], Z.chunk_texts(F.col("t"), F.col("s"), 5))
     assert [len(w) for w in wished] == [10]  # of sections of 500 tokens three with what joins them have 1501
