@@ -12,22 +12,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from factloom.llm.common import MAX_REMEMBERED, bounded_sample, in_small_batches, text_slices, texts_of
+from factloom.llm.common import bounded_sample, in_small_batches, text_slices, texts_of
 
 #: Labelled and unlabelled rows used for fitting, at most about so many; every other row is only scored.
 MAX_LABELLED = 20_000
 MAX_UNLABELLED = 20_000
-SOURCE_SLOTS, LANG_SLOTS, WORD_SLOTS = 64, 16, 128
+SOURCE_SLOTS, LANG_SLOTS, WORD_SLOTS = 64, 16, 64
 BYTE_CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "!?", "#$%&*@^~+=", "|<>{}[]\\_", ".,;:'\"()-", " \t", "\n\r")
 N_TEXT = 2 * (len(BYTE_CLASSES) + 8) + WORD_SLOTS + 1
 N_META = SOURCE_SLOTS + LANG_SLOTS + 24
 
 
+#: Words of which a Python worker remembers the slot.
+MAX_SLOTS = 30_000
+
+
 class WordSlots(dict):
     """The slot of a word in lower case, by a hash of it, remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > MAX_REMEMBERED:
+        if len(self) > MAX_SLOTS:
             self.clear()
         k = self[word] = zlib.crc32(word.lower().encode()) % WORD_SLOTS
         return k
@@ -66,19 +70,28 @@ def meta_slots(source, lang, n_chars) -> tuple[int, int, int]:
 
 
 def meta_features(rows: list[tuple]) -> np.ndarray:
-    x = np.zeros((len(rows), N_META))
+    x = np.zeros((len(rows), N_META), np.float32)
     x[:, -1] = 1
     for i, r in enumerate(rows):
         x[i, list(meta_slots(*r))] = 1
     return x
 
 
+#: Rows of which a step of the fit makes double-precision copies at once.
+CHUNK = 4096
+
+
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 25) -> np.ndarray:
-    """Newton's method for a logistic regression."""
+    """Newton's method for a logistic regression; its sums go over chunks of rows, so x may stay in single precision."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + l2 * len(x) * np.eye(len(w)), x.T @ (y - p) - l2 * len(x) * w)
+        curve, slope = l2 * len(x) * np.eye(len(w)), -l2 * len(x) * w
+        for at in range(0, len(x), CHUNK):
+            part = x[at : at + CHUNK].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+            slope += part.T @ (y[at : at + CHUNK] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -160,9 +173,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rounds: int = 4) -> dict:
     rows = labelled.unionByName(pool).mapInArrow(_views, _VIEW).toPandas()
     rows["n_chars"] = rows["n_chars"].fillna(-1)
     rows = rows.sort_values(["t", "y", "source", "lang", "n_chars"], kind="stable")  # the same order whichever task came first
-    text, meta = np.frombuffer(b"".join(rows["t"]), np.float32).reshape(len(rows), N_TEXT).astype(float), meta_features(list(zip(rows["source"], rows["lang"], rows["n_chars"], strict=True)))
-    is_pool = (rows["y"] < 0).to_numpy()
-    return co_train(text[~is_pool], meta[~is_pool], rows["y"].to_numpy()[~is_pool].astype(float), text[is_pool], meta[is_pool], rounds)
+    text, meta = np.frombuffer(b"".join(rows["t"]), np.float32).reshape(len(rows), N_TEXT), meta_features(list(zip(rows["source"], rows["lang"], rows["n_chars"], strict=True)))
+    y = rows["y"].to_numpy().astype(float)
+    del rows
+    return co_train(text[y >= 0], meta[y >= 0], y[y >= 0], text[y < 0], meta[y < 0], rounds)
 
 
 def score_quality(docs: DataFrame, model: dict, name: str = "quality_score") -> DataFrame:
