@@ -32,6 +32,8 @@ NEWER_LETTERS = r"\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE\
 \U00016FF2\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168
 \U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4\U0001E6E5\U0001E6E7-\U0001E6ED
 \U0001E6F0-\U0001E6F4\U0001E6FE\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F""".replace("\n", "")
+#: The first code point of them; texts below it need no dated tables.
+FIRST_NEWER = "\u0558"
 NEWER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
 
 
@@ -59,7 +61,7 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.pieces = compile_pattern(pattern)
+        self.dated, self.plain = compile_pattern(pattern), regex.compile(pattern)
         self.spaced = pattern == SPACED_PATTERN
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         words = ahocorasick.Automaton()
@@ -167,6 +169,10 @@ class ByteBPE:
             at = end
             _, token = next(longest_matches(text[at : at + reach]))
 
+    def pieces(self, text: str) -> list[str]:
+        """The matches of the pattern in a text."""
+        return (self.plain if max(text, default="") < FIRST_NEWER else self.dated).findall(text)
+
     def _packed(self, piece: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.encode_piece(piece.encode("utf-8"))))
 
@@ -200,7 +206,7 @@ class ByteBPE:
         if stem.isalpha():  # letters and then marks: two matches
             cut = len(part) - len(word) + len(stem)
             return (self._word(stem) if spaced else self._piece(stem)) + self._piece(part[cut:])
-        return b"".join(map(self._piece, self.pieces.findall(part)))
+        return b"".join(map(self._piece, self.pieces(part)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers.
@@ -212,7 +218,7 @@ class ByteBPE:
             return b""
         known, older, out = self.remembered, self.older, []
         if not self.spaced:
-            out = [self._piece(m.group()) for m in self.pieces.finditer(text)]
+            out = list(map(self._piece, self.pieces(text)))
         for part in text.split(" ") if self.spaced else ():
             ids = known.get(part)
             if ids is None:
