@@ -7,7 +7,7 @@ import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Sides up to this many rows of two or three numbers may be broadcast; beyond it a shuffled join is used.
@@ -79,6 +79,32 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFram
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], what: str) -> tuple[DataFrame, int]:
+    """df written with _pos, the place of a row within its group from 0, and _n, the group's number of rows; and the
+    largest of these numbers.
+
+    Rows are dealt by ranges of group, order and a salt and numbered within each range as they are sorted there; only
+    a row for each group of each range is then added up, so a group of any size costs no task more than its range.
+    Nulls come first; rows equal in all of `order` get some order among themselves."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(n, *group, *order, "_salt").sortWithinPartitions(*group, *order, "_salt")
+    rows = materialise(dealt.drop("_salt").withColumn("_at", F.monotonically_increasing_id()), what)
+    part = F.shiftright("_at", 33)
+    keys = [F.col(g).alias(f"_k{k}") for k, g in enumerate(group)]
+    names = [f"_k{k}" for k in range(len(group))]
+    runs = rows.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    of_group = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))  # at most a row a range here
+    before = of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = materialise(runs.select(*names, "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_rows").over(of_group).alias("_n")), f"{what}-runs")
+    total, most = runs.agg(F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    same = F.col("_part") == part
+    for name, g in zip(names, group):
+        same &= F.col(name).eqNullSafe(F.col(g))
+    out = rows.join(broadcast_if_small(runs, total), same).withColumn("_pos", F.col("_at") + F.col("_shift"))
+    return out.drop("_at", "_part", "_shift", *names), most
+
+
 def in_small_batches(spark: SparkSession) -> None:
     """Let Arrow batches end at a few megabytes instead of ten thousand rows: a worker holds one at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
