@@ -1,7 +1,7 @@
 """The full record of a candidate fact: drop reason, vocabulary, grounding, score steps, core, utility, preservation,
 retention and layer.
 
-Words of a fact and of its surroundings are looked up once; all else is algebra over what they tell.  That algebra is
+Phrases are looked for once in a fact and once in its surroundings; all else is algebra over what they tell.  That algebra is
 written as SQL expressions, level by level, so the same rules run on Spark and in the SQL that results are checked
 against.  Scores are whole numbers: hundredths for novelty, obviousness and compactness, thousandths elsewhere, as
 fractions of these steps have no exact binary form and would fall on either side of a threshold.
@@ -13,27 +13,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.operators.phrases import BETWEEN, Phrases, once, words
 
 MAX_CHARS = 240
 
-#: Words by category: a parameter; these suit the prose of the test tables.
-LEXICON = {
-    "tutorial": ["press", "click", "tutorial", "tap"], "generic": ["useful", "careful", "helpful"], "lore_narrative": ["legend", "prophecy", "kingdom", "ist"], "gameplay": ["damage", "cooldown", "production", "and", "und"],
-    "non_actionable": ["released", "trivia", "las"], "wiki_editorial": ["wiki", "stub", "citation", "edit"], "time_bound": ["version", "patch", "update", "license", "los"], "evergreen_mechanic": ["always", "permanent", "the"],
-    "live_service": ["season", "battlepass", "event", "une"], "impact": ["reduces", "slows", "of"], "cosmetic": ["skin", "color", "outfit", "des"], "low_signal": ["thing", "stuff", "con"], "weak_tradeoff": ["balance", "depends", "mit"],
-    "evergreen_tighten": ["currently", "recently", "por"], "emergent": ["cascade", "emergent", "that", "que", "die"], "tradeoff": ["but", "however", "with", "aber", "pero", "mais"], "specificity": ["exactly", "percent", "an"],
-    "ability": ["ability", "skill", "es"], "implication": ["implies", "therefore", "as", "als"], "optimization": ["optimal", "efficient", "to", "zu"], "multi_step": ["then", "next", "afterwards", "et"], "deep": ["indirectly", "eventually", "or"],
-    "scaling": ["scales", "limit", "en"], "failure": ["fails", "collapse", "not", "nicht"], "shallow": ["use", "make", "get", "at"], "resource": ["resource", "materials", "food", "it"], "supporting": ["tip", "guide", "is"],
-    "systemic": ["system", "network", "der"], "spread": ["both", "across", "les"], "builder": ["base", "wall", "build"], "builder_obvious": ["floor", "roof", "the"],
-    "condition": ["if", "when", "unless", "for", "wenn", "para", "pour"], "gating": ["requires", "needs", "unlock", "da"], "state_change": ["becomes", "changes", "increases", "are", "del"], "transition": ["turns", "switches", "in"],
-    "downstream": ["downstream", "consequently", "on"], "chain": ["blocks", "prevents", "by"], "failure_constraint": ["cannot", "stuck", "no"], "causal": ["because", "causes", "was"], "narration": ["imagine", "story", "von"], "advice": ["should", "remember", "you", "sie"],
-    "continuity": ["continue", "ongoing", "the", "le"], "dependency": ["depends", "requires", "of", "de"], "routing": ["route", "path", "to"], "recovery": ["recover", "restore", "be"], "interruption": ["interrupt", "pause", "as"], "downstream_effect": ["affects", "downstream", "and", "y"],
+#: Phrases by category (see `phrases`): a parameter; the default for facts about how a game or another system works.
+PHRASES = {
+    "tutorial": ["press", "tap", "tutorial", "click _3 button|icon|menu|tab", "click", "open the _3 menu|tab|panel|window", "select the area", "go to the _2 menu|tab|screen", "drag and drop", "make sure that|to", "keep an eye on"],
+    "generic": ["useful", "careful", "helpful", "is|are very|really|quite important|crucial|essential|vital", "always a good idea", "can|may lead to", "plan ahead", "pay attention to", "es ist wichtig", "es importante", "il est important"],
+    "lore_narrative": ["legend", "prophecy", "kingdom", "once upon a time", "long ago", "was|were founded by", "son|daughter|heir of", "according to legend", "es war einmal", "era una vez", "il était une fois"],
+    "gameplay": ["damage", "cooldown", "production", "yield|yields", "per second|minute|hour|day|turn", "range|speed|capacity of #", "# percent", "attack|defense|movement speed", "schaden", "daño", "dégâts"],
+    "non_actionable": ["released", "trivia", "was developed|published|designed by", "is|was voiced by", "first appeared in", "is a reference to", "named after"],
+    "wiki_editorial": ["wiki", "stub", "citation", "edit this|the page|section", "view source", "page history", "recent changes", "what links here", "this article is|needs", "main|random page|article"],
+    "time_bound": ["version", "patch", "update", "license", "patch|version|update #", "as of #", "release _2 date|window|schedule", "in january|february|march|april|may|june|july|august|september|october|november|december", "until the end of", "limited time"],
+    "evergreen_mechanic": ["always", "permanent", "regardless of", "in every|any case", "never expires|decays", "immer wenn", "siempre que", "à chaque fois"],
+    "live_service": ["season", "battlepass", "event", "battle pass", "daily|weekly quest|quests|reward|rewards", "event _3 reward|rewards|shop", "limited _1 event|offer", "log in|login bonus"], "impact": ["reduces", "slows", "cuts _4 by half", "raises|lowers _4 by", "doubles|halves the"],
+    "cosmetic": ["skin", "color", "outfit", "purely|only cosmetic|visual", "has no effect on gameplay", "changes the look|appearance of"], "low_signal": ["thing", "stuff", "requires|needs _3 resources|materials", "costs|consumes _3 resources|materials", "research _3 unlocks _3 technology|tech"],
+    "weak_tradeoff": ["balance", "depends", "increases|improves|boosts _8 but|however _8 time|power|resources|materials|food|energy", "comes at a cost", "is a tradeoff|compromise"],
+    "evergreen_tighten": ["currently", "recently", "at the moment", "right now", "since the last|latest patch|update", "this season", "seit dem letzten", "desde la última"],
+    "emergent": ["cascade", "emergent", "sets off|triggers a chain", "one|each _3 causes the next", "spirals|spreads out|into", "snowballs", "side effect|effects"], "tradeoff": ["but", "however", "aber", "pero", "mais", "at the cost|expense of", "in exchange for", "on the other hand", "instead of _4 because"],
+    "specificity": ["exactly", "percent", "# times", "at least|most #", "every # seconds|minutes|hours|days|turns", "up to #", "genau #"], "ability": ["ability", "skill", "active|passive ability|effect", "ultimate"],
+    "implication": ["implies", "therefore", "which means", "as a result", "so that", "that is why", "deshalb", "por eso", "donc"], "optimization": ["optimal", "efficient", "most efficient", "best used|placed", "faster|cheaper than", "minimizes|maximizes"],
+    "multi_step": ["then", "next", "afterwards", "first _12 then", "once _8 start|begin|move", "step #"], "deep": ["indirectly", "eventually", "in the long run", "over time", "only later", "delayed effect|effects"],
+    "scaling": ["scales", "limit", "scales with", "diminishing returns", "per _2 level", "grows with"], "failure": ["fails", "collapse", "breaks down", "runs out of", "shuts down", "can no longer"], "shallow": ["use", "make", "get", "just build|use|make"],
+    "resource": ["resource", "materials", "food", "costs #", "consumes _3 per"], "supporting": ["tip", "guide", "in general", "for beginners"], "systemic": ["system", "network", "feedback loop", "whole colony|economy|network|system"], "spread": ["both", "across", "adjacent|neighbouring|neighboring", "the entire|whole"],
+    "builder": ["base", "wall", "build", "lay out|layout", "floor plan"], "builder_obvious": ["floor", "roof", "place a bed|door|roof", "build a house|room|shelter"],
+    "condition": ["if", "when", "unless", "wenn", "falls", "si", "cuando", "quand", "as long as", "in case of", "only if|when|while"], "gating": ["requires", "needs", "unlock", "requires _6 level|quest|party|access", "must be completed|unlocked|researched", "locked behind", "not available until|before"],
+    "state_change": ["becomes", "changes", "increases", "turns into|on|off", "drops|rises to", "is reset|disabled|enabled", "wird zu", "se convierte en", "devient"], "transition": ["turns", "switches", "from _4 to", "goes from", "wechselt"],
+    "downstream": ["downstream", "consequently", "further down", "in turn", "which then", "later stages"], "chain": ["blocks", "prevents", "holds up|back", "stops _3 from", "waits for"], "failure_constraint": ["cannot", "stuck", "can|could not", "no longer", "is blocked|stalled", "kann nicht", "no puede"],
+    "causal": ["because", "causes", "due to", "leads to", "results in", "weil", "porque", "parce que"], "narration": ["imagine", "story", "you find yourself", "let us|lets", "picture this"], "advice": ["should", "remember", "you may want to", "it is best|better to", "try to", "do not forget", "consider"],
+    "continuity": ["continue", "ongoing", "keeps on|running", "without interruption", "carries over"], "dependency": ["depends", "requires", "relies on", "depends on", "prerequisite"], "routing": ["route", "path", "is sent|routed to", "conveyor|pipeline|lane"], "recovery": ["recover", "restore", "comes back", "heals|repairs"],
+    "interruption": ["interrupt", "pause", "is cut|broken off", "power outage|failure"], "downstream_effect": ["affects", "downstream", "has an effect|impact on", "knock on effect"],
 }
-#: Words that each tell that a fact is obvious; every one counts.
-OBVIOUS = ["obviously", "simply", "basic", "beginners", "the", "is"]
-#: Words that name a system, those that name a family, and the family that a system belongs to; parameters.
-SYSTEMS = {"power": "power", "energy": "power", "food": "food", "meal": "food", "research": "research", "defense": "defense", "wall": "defense", "trade": "trade", "market": "trade", "temperature": "climate", "weather": "climate", "ering": "craft", "heit": "craft", "ción": "craft", "ung": "labor", "keit": "labor", "ation": "trade", "ment": "power", "ly": "food"}
-FAMILIES = {"chain": "production-chain", "cascade": "failure-cascade", "routing": "logistics", "logistics": "logistics", "recovery": "recovery", "er": "recovery", "ing": "production-chain", "ed": "logistics"}
+CATEGORIES = list(PHRASES)
+#: Phrases that each tell that a fact is obvious; every one counts.
+OBVIOUS = ["obviously", "simply", "basic", "beginners", "of course", "as the name suggests", "everyone knows"]
+#: Words that name a system, those that name a family, and the family that a system belongs to; parameters.  An entry
+#: with `-` in front is a word's last two or four letters.
+SYSTEMS = {"power": "power", "energy": "power", "food": "food", "meal": "food", "research": "research", "defense": "defense", "wall": "defense", "trade": "trade", "market": "trade", "temperature": "climate", "weather": "climate"}
+FAMILIES = {"chain": "production-chain", "cascade": "failure-cascade", "routing": "logistics", "logistics": "logistics", "recovery": "recovery"}
 FAMILY_OF = {"power": "production-chain", "food": "production-chain", "craft": "production-chain", "labor": "logistics", "trade": "logistics", "defense": "failure-cascade", "climate": "failure-cascade", "research": "progression"}
 #: What a keyword counts as.
 SYNONYMS = {"electricity": "power", "meals": "food", "defence": "defense"}
@@ -49,6 +67,20 @@ SHAPES = [
 ]
 
 UTILITY = ["continuity", "dependency", "routing", "recovery", "interruption", "downstream_effect"]
+
+
+class Policy:
+    """What words tell: phrases of every category (those not given are the default's), obvious phrases, and the words
+    of systems and families."""
+
+    def __init__(self, phrases: dict[str, list[str]] | None = None, obvious: list[str] | None = None, systems: dict[str, str] | None = None, families: dict[str, str] | None = None):
+        if unknown := set(phrases or ()) - set(CATEGORIES):
+            raise ValueError(f"no such categories: {sorted(unknown)}")
+        own = {c: (phrases or {}).get(c, PHRASES[c]) for c in CATEGORIES} | {"obvious": OBVIOUS if obvious is None else obvious}
+        self.found = Phrases(own, ["obvious", *UTILITY])
+        self.systems, self.families = SYSTEMS if systems is None else systems, FAMILIES if families is None else families
+
+
 #: Categories that are also looked up in a fact's surroundings.
 AROUND = ["condition", "gating", "state_change", "emergent", "tradeoff", "failure", "transition", "downstream", "chain", "failure_constraint", "causal", "multi_step"]
 
@@ -234,17 +266,6 @@ def _known(words: Column, entries: dict[str, str]) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: w.isin(list(entries))), lambda w: _map(entries)[w]))
 
 
-def _bits(words: Column) -> Column:
-    """The categories of all words as bits of one number; each word is looked up once."""
-    masks: dict[str, int] = {}
-    for k, words_of in enumerate(LEXICON.values()):
-        for w in words_of:
-            masks[w] = masks.get(w, 0) | 1 << k
-    table = F.create_map(*[F.lit(x) for w, m in masks.items() for x in (w, m)])
-    hits = F.filter(words, lambda w: w.isin(list(masks)))
-    return F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(table[w].cast("bigint")))
-
-
 def reframed(text: str | Column) -> Column:
     """A piece of advice as the mechanic that it states: what asks for attention at its start goes, and its full stop."""
     out = F.col(text) if isinstance(text, str) else text
@@ -260,15 +281,14 @@ def template_shape(low: Column) -> Column:
     return out
 
 
-def with_vocabulary(facts: DataFrame, blocked: list[str], allow: list[str], block: list[str], patterns: list[str]) -> DataFrame:
+def with_vocabulary(facts: DataFrame, blocked: list[str], allow: list[str], block: list[str], patterns: list[str], policy: Policy) -> DataFrame:
     """What the words of a fact and of its surroundings tell: the columns on which LEVELS stand."""
     empty = F.lit("")
     f = facts.withColumns({"fact": F.col("fact"), "_low": F.lower(F.coalesce("fact", empty)), "_around": F.lower(F.coalesce("context", F.col("fact"), empty))})
-    split = lambda c: F.filter(F.split(c, "[^a-z0-9_]+"), lambda w: w != "")
-    f = f.withColumns({"_words": split(F.col("_low")), "_words_around": split(F.col("_around"))})
+    f = f.withColumns({"_words": once(words(F.col("_low"))), "_words_around": once(words(F.col("_around")))})
     n_of = lambda c: F.size(F.filter(F.array_distinct(c), lambda w: (F.length(w) >= 4) & ~w.isin(GENERIC_TOKENS))).cast("bigint")
-    f = f.withColumns({"_bits": _bits(F.col("_words")), "_bits_around": _bits(F.col("_words_around")), "n_specific": n_of(F.col("_words")), "n_specific_around": n_of(F.col("_words_around"))})
-    ends = lambda c: F.flatten(F.transform(c, lambda w: F.array(w, F.right(w, F.lit(4)), F.right(w, F.lit(2)))))
+    f = f.withColumns({"_found": once(policy.found.found(F.col("_words"))), "_found_around": once(policy.found.found(F.col("_words_around"))), "n_specific": n_of(F.col("_words")), "n_specific_around": n_of(F.col("_words_around"))})
+    ends = lambda c: F.flatten(F.transform(c, lambda w: F.array(w, F.concat(F.lit("-"), F.right(w, F.lit(4))), F.concat(F.lit("-"), F.right(w, F.lit(2))))))
     f = f.withColumns({"_stems": ends(F.col("_words")), "_keywords": F.slice(F.array_distinct(F.filter("_words", lambda w: F.length(w) >= 6)), 1, 3)})
     source = F.lower(F.trim(F.coalesce("source", empty)))
     fault = F.when(F.lit(bool(allow)) & ~source.isin(allow or ["-"]), 1).when(source.isin(block or ["-"]), 2)
@@ -277,15 +297,15 @@ def with_vocabulary(facts: DataFrame, blocked: list[str], allow: list[str], bloc
     hit = F.lit(False)
     for w in blocked:
         hit = hit | F.contains("_low", F.lit(w))
-    f = f.withColumns({"systems": F.slice(_known(F.col("_stems"), SYSTEMS), 1, 4), "own_families": _known(F.col("_stems"), FAMILIES), "keywords": F.array_distinct(F.transform("_keywords", lambda w: F.coalesce(_map(SYNONYMS)[w], w)))})
+    f = f.withColumns({"systems": F.slice(_known(F.col("_stems"), policy.systems), 1, 4), "own_families": _known(F.col("_stems"), policy.families), "keywords": F.array_distinct(F.transform("_keywords", lambda w: F.coalesce(_map(SYNONYMS)[w], w)))})
     f = f.withColumn("families", F.slice(F.array_distinct(F.concat("own_families", F.transform("systems", lambda s: F.coalesce(_map(FAMILY_OF)[s], F.lit("other"))))), 1, 4))
     f = f.withColumn("entities", F.slice(F.array_distinct(F.concat("systems", "families", "keywords")), 1, 6))
-    own = list(LEXICON)
-    flag = lambda bits, c: F.col(bits).bitwiseAND(F.lit(1 << own.index(c))) != 0
-    hits = lambda words: F.size(F.array_intersect("_words", F.array(*map(F.lit, words)))).cast("bigint")
+    f = f.withColumns({c: once(F.col(c)) for c in ("systems", "families", "keywords", "entities")})
+    flag = lambda of, c: policy.found.has(F.col(of)["bits"], c)
+    hits = lambda c: policy.found.count(F.col("_found")["own"], c)
     tokens = X.tokens("_low", 3)
     return f.withColumns({
-        **{f"t_{c}": flag("_bits", c) for c in own}, **{f"c_{c}": flag("_bits_around", c) for c in AROUND}, "h_obvious": hits(OBVIOUS), **{f"h_{u}": hits(LEXICON[u]) for u in UTILITY},
+        **{f"t_{c}": flag("_found", c) for c in CATEGORIES}, **{f"c_{c}": flag("_found_around", c) for c in AROUND}, "h_obvious": hits("obvious"), **{f"h_{u}": hits(u) for u in UTILITY},
         "n_systems": F.size("systems").cast("bigint"), "n_families": F.size("families").cast("bigint"), "n_keywords": F.size("keywords").cast("bigint"), "n_entities": F.size("entities").cast("bigint"), "entity_list": F.array_join("entities", ", "),
         "n_builder": F.size(F.array_intersect("families", F.array(*map(F.lit, ARCHETYPES["builder"])))).cast("bigint"), "n_tokens": F.size(tokens).cast("bigint"), "n_distinct": F.size(F.array_distinct(tokens)).cast("bigint"),
         "n_sentences": F.when(F.trim(F.coalesce("fact", empty)) == "", 0).otherwise(F.greatest(F.lit(1), F.regexp_count("fact", F.lit("[.!?]+")))).cast("bigint"), "shape": template_shape(F.col("_low")), "reframed": reframed("fact"),
@@ -298,17 +318,17 @@ def for_spark(expression: str) -> str:
     return expression.replace("//", "DIV")
 
 
-def with_record(facts: DataFrame, blocked: list[str] | None = None, allow: list[str] | None = None, block: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
+def with_record(facts: DataFrame, blocked: list[str] | None = None, allow: list[str] | None = None, block: list[str] | None = None, patterns: list[str] | None = None, policy: Policy | None = None) -> DataFrame:
     """facts (fact, source and, if there, context, rejected, base_priority) with all columns of LEVELS.
 
     blocked: substrings that a fact must not hold; allow, block, patterns: sources that alone are allowed, that are
-    not, and substrings of such.  A null or empty fact has drop_reason missing-text, no words and no steps; without
+    not, and substrings of such; policy: what phrases tell, else the default.  A null or empty fact has drop_reason missing-text, no words and no steps; without
     context a fact is its own; repeated facts are judged each; an empty table gives an empty result; columns that are
     called like those made here are replaced.
     """
     if "context" not in facts.columns:
         facts = facts.withColumn("context", F.col("fact"))
-    out = with_vocabulary(facts, blocked if blocked is not None else ["lore", "story"], allow or [], block or [], patterns or [])
+    out = with_vocabulary(facts, blocked if blocked is not None else ["lore", "story"], allow or [], block or [], patterns or [], policy or Policy())
     for level in LEVELS:
         out = out.withColumns({name: F.expr(for_spark(e)) for name, e in level.items()})
     return out
@@ -336,12 +356,11 @@ def _sql_first(items: str) -> str:
     return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
 
 
-def sql_record(source: str, blocked: list[str], block: list[str], patterns: list[str]) -> str:
+def sql_record(source: str, blocked: list[str], block: list[str], patterns: list[str], policy: Policy) -> str:
     """Common table expressions that end in `record`: LEVELS over the rows of source (fact, context, source)."""
-    split = "list_filter(string_split_regex({0}, '[^a-z0-9_]+'), lambda w: w <> '')"
+    split = lambda c: f"list_filter(string_split_regex({c}, '{BETWEEN}'), lambda w: w <> '')"
     n_of = f"len(list_filter(list_distinct({{0}}), lambda w: length(w) >= 4 AND NOT list_contains({_sql_list(GENERIC_TOKENS)}, w)))"
-    has = lambda words, c: f"list_has_any({words}, {_sql_list(LEXICON[c])})"
-    hits = lambda words: f"len(list_intersect(list_distinct(words), {_sql_list(words)}))"
+    has, hits = policy.found.sql_has, lambda c: policy.found.sql_count("line", c)
     known = lambda entries: _sql_first(f"list_filter(list_transform(stems, lambda w: {_sql_map(entries, 'w')}), lambda w: w IS NOT NULL)")
     tokens = "list_filter(string_split(trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= 3)"
     reframe = "fact"
@@ -350,13 +369,14 @@ def sql_record(source: str, blocked: list[str], block: list[str], patterns: list
     fault = f"CASE WHEN lower(trim(coalesce(source, ''))) IN ({', '.join(map(repr, block or ['-']))}) THEN 2 " + " ".join(f"WHEN contains(lower(trim(coalesce(source, ''))), '{p}') THEN 3" for p in patterns) + " ELSE 0 END"
     out = [
         f"v0 AS (SELECT *, lower(coalesce(fact, '')) AS low, lower(coalesce(context, fact, '')) AS around FROM {source})",
-        f"v1 AS (SELECT *, {split.format('low')} AS words, {split.format('around')} AS words_around FROM v0)",
-        f"v2 AS (SELECT *, {n_of.format('words')} AS n_specific, {n_of.format('words_around')} AS n_specific_around, flatten(list_transform(words, lambda w: [w, right(w, 4), right(w, 2)])) AS stems, {_sql_first('list_filter(words, lambda w: length(w) >= 6)')}[1:3] AS kw FROM v1)",
-        f"v3 AS (SELECT *, ({known(SYSTEMS)})[1:4] AS systems, {known(FAMILIES)} AS own_families, {_sql_first('list_transform(kw, lambda w: coalesce(' + _sql_map(SYNONYMS, 'w') + ', w))')} AS keywords FROM v2)",
+        f"v1 AS (SELECT *, {split('low')} AS words, {split('around')} AS words_around FROM v0)",
+        "v1b AS MATERIALIZED (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line, ' ' || array_to_string(words_around, ' ') || ' ' AS line_around FROM v1)",
+        f"v2 AS (SELECT *, {n_of.format('words')} AS n_specific, {n_of.format('words_around')} AS n_specific_around, flatten(list_transform(words, lambda w: [w, '-' || right(w, 4), '-' || right(w, 2)])) AS stems, {_sql_first('list_filter(words, lambda w: length(w) >= 6)')}[1:3] AS kw FROM v1b)",
+        f"v3 AS (SELECT *, ({known(policy.systems)})[1:4] AS systems, {known(policy.families)} AS own_families, {_sql_first('list_transform(kw, lambda w: coalesce(' + _sql_map(SYNONYMS, 'w') + ', w))')} AS keywords FROM v2)",
         "v4 AS (SELECT *, list_concat(own_families, list_transform(systems, lambda s: coalesce(" + _sql_map(FAMILY_OF, "s") + ", 'other'))) AS all_families FROM v3)",
         f"v5 AS (SELECT *, ({_sql_first('all_families')})[1:4] AS families FROM v4)", "v6 AS (SELECT *, list_concat(systems, families, keywords) AS all_entities FROM v5)", f"v7 AS (SELECT *, ({_sql_first('all_entities')})[1:6] AS entities FROM v6)",
-        "r0 AS (SELECT * EXCLUDE (context), " + ", ".join([
-            *(f"{has('words', c)} AS t_{c}" for c in LEXICON), *(f"{has('words_around', c)} AS c_{c}" for c in AROUND), f"{hits(OBVIOUS)} AS h_obvious", *(f"{hits(LEXICON[u])} AS h_{u}" for u in UTILITY),
+        "r0 AS MATERIALIZED (SELECT * EXCLUDE (context), " + ", ".join([
+            *(f"{has('line', c)} AS t_{c}" for c in CATEGORIES), *(f"{has('line_around', c)} AS c_{c}" for c in AROUND), f"{hits('obvious')} AS h_obvious", *(f"{hits(u)} AS h_{u}" for u in UTILITY),
             "len(systems) AS n_systems", "len(families) AS n_families", "len(keywords) AS n_keywords", "len(entities) AS n_entities", "array_to_string(entities, ', ') AS entity_list", f"len(list_intersect(families, {_sql_list(ARCHETYPES['builder'])})) AS n_builder",
             f"len({tokens}) AS n_tokens", f"len(list_distinct({tokens})) AS n_distinct", "CASE WHEN trim(coalesce(fact, '')) = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(fact, '[.!?]+'))) END AS n_sentences",
             "CASE " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{n}'" for n, p in SHAPES) + " ELSE '' END AS shape", f"trim({reframe}) AS reframed", "(" + " OR ".join(["false", *(f"contains(low, '{w}')" for w in blocked)]) + ") AS blocked", "false AS rejected", f"{fault} AS source_fault", "2 AS base_priority", "coalesce(context, fact, '') AS context",
