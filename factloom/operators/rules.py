@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.operators.phrases import once
 
 #: Lexicon by category: a parameter; these words suit plain prose.  Every category becomes one pattern.
 LEXICON = {
@@ -34,7 +35,7 @@ def with_flags(facts: DataFrame, fact: str = "fact", lexicon: dict | None = None
                 masks[w] = masks.get(w, 0) | 1 << k
     table = F.create_map(*[F.lit(x) for w, m in masks.items() for x in (w, m)])
     hits = F.filter(F.split(F.lower(F.col(fact)), "[^a-z0-9_]+"), lambda w: w.isin(list(masks)))
-    facts = facts.withColumn("_bits", F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(table[w].cast("bigint"))))
+    facts = facts.withColumn("_bits", once(F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(table[w].cast("bigint")))))
     out = {}
     for k, (c, words) in enumerate(lexicon.items()):
         out[f"m_{c}"] = F.col("_bits").bitwiseAND(F.lit(1 << k)) != 0
