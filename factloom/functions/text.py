@@ -54,9 +54,15 @@ def estimate_tokens(x: STR) -> Column:
 
 
 def djb2(x: STR) -> Column:
-    """32-bit multiplicative hash of the code points, as hex."""
-    h = F.aggregate(F.filter(F.split(_c(x), ""), lambda c: c != ""), F.lit(5381).cast("bigint"), lambda a, c: F.pmod(a * 33 + F.ascii(c), F.lit(4294967296)))
-    return F.lower(F.hex(h))
+    """32-bit multiplicative hash of the UTF-16 code units, as hex: a character beyond the first plane is two."""
+    step = lambda a, unit: F.pmod(a * 33 + unit, F.lit(4294967296))
+
+    def add(a: Column, c: Column) -> Column:
+        point = F.ascii(c).cast("bigint")
+        high, low = F.lit(55296) + F.shiftright(point - 65536, 10), F.lit(56320) + (point - 65536).bitwiseAND(F.lit(1023))
+        return F.when(point > 65535, step(step(a, high), low)).otherwise(step(a, point))
+
+    return F.lower(F.hex(F.aggregate(F.filter(F.split(_c(x), ""), lambda c: c != ""), F.lit(5381).cast("bigint"), add)))
 
 
 def sha1_id(x: STR, length: int = 12) -> Column:

@@ -15,9 +15,9 @@ from factloom.sources.tables import table, written
 
 
 def _sides(spark, sf_dir):
-    """Kept facts of even and odd documents by signature; of the odd ones the English ones alone."""
+    """Kept facts of even and odd documents by signature."""
     kept = written(Q.records(spark, sf_dir).where("drop_reason IS NULL").select("doc_id", "pos", "lang", "score_a", "core_key", *C.KEPT), "kept")
-    return C.by_signature(kept.where("doc_id % 2 = 0")), C.by_signature(kept.where("doc_id % 2 = 1 AND lang = 'en'"))
+    return C.by_signature(kept.where("doc_id % 2 = 0")), C.by_signature(kept.where("doc_id % 2 = 1"))
 
 
 def signature_groups(spark, sf_dir):
@@ -69,7 +69,7 @@ def prompts(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id", "role").orderBy("turn", "text")
     top = c.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
-    g = top.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("rn", F.substring("text", 1, 200).alias("t"))))).alias("f"), F.min(F.when((F.col("role") == "user") & (F.col("rn") == 1), F.col("text"))).alias("q"))
+    g = top.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("rn", F.col("text").alias("t"))))).alias("f"), F.min(F.when((F.col("role") == "user") & (F.col("rn") == 1), F.col("text"))).alias("q"))
     facts = A.facts_prompt(F.transform("f", lambda x: x["t"]))
     return g.select("conv_id", A.with_notice(A.assemble({"facts": facts, "question": F.col("q")}, ["facts", "question"]), F.when(F.size("f") > 0, "VERIFIED").otherwise("UNKNOWN"), F.lit("en")).alias("prompt"))
 
@@ -92,7 +92,7 @@ def scored_facts(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (signature_groups, equivalence_pairs, drift_levels, drift_histogram, model_routes, answer_checks, prompts, scored_facts)}
 
 _SIDE = "(SELECT core_key, doc_id, pos, n, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY core_key ORDER BY -score_a, doc_id, pos) AS rn, count(*) OVER (PARTITION BY core_key) AS n FROM kept WHERE {where}) WHERE rn = 1)"
-_KEPT = Q._RECORD + ", kept AS MATERIALIZED (SELECT doc_id, pos, lang, score_a, core_key, " + ", ".join(C.KEPT) + " FROM record WHERE drop_reason IS NULL), base AS " + _SIDE.format(cols=", ".join(C.KEPT), where="doc_id % 2 = 0") + ", curr AS " + _SIDE.format(cols=", ".join(C.KEPT), where="doc_id % 2 = 1 AND lang = 'en'")
+_KEPT = Q._RECORD + ", kept AS MATERIALIZED (SELECT doc_id, pos, lang, score_a, core_key, " + ", ".join(C.KEPT) + " FROM record WHERE drop_reason IS NULL), base AS " + _SIDE.format(cols=", ".join(C.KEPT), where="doc_id % 2 = 0") + ", curr AS " + _SIDE.format(cols=", ".join(C.KEPT), where="doc_id % 2 = 1")
 
 
 def _jaccard_sql(a: str, b: str) -> str:
@@ -117,12 +117,12 @@ _REASONS = f"concat_ws('+', CASE WHEN length(text) >= {A.LONG_CHARS} OR {_WORDS}
 _BEGINS = "len(list_filter(tokens, lambda t: starts_with(t, w) OR starts_with(w, t))) > 0"
 
 SQL = {
-    "signature_groups": _KEPT + ", e AS (SELECT 'base' AS side, core_key, unnest(entities) AS e FROM kept WHERE doc_id % 2 = 0 UNION ALL SELECT 'current', core_key, unnest(entities) FROM kept WHERE doc_id % 2 = 1 AND lang = 'en'), k AS (SELECT side, core_key, count(DISTINCT e) AS n_entities FROM e GROUP BY 1, 2), b AS (SELECT 'base' AS side, core_key, n, doc_id, pos FROM base UNION ALL SELECT 'current', core_key, n, doc_id, pos FROM curr) SELECT side, core_key, n, coalesce(n_entities, 0) AS n_entities, doc_id, pos FROM b LEFT JOIN k USING (side, core_key)",
+    "signature_groups": _KEPT + ", e AS (SELECT 'base' AS side, core_key, unnest(entities) AS e FROM kept WHERE doc_id % 2 = 0 UNION ALL SELECT 'current', core_key, unnest(entities) FROM kept WHERE doc_id % 2 = 1), k AS (SELECT side, core_key, count(DISTINCT e) AS n_entities FROM e GROUP BY 1, 2), b AS (SELECT 'base' AS side, core_key, n, doc_id, pos FROM base UNION ALL SELECT 'current', core_key, n, doc_id, pos FROM curr) SELECT side, core_key, n, coalesce(n_entities, 0) AS n_entities, doc_id, pos FROM b LEFT JOIN k USING (side, core_key)",
     "equivalence_pairs": _KEPT + _SCORED + " SELECT core_key, other, score, entity, shape, condition_effect, transition, consequence, operational, representation, continuity, loss, core_overlap, shape_overlap FROM (SELECT *, row_number() OVER (PARTITION BY core_key ORDER BY -score, other) AS rn FROM sc) WHERE rn = 1",
     "drift_levels": _METRICS + " SELECT * FROM d", "drift_histogram": _METRICS + " SELECT level, count(*) AS n FROM d GROUP BY 1",
     "model_routes": f"SELECT role, {_REASONS} AS reasons, count(*) AS n FROM conversations GROUP BY 1, 2",
     "answer_checks": f"SELECT trim(text) <> '' AND NOT contains(lower(trim(text)), 'the and') AND length(trim(text)) < {A.LEAST_CHARS[2]} AS generic, CASE WHEN conv_id % 7 = 0 OR turn % 5 = 0 OR {_PARTS('text', A.RISKY)} THEN 'UNKNOWN' WHEN turn % 2 > 0 THEN 'VERIFIED' WHEN conv_id % 3 > 0 THEN 'PARTIAL' ELSE 'UNKNOWN' END AS mode, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1, 2",
-    "prompts": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS rn FROM conversations), g AS (SELECT conv_id, string_agg('- ' || substr(text, 1, 200), chr(10) ORDER BY rn) FILTER (WHERE role = 'assistant') AS f, min(text) FILTER (WHERE role = 'user' AND rn = 1) AS q FROM t WHERE rn <= 2 GROUP BY 1), p AS (SELECT conv_id, f, trim(concat_ws(chr(10) || chr(10), trim('Facts:' || chr(10) || f), nullif(trim(q), ''))) AS body FROM g) SELECT conv_id, CASE WHEN body = '' OR f IS NOT NULL THEN body ELSE body || chr(10) || chr(10) || 'This is not verified.' END AS prompt FROM p",
+    "prompts": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS rn FROM conversations), g AS (SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY rn) FILTER (WHERE role = 'assistant') AS f, min(text) FILTER (WHERE role = 'user' AND rn = 1) AS q FROM t WHERE rn <= 2 GROUP BY 1), p AS (SELECT conv_id, f, trim(concat_ws(chr(10) || chr(10), trim('Facts:' || chr(10) || f), nullif(trim(q), ''))) AS body FROM g) SELECT conv_id, CASE WHEN body = '' OR f IS NOT NULL THEN body ELSE body || chr(10) || chr(10) || 'This is not verified.' END AS prompt FROM p",
     "scored_facts": f"""WITH q AS (SELECT conv_id, trim(regexp_replace(lower(arg_min(text, turn)), '\\s+', ' ', 'g')) AS question, list_distinct({_TOK.format('arg_min(text, turn)', 3)}) AS tokens FROM conversations WHERE role = 'user' GROUP BY 1),
       b AS (SELECT item_id, {M._sql_first(_TOK.format('text', 3))} AS own, ({M._sql_first(_TOK.format('text', 6))})[1:4] AS keywords, item_id % 3 + 1 AS priority FROM benchmark),
       h AS (SELECT conv_id, item_id, priority, len(list_filter(keywords, lambda w: list_contains(tokens, w) OR {_BEGINS})) AS k, least(4, len(list_filter(own, lambda w: list_contains(tokens, w) OR (length(w) >= 4 AND {_BEGINS})))) AS o FROM q, b),

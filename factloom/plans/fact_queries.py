@@ -80,7 +80,7 @@ def text_keys(spark, sf_dir):
 
 
 def djb2_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.djb2(F.regexp_replace("text", "[^\\x20-\\x7e]", "")).alias("djb2_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.djb2("text").alias("djb2_id"))
 
 
 def token_sets(spark, sf_dir):
@@ -173,7 +173,7 @@ SQL = {
     "score_steps": _step_sql(),
     "fact_priorities": _priority_sql(),
     "text_keys": rf"WITH {_FACTS} SELECT doc_id, pos, lower(fact) AS text_key, regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS word_key, CAST(CASE WHEN length(fact) = 0 THEN 0 ELSE greatest(1, ceil(length(fact) / 4.0)) END AS BIGINT) AS token_estimate, substr(sha1(fact), 1, 12) AS sha1_id FROM facts",
-    "djb2_ids": r"SELECT doc_id, lower(to_hex(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(regexp_replace(text, '[^\x20-\x7e]', '', 'g'), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296))) AS djb2_id FROM documents",
+    "djb2_ids": "SELECT doc_id, lower(to_hex(list_reduce(list_prepend(5381::BIGINT, flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN []::BIGINT[] WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)]::BIGINT[] ELSE [unicode(c)]::BIGINT[] END))), lambda h, c: (h * 33 + c) % 4294967296))) AS djb2_id FROM documents",
     "token_sets": f"WITH {_FACTS} SELECT doc_id, pos, array_to_string(list_sort(list_distinct({_TOK.format('fact', 3)})), ' ') AS tokens, len(list_distinct({_TOK.format('fact', 3)})) AS n FROM facts",
     "list_normalized": r"""WITH e AS (SELECT doc_id, unnest(p) AS v, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split_regex(text, '[\n,]') AS p FROM documents)),
       c AS (SELECT doc_id, i, substr(trim(regexp_replace(v, '\s+', ' ', 'g')), 1, 24) AS v FROM e),

@@ -9,7 +9,7 @@ from factloom.sources.tables import table
 
 #: Lists that events go to by their type, and how many each keeps; all other types go to "other".
 ROUTES = {"click": "interaction", "view": "interaction", "purchase": "outcome", "error": "failure"}
-KEPT = 50
+KEPT = 1000
 #: What is searched in pinned entries.
 NEEDLE = "1"
 

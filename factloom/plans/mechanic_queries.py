@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import text as X
+from factloom.operators import dedupe
 from factloom.operators import mechanics as M
-from factloom.sources.tables import facts
+from factloom.sources.tables import facts, table
 
 #: Sources that are not allowed here, by name and by what they hold; parameters.
 BLOCKED, BLOCK, PATTERNS = ["lore", "prophecy"], ["src4"], ["9"]
@@ -165,11 +167,39 @@ def interaction_modes(spark, sf_dir):
 
 
 def chunk_facts(spark, sf_dir):
-    """Documents with their facts, those kept and the kept ones of the deep layer; the twenty with most kept first."""
-    d = facts(spark, sf_dir).select("doc_id").distinct()
-    k = records(spark, sf_dir).where("drop_reason IS NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("layer") == "A").alias("deep"))
-    out = d.join(k, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("deep", F.lit(0)).alias("deep"))
-    return out.orderBy(F.col("kept").desc(), "doc_id").limit(20)
+    """Documents with their facts, those kept, and the kept ones of the deep layer."""
+    d = table(spark, sf_dir, "documents").select("doc_id").distinct()
+    k = records(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("drop_reason").isNull()).alias("kept"), F.count_if(F.col("drop_reason").isNull() & (F.col("layer") == "A")).alias("deep"))
+    return d.join(k, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("facts", "kept", "deep")])
+
+
+def top_chunks(spark, sf_dir):
+    """The eight documents with the most kept facts, then the most deep ones, then the most in all."""
+    return chunk_facts(spark, sf_dir).orderBy(F.col("kept").desc(), F.col("deep").desc(), F.col("facts").desc(), "doc_id").limit(8)
+
+
+#: Most keywords and role tags of a merged fact.
+LIST_LIMITS = {"keywords": 5, "tags": 3}
+
+
+def _to_merge(spark, sf_dir) -> DataFrame:
+    r = records(spark, sf_dir).where("drop_reason IS NULL").withColumns({"tags": F.filter(F.split("role_tags", "[+]"), lambda t: t != ""), "confidence": F.greatest(*[F.col(f"confidence_{u}") for u in M.UTILITY]).cast("bigint"), "priority": F.col("final_priority").cast("bigint")})
+    return r.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def retained_merge(spark, sf_dir):
+    """Kept facts of one text: keywords and tags together, the highest priority and confidence, and a system, stage and
+    source from the first that has them."""
+    r = _to_merge(spark, sf_dir).withColumns({"system": F.get("systems", F.lit(0)), "stage": F.nullif("next_move", F.lit(""))})
+    m = dedupe.merge_retained(r, F.lower("fact"), ["doc_id", "pos"], LIST_LIMITS, ["priority", "confidence"], ["system", "stage", "source"])
+    return m.select("key", "doc_id", "pos", "fact", "n", "priority", "confidence", "system", "stage", "source", F.array_join("keywords", "|").alias("keywords"), F.array_join("tags", "|").alias("tags"))
+
+
+def page_merge(spark, sf_dir):
+    """Kept facts of one wording, over all documents: address, layer, systems and families from the first that has them."""
+    r = _to_merge(spark, sf_dir).withColumns({"systems_of": F.array_join("systems", "|"), "families_of": F.array_join("families", "|")})
+    m = dedupe.merge_retained(r, X.word_key("fact"), ["source", "doc_id", "pos"], {}, [], ["lang", "layer", "systems_of", "families_of"])
+    return m.select("key", F.col("source").alias("first_source"), "doc_id", "pos", "n", "lang", "layer", "systems_of", "families_of")
 
 
 def trace_entries(spark, sf_dir):
@@ -209,7 +239,7 @@ SHAPING = {
     "priority": f"CASE WHEN extra = 0 THEN final_priority WHEN t_resource AND NOT guard AND inter < 2 AND n_systems < 2 THEN least(2, {_PRIORITY}) ELSE {_PRIORITY} END",
 }
 
-QUERIES = {f.__name__: f for f in (preservation_taxonomy, continuation_burden, component_persistence, operational_values, interaction_modes, chunk_facts, trace_entries, shaped_facts, mechanic_drops, fact_grounding, fact_scores, fact_utility, fact_preservation, preservation_labels, step_effects, retention_attribution, quality_diagnostics, failed_rules)}
+QUERIES = {f.__name__: f for f in (preservation_taxonomy, continuation_burden, component_persistence, operational_values, interaction_modes, chunk_facts, top_chunks, retained_merge, page_merge, trace_entries, shaped_facts, mechanic_drops, fact_grounding, fact_scores, fact_utility, fact_preservation, preservation_labels, step_effects, retention_attribution, quality_diagnostics, failed_rules)}
 
 _SOURCE = r"""facts AS (SELECT doc_id, lang, source, pos, raw, concat_ws(' ', right(p[pos], 140), raw, left(p[pos + 2], 140)) AS context, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS fact FROM (
   SELECT doc_id, lang, source, p, unnest(p) AS raw, unnest(range(len(p))) AS pos FROM (SELECT *, coalesce(string_split_regex(text, '[.!?]+\s+'), [NULL]::VARCHAR[]) AS p FROM documents)))"""
@@ -222,6 +252,16 @@ def _row_sql(names: list[str]) -> str:
 
 _TERMS = " UNION ALL ".join(f"SELECT layer, '{side}' AS side, '{n}' AS term, CASE WHEN {c} THEN {p} ELSE 0 END AS points FROM kept" for side, parts in (("a", M.RETENTION_A), ("b", M.RETENTION_B)) for n, c, p in parts)
 
+_CHUNKS = "SELECT d.doc_id, count(r.doc_id) AS facts, count_if(r.doc_id IS NOT NULL AND drop_reason IS NULL) AS kept, count_if(drop_reason IS NULL AND layer = 'A') AS deep FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN record r USING (doc_id) GROUP BY 1"
+_MERGING = ", k AS MATERIALIZED (SELECT *, (doc_id, pos) AS o, systems[1] AS system, list_filter(string_split(role_tags, '+'), lambda t: t <> '') AS tags, greatest(" + ", ".join(f"confidence_{u}" for u in M.UTILITY) + ") AS confidence FROM record WHERE drop_reason IS NULL)"
+
+
+def _union(c: str) -> str:
+    each = f"SELECT lower(fact) AS key, o, unnest({c}) AS v, unnest(range(len({c}))) AS p FROM k"
+    firsts = f"SELECT key, lower(trim(v)) AS low, arg_min(trim(v), (o, p)) AS v, min((o, p)) AS place FROM ({each}) WHERE trim(v) <> '' GROUP BY 1, 2"
+    return f"SELECT key, string_agg(v, '|' ORDER BY place) AS v FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place) AS rn FROM ({firsts})) WHERE rn <= {LIST_LIMITS[c]} GROUP BY 1"
+
+
 _LOSSES = ["fragile", "noisy_operational", "noisy_preservation", "shallow_identity", "local_dominant"]
 
 SQL = {
@@ -230,7 +270,9 @@ SQL = {
     "component_persistence": _RECORD + " UNION ALL ".join(f"SELECT '{n}' AS component, count(*) AS n, count_if(drop_reason IS NULL) AS kept, count_if(drop_reason IS NULL AND layer = 'A') AS deep FROM record WHERE {c}" for n, c in COMPONENTS.items()),
     "operational_values": _RECORD + "SELECT drop_reason IS NULL AS kept, count(*) AS n, " + ", ".join(f"count_if(list_contains(string_split(runtime_classes, '+'), '{c}')) / count(*) AS {c.replace('-', '_')}" for c in CLASSES) + " FROM record GROUP BY 1",
     "interaction_modes": _RECORD + " UNION ALL ".join(f"SELECT mode, '{min(a, b)}' AS a, '{max(a, b)}' AS b, count(*) AS n FROM record WHERE {a} AND {b} GROUP BY 1" for i, a in enumerate(_LOSSES) for b in _LOSSES[i + 1 :]),
-    "chunk_facts": _RECORD + "SELECT doc_id, count_if(drop_reason IS NULL) AS kept, count_if(drop_reason IS NULL AND layer = 'A') AS deep FROM record GROUP BY 1 ORDER BY kept DESC, doc_id LIMIT 20",
+    "chunk_facts": _RECORD + _CHUNKS, "top_chunks": _RECORD + _CHUNKS + " ORDER BY kept DESC, deep DESC, facts DESC, doc_id LIMIT 8",
+    "retained_merge": _RECORD + _MERGING + f", m AS (SELECT lower(fact) AS key, arg_min(doc_id, o) AS doc_id, arg_min(pos, o) AS pos, arg_min(fact, o) AS fact, count(*) AS n, max(final_priority)::BIGINT AS priority, max(confidence)::BIGINT AS confidence, arg_min(system, o) FILTER (system <> '') AS system, arg_min(next_move, o) FILTER (next_move <> '') AS stage, arg_min(source, o) FILTER (source <> '') AS source FROM k GROUP BY 1) SELECT m.*, coalesce(w.v, '') AS keywords, coalesce(t.v, '') AS tags FROM m LEFT JOIN ({_union('keywords')}) w ON w.key = m.key LEFT JOIN ({_union('tags')}) t ON t.key = m.key",
+    "page_merge": _RECORD + _MERGING + ", p AS (SELECT *, trim(regexp_replace(lower(fact), '[^a-z0-9]+', ' ', 'g')) AS wkey, (source, doc_id, pos) AS po FROM k) SELECT nullif(wkey, '') AS key, arg_min(source, po) AS first_source, arg_min(doc_id, po) AS doc_id, arg_min(pos, po) AS pos, count(*) AS n, arg_min(lang, po) FILTER (lang <> '') AS lang, arg_min(layer, po) FILTER (layer <> '') AS layer, arg_min(array_to_string(systems, '|'), po) FILTER (len(systems) > 0) AS systems_of, arg_min(array_to_string(families, '|'), po) FILTER (len(families) > 0) AS families_of FROM p GROUP BY wkey, CASE WHEN wkey = '' THEN po END",
     "trace_entries": _RECORD + ", t AS (SELECT *, lower(fact) AS key FROM record), k AS (SELECT key, min((doc_id, pos)) AS f FROM t WHERE drop_reason IS NULL GROUP BY 1), j AS (SELECT t.*, f, CASE WHEN drop_reason IS NOT NULL THEN 'dropped' WHEN f = (doc_id, pos) THEN 'final' ELSE 'merged' END AS status FROM t LEFT JOIN k ON t.key = k.key AND drop_reason IS NULL) SELECT doc_id, pos, status, drop_reason, CASE WHEN status = 'final' THEN layer END AS layer, CAST(CASE WHEN status = 'final' THEN final_priority END AS BIGINT) AS priority, CASE WHEN status = 'merged' THEN f[1] END AS \"into\" FROM j",
     "shaped_facts": _RECORD + ", a AS (SELECT *, CASE WHEN shape <> '' THEN greatest(0, count(*) OVER (PARTITION BY source, shape) - 3) ELSE 0 END AS extra FROM record WHERE drop_reason IS NULL), b AS (SELECT * EXCLUDE (priority), " + ", ".join(f"{e} AS {n}" for n, e in list(SHAPING.items())[:2]) + " FROM a), c AS (SELECT *, " + SHAPING["priority"] + " AS priority FROM b), d AS (SELECT *, count(*) OVER w AS n, count_if(priority = 3) OVER w AS top, row_number() OVER (PARTITION BY source ORDER BY priority <> 3, score_a DESC, o, v DESC, inter DESC) AS rn FROM c WINDOW w AS (PARTITION BY source)) SELECT source, CAST(CASE WHEN priority = 3 AND rn > CASE WHEN top > ceil(n * 0.2) THEN ceil(n * 0.15) ELSE top END THEN 2 ELSE priority END AS BIGINT) AS priority, count(*) AS n FROM d GROUP BY 1, 2",
     "mechanic_drops": _RECORD + "SELECT lang, coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM record GROUP BY 1, 2",
