@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as X
 from factloom.operators import dedupe
 from factloom.operators import mechanics as M
+from factloom.operators.lineage import SHAPING, normalize_raw
 from factloom.sources.tables import facts, table
 
 #: Sources that are not allowed here, by name and by what they hold; parameters.
@@ -232,14 +233,12 @@ def shaped_facts(spark, sf_dir):
     return r.select("source", F.explode(rows).alias("x")).where("x.k > 0").groupBy("source", F.col("x.p").cast("bigint").alias("priority")).agg(F.sum("x.k").alias("n"))
 
 
-_PRIORITY = "greatest(1, least(3, CASE WHEN inter >= 2 AND o <= 50 AND v >= 55 THEN 3 WHEN v >= 75 AND (inter >= 2 OR o <= 35) THEN 3 WHEN (inter >= 2 OR n_systems >= 2) AND o <= 50 THEN greatest(2, final_priority) WHEN o >= 75 THEN 1 WHEN o >= 60 THEN least(2, final_priority) ELSE final_priority END))"
-#: Novelty and obviousness after the penalty of two hundredths a repetition too many, and the priority anew where there is one.
-SHAPING = {
-    "v": "greatest(0, coalesce(novelty, 50) - 2 * extra)", "o": "least(100, coalesce(obviousness, 50) + 2 * extra)",
-    "priority": f"CASE WHEN extra = 0 THEN final_priority WHEN t_resource AND NOT guard AND inter < 2 AND n_systems < 2 THEN least(2, {_PRIORITY}) ELSE {_PRIORITY} END",
-}
+def fact_lineage(spark, sf_dir):
+    """The way of every fact from its source to the final ones."""
+    return normalize_raw(records(spark, sf_dir))
+
 
-QUERIES = {f.__name__: f for f in (preservation_taxonomy, continuation_burden, component_persistence, operational_values, interaction_modes, chunk_facts, top_chunks, retained_merge, page_merge, trace_entries, shaped_facts, mechanic_drops, fact_grounding, fact_scores, fact_utility, fact_preservation, preservation_labels, step_effects, retention_attribution, quality_diagnostics, failed_rules)}
+QUERIES = {f.__name__: f for f in (preservation_taxonomy, continuation_burden, component_persistence, operational_values, interaction_modes, chunk_facts, top_chunks, retained_merge, page_merge, trace_entries, fact_lineage, shaped_facts, mechanic_drops, fact_grounding, fact_scores, fact_utility, fact_preservation, preservation_labels, step_effects, retention_attribution, quality_diagnostics, failed_rules)}
 
 _SOURCE = r"""facts AS (SELECT doc_id, lang, source, pos, raw, concat_ws(' ', right(p[pos], 140), raw, left(p[pos + 2], 140)) AS context, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS fact FROM (
   SELECT doc_id, lang, source, p, unnest(p) AS raw, unnest(range(len(p))) AS pos FROM (SELECT *, coalesce(string_split_regex(text, '[.!?]+\s+'), [NULL]::VARCHAR[]) AS p FROM documents)))"""
@@ -274,6 +273,17 @@ SQL = {
     "retained_merge": _RECORD + _MERGING + f", m AS (SELECT lower(fact) AS key, arg_min(doc_id, o) AS doc_id, arg_min(pos, o) AS pos, arg_min(fact, o) AS fact, count(*) AS n, max(final_priority)::BIGINT AS priority, max(confidence)::BIGINT AS confidence, arg_min(system, o) FILTER (system <> '') AS system, arg_min(next_move, o) FILTER (next_move <> '') AS stage, arg_min(source, o) FILTER (source <> '') AS source FROM k GROUP BY 1) SELECT m.*, coalesce(w.v, '') AS keywords, coalesce(t.v, '') AS tags FROM m LEFT JOIN ({_union('keywords')}) w ON w.key = m.key LEFT JOIN ({_union('tags')}) t ON t.key = m.key",
     "page_merge": _RECORD + _MERGING + ", p AS (SELECT *, trim(regexp_replace(lower(fact), '[^a-z0-9]+', ' ', 'g')) AS wkey, (source, doc_id, pos) AS po FROM k) SELECT nullif(wkey, '') AS key, arg_min(source, po) AS first_source, arg_min(doc_id, po) AS doc_id, arg_min(pos, po) AS pos, count(*) AS n, arg_min(lang, po) FILTER (lang <> '') AS lang, arg_min(layer, po) FILTER (layer <> '') AS layer, arg_min(array_to_string(systems, '|'), po) FILTER (len(systems) > 0) AS systems_of, arg_min(array_to_string(families, '|'), po) FILTER (len(families) > 0) AS families_of FROM p GROUP BY wkey, CASE WHEN wkey = '' THEN po END",
     "trace_entries": _RECORD + ", t AS (SELECT *, lower(fact) AS key FROM record), k AS (SELECT key, min((doc_id, pos)) AS f FROM t WHERE drop_reason IS NULL GROUP BY 1), j AS (SELECT t.*, f, CASE WHEN drop_reason IS NOT NULL THEN 'dropped' WHEN f = (doc_id, pos) THEN 'final' ELSE 'merged' END AS status FROM t LEFT JOIN k ON t.key = k.key AND drop_reason IS NULL) SELECT doc_id, pos, status, drop_reason, CASE WHEN status = 'final' THEN layer END AS layer, CAST(CASE WHEN status = 'final' THEN final_priority END AS BIGINT) AS priority, CASE WHEN status = 'merged' THEN f[1] END AS \"into\" FROM j",
+    "fact_lineage": _RECORD + ", t AS MATERIALIZED (SELECT *, lower(coalesce(fact, '')) AS key FROM record), k AS (SELECT key, min((doc_id, pos)) AS f, count(*) AS merged FROM t WHERE drop_reason IS NULL GROUP BY 1), "
+        "j AS (SELECT t.*, f, merged, CASE WHEN drop_reason IS NOT NULL THEN 'dropped' WHEN f = (doc_id, pos) THEN 'final' ELSE 'merged' END AS status FROM t LEFT JOIN k ON t.key = k.key AND drop_reason IS NULL), "
+        "a AS (SELECT doc_id, pos, source, fact, novelty, obviousness, final_priority, score_a, inter, shape, n_systems, t_resource, guard, CASE WHEN shape <> '' THEN greatest(0, count(*) OVER (PARTITION BY source, shape) - 3) ELSE 0 END AS extra FROM j WHERE status = 'final'), b AS (SELECT *, "
+        + ", ".join(f"{e} AS {n}" for n, e in list(SHAPING.items())[:2]) + " FROM a), c AS (SELECT *, " + SHAPING["priority"] + " AS shaped FROM b), "
+        "d AS (SELECT *, count(*) OVER w AS n, count_if(shaped = 3) OVER w AS top, row_number() OVER (PARTITION BY source ORDER BY shaped <> 3, score_a DESC, o, v DESC, inter DESC, doc_id, pos) AS rn FROM c WINDOW w AS (PARTITION BY source)), "
+        "e AS (SELECT doc_id, pos, shaped, shaped = 3 AND rn > CASE WHEN top > ceil(n * 0.2) THEN ceil(n * 0.15) ELSE top END AS capped FROM d), "
+        "g AS (SELECT j.*, e.shaped, e.capped, CASE WHEN e.capped THEN 2 ELSE e.shaped END AS at_last, nullif(concat_ws('+', CASE WHEN e.shaped < j.final_priority THEN 'repetition' END, CASE WHEN e.capped THEN 'cap' END), '') AS lowered, j.f[1] AS fd, j.f[2] AS fp FROM j LEFT JOIN e ON status = 'final' AND e.doc_id = j.doc_id AND e.pos = j.pos) "
+        "SELECT doc_id, pos, substr(sha1(concat_ws('|', key, coalesce(source, ''), doc_id, pos)), 1, 12) AS id, status, drop_reason, CASE WHEN status = 'merged' THEN fd END AS into_doc, CASE WHEN status = 'merged' THEN fp END AS into_pos, CASE WHEN status = 'final' THEN merged END AS merged, "
+        "CAST(CASE WHEN status = 'final' THEN final_priority END AS BIGINT) AS scored, CAST(shaped AS BIGINT) AS shaped, CAST(at_last AS BIGINT) AS priority, lowered AS demoted, CASE WHEN status = 'final' THEN layer END AS layer, "
+        "concat_ws(' > ', CASE WHEN status = 'dropped' THEN 'filter: ' || drop_reason ELSE 'filter: passed' END, CASE status WHEN 'merged' THEN 'merge: into ' || fd || '/' || fp WHEN 'final' THEN 'merge: first of ' || merged END, "
+        "CASE WHEN status = 'final' THEN 'score: ' || final_priority END, CASE WHEN status = 'final' THEN 'shape: ' || coalesce(lowered, 'kept') || ' ' || at_last END, CASE WHEN status = 'final' THEN 'layer: ' || layer END) AS stages FROM g",
     "shaped_facts": _RECORD + ", a AS (SELECT *, CASE WHEN shape <> '' THEN greatest(0, count(*) OVER (PARTITION BY source, shape) - 3) ELSE 0 END AS extra FROM record WHERE drop_reason IS NULL), b AS (SELECT * EXCLUDE (priority), " + ", ".join(f"{e} AS {n}" for n, e in list(SHAPING.items())[:2]) + " FROM a), c AS (SELECT *, " + SHAPING["priority"] + " AS priority FROM b), d AS (SELECT *, count(*) OVER w AS n, count_if(priority = 3) OVER w AS top, row_number() OVER (PARTITION BY source ORDER BY priority <> 3, score_a DESC, o, v DESC, inter DESC) AS rn FROM c WINDOW w AS (PARTITION BY source)) SELECT source, CAST(CASE WHEN priority = 3 AND rn > CASE WHEN top > ceil(n * 0.2) THEN ceil(n * 0.15) ELSE top END THEN 2 ELSE priority END AS BIGINT) AS priority, count(*) AS n FROM d GROUP BY 1, 2",
     "mechanic_drops": _RECORD + "SELECT lang, coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM record GROUP BY 1, 2",
     "fact_grounding": _row_sql(GROUNDING), "fact_scores": _row_sql(SCORES), "fact_utility": _row_sql(UTILITY), "fact_preservation": _row_sql(PRESERVATION),
