@@ -21,7 +21,7 @@ SENTENCES = {
     "mit-permission": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
     "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "mit-warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
-    "isc-permission": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc-permission": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "bsd-permission": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
@@ -142,16 +142,16 @@ NAMES = {
     "OFL-1.1": ["SIL Open Font License, Version 1.1", "SIL Open Font License 1.1", "OFL-1.1 License"],
     "LPPL-1.3c": ["LaTeX Project Public License 1.3c", "LaTeX Project Public License, version 1.3c"],
     "GPL-1.0-only": ["GNU General Public License, version 1", "GNU General Public License v1.0"],
-    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2", "GPLv2 License", "GPL-2.0 License"],
-    "GPL-2.0-or-later": ["GNU General Public License, version 2 or later", "GNU General Public License v2.0 or later", "GPLv2+"],
-    "GPL-3.0-only": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3", "GPLv3 License", "GPL-3.0 License"],
-    "GPL-3.0-or-later": ["GNU General Public License, version 3 or later", "GNU General Public License v3.0 or later", "GPLv3 or later"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2", "GPL v2", "GPL version 2", "GPL-2.0", "GPLv2 License", "GPL-2.0 License"],
+    "GPL-2.0-or-later": ["GNU General Public License, version 2 or later", "GNU General Public License v2.0 or later", "GPLv2+", "GPL-2.0+", "GPL v2 or later"],
+    "GPL-3.0-only": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3", "GPL v3", "GPL version 3", "GPL-3.0", "GPLv3 License", "GPL-3.0 License"],
+    "GPL-3.0-or-later": ["GNU General Public License, version 3 or later", "GNU General Public License v3.0 or later", "GPLv3 or later", "GPLv3+", "GPL-3.0+", "GPL v3 or later"],
     "LGPL-2.0-only": ["GNU Library General Public License, version 2", "GNU Library General Public License v2"],
-    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL-2.1 License"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL v2.1", "LGPL-2.1", "LGPL-2.1 License"],
     "LGPL-2.1-or-later": ["GNU Lesser General Public License, version 2.1 or later", "GNU Lesser General Public License v2.1 or later"],
-    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3", "LGPL-3.0 License"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3", "LGPL v3", "LGPL-3.0", "LGPL-3.0 License"],
     "LGPL-3.0-or-later": ["GNU Lesser General Public License, version 3 or later", "GNU Lesser General Public License v3.0 or later"],
-    "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3", "AGPL-3.0 License"],
+    "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3", "AGPL v3", "AGPL-3.0", "AGPL-3.0 License"],
     "AGPL-3.0-or-later": ["GNU Affero General Public License, version 3 or later", "GNU Affero General Public License v3.0 or later"],
     "GFDL-1.3-only": ["GNU Free Documentation License, version 1.3", "GNU Free Documentation License v1.3"],
     "MPL-1.1": ["Mozilla Public License 1.1", "Mozilla Public License, Version 1.1"],
@@ -173,11 +173,11 @@ for _k, _long in CREATIVE.items():
     for _v, _kind in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
         NAMES[f"CC-{_k}-{_v}"] = [f"CC {_k} {_v}", f"CC-{_k}-{_v}", f"CC {_k} {_v} License", f"Creative Commons {_long} {_v} {_kind} License", f"Creative Commons {_long} {_v} License"]
 # What notices say before the name of a licence, and after it.
-SAYING = ["licensed under", "released under", "distributed under", "made available under", "available under", "provided under"]
+SAYING = ["licensed under", "dual licensed under", "dual-licensed under", "published under", "released under", "distributed under", "made available under", "available under", "provided under"]
 SUBJECTS = ["", "this project is", "this software is", "this work is", "this program is", "this package is", "this library is", "this file is", "this code is", "it is", "the code is", "the project is"]
 ENDINGS = ["", "see LICENSE", "see the LICENSE file", "see LICENSE for details", "see the LICENSE file for details", "see LICENSE.md for details", "see the LICENSE.md file for details", "see the file LICENSE for details"]
 for _id, _names in NAMES.items():
-    SENTENCES[f"named-{_id}"] = [*_names, f"SPDX-License-Identifier: {_id}", f"License: {_id}", f"License: {_names[0]}"]
+    SENTENCES[f"named-{_id}"] = [*_names, _id, f"SPDX-License-Identifier: {_id}", f"License: {_id}", f"License: {_names[0]}"]
     RULES.append((_id, f"{_id}-named", [f"named-{_id}"]))
 #: Identifiers that only a notice or a tag names: what a bare name stands for has to be said before it.
 _TAGGED = re.compile(r"^(?:spdx-license-identifier|license) ")
@@ -188,7 +188,7 @@ MAX_GAP = 3
 
 # neither the colon of a tag nor the dot of "v." ends a sentence
 _END = re.compile(r"(?<!\s[Vv])[.!?;](?=\s|[!?]|$)|(?<![Ii]dentifier)(?<![Ll]icense)(?<![Ll][Ii][Cc]ENSE):(?=\s|$)|\n\s*\n|\r\n\s*\r\n")
-_WORD = re.compile(r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*")
+_WORD = re.compile(r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*\+?")
 
 
 def normalise(sentence: str) -> str:
@@ -199,6 +199,35 @@ def normalise(sentence: str) -> str:
 KNOWN = {normalise(s): k for k, forms in SENTENCES.items() if not k.startswith("named-") for s in forms}
 #: Names and tags of licences; a name counts only in a notice.
 NAMED = {normalise(s): k for k, forms in SENTENCES.items() if k.startswith("named-") for s in forms}
+#: Sentences with a place for whoever holds the copyright, over normalised words.
+_HOLDER = r"(?:[^ ]+ ){1,16}"
+SLOTS = [
+    (re.compile(rf"neither the names? of {_HOLDER}nor the names? of (?:its|their|any|the|other) (?:[^ ]+ ){{0,3}}?contributors may be used to endorse or promote products derived from this software without specific prior written permission"), "bsd-endorse"),
+    (re.compile(rf"neither the names? of {_HOLDER}may be used to endorse or promote products derived from this software without specific prior written permission"), "bsd-endorse"),
+    (re.compile(rf"the names? of {_HOLDER}may not be used to endorse or promote products derived from this software without specific prior written permission"), "bsd-endorse"),
+]
+#: Said of a licence that the words name: "this code is MIT licensed".
+_LICENSED = re.compile(rf"^(?:(?:{'|'.join(x for x in SUBJECTS if x)}) )?(.{{1,80}}) licen[sc]ed$")
+_HEADING = {"license", "licence", "licensing", "licenses"}
+
+
+def expression(words: str) -> str | None:
+    """The licences that names or SPDX identifiers joined by and, or and with tell, as `expression:A|B WITH C`; None
+    where one of them is unknown."""
+    if words in NAMED:
+        return NAMED[words]
+    terms, known = re.split(r" (?:and/or|and|or) (?!later)", words), []
+    for term in terms:
+        name, *more = term.split(" with ")
+        name = name.removeprefix("the ")
+        if (of := NAMED.get(name)) is None or len(more) > 1 or (more and more[0] not in EXCEPTIONS):
+            return None
+        known.append(of.removeprefix("named-") + (f" WITH {EXCEPTIONS[more[0]]}" if more else ""))
+    return "expression:" + "|".join(dict.fromkeys(known)) if len(known) > 1 or " WITH " in known[0] else f"named-{known[0]}"
+
+
+# SPDX identifiers of exceptions to licences.
+EXCEPTIONS = {x.lower(): x for x in ("Classpath-exception-2.0", "GCC-exception-2.0", "GCC-exception-3.1", "Linux-syscall-note", "LLVM-exception", "Autoconf-exception-3.0", "Bison-exception-2.2", "Font-exception-2.0", "OpenSSL-exception", "Qt-GPL-exception-1.0", "u-boot-exception-2.0")}
 _ENDINGS = sorted({" " + normalise(e) for e in ENDINGS if e}, key=len, reverse=True)
 #: Every known sentence holds one of these, so a text without any holds no known sentence.
 ANCHORS = ("licens", "permission", "permitted", "redistribution", "warranty", "copyright", *(f"{x.split()[-2]} under" for x in SAYING), "public domain")
@@ -210,15 +239,19 @@ def identify_sentence(words: str) -> str | None:
     """The identifier of a normalised sentence: known as it stands, or a notice or tag that names a licence."""
     if (name := KNOWN.get(words)) is not None:
         return name
-    if _TAGGED.match(words):
-        return NAMED.get(words)
+    if m := _TAGGED.match(words):
+        return NAMED.get(words) or expression(words[m.end() :])
     if m := _NOTICE.match(words):
         rest = words[m.end() :]
-        if rest in NAMED:
-            return NAMED[rest]
+        if name := expression(rest):
+            return name
         for e in _ENDINGS:
             if rest.endswith(e):
-                return NAMED.get(rest[: -len(e)])
+                return expression(rest[: -len(e)])
+    if (m := _LICENSED.match(words)) and m[1] in NAMED:
+        return NAMED[m[1]]
+    if "endorse" in words:
+        return next((name for pattern, name in SLOTS if pattern.fullmatch(words)), None)
     return None
 
 
@@ -239,13 +272,15 @@ def known_sentences(text: str) -> list[tuple[int, str, int, int]]:
     A sentence may also begin or end with a line: where a whole one is unknown, its runs of whole lines are tried,
     each as long as a known sentence can be, and after a known one those that follow it.
     """
-    out = []
+    out, headed = [], False
     for k, (x, y) in enumerate(sentences(text)):
-        low = text[x:y].lower()
-        if not any(a in low for a in ANCHORS):
+        low, after = text[x:y].lower(), headed
+        headed = False
+        if not after and not any(a in low for a in ANCHORS):
             continue
-        found = []
-        if name := identify_sentence(normalise(low)):
+        found, words = [], normalise(low)
+        headed = words in _HEADING
+        if name := identify_sentence(words) or (NAMED.get(words) if after else None):
             found.append((name, x, y))
         else:
             edges = [x, *(x + m.end() for m in re.finditer("\n", text[x:y])), y]
@@ -280,6 +315,10 @@ def _apply(ids: list[tuple[int, str, int, int]]) -> list[dict]:
     """Rules over known sentences; those that stood in the gaps of a rule are looked at by themselves."""
     out, at = [], 0
     while at < len(ids):
+        if ids[at][1].startswith("expression:"):
+            out += [{"license": x, "rule": "expression", "start": ids[at][2], "end": ids[at][3]} for x in ids[at][1].removeprefix("expression:").split("|")]
+            at += 1
+            continue
         for licence, rule, order in RULES:
             took, j = [], at
             for want in order:

@@ -1,5 +1,7 @@
 """Licences: several known lines in one sentence, sentences in the gap of a rule, and notices of the GNU family."""
 
+import pytest
+
 from factloom.llm import licences
 
 
@@ -77,3 +79,28 @@ def test_documents_hold_no_other_notice(spark):
     missed = {(d, k) for d, want in plain.items() for k in want - got[d] if not longer.get(k, set()) & want}
     assert sum(map(bool, plain.values())) > 5 and not missed, sorted(missed)[:5]
     assert all(not found or brute(r.text) or "licen" in r.text.lower() for r in docs.collect() for found in [got[r.doc_id]])
+
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{0}
+THIS SOFTWARE IS PROVIDED BY THE REGENTS "AS IS"."""
+ENDORSE = "3. Neither the name of {0} may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (BSD.format(ENDORSE.format("Google Inc. nor the names of its contributors").replace("Google Inc.", "Google Inc")), ["BSD-3-Clause"]),
+    (BSD.format(ENDORSE.format("the University nor the names of its contributors")), ["BSD-3-Clause"]),
+    (BSD.format(ENDORSE.format("the copyright holder nor the names of its contributors")), ["BSD-3-Clause"]),
+    (BSD.format(""), ["BSD-2-Clause"]),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+    ("# SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0)\nimport x", ["GPL-2.0-only WITH Classpath-exception-2.0"]),
+    ("/* SPDX-License-Identifier: GPL-2.0+ */", ["GPL-2.0-or-later"]), ("SPDX-License-Identifier: Nobody-1.0 OR MIT", []),
+    ("Licensed under GPL-3.0-or-later.", ["GPL-3.0-or-later"]), ("Dual licensed under MIT and GPL v2.", ["GPL-2.0-only", "MIT"]), ("Published under the MIT License.", ["MIT"]), ("The code is MIT licensed.", ["MIT"]),
+    ("# License\n\nMIT\n\nMore.", ["MIT"]), ("# Licence\n\nNothing here.", []), ("MIT\n\nA school.", []), ("Beer is licensed.", []),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["ISC"]),
+])
+def test_named_holders_expressions_and_headings(text, want):
+    assert sorted({m["license"] for m in licences.recognise(text)}) == want
