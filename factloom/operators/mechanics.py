@@ -78,6 +78,7 @@ class Policy:
             raise ValueError(f"no such categories: {sorted(unknown)}")
         own = {c: (phrases or {}).get(c, PHRASES[c]) for c in CATEGORIES} | {"obvious": OBVIOUS if obvious is None else obvious}
         self.found = Phrases(own, ["obvious", *UTILITY])
+        self.around = Phrases({c: own[c] for c in AROUND})  # fewer beginnings to carry over the longer text
         self.systems, self.families = SYSTEMS if systems is None else systems, FAMILIES if families is None else families
 
 
@@ -287,7 +288,7 @@ def with_vocabulary(facts: DataFrame, blocked: list[str], allow: list[str], bloc
     f = facts.withColumns({"fact": F.col("fact"), "_low": F.lower(F.coalesce("fact", empty)), "_around": F.lower(F.coalesce("context", F.col("fact"), empty))})
     f = f.withColumns({"_words": once(words(F.col("_low"))), "_words_around": once(words(F.col("_around")))})
     n_of = lambda c: F.size(F.filter(F.array_distinct(c), lambda w: (F.length(w) >= 4) & ~w.isin(GENERIC_TOKENS))).cast("bigint")
-    f = f.withColumns({"_found": once(policy.found.found(F.col("_words"))), "_found_around": once(policy.found.found(F.col("_words_around"))), "n_specific": n_of(F.col("_words")), "n_specific_around": n_of(F.col("_words_around"))})
+    f = f.withColumns({"_found": once(policy.found.found(F.col("_words"))), "_found_around": once(policy.around.found(F.col("_words_around"))), "n_specific": n_of(F.col("_words")), "n_specific_around": n_of(F.col("_words_around"))})
     ends = lambda c: F.flatten(F.transform(c, lambda w: F.array(w, F.concat(F.lit("-"), F.right(w, F.lit(4))), F.concat(F.lit("-"), F.right(w, F.lit(2))))))
     f = f.withColumns({"_stems": ends(F.col("_words")), "_keywords": F.slice(F.array_distinct(F.filter("_words", lambda w: F.length(w) >= 6)), 1, 3)})
     source = F.lower(F.trim(F.coalesce("source", empty)))
@@ -301,7 +302,7 @@ def with_vocabulary(facts: DataFrame, blocked: list[str], allow: list[str], bloc
     f = f.withColumn("families", F.slice(F.array_distinct(F.concat("own_families", F.transform("systems", lambda s: F.coalesce(_map(FAMILY_OF)[s], F.lit("other"))))), 1, 4))
     f = f.withColumn("entities", F.slice(F.array_distinct(F.concat("systems", "families", "keywords")), 1, 6))
     f = f.withColumns({c: once(F.col(c)) for c in ("systems", "families", "keywords", "entities")})
-    flag = lambda of, c: policy.found.has(F.col(of)["bits"], c)
+    flag = lambda of, c: (policy.around if of == "_found_around" else policy.found).has(F.col(of)["bits"], c)
     hits = lambda c: policy.found.count(F.col("_found")["own"], c)
     tokens = X.tokens("_low", 3)
     return f.withColumns({
