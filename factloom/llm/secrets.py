@@ -27,7 +27,15 @@ OTHER_WORDS = ["sha", "commit", "checksum", "md5", "digest", "hash", "uuid", "gu
 DICTIONARY = ["about", "account", "admin", "application", "article", "assets", "back", "blog", "build", "category", "client", "common", "config", "content", "data", "default", "document", "download", "email", "error", "example", "feature", "file", "first", "form", "function", "group", "home", "image", "index", "info", "item", "learning", "library", "list", "local", "machine", "mail", "main", "message", "method", "model", "module", "name", "network", "number", "object", "order", "package", "page", "path", "photo", "post", "product", "profile", "project", "public", "query", "release", "report", "request", "resource", "response", "result", "search", "section", "server", "service", "session", "setting", "source", "static", "status", "string", "style", "system", "table", "template", "test", "text", "theme", "title", "type", "update", "upload", "user", "value", "version", "video", "view", "world"]
 # What stands in the place of a secret without being one.
 PLACEHOLDERS = ["required", "optional", "string", "null", "none", "true", "false", "undefined", "changeme", "yourtoken", "your-password", "<your-key>", "${PASSWORD}", "$TOKEN", "********", "xxxxxxxx", "invalid", "expired", "missing", "hidden", "enabled", "encrypted"]
-FEATURES = ["f_length", "f_digits", "f_upper", "f_symbols", "f_entropy", "f_classes", "f_changes", "f_bigrams", "f_words", "f_path", "f_extension", "f_secret_word", "f_other_word", "f_assigned", "f_quoted"]
+# Ordinary words of prose in English, German, French and Spanish, which stand where secrets do without being one.
+PROSE = ["authentication", "authorization", "information", "international", "management", "organization", "responsibility", "temporarily", "understanding", "unfortunately", "administrator", "certificate", "encryption", "permission", "protection", "reference", "subscription", "verification", "anmeldung", "anwendung", "bedeutung", "benutzer", "beschreibung", "bundesregierung", "datenschutzerklärung", "einstellung", "entwicklung", "gesellschaft", "geheimnis", "geschwindigkeit", "kennwort", "krankenversicherung", "möglichkeiten", "verantwortung", "verfassungsgericht", "verschlüsselung", "veröffentlichung", "wissenschaft", "zugangsdaten", "zusammenarbeit", "administration", "bibliothèque", "chiffrement", "connaissance", "développement", "environnement", "établissement", "gouvernement", "identifiant", "informatique", "utilisateur", "nécessaire", "particulièrement", "renseignements", "responsable", "signature", "confidentiel", "vérification", "administrador", "autenticación", "autorización", "biblioteca", "conocimiento", "contraseña", "desarrollo", "descripción", "documentación", "electrónico", "especialmente", "identificación", "investigación", "medioambiente", "presentación", "responsabilidad", "seguridad", "usuario"]
+# Expressions of programs that fetch a secret from elsewhere.
+CODE = ["os.environ", "os.environ.get", "os.getenv", "process.env.API_TOKEN", "process.env.SECRET_KEY", "getpass.getpass", "config.get", "config.secret", "settings.SECRET_KEY", "self.password", "self._token", "this.authToken", "request.headers", "request.form.password", "user.password", "session.token", "secrets.token_hex", "args.password", "options.auth.token", "env.ACCESS_KEY", "System.getenv", "input", "get_password", "readPassword", "generate_token", "hashlib.sha256"]
+# Shapes of the tokens of known services, and the names of schemes with a password in their addresses.
+KNOWN = [r"gh[pousr]_[A-Za-z0-9]{16,}", r"github_pat_[A-Za-z0-9_]{20,}", r"glpat-[A-Za-z0-9_\-]{16,}", r"(?:AKIA|ASIA)[A-Z0-9]{12,}", r"AIza[A-Za-z0-9_\-]{30,}", r"xox[abeoprs]-[A-Za-z0-9\-]{10,}", r"[psr]k_(?:live|test)_[A-Za-z0-9]{12,}", r"npm_[A-Za-z0-9]{30,}", r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}", r"eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]*"]
+SCHEMES = ["postgres", "postgresql", "mysql", "mongodb", "mongodb+srv", "redis", "amqp", "https", "http", "ftp", "sftp", "smtp"]
+KEY_KINDS = ["", "rsa ", "ec ", "dsa ", "openssh ", "encrypted "]
+FEATURES = ["f_known", "f_password", "f_address", "f_key_block", "f_code", "f_joined", "f_length", "f_digits", "f_upper", "f_symbols", "f_entropy", "f_classes", "f_changes", "f_bigrams", "f_words", "f_path", "f_extension", "f_secret_word", "f_other_word", "f_assigned", "f_quoted"]
 
 # A secret word, alone or as the first part of a key name, and what may stand between it and its value.
 _WORD = "(?=[A-Ca-cPpSsTt])(?i:" + "|".join(map(re.escape, SECRET_WORDS)) + ")"
@@ -35,15 +43,20 @@ _NAMED = _WORD + r"(?:[_\-][A-Za-z0-9]{1,12})?(?:[_\-][A-Za-z0-9]{1,12})?"
 _ASSIGNED = _NAMED + r"[\"'\])]?\s{0,4}[=:]{1,2}>?\s{0,4}"
 _QUOTED = _NAMED + r"[\"'\])]?\s{0,4}(?:[=:]{1,2}>?|[,\s])\s{0,4}"
 _VALUE = r"[^\s\"'`&;,<>(){}\[\]=]"
+# The lines before the body of a private key, and what stands before the password of an address.
+_KEY = r"-{5}BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-{5}\s{0,4}(?:[A-Z][A-Za-z\-]{1,30}: [^\r\n]{0,200}\r?\n\s{0,4}){0,4}"
+_ADDRESS = r"://[^\s:/@\"'<>]{0,64}:"
 #: The name and the marks before a value, as SCANNED takes them along.
-PREFIX = rf"^(?:{_ASSIGNED}[\"']?|{_QUOTED}[\"'])"
-#: What scan_secrets looks at: after a secret word, whole quoted values (with blanks, if short and without a long run)
+PREFIX = rf"^(?:{_KEY}|{_ADDRESS}|{_ASSIGNED}[\"']?|{_QUOTED}[\"'])"
+#: What scan_secrets looks at: bodies of private keys whole, passwords of addresses; after a secret word, whole quoted values (with blanks, if short and without a long run)
 #: and assigned ones of any length; elsewhere every run of 16 or more characters of keys and tokens, '=' only as
 #: padding at its end, so that the name in name=value is not part of the value.  A run that is such a name itself is
 #: left to the alternatives before.
 _BETWEEN = r"[\"'\])]?\s{0,4}(?:[=:]{1,2}>?|[,\s])\s{0,4}"
 _WITHIN = "|".join(rf"{q}(?:[^\s{q}]++|(?![^{q}\r\n]{{0,80}}[A-Za-z0-9+/_\-.]{{16}})[^{q}\r\n]{{1,80}}+)(?={q})" for q in "\"'")
 SCANNED = "|".join([
+    rf"{_KEY}[A-Za-z0-9+/](?:[A-Za-z0-9+/=]|\s|\\n){{15,}}+",
+    rf"{_ADDRESS}[^\s/@\"'<>]{{1,256}}+(?=@)",
     rf"{_NAMED}(?:{_BETWEEN}(?:{_WITHIN})|[\"'\])]?\s{{0,4}}[=:]{{1,2}}>?\s{{0,4}}[\"']?{_VALUE}++(?:={{1,2}}(?!=|{_VALUE}))?)",
     rf"(?<![A-Za-z0-9+/_\-])(?=[+/_\-.]*+[A-Za-z0-9])[A-Za-z0-9+/_\-.]{{16,}}+(?![\"'\])]?\s{{0,4}}[=:](?<={_NAMED}[\"'\])]?\s{{0,4}}[=:]){_VALUE}?)(?:={{1,2}}(?![A-Za-z0-9+/_=\-.]))?",
 ])
@@ -89,7 +102,14 @@ def with_features(found: DataFrame, bigrams: dict[str, float]) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 1, F.lit(1))), lambda i: F.coalesce(table[F.substring(low, i, 2)], F.lit(floor)))
     counts = F.transform(F.array_distinct(F.split(c, "")), lambda x: (n - F.char_length(F.replace(c, x, F.lit("")))) / n)
     any_of = lambda words: "(?<![a-z])(" + "|".join(map(re.escape, words)) + ")(?![a-z])"
+    before, after = F.col("before"), F.col("after")
     return found.withColumns({
+        "f_known": c.rlike("^(?:" + "|".join(KNOWN) + ")$").cast("double"),
+        "f_password": before.rlike(r"(?:password|passwd|pwd|passphrase)[\"'\])]?\s{0,4}[=:]{1,2}>?\s{0,4}[\"']?$").cast("double"),
+        "f_address": (before.rlike(_ADDRESS + "$") & F.startswith(after, F.lit("@"))).cast("double"),
+        "f_key_block": (before.rlike(r"private key-{5}\s*$") | (before.rlike(r"dek-info: ") & c.rlike(r"^[A-Za-z0-9+/]{60}"))).cast("double"),
+        "f_code": (c.rlike(r"^[A-Za-z_]+[0-9]{0,3}(?:\.[A-Za-z_]+[0-9]{0,3})+$") | after.rlike(r"^\s?[(\[]")).cast("double"),
+        "f_joined": c.rlike(r"^[A-Za-z]{2,}(?:[-_ ][A-Za-z]{2,}){2,}$").cast("double"),
         "f_length": F.least(n, F.lit(200)).cast("double"), "f_digits": _share("[0-9]"), "f_upper": _share("[A-Z]"), "f_symbols": _share("[^A-Za-z0-9]"),
         "f_entropy": F.aggregate(counts, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0)),
         "f_classes": sum((c.rlike(p).cast("double") for p in ("[A-Z]", "[a-z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0.0)),
@@ -104,37 +124,66 @@ def with_features(found: DataFrame, bigrams: dict[str, float]) -> DataFrame:
     })
 
 
-def labelled_findings(spark: SparkSession, n: int = 1600) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     """Findings with labels, made by rule, for use where none are at hand: candidate, before, after, label.
 
-    Secrets are random hex, base-64, mixed or letter strings and short passwords in places where secrets stand; the
-    others are checksums and identifiers in places of their own, names, paths, versions, dates, repeated marks and
-    long words, and words and placeholders where secrets stand.
+    Secrets are random hex, base-64, mixed or letter strings, short passwords and pass phrases in places where secrets
+    stand; tokens in the shapes of known services in any place; bodies of private keys under their heading; and
+    passwords of addresses.  The others are checksums and identifiers in places of their own, names, paths, versions,
+    dates, repeated marks and long words, and words of prose, placeholders and expressions of programs where secrets
+    stand, tokens blotted out and ports of addresses.
     """
     i = F.col("id")
-    hexes, other = F.sha1(i.cast("string").cast("binary")), F.md5(F.concat(F.lit("m"), i.cast("string")).cast("binary"))
-    b64 = F.translate(F.substring(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i.cast("string")).cast("binary"), 256))), 1, 40), "+/=", "A_9")
-    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
+    text = i.cast("string")
+    hexes, other = F.sha1(text.cast("binary")), F.md5(F.concat(F.lit("m"), text).cast("binary"))
+    coded = lambda salt: F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit(salt), text).cast("binary"), 256))), "+/=", "A9z")
+    b64 = F.translate(F.substring(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), text).cast("binary"), 256))), 1, 40), "+/=", "A_9")
+    number = lambda salt, k: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(k))
+    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (number(salt, len(words)) + 1).cast("int"))
+    choose = lambda columns, salt: F.element_at(F.array(*columns), (number(salt, len(columns)) + 1).cast("int"))
     word = lambda salt: pick(DICTIONARY, salt)
     letters = F.translate(b64, "0123456789_", "qxzjkvwyhgf")
-    secrets = [
-        hexes, F.upper(hexes), b64, F.concat(F.lit("k1_"), b64), other, F.concat(F.substring(b64, 1, 12), F.substring(hexes, 1, 12)), letters, F.upper(F.substring(letters, 1, 24)), F.substring(b64, 1, 10), F.substring(letters, 3, 9),
+    short = [
         F.concat(word(11), F.pmod(i, F.lit(97)).cast("string"), pick(["!", "#", "?", "$", "", "@"], 12)), F.concat(F.lower(F.substring(letters, 1, 6)), F.pmod(i, F.lit(10)).cast("string"), pick(["!", "#", "?", "$"], 12)),
+        F.substring(b64, 1, 10), F.substring(letters, 3, 9), F.concat(F.initcap(word(13)), F.initcap(word(14)), F.pmod(i, F.lit(1000)).cast("string")),
     ]
-    secret = F.element_at(F.array(*secrets), (F.pmod(F.xxhash64(i, F.lit(1)), F.lit(len(secrets))) + 1).cast("int"))
-    place = F.concat(F.lit("some text "), pick(SECRET_WORDS, 2), pick([' = "', ": ", "=", " = '", " "], 3))
-    others = [
-        F.concat_ws("/", word(4), word(5), i.cast("string"), word(6)), F.concat_ws("-", word(4), word(5), word(6), F.pmod(i, F.lit(100)).cast("string")), F.concat(word(4), F.lit("_"), word(5), i.cast("string"), F.lit(".png")),
-        F.concat(F.lit("2024-01-"), F.lpad((F.pmod(i, F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("T00.00.00")), F.concat(F.lit("1.2."), i.cast("string"), F.lit(".20240101-beta")), F.repeat(F.pmod(i, F.lit(10)).cast("string"), 24),
+    secrets = [hexes, F.upper(hexes), b64, F.concat(F.lit("k1_"), b64), other, F.concat(F.substring(b64, 1, 12), F.substring(hexes, 1, 12)), letters, F.upper(F.substring(letters, 1, 24)), *short]
+    phrases = [F.concat_ws("-", word(21), word(22), word(23)), F.concat_ws("-", word(21), pick(PROSE, 22), word(23), word(24)), F.concat_ws("_", word(21), word(22), pick(PROSE, 23)), F.concat_ws(" ", word(21), word(22), word(23), word(24)), F.lower(F.concat_ws("-", F.substring(letters, 1, 7), F.substring(letters, 9, 5), F.substring(letters, 15, 7)))]
+    numbers = F.lpad(F.abs(F.xxhash64(i, F.lit(31))).cast("string"), 12, "1")
+    known = [
+        F.concat(pick(["ghp_", "gho_", "ghs_", "ghu_"], 32), F.substring(coded("g"), 1, 36)), F.concat(F.lit("github_pat_"), F.substring(coded("g"), 1, 22), F.lit("_"), coded("h")), F.concat(F.lit("glpat-"), F.substring(coded("g"), 1, 20)),
+        F.concat(pick(["AKIA", "ASIA"], 32), F.upper(F.substring(coded("g"), 1, 16))), F.concat(F.lit("AIza"), F.substring(coded("g"), 1, 35)), F.concat(pick(["xoxb-", "xoxp-", "xapp-", "xoxa-"], 32), F.substring(numbers, 1, 12), F.lit("-"), F.substring(coded("g"), 1, 24)),
+        F.concat(pick(["sk_live_", "rk_live_", "sk_test_"], 32), F.substring(coded("g"), 1, 24)), F.concat(F.lit("npm_"), F.substring(coded("g"), 1, 36)), F.concat(F.lit("SG."), F.substring(coded("g"), 1, 22), F.lit("."), F.substring(coded("h"), 1, 43)),
+        F.concat(F.lit("eyJ"), F.substring(coded("g"), 1, 17), F.lit(".eyJ"), F.substring(coded("h"), 1, 30), F.lit("."), F.substring(coded("k"), 1, 43)),
+    ]
+    block = F.concat_ws("\n", *[F.concat(coded(f"p{k}"), F.substring(coded(f"q{k}"), 1, 20)) for k in range(3)])
+    marks = pick([' = "', ": ", "=", " = '", '": "'], 3)
+    place = F.concat(F.lit("some text "), pick(SECRET_WORDS, 2), F.when(number(33, 4) == 0, " ").otherwise(marks))
+    anywhere = F.concat(F.lit("some text "), pick([*OTHER_WORDS, "see", "of", "the", "und", "le", "with", "use"], 8), pick([" ", ": ", "=", ' "', "\n", ", ", "("], 9))
+    phrase_place = F.concat(F.lit("some text "), pick(["password", "passwd", "pwd", "db_password"], 34), marks)
+    address = F.concat(F.lit("see "), pick(SCHEMES, 35), F.lit("://"), F.when(number(36, 5) == 0, "").otherwise(word(37)), F.lit(":"))
+    names = [
+        F.concat_ws("/", word(4), word(5), text, word(6)), F.concat_ws("-", word(4), word(5), word(6), F.pmod(i, F.lit(100)).cast("string")), F.concat(word(4), F.lit("_"), word(5), text, F.lit(".png")),
+        F.concat(F.lit("2024-01-"), F.lpad((F.pmod(i, F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("T00.00.00")), F.concat(F.lit("1.2."), text, F.lit(".20240101-beta")), F.repeat(F.pmod(i, F.lit(10)).cast("string"), 24),
         hexes, other, F.concat(F.lit("www."), word(4), word(5), F.pmod(i, F.lit(10)).cast("string"), F.lit(".example.com")), F.concat(F.repeat(F.lit("x"), 20), F.lit("1")),
-        F.concat(word(4), word(5), word(6)), F.upper(F.concat_ws("_", word(4), word(5), word(6))), F.concat_ws("/", word(4), word(5), word(6)), F.concat(F.repeat(F.lit("-"), 20), word(4)),
-        word(4), pick(PLACEHOLDERS, 5),  # these two where secrets stand
+        F.concat(word(4), word(5), word(6)), F.upper(F.concat_ws("_", word(4), word(5), word(6))), F.concat_ws("/", word(4), word(5), word(6)), F.concat(F.repeat(F.lit("-"), 20), word(4)), F.concat_ws("-", pick(PROSE, 4), pick(PROSE, 5)), F.concat_ws(".", word(4), word(5), pick(CODE, 6)),
+    ]
+    blotted = F.concat(pick(["ghp_", "AKIA", "sk_live_", "xoxb-", "glpat-", ""], 32), F.repeat(pick(["x", "X", "*", "0", "."], 38), 24))
+    prose = choose([word(4), pick(PROSE, 4), F.initcap(pick(PROSE, 4)), F.concat(pick(PROSE, 4), pick(PROSE, 5)), F.initcap(F.concat(pick(PROSE, 4), pick(PROSE, 5))), pick(PLACEHOLDERS, 5)], 39)
+    closing, plain = pick(['" and', "' and", "\nnext", " and", ""], 40), pick([" and", ".", "", "\nnext", ", "], 41)
+    called = pick(["(", "()", '["KEY"]', '("KEY")', " ", ""], 42)
+    any_place = F.when(number(43, 3) == 0, place).otherwise(anywhere)
+    kinds = [  # parts of all findings, candidate, before, after, label
+        (5, choose(secrets, 1), place, closing, 1), (3, choose(phrases, 20), phrase_place, closing, 1), (2, choose(known, 30), any_place, plain, 1),
+        (1, block, F.concat(F.lit("-----begin "), pick(KEY_KINDS, 44), F.lit("private key-----\n")), F.lit("\n-----end "), 1), (1, choose([*short, b64], 45), address, F.lit("@host"), 1),
+        (5, choose(names, 7), anywhere, plain, 0), (3, prose, place, closing, 0), (1, pick(CODE, 46), place, called, 0), (1, blotted, any_place, closing, 0),
+        (1, choose([pick(PLACEHOLDERS, 5), F.concat(F.lit("$"), F.upper(word(47))), F.lit("xxxx"), F.lit("****")], 48), address, F.lit("@host"), 0),
     ]
-    kind = (F.pmod(F.xxhash64(i, F.lit(7)), F.lit(len(others))) + 1).cast("int")
-    harmless = F.element_at(F.array(*others), kind)
-    elsewhere = F.concat(F.lit("some text "), pick([*OTHER_WORDS, "see", "of", "the", "und", "le"], 8), pick([" ", ": ", "=", ' "'], 9))
-    yes = F.pmod(i, F.lit(2)) == 0
-    return spark.range(n).select(F.when(yes, secret).otherwise(harmless).alias("candidate"), F.when(yes | (kind > len(others) - 2), place).otherwise(elsewhere).alias("before"), F.when(yes, F.lit('" and')).otherwise(F.lit(" and")).alias("after"), yes.cast("int").alias("label"))
+    parts, at, made = sum(k[0] for k in kinds), 0, None
+    for part, candidate, before, after, label in kinds:
+        rows = spark.range(at * n // parts, (at + part) * n // parts, 1, 1).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), F.lit(label).alias("label"))
+        made, at = rows if made is None else made.unionByName(rows), at + part
+    return made
 
 
 def fit_bigrams(found: DataFrame) -> dict[str, float]:
