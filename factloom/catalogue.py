@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import canonical_queries, compare_queries, timer_queries, ingestion_queries, detection_queries, fact_queries, history_queries, knowledge_queries, mechanic_queries, record_queries, section_queries, table_queries
+from factloom.plans import canonical_queries, cohesion_queries, compare_queries, timer_queries, ingestion_queries, detection_queries, fact_queries, history_queries, knowledge_queries, mechanic_queries, record_queries, section_queries, table_queries
 
-_MODULES = (fact_queries, table_queries, knowledge_queries, record_queries, mechanic_queries, detection_queries, compare_queries, section_queries, history_queries, canonical_queries, timer_queries, ingestion_queries)
+_MODULES = (fact_queries, table_queries, knowledge_queries, record_queries, mechanic_queries, detection_queries, compare_queries, section_queries, history_queries, canonical_queries, timer_queries, ingestion_queries, cohesion_queries)
 
 
 def queries() -> dict:
