@@ -156,7 +156,8 @@ def demultiplex(stream: bytes) -> dict:
     every elementary stream of every program, in the order of the tables.
 
     A jump of the continuity counter that no discontinuity flag announces, or the transport error flag, counts as an
-    error and discards the unit it falls in; a packet repeated once is legal and skipped.  Damaged or foreign bytes
+    error and discards the unit it falls in, as does a unit with fewer bytes than its header says; a packet repeated once
+    is legal and skipped.  Damaged or foreign bytes
     give no streams, never an error.
     """
     n = len(stream) // PACKET
@@ -202,6 +203,9 @@ def _units(packets: np.ndarray, offsets: np.ndarray, flags: np.ndarray, rows: np
             out["cc_errors"] += k not in spoilt
             continue
         size = int.from_bytes(pes[4:6], "big")
+        if len(pes) < 6 + size:  # the end of the unit is lost
+            out["cc_errors"] += 1
+            continue
         out["pts"].append(read_timestamp(pes[9:14]) if pes[7] & 0x80 and len(pes) >= 14 else None)
         if flags[own[0]] & 0x40:
             out["random_access"].append(out["units"])

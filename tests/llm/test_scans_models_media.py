@@ -215,6 +215,14 @@ def test_lost_and_repeated_packets():
         assert (found["cc_errors"], found["payload"] == payload) == (errors, not errors)
 
 
+def test_a_unit_whose_end_is_lost_is_counted_and_left_out():
+    payload = np.random.default_rng(3).bytes(3 * transport_stream.UNIT)
+    stream = transport_stream.multiplex(payload)
+    (whole,), (cut,) = (transport_stream.demultiplex(x)["streams"] for x in (stream, stream[: -3 * transport_stream.PACKET]))
+    assert (whole["payload"], whole["units"], whole["cc_errors"]) == (payload, 3, 0)
+    assert (cut["payload"], cut["units"], cut["cc_errors"]) == (payload[: 2 * transport_stream.UNIT], 2, 1)
+
+
 def test_long_tables_and_several_programs():
     """Map tables of two programs over several packets each, streams between one another."""
     t = transport_stream
