@@ -47,10 +47,14 @@ def token_set(x: STR, least: int = 3) -> Column:
     return F.array_distinct(tokens(x, least))
 
 
+def code_units(x: STR) -> Column:
+    """Length in UTF-16 code units: a character beyond the first plane counts two."""
+    return F.shiftright(F.octet_length(F.encode(_c(x), "UTF-16BE")), 1)
+
+
 def estimate_tokens(x: STR) -> Column:
-    """A fourth of the code points, rounded up; nothing for an empty or null text."""
-    n = F.coalesce(F.length(_c(x)), F.lit(0))
-    return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(n / 4))).cast("bigint")
+    """A fourth of the UTF-16 code units, rounded up; 0 for an empty or null text."""
+    return F.ceil(F.coalesce(code_units(x), F.lit(0)) / 4).cast("bigint")
 
 
 def djb2(x: STR) -> Column:
@@ -104,6 +108,54 @@ def list_normalize(x: STR, longest: int = 24, most: int = 8) -> Column:
     return F.slice(F.aggregate(clean, F.array().cast("array<string>"), lambda a, v: F.when(F.exists(a, lambda w: F.lower(w) == F.lower(v)), a).otherwise(F.concat(a, F.array(v)))), 1, most)
 
 
+def first_of_each(x: STR) -> Column:
+    """Trimmed entries that are not empty, of those alike but for case the first, in their order.
+
+    Entries are sorted by key and place and compared with their neighbours, so a long list costs no pairs of entries; a
+    null list gives null, null entries go.
+    """
+    trimmed = F.transform(_c(x), lambda v, i: F.struct(F.lower(F.regexp_replace(v, "^\\s+|\\s+$", "")).alias("key"), i.alias("at"), F.regexp_replace(v, "^\\s+|\\s+$", "").alias("entry")))
+    ordered = F.array_sort(F.filter(trimmed, lambda s: s["key"] != ""))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(ordered, lambda s: s["key"]))
+    new = F.zip_with(ordered, before, lambda s, k: F.when(s["key"].isNotNull() & ~s["key"].eqNullSafe(k), F.struct(s["at"].alias("at"), s["entry"].alias("entry"))))
+    return F.transform(F.array_sort(F.array_compact(new)), lambda s: s["entry"])
+
+
+#: Lengths of aliases and keywords, how many of each are kept, and words that are no keywords.
+ALIAS_LENGTHS, KEYWORD_LENGTHS, MAX_ALIASES, MAX_KEYWORDS = (2, 64), (4, 32), 8, 12
+COMMON_TERMS = (
+    "game games gaming player players play playing build guide tips patch update meta ranked match matches online offline singleplayer multiplayer co-op coop pvp pve story mode modes level levels "
+    "quest quests mission missions item items loot gear weapon weapons skill skills talent talents perk perks class classes boss bosses"
+).split()
+
+
+def pruned(x: STR, lengths: tuple[int, int], most: int, stop: list[str] | None = None) -> Column:
+    """The first `most` distinct entries (first_of_each) whose length in code units is within `lengths` and whose lower
+    case is no stop term."""
+    fits = lambda v: code_units(v).between(*lengths) & (~F.lower(v).isin(stop) if stop else F.lit(True))
+    return F.slice(F.filter(first_of_each(x), fits), 1, most)
+
+
+def rate(hits: Column, total: Column) -> Column:
+    """(hits, total, rate): the rate in thousandths, halves up; 0 where there is nothing to count."""
+    share = F.when(total > 0, F.floor((hits * 2000 + total) / (total * 2)) / 1000).otherwise(F.lit(0.0))
+    return F.struct(hits.alias("hits"), total.alias("total"), share.alias("rate"))
+
+
+#: Endings of nouns and names by language; a parameter of without_ending.
+ENDINGS = {"en": ["s", "es", "ed", "ing"], "de": ["n", "s", "e", "en", "er", "es", "em", "ern"], "fr": ["s", "x", "es", "aux"], "es": ["s", "es"]}
+
+
+def without_ending(word: STR, lang: STR, endings: dict[str, list[str]] | None = None) -> Column:
+    """The word without the longest ending of its language, of which at least two characters must stay; words of
+    other languages, or of none, as they are.  A shorter ending is tried where too little stays without a longer one."""
+    w, out = _c(word), _c(word)
+    for code, ends in (ENDINGS if endings is None else endings).items():
+        for e in sorted(ends, key=len):
+            out = F.when((_c(lang) == code) & F.endswith(w, F.lit(e)) & (F.length(w) > len(e) + 1), F.substr(w, F.lit(1), F.length(w) - len(e))).otherwise(out)
+    return out
+
+
 def jaccard(a: STR, b: STR, both_empty: float = 1.0) -> Column:
     """Shared share of two sets; both_empty tells which of the two customary answers holds for empty ones."""
     union = F.size(F.array_union(_c(a), _c(b)))
@@ -188,6 +240,15 @@ def search_key(x: STR) -> Column:
     return collapse(fold_letters(x))
 
 
+def found_in(question: STR, answer: STR, needle: str) -> Column:
+    """Whether a search finds an entry: its folded question and answer hold the folded needle; an empty one is found
+    everywhere.  A null question or answer is empty."""
+    key = " ".join("".join(c for c in unicodedata.normalize("NFKD", needle) if not unicodedata.combining(c)).lower().split())
+    if not key:
+        return F.lit(True)
+    return F.contains(search_key(F.concat(F.coalesce(_c(question), F.lit("")), F.lit(" "), F.coalesce(_c(answer), F.lit("")))), F.lit(key))
+
+
 def request_key(x: STR) -> Column:
     """Letters and digits of any script in lower case, words by single spaces; letters keep their marks."""
     return F.trim(F.regexp_replace(F.lower(_c(x)), "[^\\p{L}\\p{N}]+", " "))

@@ -1,14 +1,16 @@
-"""Ordered state over events: sticky context with confirmation, for batches and streams."""
+"""Ordered state over events: sticky context with confirmation, for batches and streams; lists of the newest events."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: How many events each list keeps.
+KEPT = 1000
 STICKY_S, COOLDOWN_S, CONFIRMATIONS = 30.0, 3.0, 2
 START = (None, 0.0, None, 0, 0.0)  # current, when it was seen, proposed, how often, when it last changed
 
@@ -52,6 +54,19 @@ def context_states(events: DataFrame) -> DataFrame:
     return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, "user_id long, event_id long, context string")
 
 
+def newest_by_list(events: DataFrame, name: str | Column, order: list[str], lists: dict[str, str], kept: int = KEPT) -> DataFrame:
+    """Events with the list that their name goes to and their place in it, the newest first, `kept` of each list.
+
+    Names are trimmed; events of no name, or of one without a list, go nowhere.  `order` are the columns that tell the age;
+    rows alike in all of them stand in any order.  The limit is applied in every task before events of a list are brought
+    together, so one list may get all events.
+    """
+    to = F.element_at(F.create_map(*[F.lit(x) for pair in lists.items() for x in pair]), F.trim(F.col(name) if isinstance(name, str) else name))
+    w = Window.partitionBy("list").orderBy(*[F.col(c).desc() for c in order])
+    routed = events.withColumn("list", to).where(F.col("list").isNotNull())
+    return routed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= kept)
+
+
 def context_stream(events: DataFrame) -> DataFrame:
     """The same as a stream: state is kept for every user between batches."""
 

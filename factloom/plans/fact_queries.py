@@ -18,6 +18,9 @@ def _word(c: str) -> str:
     return r"regexp_matches(lower(fact), '\b(" + "|".join(rules.LEXICON[c]) + r")\b')"
 
 
+#: Length in UTF-16 code units.
+_UNITS = r"(length({0}) + length(regexp_replace({0}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+
 _GUARD = f"({_word('emergent')} OR {_word('tradeoff')})"
 _REASON = f"""CASE WHEN fact IS NULL OR fact = '' THEN 'missing-text' WHEN length(fact) > {rules.MAX_CHARS} THEN 'text-too-long'
  WHEN contains(lower(fact), 'lore') OR contains(lower(fact), 'story') THEN 'lore-pattern' WHEN {_word('tutorial')} THEN 'tutorial-pattern' WHEN {_word('generic')} THEN 'generic-pattern'
@@ -93,6 +96,36 @@ def list_normalized(spark, sf_dir):
     return d.select("doc_id", F.array_join(X.list_normalize(F.split("text", "[\\n,]"), 24, 8), "|").alias("entries"))
 
 
+def pruned_entries(spark, sf_dir):
+    """Aliases (parts of sentences) and keywords (words) of every document, pruned by length, stop terms and number."""
+    d = table(spark, sf_dir, "documents")
+    aliases = X.pruned(F.split("text", "[\\n,.]"), X.ALIAS_LENGTHS, X.MAX_ALIASES)
+    keywords = X.pruned(F.split("text", "[\\s,.]+"), X.KEYWORD_LENGTHS, X.MAX_KEYWORDS, X.COMMON_TERMS)
+    return d.select("doc_id", F.array_join(aliases, "|").alias("aliases"), F.array_join(keywords, "|").alias("keywords"))
+
+
+def _pruned_sql(split: str, lengths, most: int, stop: list[str]) -> str:
+    stops = ", ".join(f"'{w}'" for w in ["", *stop])
+    return rf"""(WITH e AS (SELECT doc_id, unnest(p) AS v, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split_regex(text, '{split}') AS p FROM documents)),
+      c AS (SELECT doc_id, i, regexp_replace(v, '^\s+|\s+$', '', 'g') AS v FROM e),
+      f AS (SELECT doc_id, lower(v) AS k, arg_min(v, i) AS v, min(i) AS i FROM c WHERE v <> '' GROUP BY 1, 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f WHERE {_UNITS.format('v')} BETWEEN {lengths[0]} AND {lengths[1]} AND k NOT IN ({stops}))
+      SELECT d.doc_id, coalesce(string_agg(v, '|' ORDER BY i), '') AS entries FROM documents d LEFT JOIN (SELECT * FROM r WHERE rn <= {most}) r USING (doc_id) GROUP BY d.doc_id)"""
+
+
+def stems_by_lang(spark, sf_dir):
+    """Words of every document by language and stem: how often, and in how many forms."""
+    d = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(X.request_key("text"), " ")).alias("w")).where("w <> ''")
+    # words are counted before they are cut, so each is cut once
+    g = d.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("k"))
+    return g.groupBy("lang", X.without_ending("w", "lang").alias("stem")).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_forms"))
+
+
+def _stem_sql() -> str:
+    cases = " ".join(f"WHEN lang = '{c}' AND suffix(w, '{e}') AND length(w) > {len(e) + 1} THEN left(w, length(w) - {len(e)})" for c, ends in X.ENDINGS.items() for e in sorted(ends, key=len, reverse=True))
+    return rf"WITH w AS (SELECT lang, unnest(string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS w FROM documents), g AS (SELECT lang, w, count(*) AS k FROM w WHERE w <> '' GROUP BY 1, 2) SELECT lang, CASE {cases} ELSE w END AS stem, CAST(sum(k) AS BIGINT) AS n, count(*) AS n_forms FROM g GROUP BY 1, 2"
+
+
 def exact_dedupe_merge(spark, sf_dir):
     m = dedupe.exact_merge(facts(spark, sf_dir), X.text_key("fact"), ["doc_id", "pos"])
     return m.select("key", "doc_id", F.col("pos").cast("bigint").alias("pos"), "fact", "n", "sources")
@@ -161,7 +194,7 @@ def review_order(spark, sf_dir):
     return f.select("source", "lang", "n", "longest", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n").desc(), "lang")).cast("bigint").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (fact_drop_histogram, kept_fact_flagship, score_steps, fact_priorities, text_keys, djb2_ids, token_sets, list_normalized, exact_dedupe_merge, cross_source_merge, benchmark_overlap, near_duplicate_marks, pair_cooccurrence, bundle_stats, top_tokens, p1_cap, template_repetition, review_order)}
+QUERIES = {f.__name__: f for f in (fact_drop_histogram, kept_fact_flagship, score_steps, fact_priorities, text_keys, djb2_ids, token_sets, list_normalized, pruned_entries, stems_by_lang, exact_dedupe_merge, cross_source_merge, benchmark_overlap, near_duplicate_marks, pair_cooccurrence, bundle_stats, top_tokens, p1_cap, template_repetition, review_order)}
 
 _KEY, _WKEY = "lower(fact)", r"trim(regexp_replace(lower(fact), '[^a-z0-9]+', ' ', 'g'))"
 _TAGS = "(" + " UNION ALL ".join(f"SELECT doc_id, pos, '{c}' AS tag FROM facts WHERE {_word(c)}" for c in sorted(rules.LEXICON)) + ")"
@@ -172,9 +205,11 @@ SQL = {
     "kept_fact_flagship": f"WITH {_FACTS} SELECT * FROM (SELECT source, doc_id, pos, fact, n_tokens, row_number() OVER (PARTITION BY source ORDER BY n_tokens DESC, doc_id, pos) AS rn FROM (SELECT *, len(list_distinct({_TOK.format('fact', 3)})) AS n_tokens FROM facts WHERE {_REASON} IS NULL)) WHERE rn <= 3",
     "score_steps": _step_sql(),
     "fact_priorities": _priority_sql(),
-    "text_keys": rf"WITH {_FACTS} SELECT doc_id, pos, lower(fact) AS text_key, regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS word_key, CAST(CASE WHEN length(fact) = 0 THEN 0 ELSE greatest(1, ceil(length(fact) / 4.0)) END AS BIGINT) AS token_estimate, substr(sha1(fact), 1, 12) AS sha1_id FROM facts",
+    "text_keys": rf"WITH {_FACTS} SELECT doc_id, pos, lower(fact) AS text_key, regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS word_key, CAST(ceil({_UNITS.format('fact')} / 4.0) AS BIGINT) AS token_estimate, substr(sha1(fact), 1, 12) AS sha1_id FROM facts",
     "djb2_ids": "SELECT doc_id, lower(to_hex(list_reduce(list_prepend(5381::BIGINT, flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN []::BIGINT[] WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)]::BIGINT[] ELSE [unicode(c)]::BIGINT[] END))), lambda h, c: (h * 33 + c) % 4294967296))) AS djb2_id FROM documents",
     "token_sets": f"WITH {_FACTS} SELECT doc_id, pos, array_to_string(list_sort(list_distinct({_TOK.format('fact', 3)})), ' ') AS tokens, len(list_distinct({_TOK.format('fact', 3)})) AS n FROM facts",
+    "pruned_entries": f"SELECT doc_id, a.entries AS aliases, k.entries AS keywords FROM {_pruned_sql('[\\n,.]', X.ALIAS_LENGTHS, X.MAX_ALIASES, [])} a JOIN {_pruned_sql('[\\s,.]+', X.KEYWORD_LENGTHS, X.MAX_KEYWORDS, X.COMMON_TERMS)} k USING (doc_id)",
+    "stems_by_lang": _stem_sql(),
     "list_normalized": r"""WITH e AS (SELECT doc_id, unnest(p) AS v, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split_regex(text, '[\n,]') AS p FROM documents)),
       c AS (SELECT doc_id, i, substr(trim(regexp_replace(v, '\s+', ' ', 'g')), 1, 24) AS v FROM e),
       f AS (SELECT doc_id, lower(v) AS k, arg_min(v, i) AS v, min(i) AS i FROM c WHERE v <> '' GROUP BY 1, 2),

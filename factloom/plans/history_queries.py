@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factloom.operators import context
 from factloom.sources.tables import table
 
-#: Lists that events go to by their type, and how many each keeps; all other types go to "other".
-ROUTES = {"click": "interaction", "view": "interaction", "purchase": "outcome", "error": "failure"}
-KEPT = 1000
+#: Lists that events go to by their names; the names of clicks of small value stand apart.
+LISTS = {"view": "requests", "purchase": "responses", "error": "violations", "click": "previews", "click-small": "simulated", "signup": "strategies"}
+SMALL = 20
 #: What is searched in pinned entries.
 NEEDLE = "1"
 
@@ -29,11 +29,9 @@ def pinned_windows(spark, sf_dir):
 
 def event_routes(spark, sf_dir):
     """Events by the list that their type goes to, the newest of each list."""
-    route = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv]), F.col("event_type")), F.lit("other"))
-    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), route.alias("route"))
-    w = Window.partitionBy("route").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    # the limit on the rank is applied in every task before events of a route are brought together
-    return e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= KEPT).select("route", "event_id", F.col("rn").cast("bigint").alias("rn"))
+    name = F.when((F.col("event_type") == "click") & (F.col("value") < SMALL), "click-small").otherwise(F.col("event_type"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), name.alias("name"))
+    return context.newest_by_list(e, "name", ["ts", "event_id"], LISTS).select(F.col("list").alias("route"), "event_id", F.col("place").cast("bigint").alias("rn"))
 
 
 def load_totals(spark, sf_dir):
@@ -55,7 +53,7 @@ QUERIES = {f.__name__: f for f in (pinned_split, pinned_windows, event_routes, l
 SQL = {
     "pinned_split": "SELECT c_nationkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS pinned, count(*) AS n FROM customer GROUP BY 1, 2",
     "pinned_windows": f"SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS newest, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE contains(lower(c_name), '{NEEDLE}') AND o_orderpriority LIKE '1%' GROUP BY 1",
-    "event_routes": "SELECT route, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY ts DESC, event_id DESC) AS rn FROM (SELECT event_id, ts, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROUTES.items()) + f" ELSE 'other' END AS route FROM events)) WHERE rn <= {KEPT}",
+    "event_routes": "SELECT route, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY ts DESC, event_id DESC) AS rn FROM (SELECT event_id, ts, CASE " + f"CASE WHEN event_type = 'click' AND value < {SMALL} THEN 'click-small' ELSE event_type END " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LISTS.items()) + f" END AS route FROM events) WHERE route IS NOT NULL) WHERE rn <= {context.KEPT}",
     "load_totals": "WITH g AS (SELECT conv_id, count_if(role = 'user') AS asked, count_if(role = 'assistant') AS answered, sum(length(text)) AS chars FROM conversations GROUP BY 1) SELECT count(*) AS n, CAST(sum(asked) AS BIGINT) AS asked, CAST(sum(answered) AS BIGINT) AS answered, CAST(sum(greatest(0, asked - answered)) AS BIGINT) AS unanswered, CAST(sum(chars) AS BIGINT) AS chars, sum(chars) / count(*) AS mean_chars FROM g",
     "largest_prompts": "WITH g AS (SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS turns FROM conversations GROUP BY 1) SELECT conv_id, chars, turns, chars / (SELECT avg(chars) FROM g) AS times_mean FROM g ORDER BY chars DESC, conv_id LIMIT 8",
 }

@@ -16,6 +16,8 @@ from factloom.streaming import usage as U
 INTENTS = [("greeting", 1, ["hello", "thanks"]), ("howto", 2, ["how", "explain", "write"]), ("fact", 3, ["what", "which", "who"]), ("prose", 4, ["the", "and"])]
 SEGMENTS = [("history", 1, 6000), ("facts", 2, 8000), ("question", 3, 4000)]  # trim order and cap; the last is required
 PROMPT_CHARS = 12000
+#: What is searched in the history, folded as the entries are.
+SEARCHED = "Íng"
 
 
 def _events(spark, sf_dir):
@@ -166,10 +168,11 @@ def prompt_trim(spark, sf_dir):
     return c.select("conv_id", F.col("trim_order").cast("bigint").alias("trim_order"), "chars", F.least(F.col("chars"), F.greatest(F.lit(0), over - before)).alias("trimmed"))
 
 
-def history_search(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    hit = F.contains(F.lower("text"), F.lit("ing"))
-    return c.groupBy("conv_id").agg(F.count_if(hit).alias("visible"), F.count(F.lit(1)).alias("total"))
+def history_search(spark, sf_dir, needle=SEARCHED):
+    """Entries of each conversation, a question with its answer, and how many of them a search finds."""
+    said = lambda role: F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("entry")).agg(said("user").alias("question"), said("assistant").alias("answer"))
+    return c.withColumn("hit", X.found_in("question", "answer", needle)).groupBy("conv_id").agg(F.count_if("hit").alias("visible"), F.count(F.lit(1)).alias("total"))
 
 
 def idempotent_append(spark, sf_dir):
@@ -192,7 +195,10 @@ def upsert_templates(spark, sf_dir):
 def split_rates(spark, sf_dir):
     """Overlapping groups of labelled documents: hits and totals of each."""
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("kept"), F.count_if(F.col("n_chars") >= 2000).alias("long"))
+    groups = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1, "kept": (F.col("quality") == 1) & (F.col("toxic") == 0), "long": F.col("n_chars") >= 2000}
+    g = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in groups.items()])
+    rates = g.select("lang", "n", *[X.rate(F.col(k), F.col("n")).alias(k) for k in groups])
+    return rates.select("lang", "n", *[x for k in groups for x in (F.col(f"{k}.hits").alias(k), F.col(f"{k}.rate").alias(f"{k}_rate"))])
 
 
 def bucket_rates(spark, sf_dir):
@@ -357,10 +363,10 @@ SQL = {
     "classify_intent": f"SELECT role, {_INTENT} AS intent, count(*) AS n FROM conversations GROUP BY 1, 2",
     "score_facts_topk": f"WITH {_FACTS}, q AS (SELECT item_id, unnest(list_distinct({_TOK.format('text', 5)})) AS t FROM benchmark), f AS (SELECT doc_id, pos, unnest(list_distinct({_TOK.format('fact', 5)})) AS t FROM facts), s AS (SELECT item_id, doc_id, pos, 2 * count(*) AS score FROM q JOIN f USING (t) GROUP BY 1, 2, 3) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, pos) AS rn FROM s) WHERE rn <= 3",
     "prompt_trim": f"WITH c AS (SELECT conv_id, CAST(CASE role WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS BIGINT) AS trim_order, sum(length(text)) AS n FROM conversations GROUP BY 1, 2), d AS (SELECT conv_id, trim_order, CAST(least(n, CASE trim_order WHEN 1 THEN 6000 WHEN 2 THEN 8000 ELSE 4000 END) AS BIGINT) AS chars FROM c) SELECT conv_id, trim_order, chars, CAST(least(chars, greatest(0, greatest(sum(chars) OVER (PARTITION BY conv_id) - {PROMPT_CHARS}, 0) - coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY trim_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS trimmed FROM d",
-    "history_search": "SELECT conv_id, count_if(contains(lower(text), 'ing')) AS visible, count(*) AS total FROM conversations GROUP BY 1",
+    "history_search": f"WITH c AS (SELECT conv_id, turn // 2 AS entry, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '') || ' ' || coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), '') AS said FROM conversations GROUP BY 1, 2) SELECT conv_id, count_if(contains(trim(regexp_replace(strip_accents(lower(said)), '\\s+', ' ', 'g')), strip_accents(lower('{SEARCHED}')))) AS visible, count(*) AS total FROM c GROUP BY 1",
     "idempotent_append": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500",
     "upsert_templates": "WITH x AS (SELECT o_custkey, max(o_orderkey) AS old_k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), y AS (SELECT o_custkey, max(CASE WHEN o_totalprice >= 100000 THEN o_orderkey END) AS new_k FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) SELECT o_custkey, coalesce(new_k, old_k) AS k, old_k IS NULL AS is_new FROM x FULL JOIN y USING (o_custkey)",
-    "split_rates": "SELECT lang, count(*) AS n, count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic, count_if(quality = 1 AND toxic = 0) AS kept, count_if(n_chars >= 2000) AS long FROM labels JOIN documents USING (doc_id) GROUP BY 1",
+    "split_rates": "WITH g AS (SELECT lang, count(*) AS n, count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic, count_if(quality = 1 AND toxic = 0) AS kept, count_if(n_chars >= 2000) AS long FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT *, " + ", ".join(f"floor(({k} * 2000 + n) / (n * 2)) / 1000 AS {k}_rate" for k in ("good", "toxic", "kept", "long")) + " FROM g",
     "bucket_rates": "SELECT CASE WHEN n_chars < 500 THEN 'low' WHEN n_chars < 2000 THEN 'mid' ELSE 'high' END AS bucket, count(*) AS n, count_if(quality = 0) AS dropped FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "survival_matrix": "SELECT lang, count_if(quality = 0) AS dropped, count_if(quality = 1) AS kept FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "chunk_cohesion": f"WITH {_FACTS}, t AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct({_TOK.format('fact', 4)})) AS t FROM facts) GROUP BY 1, 2) SELECT doc_id, count(*) AS n_tokens, arg_min(t, (-n, t)) AS top, max(n) AS top_n FROM t GROUP BY 1",

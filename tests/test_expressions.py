@@ -21,6 +21,16 @@ CASES = {
     "collapse": (X.collapse, ["  a \t b\n", "", None], ["a b", "", None]),
     "slug": (X.slug, ["Great  Wall!", "--", None], ["great-wall", "", None]),
     "estimate_tokens": (X.estimate_tokens, ["", "a", "abcde", None], [0, 1, 2, 0]),
+    "estimate_tokens_beyond_first_plane": (X.estimate_tokens, ["\U0001f600\U0001f600", "\U0001f600\U0001f600a", "äöü"], [1, 2, 1]),
+    "found_in": (lambda c: X.found_in(c, F.lit("Côté  Nord"), " cote\tNÓRD "), ["x", None], [True, True]),
+    "found_across": (lambda c: X.found_in(c, F.lit("b"), "a b"), ["Ä", "A ", "c", None], [True, True, False, False]),
+    "found_everywhere": (lambda c: X.found_in(c, c, " "), ["x", None], [True, True]),
+    "without_ending": (lambda c: X.without_ending(c, F.lit("de")), ["häusern", "uns", "es", "walls", "", None], ["häus", "un", "es", "wall", "", None]),
+    "without_ending_elsewhere": (lambda c: X.without_ending(c, F.lit("it")), ["walls", None], ["walls", None]),
+    "first_of_each": (lambda c: F.array_join(X.first_of_each(F.split(c, ",")), "|"), [" b ,A,,B,a,c", "", None], ["b|A|c", "", None]),
+    "pruned": (lambda c: F.array_join(X.pruned(F.split(c, ","), (2, 4), 2, ["boss"]), "|"), ["a,Boss,wall,WALL,\U0001f600,\U0001f600b\U0001f600,keep,more", "", None], ["wall|\U0001f600", "", None]),
+    "rate": (lambda c: X.rate(c.cast("int"), F.lit(16)).getField("rate"), ["0", "1", "16"], [0.0, 0.063, 1.0]),
+    "rate_of_none": (lambda c: X.rate(c.cast("int"), F.lit(0)).getField("rate"), ["0"], [0.0]),
     "clamp": (X.clamp, ["0.5", "-1", "7", "NaN", None], [.5, 0.0, 1.0, None, None]),
     "bucketize": (X.bucketize, ["0.0", "0.2", "0.99", "1", None], ["0.0-0.2", "0.2-0.4", "0.8-1.0", "0.8-1.0", "unknown"]),
     "normalize_priority": (X.normalize_priority, ["P1", "p3", " P2 ", "9", "0", "x", None], [3, 1, 2, 3, 1, 2, 2]),
@@ -124,3 +134,15 @@ def test_page_links_match_a_plain_reading(spark, tmp_path):
                 first, n = want.get((r.page_id, url), (text, 0))
                 want[r.page_id, url] = (first, n + 1)
     assert got == want and got[99_999, "https://a.org/a"] == ("In tags", 2) and (99_999, "https://a.org/x/up") in got
+
+
+def test_newest_by_list(spark):
+    from factloom.operators import context
+
+    rows = [(1, " request "), (2, "request"), (3, "request"), (4, "reply"), (5, "other"), (6, None), (7, "")]
+    events = spark.createDataFrame(rows, "at int, event string")
+    lists = {"request": "requests", "reply": "replies"}
+    out = context.newest_by_list(events, "event", ["at"], lists, 2)
+    assert sorted((r.list, r.place, r.at) for r in out.collect()) == [("replies", 1, 4), ("requests", 1, 3), ("requests", 2, 2)]
+    assert context.newest_by_list(events.limit(0), "event", ["at"], lists).count() == 0
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
