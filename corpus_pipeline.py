@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe, content_sort, mixing, near_dup, quality
-from factloom.llm.common import materialise, table
+from factloom.llm.common import discard, materialise, table
 from factloom.llm.queries import MIX_WEIGHTS, tokenizer
 
 #: Documents whose calibrated score is below this are rejected: only what is likelier junk than not by far.
@@ -46,8 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
+    """All stages, applied to documents.
+
+    A stage's rows are deleted once the next one's are written, so at most two stages lie on disk beside what the
+    operators keep; the last stage's stay, as they are the result.  Nulls, repeated rows and empty tables are handled
+    as the operators of the stages say.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+        discard(before)
     return docs

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from factloom.llm import byte_bpe, content_sort, mixing, near_dup, quality
-from factloom.llm.common import table
+from factloom.llm.common import shared_dir, table
 from factloom.llm.queries import MIX_WEIGHTS, tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -327,4 +328,9 @@ def test_pipeline_stages_against_brute_force(spark):
     mixed = pipeline.mixing_stage(spark, near, sf)
     assert mixed.columns == docs.columns
     assert sorted(r.doc_id for r in mixed.collect()) == [d for d, _, _ in brute_mix(c, MIX_WEIGHTS, 0.9, 1, mixing.DEFAULT_SEED)]
+    base = Path(shared_dir(spark).removeprefix("file:"))
+    stages = lambda: {p.name for p in base.glob("stage-*")}
+    before = stages()
     assert pipeline.run(spark, sf).count() == mixed.count()
+    # earlier stages are deleted once the next one stands
+    assert [n.split("-")[1] for n in stages() - before] == ["4"]
