@@ -60,8 +60,9 @@ def frame_windows(spark, sf_dir):
 
 
 def latency_p95_split(spark, sf_dir):
-    """Nearest-rank 95th percentile, by type and parity of the property.
+    """Mean and nearest-rank 95th percentile, by type and parity of the property.
 
+    The mean is of whole thousandths, so that no order of adding changes it; a missing value counts 0 there.
     Counts over whole numbers tell between which two the percentile lies; only values between these are ordered.
     """
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -74,9 +75,9 @@ def latency_p95_split(spark, sf_dir):
     same = F.col("event_type").eqNullSafe(F.col("_event_type")) & F.col("even").eqNullSafe(F.col("_even"))
     inside = e.join(F.broadcast(cut), same & (F.col("bin") == F.col("_bin"))).groupBy(*by, "left", "value").agg(F.count(F.lit(1)).alias("k"))  # a row for each pair of type and parity
     p95 = inside.withColumn("through", F.sum("k").over(w.orderBy("value"))).where("through >= left").groupBy(*by).agg(F.min("value").alias("p95"))
-    all_ = e.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("worst"))
+    all_ = e.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("worst"), F.sum(F.coalesce(F.floor(F.col("value") * 1000 + 0.5), F.lit(0))).alias("thousandths"))
     p95 = p95.select(*[F.col(c).alias(f"_{c}") for c in by], "p95")
-    return all_.join(p95, same, "left").select(*by, "n", "p95", "worst")
+    return all_.join(p95, same, "left").select(*by, "n", (F.col("thousandths") / (F.col("n") * 1000)).alias("mean"), "p95", "worst")
 
 
 def intent_breakdown(spark, sf_dir):
@@ -85,8 +86,12 @@ def intent_breakdown(spark, sf_dir):
 
 
 def budget_summary(spark, sf_dir):
-    """Events by type with their total row."""
-    return _events(spark, sf_dir).rollup("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most")).select(F.coalesce("event_type", F.lit("all")).alias("event_type"), "n", "most")
+    """The total row, and the eight types of events with the largest means: how many, mean and largest value.  Means are as
+    in latency_p95_split."""
+    thousandths = F.sum(F.coalesce(F.floor(F.col("value") * 1000 + 0.5), F.lit(0)))
+    g = _events(spark, sf_dir).rollup("event_type").agg(F.grouping("event_type").alias("whole"), F.count(F.lit(1)).alias("n"), (thousandths / (F.count(F.lit(1)) * 1000)).alias("mean"), F.max("value").alias("most"))
+    top = g.orderBy(F.col("whole").desc(), F.col("mean").desc(), "event_type").limit(9)
+    return top.select(F.when(F.col("whole") == 1, "all").otherwise(F.col("event_type")).alias("event_type"), "n", "mean", "most")
 
 
 def context_state(spark, sf_dir):
@@ -351,9 +356,9 @@ SQL = {
     "hot_score": "SELECT user_id, total, days, CAST((total + 2 * high) * greatest(7, 14 - days) AS BIGINT) AS score14 FROM (SELECT user_id, count(*) AS total, count_if(event_type = 'purchase') AS high, CAST(floor(((SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts))) / 86400000000) AS BIGINT) AS days FROM events GROUP BY 1) ORDER BY score14 DESC, user_id LIMIT 10",
     "ring_last_n": "SELECT event_type, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 1000",
     "frame_windows": f"SELECT CAST(floor({_US} / 3600000000) AS BIGINT) AS hour, count(*) AS n, max(value) AS worst, count_if(value >= 34) AS janky FROM events GROUP BY 1",
-    "latency_p95_split": "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 AS even, count(*) AS n, quantile_disc(value, 0.95) AS p95, max(value) AS worst FROM events GROUP BY 1, 2",
+    "latency_p95_split": "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 AS even, count(*) AS n, CAST(sum(coalesce(CAST(floor(value * 1000 + 0.5) AS BIGINT), 0)) AS DOUBLE) / (count(*) * 1000) AS mean, quantile_disc(value, 0.95) AS p95, max(value) AS worst FROM events GROUP BY 1, 2",
     "intent_breakdown": "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, max(turn) AS last_turn FROM conversations GROUP BY 1",
-    "budget_summary": "SELECT coalesce(event_type, 'all') AS event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ROLLUP (event_type)",
+    "budget_summary": "SELECT CASE WHEN whole = 1 THEN 'all' ELSE event_type END AS event_type, n, mean, most FROM (SELECT event_type, grouping(event_type) AS whole, count(*) AS n, CAST(sum(coalesce(CAST(floor(value * 1000 + 0.5) AS BIGINT), 0)) AS DOUBLE) / (count(*) * 1000) AS mean, max(value) AS most FROM events GROUP BY ROLLUP (event_type)) ORDER BY whole DESC, mean DESC, event_type NULLS FIRST LIMIT 9",
     "positional_pairs": "WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS place FROM events) SELECT c.user_id, c.place, c.event_id AS click_id, v.event_id AS view_id FROM r c JOIN r v ON c.user_id = v.user_id AND c.place = v.place AND c.event_type = 'click' AND v.event_type = 'view'",
     "freshest_before": "WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS v, last_value(CASE WHEN event_type = 'view' THEN epoch_us(ts) END IGNORE NULLS) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_id, CASE WHEN epoch_us(ts) - t <= 86400000000 THEN v END AS view_id FROM e WHERE event_type = 'purchase'",
     "tier_lookup": "SELECT CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 'A' WHEN r_name = 'AMERICA' THEN 'B' ELSE 'C' END AS tier, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
