@@ -8,7 +8,7 @@ from factloom.operators import ingestion as I
 from factloom.plans.mechanic_queries import _RECORD, PROSE, records
 from factloom.sources import packages
 from factloom.sources import tables as S
-from factloom.sources.tables import dealt, shared_dir, table, written
+from factloom.sources.tables import dealt, shared_dir, table
 
 
 def _pages(spark, sf_dir):
@@ -45,7 +45,7 @@ def _jobs(spark, sf_dir):
 
 
 def _ran(spark, sf_dir):
-    return I.run_jobs(_jobs(spark, sf_dir), table(spark, sf_dir, "documents"), written(records(spark, sf_dir).select("doc_id", "fact", "drop_reason", "layer"), "job-facts"), cap=20_000)
+    return I.run_jobs(_jobs(spark, sf_dir), table(spark, sf_dir, "documents"), records(spark, sf_dir).select("doc_id", "fact", "drop_reason", "layer"), cap=20_000)
 
 
 def batch_jobs(spark, sf_dir):

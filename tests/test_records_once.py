@@ -2,7 +2,7 @@
 
 import pytest
 
-from factloom.plans import compare_queries, mechanic_queries
+from factloom.plans import compare_queries, ingestion_queries, mechanic_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +19,7 @@ def test_two_runs_are_compared_in_one_pass(spark):
 def test_what_is_read_twice_is_written_first(spark, name):
     plan = _plan(mechanic_queries.QUERIES[name](spark, SF))
     assert "vocabulary(" not in plan and "text#" not in plan  # no texts of documents are read
+
+
+def test_facts_of_jobs_are_counted_where_they_are_made(spark):
+    assert _plan(ingestion_queries.batch_report(spark, SF)).count("vocabulary(") == 1
