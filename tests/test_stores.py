@@ -109,3 +109,9 @@ def test_small_files_are_dealt(spark):
     assert S.dealt(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and S.dealt(df).count() == df.count()
     rows = [(1, None, "en", "s"), (2, "One. Two", None, None)]
     assert spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select(F.count("text")).first()[0] == 1
+
+
+def test_large_tables_in_few_files_are_dealt(spark, monkeypatch):
+    df = S.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    monkeypatch.setattr(S, "SMALL_BYTES", 10_000)
+    assert S.dealt(df).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and S.dealt(df).count() == df.count()
