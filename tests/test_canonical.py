@@ -2,9 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import canonical as C
+from factloom.plans import canonical_queries
+from factloom.sources.tables import facts, table
 
+SF = "/root/testdata/sf0.001"
 _SCHEMA, _NAMES = C._columns("string")
 
 
@@ -89,3 +93,14 @@ def test_representatives(spark):
     got = C.canonical_facts(f, spark.createDataFrame(clusters, "block string, item_id long, leader_id long"), "block")
     rows = sorted((r.leader_id, r.stands_as, r.item_id, r.cluster_size, r.dominant_role) for r in got.collect())
     assert rows == [(1, "advanced", 1, 2, "workflow"), (1, "beginner", 2, 2, "workflow"), (3, "solo", 3, 1, None), (4, "solo", 4, 1, None), (5, "advanced", 5, 3, None)]
+
+
+def test_facts_of_all_documents_are_clustered(spark):
+    """Every sentence of every document, not only the first of those with a vector, is in one cluster."""
+    of = canonical_queries.items(spark, SF)
+    n, vectors, ids = of.agg(F.count(F.lit(1)), F.count("embedding"), F.count_distinct("item_id")).first()
+    assert n == facts(spark, SF).count() == ids > facts(spark, SF).where("pos = 0").count() and 0 < vectors
+    docs, v = (table(spark, SF, t) for t in ("documents", "embeddings"))
+    assert vectors == facts(spark, SF).join(v, F.col("doc_id") == F.col("vec_id")).count() and docs.count() > 0
+    d = canonical_queries.canonical_diagnostics(spark, SF).collect()
+    assert sum(r.clusters + r.merged for r in d) == n
