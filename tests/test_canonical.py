@@ -104,3 +104,8 @@ def test_facts_of_all_documents_are_clustered(spark):
     assert vectors == facts(spark, SF).join(v, F.col("doc_id") == F.col("vec_id")).count() and docs.count() > 0
     d = canonical_queries.canonical_diagnostics(spark, SF).collect()
     assert sum(r.clusters + r.merged for r in d) == n
+
+
+def test_canonical_facts_stand_for_all_facts(spark):
+    stands = canonical_queries.canonical_facts(spark, SF).select("label", "leader_id", "cluster_size").distinct()
+    assert stands.agg(F.sum("cluster_size")).first()[0] == facts(spark, SF).count()
